@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, chat, quality, token_counts
 
 
 def _table(spark, sf_dir, name):
@@ -13,9 +15,30 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat(spark, sf_dir):
+    return chat.digests(chat.with_probe(_table(spark, sf_dir, "conversations")))
+
+
+def op9_token_counts(spark, sf_dir):
+    """Tokens of a document's source, language and text, and of each line."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
+
+
 def queries():
-    return {"op1_bpe": op1_bpe}
+    return {
+        "op1_bpe": op1_bpe,
+        "op4_quality": op4_quality,
+        "op5_chat": op5_chat,
+        "op9_token_counts": op9_token_counts,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op4_quality": quality.ORACLE_SQL,
+        "op5_chat": chat.ORACLE_SQL,
+    }
