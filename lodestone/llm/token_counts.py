@@ -95,7 +95,7 @@ def _counted(codec: bpe.ByteBPE, part: pa.RecordBatch, width: int, rule: str) ->
     # a line starts a section, but a blank line between fields belongs to what is before it
     after = char[np.flatnonzero(body == 10)] + 1
     owner = np.searchsorted(field_start.ravel(), after, "right") - 1
-    inside = after <= field_start.ravel()[owner] + field_length.ravel()[owner]
+    inside = (after > field_start.ravel()[owner]) & (after <= field_start.ravel()[owner] + field_length.ravel()[owner])
     begin = np.concatenate((field_start.ravel(), after[inside]))
     field = np.concatenate((np.arange(n * width), owner[inside]))
     order = np.lexsort((begin, field))
