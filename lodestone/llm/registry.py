@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, quality, token_counts
+from lodestone.llm import bpe, chat, quality, simhash, token_counts
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op9_token_counts(spark, sf_dir):
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
         "op9_token_counts": op9_token_counts,
