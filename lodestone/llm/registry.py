@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, quality, simhash, token_counts
+from lodestone.llm import bpe, chat, line_dedup, quality, simhash, token_counts
 
 
 def _table(spark, sf_dir, name):
@@ -32,6 +32,10 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_bpe": op1_bpe,
@@ -39,6 +43,7 @@ def queries():
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
         "op9_token_counts": op9_token_counts,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
