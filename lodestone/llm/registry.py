@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, line_dedup, quality, simhash, token_counts
+from lodestone.llm import bpe, chat, line_dedup, quality, simhash, substring_dedup, token_counts
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.report(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_line_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_bpe": op1_bpe,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
