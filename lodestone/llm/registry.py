@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, line_dedup, quality, simhash, substring_dedup, token_counts
+from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts
 
 
 def _table(spark, sf_dir, name):
@@ -31,6 +31,10 @@ def op5_chat(spark, sf_dir):
     return chat.digests(chat.with_probe(_table(spark, sf_dir, "conversations")))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_counts(spark, sf_dir):
     """Tokens of a document's source, language and text, and of each line."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
@@ -47,6 +51,7 @@ def queries():
         "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
+        "op7_decontaminate": op7_decontaminate,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
     }
