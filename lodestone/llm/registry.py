@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts
+from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, warc
 
 
 def _table(spark, sf_dir, name):
@@ -35,6 +35,10 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     """Tokens of a document's source, language and text, and of each line."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), fields=("source", "lang", "text"))
@@ -52,6 +56,7 @@ def queries():
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
         "op7_decontaminate": op7_decontaminate,
+        "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
     }
@@ -61,4 +66,5 @@ def oracle_sql():
     return {
         "op4_quality": quality.ORACLE_SQL,
         "op5_chat": chat.ORACLE_SQL,
+        "op8_warc": warc.ORACLE_SQL,
     }
