@@ -108,7 +108,7 @@ class ByteBPE:
     # -- cutting ---------------------------------------------------------
 
     def _cut_plain(self, text: str) -> list[str]:
-        if SETTLED.fullmatch(text):
+        if text.isascii() or SETTLED.fullmatch(text):
             return PATTERN.findall(text)
         if self._cutter is None:
             from tokenizers import Tokenizer

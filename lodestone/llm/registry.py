@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, warc
+from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, token_store, warc
 
 
 def _table(spark, sf_dir, name):
@@ -31,6 +31,10 @@ def op5_chat(spark, sf_dir):
     return chat.digests(chat.with_probe(_table(spark, sf_dir, "conversations")))
 
 
+def op6_token_store(spark, sf_dir):
+    return token_store.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +59,7 @@ def queries():
         "op3_simhash": op3_simhash,
         "op4_quality": op4_quality,
         "op5_chat": op5_chat,
+        "op6_token_store": op6_token_store,
         "op7_decontaminate": op7_decontaminate,
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,

@@ -218,7 +218,8 @@ def read_bundles(index: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    order = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
+    order = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
     rows = order.select("page_id", "bundle", "frame", "frame_at", "frame_size", "at", "size")
     return rows.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
