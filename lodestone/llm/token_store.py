@@ -34,6 +34,7 @@ import hashlib
 import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,7 @@ class WordEncoder:
         self.library.no_truncation()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        letters = byte_letters()
-        self.letter = [letters[b] for b in range(256)]
+        self.letters = byte_letters()
         self._forget()
 
     def _forget(self) -> None:
@@ -81,25 +81,17 @@ class WordEncoder:
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
 
-    def _ids_of(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per string) of strings without white space, encoded together."""
-        whole = self.library.encode(" ".join(fresh), add_special_tokens=False)
-        word = np.array(whole.word_ids, np.int64)
-        words = np.fromiter((len(PATTERN.findall(w)) for w in fresh), np.int64, len(fresh))
-        owner = np.repeat(np.arange(len(fresh)), words)[word] if len(word) else word
-        return np.array(whole.ids, np.int32), np.bincount(owner, minlength=len(fresh))
+    def _ids_of(self, string: str) -> list[int]:
+        """Ids of a string without white space."""
+        tokenize, letters = self.library.model.tokenize, self.letters
+        words = (string,) if string.isalpha() else PATTERN.findall(string)
+        return [t.id for w in words for t in tokenize(w.encode().decode("latin-1").translate(letters))]
 
     def _learn(self) -> None:
         fresh, self.known.fresh = self.known.fresh, []
-        # composing again could change what lower-casing left decomposed: those go to the model word by word
-        odd = [k for k, w in enumerate(fresh) if not (w.isascii() or unicodedata.is_normalized("NFC", w))]
-        apart = {k: [t.id for word in PATTERN.findall(fresh[k]) for t in self.library.model.tokenize("".join([self.letter[b] for b in word.encode()]))] for k in odd}
-        parts = [self._ids_of(["" if apart and k + i in apart else w for i, w in enumerate(fresh[k : k + 4000])]) for k in range(0, len(fresh), 4000)]
-        ids, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        if apart:
-            lists = np.split(ids, np.cumsum(size)[:-1])
-            lists = [np.array(apart[k], np.int32) if k in apart else x for k, x in enumerate(lists)]
-            ids, size = np.concatenate(lists), np.array([len(x) for x in lists])
+        lists = list(map(self._ids_of, fresh))
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
         at = len(self.known) - len(fresh)
         while self.pool_end + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
