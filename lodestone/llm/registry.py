@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, substring_dedup, token_counts, token_store, warc
+import corpus_pipeline
+from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, store, substring_dedup, token_counts, token_store, warc
 
 
 def _table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return store.tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_bpe(spark, sf_dir):
@@ -64,6 +64,7 @@ def queries():
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

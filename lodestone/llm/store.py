@@ -61,7 +61,8 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
-def spread(df: DataFrame, bytes_each: int = 0) -> DataFrame:
-    """df dealt over at least the cluster's cores when it arrives in fewer partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches bounded for rows that hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark

@@ -49,7 +49,7 @@ from lodestone.llm.bpe import SETTLED, _Known, byte_letters, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
 WINDOW = 8
 LEAST, MEAN_BITS, MOST = 64, 9, 4096
 #: The published pattern that cuts a normalised text into the words of this vocabulary.
@@ -80,6 +80,27 @@ class WordEncoder:
         self.pool_end = 0
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
+        self.met = np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Forgets the strings met least, so that half of the cache at most stays."""
+        met = np.zeros(len(self.known), np.int64)
+        met[: len(self.met)] = self.met
+        least = 2
+        while (met >= least).sum() > CACHED_WORDS // 2:
+            least *= 2
+        keep = np.flatnonzero(met >= least)
+        strings = list(self.known)
+        start, size, pool = self.start[keep], self.size[keep], self.pool
+        self._forget()
+        for k in keep.tolist():
+            self.known[strings[k]]
+        self.known.fresh = []
+        self.pool = np.resize(pool[np.repeat(start, size) + vec.grouped_arange(size)], max(1 << 16, int(size.sum())))
+        self.pool_end = int(size.sum())
+        self.start = np.resize(np.cumsum(size) - size, max(1 << 12, len(size)))
+        self.size = np.resize(size, max(1 << 12, len(size)))
+        self.met = met[keep] // 2
 
     def _ids_of(self, string: str) -> list[int]:
         """Ids of a string without white space."""
@@ -106,7 +127,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
         if len(self.known) > CACHED_WORDS:
-            self._forget()
+            self._trim()
         parts: list[np.ndarray | None] = []
         whole: dict[int, np.ndarray] = {}
         for k, text in enumerate(texts):
@@ -122,8 +143,11 @@ class WordEncoder:
             parts.append(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
         if self.known.fresh:
             self._learn()
+        number = np.concatenate([np.zeros(0, np.int64), *(p for p in parts if p is not None)])
+        met = np.bincount(number, minlength=len(self.known))
+        met[: len(self.met)] += self.met
+        self.met = met
         if not whole:
-            number = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             size = self.size[number]
             ids = self.pool[np.repeat(self.start[number], size) + vec.grouped_arange(size)]
             return ids, np.array([self.size[p].sum() for p in parts], np.int64)
