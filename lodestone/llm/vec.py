@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-_SEGMENT = 2 << 20
+SLICE_BYTES = 1 << 20
+_SEGMENT = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
