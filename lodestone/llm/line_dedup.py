@@ -8,8 +8,8 @@ its set, so many that two sets of Jaccard >= threshold must share one:
 
 * length filter: the smaller set has threshold times the larger's words;
 * positional filter: what follows the shared words can still make up the overlap;
-* bitmap filter: the sets' 64-bit parity maps differ in no more bits than the
-  words in which similar sets may differ;
+* bitmap filter: the sets' parity maps (64 bits, and WIDE more for long sets) differ
+  in no more bits than the words in which similar sets may differ;
 * at last Jaccard itself, on the sets' 32-bit word hashes.
 
 A line goes if an earlier line, by (doc_id, line number), has the same set or
@@ -41,7 +41,11 @@ THRESHOLD = "0.8"
 LEAST_WORDS = 5
 COUNTER_BITS = 18
 PROBES = 4
-_FRONT = "doc long, line int, sid long, n int, bits long"
+#: Sets of more words also have a parity map of WIDE bits: 64 say little of them.
+WIDE_WORDS, WIDE = 40, 192
+#: Words of open classes that may be broadcast.
+BROADCAST_WORDS = 500_000
+_FRONT = "doc long, line int, sid long, n int, bits long, wide0 long, wide1 long, wide2 long"
 
 
 def _counted(docs: DataFrame, text: str) -> np.ndarray:
@@ -72,7 +76,7 @@ def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS, id_column: str =
 
     def run(batches):
         for batch in batches:
-            for part in vec.slices(batch, "text", 2 << 20):
+            for part in vec.slices(batch, "text"):
                 out = _sets_of(part, rank, least_words)
                 if out is not None:
                     yield out
@@ -106,6 +110,13 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
     mixed = vec.mix(h)
     sid = vec.mix(np.add.reduceat(mixed, begin) + n.astype(np.uint64))
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), begin)
+    # bit (word, 64ths) of the wide map; short sets leave it empty
+    place = (mixed >> np.uint64(6)) % np.uint64(WIDE)
+    long = np.repeat(n > WIDE_WORDS, n)
+    wide = [
+        np.bitwise_xor.reduceat(np.where(long & (place >> np.uint64(6) == k), np.uint64(1) << (place & np.uint64(63)), np.uint64(0)), begin).view(np.int64)
+        for k in range(WIDE // 64)
+    ]
     at = line_start[line[begin]]
     row = np.searchsorted(offsets[1:], at, "right")
     number = line[begin] - (np.searchsorted(line_start, offsets[row], "left"))
@@ -117,9 +128,10 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
             pa.array(sid.view(np.int64)),
             pa.array(n.astype(np.int32)),
             pa.array(bits.view(np.int64)),
+            *map(pa.array, wide),
             vec.lists(pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)), n),
         ],
-        ["doc", "line", "sid", "n", "bits", "words"],
+        ["doc", "line", "sid", "n", "bits", "wide0", "wide1", "wide2", "words"],
     )
 
 
@@ -137,13 +149,19 @@ class _Filters:
     def prefix(self, n: Column) -> Column:
         return n - F.ceil(n * self.p / self.q).cast("int") + 1
 
-    def pass_(self, na, pa_, ba, nb, pb, bb):
-        """Whether sets of na and nb words, first known to meet at positions pa_ and pb, may be similar."""
+    def pass_(self, n, pos, maps, a, b):
+        """Whether the sets at a and b, known to meet at positions pos, may be similar."""
+        na, nb = n[a], n[b]
         need = self.overlap(na, nb)
         small, large = np.minimum(na, nb), np.maximum(na, nb)
         ok = self.q * small >= self.p * large
-        ok &= 1 + np.minimum(na - pa_, nb - pb) - 1 >= need
-        ok &= np.bitwise_count((ba ^ bb).view(np.uint64)) <= na + nb - 2 * need
+        ok &= np.minimum(na - pos[a], nb - pos[b]) >= need
+        spare = na + nb - 2 * need
+        ok &= np.bitwise_count(maps[0][a] ^ maps[0][b]) <= spare
+        at = np.flatnonzero(ok & (small > WIDE_WORDS))
+        if len(at):
+            a, b = a[at], b[at]
+            ok[at] = sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in maps[1:]) <= spare[at]
         return ok
 
 
@@ -154,7 +172,7 @@ def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame
     def run(batches):
         held = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             known = 0
             if held is not None:
                 known = len(held[0])
@@ -166,12 +184,13 @@ def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame
             yield from _met(cols, known, filters, most)
 
     spread = index.repartition("word").sortWithinPartitions("word", "doc", "line", "sid")
-    rows = spread.select("word", "sid", "n", "pos", "bits", "ask").mapInArrow(run, "a long, b long, more boolean")
+    rows = spread.select("word", "sid", "n", "pos", "ask", "bits", "wide0", "wide1", "wide2").mapInArrow(run, "a long, b long, more boolean")
     return rows.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _met(cols: list[np.ndarray], known: int, filters: _Filters, most: int | None):
-    word, sid, n, pos, bits, ask = cols
+    word, sid, n, pos, ask = cols[:5]
+    maps = [np.ascontiguousarray(c).view(np.uint64) for c in cols[5:]]
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     n_rows = len(word)
     begin = np.concatenate(([True], word[1:] != word[:-1]))
@@ -186,7 +205,7 @@ def _met(cols: list[np.ndarray], known: int, filters: _Filters, most: int | None
         if not len(live):
             break
         other = live - lag
-        ok = filters.pass_(n[other], pos[other], bits[other], n[live], pos[live], bits[live]) & (sid[other] != sid[live])
+        ok = filters.pass_(n, pos, maps, other, live) & (sid[other] != sid[live])
         hit = live[ok]
         if len(hit):
             a_out.append(sid[other[ok]])
@@ -230,22 +249,26 @@ def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int
     # classes stay bucketed by sid, so that neither check of words moves them again
     name = f"lodestone_lines_{uuid.uuid4().hex[:12]}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "bits", "words")).alias("f")).select("sid", "f.*")
+    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "bits", "wide0", "wide1", "wide2", "words")).alias("f")).select("sid", "f.*")
     grouped.write.option("compression", "zstd").option("path", store.fresh(spark, "line-classes")).bucketBy(parts, "sid").saveAsTable(name)
     classes = spark.table(name)
     store.discard(spark, path)
     take = F.slice("words", 1, _Filters(threshold).prefix(F.col("n")))
-    index = classes.select("sid", "doc", "line", "n", "bits", F.posexplode(take).alias("pos", "word"), F.lit(True).alias("ask"))
+    index = classes.select("sid", "doc", "line", "n", "bits", "wide0", "wide1", "wide2", F.posexplode(take).alias("pos", "word"), F.lit(True).alias("ask"))
     pairs = store.settled(_verified(_candidates(index, threshold, PROBES), classes, threshold), "line-pairs")
     gone = pairs.where("similar").select(F.col("b").alias("sid")).distinct()
     open_ = pairs.groupBy("b").agg(F.max("similar").alias("s"), F.max("more").alias("m")).where("m AND NOT s").select(F.col("b").alias("sid"))
+    open_ = store.settled(open_, "line-open")
     if not open_.isEmpty():
-        asked = index.drop("ask").join(open_.withColumn("ask", F.lit(True)), "sid", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-        words = asked.where("ask").select("word").distinct()
-        rest = _verified(_candidates(asked.join(words, "word", "left_semi"), threshold, None), classes, threshold)
+        words = store.settled(index.join(open_, "sid", "left_semi").select("word").distinct(), "line-words")
+        words = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
+        asked = index.drop("ask").join(words, "word", "left_semi").join(open_.withColumn("ask", F.lit(True)), "sid", "left")
+        rest = _verified(_candidates(asked.withColumn("ask", F.coalesce("ask", F.lit(False))), threshold, None), classes, threshold)
         gone = gone.union(rest.where("similar").select(F.col("b").alias("sid"))).distinct()
     gone = store.settled(gone, "line-gone")
+    # written first: a join of two tables may split the rows of a line that is everywhere
     state = classes.select("sid", F.col("doc").alias("d"), F.col("line").alias("l")).join(gone.withColumn("g", F.lit(True)), "sid", "left")
+    state = store.settled(state, "line-state")
     judged = lines.join(state, "sid").where(F.coalesce("g", F.lit(False)) | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
     return judged.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
