@@ -14,8 +14,7 @@ its set, so many that two sets of Jaccard >= threshold must share one:
 
 A line goes if an earlier line, by (doc_id, line number), has the same set or
 one of Jaccard >= threshold, whether or not that one stays. So a class needs
-only one earlier match: each shared word offers its PROBES nearest earlier
-candidates, which settles large groups of variants in linear size; classes that
+only one earlier match: each shared word offers PROBES earlier candidates, which settles large groups of variants in linear size; classes that
 these leave open, and that have more candidates, get all of theirs.
 
 Defined results: null and blank texts have no lines; a line of fewer than
@@ -42,10 +41,10 @@ LEAST_WORDS = 5
 COUNTER_BITS = 18
 PROBES = 4
 #: Sets of more words also have a parity map of WIDE bits: 64 say little of them.
-WIDE_WORDS, WIDE = 40, 192
+WIDE_WORDS, WIDE = 40, 128
 #: Words of open classes that may be broadcast.
 BROADCAST_WORDS = 500_000
-_FRONT = "doc long, line int, sid long, n int, bits long, wide0 long, wide1 long, wide2 long"
+_FRONT = "doc long, line int, sid long, n int, bits long, wide0 long, wide1 long"
 
 
 def _counted(docs: DataFrame, text: str) -> np.ndarray:
@@ -94,7 +93,7 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
     # one sort key: the line, the word's rank, and further bits of its hash
     spare = 64 - COUNTER_BITS - 22
     key = (line.astype(np.uint64) << np.uint64(42)) | (rank[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] << np.uint64(spare)) | (h & np.uint64((1 << spare) - 1))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, h, line = key[order], h[order], line[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
@@ -131,7 +130,7 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
             *map(pa.array, wide),
             vec.lists(pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)), n),
         ],
-        ["doc", "line", "sid", "n", "bits", "wide0", "wide1", "wide2", "words"],
+        ["doc", "line", "sid", "n", "bits", "wide0", "wide1", "words"],
     )
 
 
@@ -166,7 +165,7 @@ class _Filters:
 
 
 def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame:
-    """(a, b, more): earlier class a that b may be similar to. Each word's list gives b its ``most`` nearest (null: all)."""
+    """(a, b, more): earlier class a that b may be similar to. Each word's list gives b its first ``most`` (null: all)."""
     filters = _Filters(threshold)
 
     def run(batches):
@@ -177,48 +176,54 @@ def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame
             if held is not None:
                 known = len(held[0])
                 cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
-            word = cols[0]
+            word = cols[0] >> 31
             # the last word's list may go on in the next batch
             tail = int(np.searchsorted(word, word[-1], "left"))
             held = [c[tail:] for c in cols]
             yield from _met(cols, known, filters, most)
 
-    spread = index.repartition("word").sortWithinPartitions("word", "doc", "line", "sid")
-    rows = spread.select("word", "sid", "n", "pos", "ask", "bits", "wide0", "wide1", "wide2").mapInArrow(run, "a long, b long, more boolean")
+    # one number to sort by: the word, then the size of the set
+    key = F.shiftleft(F.col("word").cast("long"), 31) + F.col("n")
+    spread = index.withColumn("key", key).repartition("word").sortWithinPartitions("key")
+    rows = spread.select("key", "sid", "pos", "ask", "doc", "line", "bits", "wide0", "wide1").mapInArrow(run, "a long, b long, more boolean")
     return rows.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _met(cols: list[np.ndarray], known: int, filters: _Filters, most: int | None):
-    word, sid, n, pos, ask = cols[:5]
-    maps = [np.ascontiguousarray(c).view(np.uint64) for c in cols[5:]]
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    """Pairs of a word's list, from its ``known``-th row on, within the sizes that similar sets may have."""
+    key, sid, pos, ask, doc, number = cols[:6]
+    word, n, pos = key >> 31, key & ((1 << 31) - 1), pos.astype(np.int64)
+    maps = [np.ascontiguousarray(c).view(np.uint64) for c in cols[6:]]
     n_rows = len(word)
     begin = np.concatenate(([True], word[1:] != word[:-1]))
     at_begin = np.maximum.accumulate(np.where(begin, np.arange(n_rows), 0))
     live = np.arange(known, n_rows)
-    live = live[ask[live].astype(bool)]
     found = np.zeros(n_rows, np.int64)
     a_out, b_out, last = [], [], []
-    lag = 1
+    size, lag = 0, 1
     while True:
         live = live[live - lag >= at_begin[live]]
+        live = live[filters.q * n[live - lag] >= filters.p * n[live]]
         if not len(live):
             break
-        other = live - lag
-        ok = filters.pass_(n, pos, maps, other, live) & (sid[other] != sid[live])
-        hit = live[ok]
-        if len(hit):
-            a_out.append(sid[other[ok]])
-            b_out.append(sid[hit])
-            found[hit] += 1
-            last.append(found[hit])
+        one, two = live[(ok := filters.pass_(n, pos, maps, live - lag, live))] - lag, live[ok]
+        if len(two):
+            swap = (doc[one] > doc[two]) | ((doc[one] == doc[two]) & ((number[one] > number[two]) | ((number[one] == number[two]) & (sid[one] > sid[two]))))
+            a, b = np.where(swap, two, one), np.where(swap, one, two)
+            good = ask[b].astype(bool) & (sid[a] != sid[b])
             if most is not None:
-                live = live[found[live] < most]
+                good &= found[b] < most
+            a, b = a[good], b[good]
+            np.add.at(found, b, 1)
+            a_out.append(sid[a])
+            b_out.append(sid[b])
+            last.append(found[b])
+            size += len(a)
         lag += 1
-        if sum(map(len, a_out)) > 200_000:
+        if size > 200_000:
             yield _pairs(a_out, b_out, last, most)
-            a_out, b_out, last = [], [], []
-    if a_out:
+            a_out, b_out, last, size = [], [], [], 0
+    if size:
         yield _pairs(a_out, b_out, last, most)
 
 
@@ -243,18 +248,18 @@ def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int
     spark = docs.sparkSession
     path = store.fresh(spark, "line-sets")
     sets = line_sets(docs, least_words, id_column, text)
-    sets.write.option("compression", "zstd").parquet(path)
+    sets.write.option("compression", "snappy").parquet(path)
     sets = spark.read.schema(sets.schema).parquet(path)
     lines = store.settled(sets.select("doc", "line", "sid"), "lines")
     # classes stay bucketed by sid, so that neither check of words moves them again
     name = f"lodestone_lines_{uuid.uuid4().hex[:12]}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "bits", "wide0", "wide1", "wide2", "words")).alias("f")).select("sid", "f.*")
-    grouped.write.option("compression", "zstd").option("path", store.fresh(spark, "line-classes")).bucketBy(parts, "sid").saveAsTable(name)
+    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "bits", "wide0", "wide1", "words")).alias("f")).select("sid", "f.*")
+    grouped.write.option("compression", "snappy").option("path", store.fresh(spark, "line-classes")).bucketBy(parts, "sid").saveAsTable(name)
     classes = spark.table(name)
     store.discard(spark, path)
     take = F.slice("words", 1, _Filters(threshold).prefix(F.col("n")))
-    index = classes.select("sid", "doc", "line", "n", "bits", "wide0", "wide1", "wide2", F.posexplode(take).alias("pos", "word"), F.lit(True).alias("ask"))
+    index = classes.select("sid", "doc", "line", "n", "bits", "wide0", "wide1", F.posexplode(take).alias("pos", "word"), F.lit(True).alias("ask"))
     pairs = store.settled(_verified(_candidates(index, threshold, PROBES), classes, threshold), "line-pairs")
     gone = pairs.where("similar").select(F.col("b").alias("sid")).distinct()
     open_ = pairs.groupBy("b").agg(F.max("similar").alias("s"), F.max("more").alias("m")).where("m AND NOT s").select(F.col("b").alias("sid"))

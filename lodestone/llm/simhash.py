@@ -26,6 +26,8 @@ ignored. One text is held by one task.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -271,6 +273,8 @@ def group_near(docs: DataFrame, shingle: int = 3, tau: int = 3, id_column: str =
     of = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(roots, "root").select("fp", "component_id").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    # written first: a join of two tables may split the rows of a fingerprint that is everywhere
+    named = store.settled(named, "named-fingerprints")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "links")
 
 
@@ -280,9 +284,112 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, tau: int = 3) -> DataFrame:
-    """docs with one document of each group: the one of least doc_id (rows that share it: of least text)."""
-    groups = group_near(docs, shingle, tau)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-    return kept
+# -- near copies by shingle similarity ---------------------------------------------
+
+#: Bits within which word-set fingerprints of similar texts are sought: two texts at
+#: Jaccard 0.8 of five-word shingles differ in about one word of fifty.
+REACH = 7
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Texts to compare whose keys may be broadcast, at about 100 bytes each.
+BROADCAST_ROWS = 100_000
+
+
+def word_set_fingerprints(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(SimHash of each row's set of words, hash of its sequence of words); zero for rows without words."""
+    n = len(offsets) - 1
+    starts, ends = vec.words(body, offsets)
+    h = vec.hash_spans(body, starts, ends, folded=True)
+    row = vec.rows_of(starts, offsets)
+    sequence, fp = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if not len(h):
+        return fp, sequence
+    held, first, count = np.unique(row, return_index=True, return_counts=True)
+    place = vec.grouped_arange(count).astype(np.uint64)
+    sequence[held] = vec.mix(np.add.reduceat(vec.mix(h + place * vec._MULTIPLIER), first) + count.astype(np.uint64))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+    h, row = h[new], row[new]
+    held, first, count = np.unique(row, return_index=True, return_counts=True)
+    total = np.add.reduceat(_bits(h).astype(np.int32), first, axis=0)
+    fp[held] = np.packbits(2 * total > count[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return fp, sequence
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the different runs of so many words (ASCII case folded), ascending; a shorter text is one run."""
+    body, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    h = vec.hash_spans(body, *vec.words(body, offsets), folded=True)
+    k = min(shingle, len(h))
+    if not k:
+        return np.zeros(0, np.int64)
+    run = np.zeros(len(h) - k + 1, np.uint64)
+    for i in range(k):
+        run = vec.mix(run + h[i : len(h) - k + 1 + i] * np.uint64(2 * i + 1))
+    return np.unique(run.view(np.int64))
+
+
+def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(doc, fp, seq) of every document; doc is its id, NULL_ID for null."""
+
+    def run(batches):
+        for batch in batches:
+            for part in vec.slices(batch, "text"):
+                fp, seq = word_set_fingerprints(*vec.flat(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), pa.array(seq.view(np.int64))], ["doc", "fp", "seq"])
+
+    rows = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
+    return rows.mapInArrow(run, "doc long, fp long, seq long")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, least): every document whose text is that of an earlier one, or that is linked to one; least is the least of its group.
+
+    Texts of equal word sequences are one class, named by its least document. Classes
+    whose word-set fingerprints lie within ``reach`` bits are compared by the Jaccard
+    similarity of their shingle sets; groups are the components of those that pass.
+    Of classes with one fingerprint, each is compared with the first.
+    """
+    rows = store.settled(_rows(docs, id_column, text), "word-set-fingerprints")
+    classes = store.settled(rows.groupBy("fp", "seq").agg(F.min("doc").alias("doc")), "sequence-classes")
+    firsts = store.settled(classes.groupBy("fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")), "first-classes")
+    pairs = near_pairs(firsts, reach)
+    pairs = pairs.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    same = classes.join(firsts.where("n > 1").select("fp", "first"), "fp").where("doc != first").select(F.col("first").alias("x"), F.col("doc").alias("y"))
+    pairs = store.settled(pairs.union(same), "candidate-texts")
+    wanted = store.settled(pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidate-documents")
+    few = wanted.count() <= BROADCAST_ROWS
+
+    def sets(batches):
+        for batch in batches:
+            for part in vec.slices(batch, "text"):
+                found = [shingle_set(t or b"", shingle) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+                sizes = np.array([len(x) for x in found], np.int64)
+                flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), vec.lists(pa.array(flat), sizes)], ["doc", "s"])
+
+    texts = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    shingles = texts.mapInArrow(sets, "doc long, s array<long>").dropDuplicates(["doc"])
+    shingles = store.settled(shingles, "candidate-shingles")
+    both = pairs.join(shingles.select(F.col("doc").alias("x"), F.col("s").alias("sx")), "x").join(shingles.select(F.col("doc").alias("y"), F.col("s").alias("sy")), "y")
+    p, q = Fraction(str(similarity)).as_integer_ratio()
+    small, large = F.least(F.size("sx"), F.size("sy")), F.greatest(F.size("sx"), F.size("sy"))
+    close = both.where(q * small >= p * large).withColumn("c", F.size(F.array_intersect("sx", "sy")))
+    links = store.settled(close.where(q * F.col("c") >= p * (F.size("sx") + F.size("sy") - F.col("c"))).select("x", "y"), "similar-texts")
+    groups = graph.components(links, "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("least"))
+    named = classes.join(groups, "doc", "left").select("fp", "seq", "doc", F.coalesce("least", "doc").alias("least"))
+    named = store.settled(named.withColumnRenamed("doc", "own"), "named-sequences")
+    met = rows.join(named, ["fp", "seq"])
+    return met.where("doc != least").select("doc", "least")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of near copies: the one of least doc_id.
+
+    Rows that share the least doc_id stay together, as one document.
+    """
+    gone = near_copies(docs, similarity).select("doc").distinct()
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(store.NULL_ID))
+    return docs.join(gone, key == gone["doc"], "left_anti")

@@ -104,7 +104,9 @@ def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words:
     """(doc, at, count, first_doc): every occurrence of a repeated span but its first."""
     spans = store.settled(spans_of(docs, least_words, alone_words, id_column, text), "spans")
     place = F.struct("doc", "at")
+    # written first: a join of two tables may split the rows of a span that is everywhere
     firsts = spans.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where(F.col("f") != F.col("l")).select("h", "f")
+    firsts = store.settled(firsts, "first-spans")
     met = spans.join(firsts, "h").where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at")))
     return met.select("doc", "at", "count", F.col("f.doc").alias("first_doc"))
 

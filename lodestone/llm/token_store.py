@@ -51,7 +51,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 CACHED_WORDS = 400_000
 WINDOW = 8
-LEAST, MEAN_BITS, MOST = 64, 9, 4096
+LEAST, MEAN_BITS, MOST = 128, 10, 8192
 #: The published pattern that cuts a normalised text into the words of this vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -208,7 +208,7 @@ def unpack(payload: bytes) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _packer():
-    return zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
+    return zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
 
 
 @lru_cache(maxsize=1)
