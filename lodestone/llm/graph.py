@@ -33,7 +33,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node in a link; component is the least node reachable."""
+    """(node, component) of every linked node but the least ones; component is the least node reachable."""
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") > F.col("b")).distinct()
     edges = store.settled(edges, "links")
     before = None

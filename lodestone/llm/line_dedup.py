@@ -8,7 +8,7 @@ its set, so many that two sets of Jaccard >= threshold must share one:
 
 * length filter: the smaller set has threshold times the larger's words;
 * positional filter: what follows the shared words can still make up the overlap;
-* bitmap filter: the sets' parity maps (64 bits, and WIDE more for long sets) differ
+* bitmap filter: the sets' parity maps (64 bits, 128 for long sets) differ
   in no more bits than the words in which similar sets may differ;
 * at last Jaccard itself, on the sets' 32-bit word hashes.
 
@@ -31,20 +31,20 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import store, vec
 
 THRESHOLD = "0.8"
 LEAST_WORDS = 5
-COUNTER_BITS = 18
+COUNTER_BITS = 17
 PROBES = 4
-#: Sets of more words also have a parity map of WIDE bits: 64 say little of them.
-WIDE_WORDS, WIDE = 40, 128
+#: Sets of more words have a parity map of 128 bits: 64 say little of them. The 64 are its halves' XOR.
+WIDE_WORDS = 40
 #: Words of open classes that may be broadcast.
 BROADCAST_WORDS = 500_000
-_FRONT = "doc long, line int, sid long, n int, bits long, wide0 long, wide1 long"
+_FRONT = "doc long, line int, sid long, n int, low long, high long"
 
 
 def _counted(docs: DataFrame, text: str) -> np.ndarray:
@@ -67,7 +67,7 @@ def _counted(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line, sid, n, bits, words): every line of enough words; words are 32-bit hashes, rarest first."""
+    """(doc, line, sid, n, low, high, words): every line of enough words; words are packed 32-bit hashes, rarest first."""
     counts = _counted(docs, text)
     # rank of a counter, rarest first: the words' order
     rank = np.empty(len(counts), np.uint64)
@@ -81,7 +81,7 @@ def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS, id_column: str =
                     yield out
 
     rows = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"{_FRONT}, words array<int>")
+    return rows.mapInArrow(run, f"{_FRONT}, words binary")
 
 
 def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.RecordBatch | None:
@@ -91,7 +91,7 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
     line_start = np.unique(np.concatenate((offsets[:-1], np.flatnonzero(body == 10) + 1)))
     line = np.searchsorted(line_start, starts, "right") - 1
     # one sort key: the line, the word's rank, and further bits of its hash
-    spare = 64 - COUNTER_BITS - 22
+    spare = 42 - COUNTER_BITS
     key = (line.astype(np.uint64) << np.uint64(42)) | (rank[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] << np.uint64(spare)) | (h & np.uint64((1 << spare) - 1))
     order = np.argsort(key)
     key, h, line = key[order], h[order], line[order]
@@ -108,14 +108,10 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
     begin = np.cumsum(n) - n
     mixed = vec.mix(h)
     sid = vec.mix(np.add.reduceat(mixed, begin) + n.astype(np.uint64))
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed & np.uint64(63)), begin)
-    # bit (word, 64ths) of the wide map; short sets leave it empty
-    place = (mixed >> np.uint64(6)) % np.uint64(WIDE)
-    long = np.repeat(n > WIDE_WORDS, n)
-    wide = [
-        np.bitwise_xor.reduceat(np.where(long & (place >> np.uint64(6) == k), np.uint64(1) << (place & np.uint64(63)), np.uint64(0)), begin).view(np.int64)
-        for k in range(WIDE // 64)
-    ]
+    bit = np.uint64(1) << (mixed & np.uint64(63))
+    upper = np.repeat(n > WIDE_WORDS, n) & (mixed & np.uint64(64) != 0)
+    low = np.bitwise_xor.reduceat(np.where(upper, np.uint64(0), bit), begin)
+    high = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begin)
     at = line_start[line[begin]]
     row = np.searchsorted(offsets[1:], at, "right")
     number = line[begin] - (np.searchsorted(line_start, offsets[row], "left"))
@@ -126,14 +122,29 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
             pa.array(number.astype(np.int32)),
             pa.array(sid.view(np.int64)),
             pa.array(n.astype(np.int32)),
-            pa.array(bits.view(np.int64)),
-            *map(pa.array, wide),
-            vec.lists(pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)), n),
+            pa.array(low.view(np.int64)),
+            pa.array(high.view(np.int64)),
+            _packed((mixed >> np.uint64(32)).astype(np.uint32), n),
         ],
-        ["doc", "line", "sid", "n", "bits", "wide0", "wide1", "words"],
+        ["doc", "line", "sid", "n", "low", "high", "words"],
     )
 
 
+def _packed(words: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 32-bit words as a binary column."""
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(4 * counts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(words, "<u4"))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all words, words per row) of a packed column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    body = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return np.frombuffer(body.tobytes(), "<u4"), np.diff(offsets) // 4
+
+
 class _Filters:
     """The filters for one threshold, in whole numbers."""
 
@@ -145,33 +156,52 @@ class _Filters:
         """Least number of common words of similar sets."""
         return (self.p * (a + b) + self.p + self.q - 1) // (self.p + self.q)
 
-    def prefix(self, n: Column) -> Column:
-        return n - F.ceil(n * self.p / self.q).cast("int") + 1
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """Words that a set of n sends."""
+        return n - (n * self.p + self.q - 1) // self.q + 1
 
     def pass_(self, n, pos, maps, a, b):
         """Whether the sets at a and b, known to meet at positions pos, may be similar."""
         na, nb = n[a], n[b]
         need = self.overlap(na, nb)
-        small, large = np.minimum(na, nb), np.maximum(na, nb)
-        ok = self.q * small >= self.p * large
-        ok &= np.minimum(na - pos[a], nb - pos[b]) >= need
         spare = na + nb - 2 * need
-        ok &= np.bitwise_count(maps[0][a] ^ maps[0][b]) <= spare
-        at = np.flatnonzero(ok & (small > WIDE_WORDS))
+        folded, low, high = maps
+        ok = (np.minimum(na - pos[a], nb - pos[b]) >= need) & (np.bitwise_count(folded[a] ^ folded[b]) <= spare)
+        at = np.flatnonzero(ok)
+        at = at[np.minimum(na[at], nb[at]) > WIDE_WORDS]
         if len(at):
             a, b = a[at], b[at]
-            ok[at] = sum(np.bitwise_count(m[a] ^ m[b]).astype(np.int64) for m in maps[1:]) <= spare[at]
+            ok[at] = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= spare[at]
         return ok
 
 
+def _index(classes: DataFrame, threshold: str) -> DataFrame:
+    """(key, sid, pos, doc, line, low, high): a row for each word that a class sends; key holds the word and the size of the set."""
+    filters = _Filters(threshold)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                words, n = _unpacked(part.column(5))
+                count = filters.prefix(n.astype(np.int64))
+                pos = vec.grouped_arange(count)
+                word = words[np.repeat(np.cumsum(n) - n, count) + pos].view(np.int32).astype(np.int64)
+                cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), count)) for i in range(5)]
+                key = pa.array((word << 31) + np.repeat(n, count))
+                yield pa.RecordBatch.from_arrays([key, cols[0], pa.array(pos.astype(np.int32)), *cols[1:]], ["key", "sid", "pos", "doc", "line", "low", "high"])
+
+    return classes.select("sid", "doc", "line", "low", "high", "words").mapInArrow(run, "key long, sid long, pos int, doc long, line int, low long, high long")
+
+
 def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame:
     """(a, b, more): earlier class a that b may be similar to. Each word's list gives b its first ``most`` (null: all)."""
     filters = _Filters(threshold)
 
     def run(batches):
         held = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
+        for batch in vec.gathered(batches):
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             known = 0
             if held is not None:
                 known = len(held[0])
@@ -182,10 +212,8 @@ def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame
             held = [c[tail:] for c in cols]
             yield from _met(cols, known, filters, most)
 
-    # one number to sort by: the word, then the size of the set
-    key = F.shiftleft(F.col("word").cast("long"), 31) + F.col("n")
-    spread = index.withColumn("key", key).repartition("word").sortWithinPartitions("key")
-    rows = spread.select("key", "sid", "pos", "ask", "doc", "line", "bits", "wide0", "wide1").mapInArrow(run, "a long, b long, more boolean")
+    spread = index.repartition(F.shiftright("key", 31)).sortWithinPartitions("key")
+    rows = spread.select("key", "sid", "pos", "ask", "doc", "line", "low", "high").mapInArrow(run, "a long, b long, more boolean")
     return rows.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -193,7 +221,8 @@ def _met(cols: list[np.ndarray], known: int, filters: _Filters, most: int | None
     """Pairs of a word's list, from its ``known``-th row on, within the sizes that similar sets may have."""
     key, sid, pos, ask, doc, number = cols[:6]
     word, n, pos = key >> 31, key & ((1 << 31) - 1), pos.astype(np.int64)
-    maps = [np.ascontiguousarray(c).view(np.uint64) for c in cols[6:]]
+    low, high = (np.ascontiguousarray(c).view(np.uint64) for c in cols[6:])
+    maps = (low ^ high, low, high)
     n_rows = len(word)
     begin = np.concatenate(([True], word[1:] != word[:-1]))
     at_begin = np.maximum.accumulate(np.where(begin, np.arange(n_rows), 0))
@@ -235,12 +264,23 @@ def _pairs(a, b, last, most):
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: str) -> DataFrame:
     """(b, more, similar) of every pair."""
     t = Fraction(threshold)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                (wa, na), (wb, nb) = _unpacked(part.column(2)), _unpacked(part.column(3))
+                rows = np.arange(len(na), dtype=np.uint64) << np.uint64(32)
+                # a word of both sets of a pair stands twice
+                both = np.sort(np.concatenate((np.repeat(rows, na) + wa, np.repeat(rows, nb) + wb)))
+                common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(na))
+                similar = common * (t.numerator + t.denominator) >= (na + nb).astype(np.int64) * t.numerator
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similar)], ["b", "more", "similar"])
+
     left = classes.select(F.col("sid").alias("a"), F.col("words").alias("wa"))
     right = classes.select(F.col("sid").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    similar = common * (t.numerator + t.denominator) >= (F.size("wa") + F.size("wb")) * t.numerator
-    return both.select("b", "more", similar.alias("similar"))
+    both = pairs.join(left, "a").join(right, "b").select("b", "more", "wa", "wb")
+    return both.mapInArrow(run, "b long, more boolean, similar boolean")
 
 
 def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,20 +294,22 @@ def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int
     # classes stay bucketed by sid, so that neither check of words moves them again
     name = f"lodestone_lines_{uuid.uuid4().hex[:12]}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "bits", "wide0", "wide1", "words")).alias("f")).select("sid", "f.*")
+    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "low", "high", "words")).alias("f")).select("sid", "f.*")
     grouped.write.option("compression", "snappy").option("path", store.fresh(spark, "line-classes")).bucketBy(parts, "sid").saveAsTable(name)
     classes = spark.table(name)
     store.discard(spark, path)
-    take = F.slice("words", 1, _Filters(threshold).prefix(F.col("n")))
-    index = classes.select("sid", "doc", "line", "n", "bits", "wide0", "wide1", F.posexplode(take).alias("pos", "word"), F.lit(True).alias("ask"))
-    pairs = store.settled(_verified(_candidates(index, threshold, PROBES), classes, threshold), "line-pairs")
+    del sets, grouped
+    store.release(spark)
+    index = _index(classes, threshold)
+    pairs = store.settled(_verified(_candidates(index.withColumn("ask", F.lit(True)), threshold, PROBES), classes, threshold), "line-pairs")
     gone = pairs.where("similar").select(F.col("b").alias("sid")).distinct()
     open_ = pairs.groupBy("b").agg(F.max("similar").alias("s"), F.max("more").alias("m")).where("m AND NOT s").select(F.col("b").alias("sid"))
     open_ = store.settled(open_, "line-open")
     if not open_.isEmpty():
-        words = store.settled(index.join(open_, "sid", "left_semi").select("word").distinct(), "line-words")
+        index = index.withColumn("word", F.shiftright("key", 31))
+        words = store.settled(_index(classes.join(open_, "sid", "left_semi"), threshold).select(F.shiftright("key", 31).alias("word")).distinct(), "line-words")
         words = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
-        asked = index.drop("ask").join(words, "word", "left_semi").join(open_.withColumn("ask", F.lit(True)), "sid", "left")
+        asked = index.join(words, "word", "left_semi").join(open_.withColumn("ask", F.lit(True)), "sid", "left")
         rest = _verified(_candidates(asked.withColumn("ask", F.coalesce("ask", F.lit(False))), threshold, None), classes, threshold)
         gone = gone.union(rest.where("similar").select(F.col("b").alias("sid"))).distinct()
     gone = store.settled(gone, "line-gone")

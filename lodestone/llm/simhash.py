@@ -89,7 +89,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
     def run(batches):
         total = np.zeros((BITS, BITS))
         n = 0
-        for batch in batches:
+        for batch in vec.gathered(batches):
             values = batch.column(0).to_numpy(zero_copy_only=False)
             n += len(values)
             for at in range(0, len(values), 1 << 16):
@@ -235,7 +235,7 @@ def near_pairs(fps: DataFrame, tau: int = 3) -> DataFrame:
     search = Search(fps, tau)
 
     def rows_of(batches, probe: bool, own=None):
-        for batch in batches:
+        for batch in vec.gathered(batches):
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             values = search.values(fp)
             limits = search.thresholds(own, values) if probe else None

@@ -7,6 +7,7 @@ task is then recomputed from files rather than from a long lineage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,12 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of steps that are over: its cleaner acts once their plans are garbage, which large heaps may leave for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Identity of a document row: its id (null: NULL_ID) and a hash of its text.
 

@@ -110,7 +110,9 @@ class WordEncoder:
 
     def _learn(self) -> None:
         fresh, self.known.fresh = self.known.fresh, []
-        lists = list(map(self._ids_of, fresh))
+        tokenize = self.library.model.tokenize
+        # printable ASCII stands for itself among the byte letters
+        lists = [[t.id for t in tokenize(w)] if w.isascii() and w.isalpha() else self._ids_of(w) for w in fresh]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
         at = len(self.known) - len(fresh)
@@ -324,6 +326,7 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
     order = order.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie").drop("tie")
     order.mapInArrow(placed, "doc_id long, n long, addresses array<binary>, sizes array<int>, file int, at long, root binary, total long").write.parquet(f"{folder}/recipes")
     store.discard(spark, staged)
+    store.release(spark)
     # one row a file of recipes, as many as partitions
     recipes = spark.read.parquet(f"{folder}/recipes")
     tops = sorted(recipes.where(F.col("root").isNotNull()).select("file", "root", "total").collect(), key=lambda r: r["file"])
@@ -412,7 +415,7 @@ def read_sums(spark: SparkSession, folder: str) -> DataFrame:
     met = refs.join(chunk_sums(spark, folder), "address").select("doc_id", "start", "n", "crc", "after", "ids")
 
     def run(batches):
-        for batch in batches:
+        for batch in vec.gathered(batches):
             crc = shift_crc(batch.column(3).to_numpy(), 4 * batch.column(4).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc.astype(np.int64)), batch.column(5)], ["doc_id", "start", "n", "part", "ids"])
 
