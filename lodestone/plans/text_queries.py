@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.providers import embedded
-from lodestone.operators import chunks, packing, windows
+from lodestone.operators import chunkers, chunks, crawl, packing, windows
 from lodestone.plans import inputs
 from lodestone.session import table
 from lodestone.sources import files
@@ -155,6 +155,33 @@ def artifact_merge(spark, d):
     return t.select("doc_id", F.posexplode(packing.merge_artifacts(lines)).alias("part", "content"))
 
 
+def page_chunks(spark, d):
+    """Documents' lines as page elements: every ninth a table, every eleventh a caption below one."""
+    t = table(spark, d, "documents")
+    rows = t.select(F.col("doc_id"), F.col("lang").alias("section"), F.posexplode(F.split("text", "\n")).alias("position", "content"))
+    n = F.pmod("position", F.lit(9))
+    kind = F.when(n == 3, "table").otherwise("text")
+    content = F.when(n == 4, F.concat(F.lit("Figure 1: "), F.col("content"))).otherwise(F.col("content"))
+    return chunkers.page_chunks(rows.withColumn("type", kind).withColumn("content", content))
+
+
+def slide_chunks(spark, d):
+    """Conversations as decks: system turns name sections, every third turn has a table, every fourth an image."""
+    c = table(spark, d, "conversations")
+    some = lambda n, text: F.when(F.pmod("turn", F.lit(n)) == 0, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    slides = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("slide"), (F.col("role") == "system").alias("is_section"), F.substring("text", 1, 40).alias("name"), "text", some(3, "a | b").alias("tables"), some(4, "an image").alias("images"))
+    return chunkers.slide_chunks(slides)
+
+
+def crawl_due(spark, d):
+    """Orders as listed files: those not seen in their present state."""
+    o = table(spark, d, "orders")
+    mime = F.element_at(F.array(F.lit("application/pdf"), F.lit("text/plain"), F.lit("video/mp4")), F.pmod("o_orderkey", F.lit(3)).cast("int") + 1)
+    listed = o.select(F.col("o_orderkey").alias("file_id"), mime.alias("mime_type"), F.col("o_orderstatus").alias("modified_time"))
+    seen = o.where("o_orderkey <= 500").select(F.col("o_orderkey").alias("file_id"), F.lit("F").alias("modified_time"))
+    return crawl.due(listed, seen).select("file_id", "source_type", "modified_time")
+
+
 def _typed(spark, d):
     kind = F.element_at(F.array(*[F.lit(x) for x in chunks.TYPES]), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
     return table(spark, d, "documents").select("doc_id", kind.alias("type"), "source", "lang", T.tokens(F.col("text")).alias("tokens"))
@@ -364,4 +391,19 @@ SELECT doc_id, 'text' AS type, source, (doc_id % 9)::INT AS page, lang AS sectio
         r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""",
     ),
     "html_parts": (html_parts, None),
+    "page_chunks": (page_chunks, None),
+    "slide_chunks": (
+        slide_chunks,
+        """WITH s AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'system' THEN substring(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations),
+b AS (SELECT *, text <> '' AND length(text) < 150 AS short, turn % 3 = 0 AS t, turn % 4 = 0 AS i FROM s WHERE role <> 'system'),
+c AS (SELECT conv_id, turn, section, 'table' AS type, 1 AS o, CASE WHEN short THEN text || chr(10) || chr(10) ELSE '' END || 'a | b' AS content FROM b WHERE t
+UNION ALL SELECT conv_id, turn, section, 'image', 2, CASE WHEN short THEN text || chr(10) || chr(10) ELSE '' END || 'an image' FROM b WHERE i
+UNION ALL SELECT conv_id, turn, section, 'text', 3, text FROM b WHERE text <> '' AND NOT (short AND (t OR i)))
+SELECT conv_id AS doc_id, turn AS slide, section, type, content, CASE WHEN type <> 'text' THEN (row_number() OVER (PARTITION BY conv_id, type ORDER BY turn, o))::INT END AS number FROM c""",
+    ),
+    "crawl_due": (
+        crawl_due,
+        """SELECT o_orderkey AS file_id, CASE o_orderkey % 3 WHEN 0 THEN 'pdf' ELSE 'txt' END AS source_type, o_orderstatus AS modified_time FROM orders
+WHERE o_orderkey % 3 < 2 AND NOT (o_orderkey <= 500 AND o_orderstatus = 'F')""",
+    ),
 }

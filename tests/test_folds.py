@@ -2,11 +2,11 @@
 
 import math
 
-from conftest import SF
+from tests.conftest import SF
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import packing
+from lodestone.operators import chunkers, packing
 
 
 def tok(s):
@@ -83,3 +83,51 @@ def test_short_segments_merge(spark):
     df = spark.createDataFrame([(["a" * 100, "b" * 400, "c" * 1400],)], "p array<string>")
     got = df.select(packing.merge_short(F.col("p")).alias("g")).first().g
     assert got == ["a" * 100 + " " + "b" * 400, "c" * 1400]
+
+
+def items(*pairs):
+    return [dict(type=t, content=c, section="s") for t, c in pairs]
+
+
+def captions(spark, *pairs):
+    df = spark.createDataFrame([(items(*pairs),)], "i array<struct<type:string,content:string,section:string>>")
+    return [(x.type, x.content) for x in df.select(chunkers.attach_captions(F.col("i")).alias("o")).first().o]
+
+
+def test_captions_below_and_above(spark):
+    rest = "What follows is long enough to stay."
+    assert captions(spark, ("table", "T"), ("text", f"Table 1: A caption. {rest}")) == [("table", "T\n\nCaption: Table 1: A caption."), ("text", rest)]
+    assert captions(spark, ("image", "I"), ("text", "Figure 2."), ("text", "Seen from above. " + rest)) == [("image", "I\n\nCaption: Figure 2. Seen from above."), ("text", rest)]
+    assert captions(spark, ("text", "Figure 3: Above"), ("image", "I"), ("text", "plain")) == [("image", "Caption: Figure 3: Above\n\nI"), ("text", "plain")]
+    assert captions(spark, ("text", "only")) == [("text", "only")]
+
+
+def test_page_chunks(spark):
+    long = "A sentence of some length that says one thing. " * 40
+    rows = [
+        ("d", 0, "text", "Intro one.", "Intro"),
+        ("d", 1, "text", "Intro two.", "intro"),
+        ("d", 2, "table", "a | b\n--- | ---\n1 | 2", "Intro"),
+        ("d", 3, "text", "Table 1: Numbers", "Intro"),
+        ("d", 4, "text", long, "Unknown"),
+        ("d", 5, "text", "Cited.", "References"),
+        ("d", 6, "text", None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, position int, type string, content string, section string")
+    got = chunkers.page_chunks(df).orderBy("chunk_index").collect()
+    assert [r.chunk_index for r in got] == list(range(1, got[0].chunk_total + 1))
+    assert got[0].content == "Intro one. Intro two." and got[1].content.endswith("Caption: Table 1: Numbers")
+    assert " ".join(r.content for r in got[2:]) == long.strip()
+    assert chunkers.page_chunks(df.limit(0)).count() == 0
+
+
+def test_section_slides(spark):
+    one = lambda c: spark.range(1).select(c.alias("y")).first().y
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    zero = F.lit(0)
+    assert one(chunkers.is_section_slide(zero, zero, F.lit(2), F.lit(False), F.lit(5), F.lit("Part one")))
+    assert not one(chunkers.is_section_slide(zero, F.lit(1), F.lit(2), F.lit(False), F.lit(5), F.lit("Part one")))
+    assert not one(chunkers.is_section_slide(zero, zero, F.lit(2), F.lit(False), F.lit(5), F.lit("x" * 81)))
+    assert one(chunkers.section_name(strings("02", "Data set"), strings(), F.lit(4))) == "02 - Data set"
+    assert one(chunkers.section_name(strings("02"), strings("17", "A long name"), F.lit(4))) == "02 - A long name"
+    assert one(chunkers.section_name(strings(), strings(), F.lit(4))) == "Section 4"
