@@ -120,18 +120,21 @@ def covered(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int =
 
 
 def without(text: str, gone: list[int]) -> str:
-    """text without the sentences of these numbers; white space before a removed sentence goes with it."""
+    """text without the sentences of these numbers; of the white space around it one run stays."""
     s = Sentences(pa.array([text]))
     lost = np.zeros(len(s.first), bool)
     lost[gone] = True
     raw = text.encode()
     edge = np.append(s.word_start[s.first], len(raw))
     stops = s.word_end[s.stop - 1]
-    out, any_before = [raw[: edge[0]]], False
+    out, any_before, gap = [raw[: edge[0]]], False, b""
     for i in range(len(s.first)):
+        space = raw[stops[i - 1] : edge[i]] if i else b""
+        # of the white space around what went, a line feed stays: it may be all that ends a sentence
+        gap = gap if b"\n" in gap else space
         if not lost[i]:
-            out.append(raw[stops[i - 1] if any_before else edge[i] : stops[i]])
-            any_before = True
+            out.append((gap if any_before else b"") + raw[edge[i] : stops[i]])
+            any_before, gap = True, b""
     if len(s.first):
         out.append(raw[stops[-1] :])
     return b"".join(out).decode()
