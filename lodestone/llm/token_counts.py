@@ -9,7 +9,8 @@ token that crosses a boundary goes where ``rule`` says:
 * ``start``: to the section of its first character;
 * ``end``: to the section of its last character.
 
-Sections are the lines of each field, line feed included; the blank line between
+Sections are the lines of each field, line feed included (a line feed at the end
+opens no further line); the blank line between
 two fields belongs to the earlier field's last section. A character whose bytes
 lie in several tokens counts for each of them.
 
@@ -95,7 +96,7 @@ def _counted(codec: bpe.ByteBPE, part: pa.RecordBatch, width: int, rule: str) ->
     # a line starts a section, but a blank line between fields belongs to what is before it
     after = char[np.flatnonzero(body == 10)] + 1
     owner = np.searchsorted(field_start.ravel(), after, "right") - 1
-    inside = (after > field_start.ravel()[owner]) & (after <= field_start.ravel()[owner] + field_length.ravel()[owner])
+    inside = (after > field_start.ravel()[owner]) & (after < field_start.ravel()[owner] + field_length.ravel()[owner])
     begin = np.concatenate((field_start.ravel(), after[inside]))
     field = np.concatenate((np.arange(n * width), owner[inside]))
     order = np.lexsort((begin, field))

@@ -130,7 +130,7 @@ def brute_counts(text, own, rule):
     ids = own.encode([text])[0].tolist()
     edges = [0]
     for i, c in enumerate(text):
-        if c == "\n" and i + 1 <= len(text):
+        if c == "\n" and i + 1 < len(text):
             edges.append(i + 1)
     ends = edges[1:] + [10**9]
     raw = text.encode()
