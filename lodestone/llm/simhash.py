@@ -286,103 +286,200 @@ def report(docs: DataFrame) -> DataFrame:
 
 # -- near copies by shingle similarity ---------------------------------------------
 
-#: Bits within which word-set fingerprints of similar texts are sought: two texts at
-#: Jaccard 0.8 of five-word shingles differ in about one word of fifty.
-REACH = 7
 SHINGLE = 5
 SIMILARITY = 0.8
+COUNTER_BITS = 17
+#: Earlier rows of a shingle's list that each row is compared with before groups are known.
+PROBES = 4
 #: Texts to compare whose keys may be broadcast, at about 100 bytes each.
 BROADCAST_ROWS = 100_000
 
 
-def word_set_fingerprints(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(SimHash of each row's set of words, hash of its sequence of words); zero for rows without words."""
-    n = len(offsets) - 1
+def _runs(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every run of so many words (ASCII case folded), rows ascending; a shorter text is one run."""
+    body, offsets = vec.flat(column)
     starts, ends = vec.words(body, offsets)
     h = vec.hash_spans(body, starts, ends, folded=True)
     row = vec.rows_of(starts, offsets)
-    sequence, fp = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    if not len(h):
-        return fp, sequence
-    held, first, count = np.unique(row, return_index=True, return_counts=True)
-    place = vec.grouped_arange(count).astype(np.uint64)
-    sequence[held] = vec.mix(np.add.reduceat(vec.mix(h + place * vec._MULTIPLIER), first) + count.astype(np.uint64))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
-    h, row = h[new], row[new]
-    held, first, count = np.unique(row, return_index=True, return_counts=True)
-    total = np.add.reduceat(_bits(h).astype(np.int32), first, axis=0)
-    fp[held] = np.packbits(2 * total > count[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return fp, sequence
-
-
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of the different runs of so many words (ASCII case folded), ascending; a shorter text is one run."""
-    body, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    h = vec.hash_spans(body, *vec.words(body, offsets), folded=True)
-    k = min(shingle, len(h))
-    if not k:
-        return np.zeros(0, np.int64)
-    run = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        run = vec.mix(run + h[i : len(h) - k + 1 + i] * np.uint64(2 * i + 1))
-    return np.unique(run.view(np.int64))
-
-
-def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(doc, fp, seq) of every document; doc is its id, NULL_ID for null."""
+    count = np.bincount(row, minlength=len(column))
+    runs = np.where(count, np.maximum(count - shingle + 1, 1), 0)
+    at = np.repeat(np.cumsum(count) - count, runs) + vec.grouped_arange(runs)
+    row = np.repeat(np.arange(len(column)), runs)
+    out = np.zeros(len(at), np.uint64)
+    for i in range(shingle):
+        held = np.flatnonzero(count[row] > i)
+        out[held] = vec.mix(out[held] + h[at[held] + i] * np.uint64(2 * i + 1))
+    return out, row
+
+
+def _counter(run: np.ndarray) -> np.ndarray:
+    return (run >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _ranks(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
+    """Place of each counter of shingles, rarest first; a fixed 2^COUNTER_BITS numbers reach the driver."""
+
+    def count(batches):
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for part in vec.slices(batch, "text"):
+                total += np.bincount(_counter(_runs(part.column(0), shingle)[0]), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["k", "n"])
+
+    rows = docs.select(docs[text].alias("text")).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
+    rank = np.empty(len(counts), np.uint64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
+    return rank
+
+
+def _ordered_sets(column: pa.Array, shingle: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, sid, n): each row's different shingles, rarest first (without ranks: ascending), a hash of the set, and its size; 0 and 0 without words."""
+    run, row = _runs(column, shingle)
+    key = row.astype(np.uint64)
+    if rank is not None:
+        key = (key << np.uint64(COUNTER_BITS)) | rank[_counter(run)]
+    order = np.lexsort((run, key))
+    run, row = run[order], row[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (row[1:] != row[:-1])
+    run, row = run[new], row[new]
+    n = np.bincount(row, minlength=len(column))
+    sid = np.zeros(len(column), np.uint64)
+    if len(run):
+        held = np.flatnonzero(n)
+        sid[held] = vec.mix(np.add.reduceat(vec.mix(run), (np.cumsum(n) - n)[held]) + n[held].astype(np.uint64))
+    return run, sid, n
+
+
+def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
+
+
+def _sets(docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: str) -> DataFrame:
+    """(doc, sid, n, prefix): of every document its set of shingles, and so many of the rarest that sets of Jaccard >= p/q share one."""
+    rank = _ranks(docs, shingle, text)
 
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                fp, seq = word_set_fingerprints(*vec.flat(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), pa.array(seq.view(np.int64))], ["doc", "fp", "seq"])
+                found, sid, n = _ordered_sets(part.column(1), shingle, rank)
+                sent = np.where(n, n - (n * p + q - 1) // q + 1, 0)
+                at = np.repeat(np.cumsum(n) - n, sent) + vec.grouped_arange(sent)
+                prefix = vec.lists(pa.array(found[at].astype(np.uint32).view(np.int32)), sent)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), prefix], ["doc", "sid", "n", "prefix"])
 
-    rows = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "doc long, fp long, seq long")
+    return _texts(docs, id_column, text).mapInArrow(run, "doc long, sid long, n int, prefix array<int>")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, least): every document whose text is that of an earlier one, or that is linked to one; least is the least of its group.
+def _met(index: DataFrame, p: int, q: int, most: int | None) -> DataFrame:
+    """(a, b, word) of index (word, n, sid, pos, root): sets of different roots that may be similar.
 
-    Texts of equal word sequences are one class, named by its least document. Classes
-    whose word-set fingerprints lie within ``reach`` bits are compared by the Jaccard
-    similarity of their shingle sets; groups are the components of those that pass.
-    Of classes with one fingerprint, each is compared with the first.
+    Within a word's list, by size, each row meets the earlier ones, up to ``most`` that
+    pass the filters of length and position; a list where that leaves some out comes
+    as (null, null, word).
     """
-    rows = store.settled(_rows(docs, id_column, text), "word-set-fingerprints")
-    classes = store.settled(rows.groupBy("fp", "seq").agg(F.min("doc").alias("doc")), "sequence-classes")
-    firsts = store.settled(classes.groupBy("fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")), "first-classes")
-    pairs = near_pairs(firsts, reach)
-    pairs = pairs.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    same = classes.join(firsts.where("n > 1").select("fp", "first"), "fp").where("doc != first").select(F.col("first").alias("x"), F.col("doc").alias("y"))
-    pairs = store.settled(pairs.union(same), "candidate-texts")
-    wanted = store.settled(pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct(), "candidate-documents")
+
+    def pairs(cols, known):
+        word, n, sid, pos, root = cols
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        begin = np.concatenate(([True], word[1:] != word[:-1]))
+        at_begin = np.maximum.accumulate(np.where(begin, np.arange(len(word)), 0))
+        found = np.zeros(len(word), np.int64)
+        live, lag, size, a_out, b_out, cut = np.arange(known, len(word)), 1, 0, [], [], []
+        while True:
+            live = live[live - lag >= at_begin[live]]
+            live = live[q * n[live - lag] >= p * n[live]]
+            if most is not None:
+                full = found[live] >= most
+                cut.append(word[live[full]])
+                live = live[~full]
+            if len(live):
+                a = live - lag
+                need = (p * (n[a] + n[live]) + p + q - 1) // (p + q)
+                b = live[(np.minimum(n[a] - pos[a], n[live] - pos[live]) >= need) & (root[a] != root[live])]
+                found[b] += 1
+                a_out.append(np.minimum(sid[b - lag], sid[b]))
+                b_out.append(np.maximum(sid[b - lag], sid[b]))
+                size += len(b)
+            if size and (size > 200_000 or not len(live)):
+                both = np.unique(np.stack((np.concatenate(a_out), np.concatenate(b_out)), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int32())], ["a", "b", "word"])
+                size, a_out, b_out = 0, [], []
+            if not len(live):
+                break
+            lag += 1
+        cut = np.unique(np.concatenate(cut)) if cut else np.zeros(0, np.int32)
+        if len(cut):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(cut.astype(np.int32))], ["a", "b", "word"])
+
+    def run(batches):
+        held = None
+        for batch in vec.gathered(batches):
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            known = 0
+            if held is not None:
+                known = len(held[0])
+                cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
+            # the last word's list may go on in the next batch
+            tail = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            held = [c[tail:] for c in cols]
+            yield from pairs(cols, known)
+
+    spread = index.repartition("word").sortWithinPartitions("word", "n", "sid")
+    return spread.select("word", "n", "sid", "pos", "root").mapInArrow(run, "a long, b long, word int").distinct()
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: str) -> DataFrame:
+    """Those pairs (a, b) of sets whose Jaccard similarity is p/q at least."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = store.settled(classes.select("sid", "doc").join(wanted, "sid", "left_semi").select("doc").distinct(), "candidate-documents")
     few = wanted.count() <= BROADCAST_ROWS
 
     def sets(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                found = [shingle_set(t or b"", shingle) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                sizes = np.array([len(x) for x in found], np.int64)
-                flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), vec.lists(pa.array(flat), sizes)], ["doc", "s"])
-
-    texts = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
-    shingles = texts.mapInArrow(sets, "doc long, s array<long>").dropDuplicates(["doc"])
-    shingles = store.settled(shingles, "candidate-shingles")
-    both = pairs.join(shingles.select(F.col("doc").alias("x"), F.col("s").alias("sx")), "x").join(shingles.select(F.col("doc").alias("y"), F.col("s").alias("sy")), "y")
+                found, sid, n = _ordered_sets(part.column(1), shingle, None)
+                yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), vec.lists(pa.array(found.view(np.int64)), n)], ["sid", "s"])
+
+    texts = _texts(docs, id_column, text).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    shingles = store.settled(texts.mapInArrow(sets, "sid long, s array<long>").dropDuplicates(["sid"]), "candidate-shingles")
+    both = pairs.join(shingles.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
+    met = both.withColumn("c", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    return store.settled(met.where(q * F.col("c") >= p * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b"), "similar-texts")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, least): every document whose text is that of an earlier one, or that is linked to one; least is the least of its group.
+
+    Texts of equal shingle sets are one class. Two classes are linked if their sets'
+    Jaccard similarity is ``similarity`` at least; groups are the components of all
+    links. The join is exact: similar sets share one of their rarest shingles (prefix
+    filter), and Jaccard itself decides. In long lists each set first meets PROBES
+    others; then, in the lists that this left open, all those of other groups, so
+    only pairs that are in one group already are left out.
+    """
     p, q = Fraction(str(similarity)).as_integer_ratio()
-    small, large = F.least(F.size("sx"), F.size("sy")), F.greatest(F.size("sx"), F.size("sy"))
-    close = both.where(q * small >= p * large).withColumn("c", F.size(F.array_intersect("sx", "sy")))
-    links = store.settled(close.where(q * F.col("c") >= p * (F.size("sx") + F.size("sy") - F.col("c"))).select("x", "y"), "similar-texts")
-    groups = graph.components(links, "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("least"))
-    named = classes.join(groups, "doc", "left").select("fp", "seq", "doc", F.coalesce("least", "doc").alias("least"))
-    named = store.settled(named.withColumnRenamed("doc", "own"), "named-sequences")
-    met = rows.join(named, ["fp", "seq"])
-    return met.where("doc != least").select("doc", "least")
+    rows = store.settled(_sets(docs, p, q, shingle, id_column, text), "shingle-sets")
+    classes = store.settled(rows.groupBy("sid").agg(F.min(F.struct("doc", "n", "prefix")).alias("f")).select("sid", "f.*"), "set-classes")
+    index = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "word"))
+    met = store.settled(_met(index.withColumn("root", F.col("sid")), p, q, PROBES), "candidate-sets")
+    links = _similar(met.where("a IS NOT NULL").select("a", "b"), classes, docs, p, q, shingle, id_column, text)
+    groups = graph.components(links, "a", "b")
+    open_ = met.where("a IS NULL").select("word")
+    if not open_.isEmpty():
+        roots = store.settled(classes.select("sid").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("root")), "set-roots")
+        asked = index.join(open_, "word", "left_semi").join(roots, "sid")
+        rest = store.settled(_met(asked, p, q, None).select("a", "b"), "further-sets")
+        links = links.union(_similar(rest, classes, docs, p, q, shingle, id_column, text))
+        groups = graph.components(links, "a", "b")
+    of = classes.select("sid", "doc").join(groups, F.col("sid") == F.col("node"), "left").select("sid", "doc", F.coalesce("component", "sid").alias("root"))
+    of = store.settled(of, "grouped-sets")
+    # written first: a join of two tables may split the rows of a text that is everywhere
+    named = store.settled(of.join(of.groupBy("root").agg(F.min("doc").alias("least")), "root").select("sid", "least"), "named-sets")
+    return rows.select("doc", "sid").join(named, "sid").where("doc != least").select("doc", "least")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

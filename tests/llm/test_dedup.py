@@ -141,6 +141,35 @@ def test_near_copies(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def plain_near_copies(rows):
+    s = [shingles(t) for _, t in rows]
+    same = lambda a, b: s[a] == s[b] == set() or (s[a] and s[b] and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b]))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if same(a, b)]
+    return {(rows[x][0], rows[r][0]) for x, r in least_of(links).items() if x != r}
+
+
+def cut_copy_rows(rng):
+    """Copies with a passage added or cut off, near Jaccard 0.8 on either side."""
+    rows = []
+    for _ in range(40):
+        base = words_text(rng, 200).split()
+        rows += [base, base + words_text(rng, rng.randint(30, 60)).split(), base[: rng.randint(150, 175)]]
+    # one group by way of its base only
+    base = words_text(rng, 100).split()
+    rows += [base] + [base + words_text(rng, 20).split() for _ in range(25)]
+    rows = [" ".join(w) for w in rows]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("probes", [1, 4])
+def test_near_copies_with_passages_added_or_cut(spark, probes, monkeypatch):
+    monkeypatch.setattr(simhash, "PROBES", probes)
+    rows = cut_copy_rows(random.Random(11))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc, r.least) for r in simhash.near_copies(docs).collect()} == plain_near_copies(rows)
+
+
 # -- lines ---------------------------------------------------------------------
 
 
