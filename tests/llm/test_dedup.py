@@ -170,6 +170,18 @@ def test_near_copies_with_passages_added_or_cut(spark, probes, monkeypatch):
     assert {(r.doc, r.least) for r in simhash.near_copies(docs).collect()} == plain_near_copies(rows)
 
 
+def test_near_copies_of_one_word_set(spark):
+    rng = random.Random(12)
+    sentences = [" ".join(f"w{12 * k + i}" for i in range(12)) for k in range(25)]
+    a = " ".join(sentences)
+    rng.shuffle(sentences)
+    b = " ".join(sentences)
+    rows = [(1, a), (2, b), (3, b.replace("w5 ", "other ")), (4, " ".join(reversed(a.split()))), (5, b + " w0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc, r.least) for r in simhash.near_copies(docs).collect()}
+    assert got == plain_near_copies(rows) == {(3, 2), (5, 2)}
+
+
 # -- lines ---------------------------------------------------------------------
 
 
