@@ -18,7 +18,8 @@ only one earlier match: each shared word offers PROBES earlier candidates, which
 these leave open, and that have more candidates, get all of theirs.
 
 Defined results: null and blank texts have no lines; a line of fewer than
-``least_words`` different words stays and removes nothing; a null doc_id counts
+``least_words`` different words stays and removes nothing, or with ``short_lines``
+goes if an earlier line has the same set; a null doc_id counts
 as the least id; repeated rows (same doc_id) are one document: they lose the
 same lines; an empty table gives no rows; extra columns pass through
 ``remove_lines`` untouched. One text is held by one task.
@@ -283,11 +284,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, threshold: str) -> DataFrame
     return both.mapInArrow(run, "b long, more boolean, similar boolean")
 
 
-def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
     """(doc, lines): of each document that loses lines, their numbers from 0, ascending. doc is doc_id, NULL_ID for null."""
     spark = docs.sparkSession
     path = store.fresh(spark, "line-sets")
-    sets = line_sets(docs, least_words, id_column, text)
+    sets = line_sets(docs, 1 if short_lines else least_words, id_column, text)
     sets.write.option("compression", "snappy").parquet(path)
     sets = spark.read.schema(sets.schema).parquet(path)
     lines = store.settled(sets.select("doc", "line", "sid"), "lines")
@@ -300,7 +301,8 @@ def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int
     store.discard(spark, path)
     del sets, grouped
     store.release(spark)
-    index = _index(classes, threshold)
+    # shorter sets are met by equality alone
+    index = _index(classes.where(F.col("n") >= least_words), threshold)
     pairs = store.settled(_verified(_candidates(index.withColumn("ask", F.lit(True)), threshold, PROBES), classes, threshold), "line-pairs")
     gone = pairs.where("similar").select(F.col("b").alias("sid")).distinct()
     open_ = pairs.groupBy("b").agg(F.max("similar").alias("s"), F.max("more").alias("m")).where("m AND NOT s").select(F.col("b").alias("sid"))
@@ -326,9 +328,9 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("doc") != store.NULL_ID, F.col("doc")).alias("doc_id"), F.size("lines").cast("long").alias("n_removed"), F.col("lines").alias("removed_lines"))
 
 
-def remove_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS, short_lines: bool = False) -> DataFrame:
     """docs without the lines that go; n_chars, where there is one, follows the text."""
-    rows = removed_lines(docs, threshold, least_words)
+    rows = removed_lines(docs, threshold, least_words, short_lines=short_lines)
     names = docs.columns
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(store.NULL_ID))
     joined = docs.join(rows, key == rows["doc"], "left").select(*[docs[c] for c in names], rows["lines"].alias("__gone"))

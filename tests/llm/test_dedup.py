@@ -232,6 +232,17 @@ def test_lines_of_the_table(spark):
     assert got == plain_removed([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_short_lines_in_the_pipeline(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = line_rows(random.Random(8)) + [(400, f"All rights reserved.\n{long}\n\n語語語語語語語語語語語語"), (401, f"{long} x\nall rights  reserved.\n語語語語語語語語語語語語\nreserved. all\nla la la la la la"), (402, "la la\n  \nnew")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    # below five words Jaccard 0.8 means equal sets
+    want = plain_removed(rows, least=1)
+    assert want[401] == [0, 1, 2] and want[402] == [0] and want[203] == [0]
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
+    assert got == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i if i is not None else -(2**63), ())) for i, t in rows}
+
+
 # -- spans ---------------------------------------------------------------------
 
 
