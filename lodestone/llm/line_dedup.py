@@ -1,7 +1,8 @@
 """Operator 10: line dedup by an exact set-similarity join.
 
 A line is the set of its words (ASCII case folded). Lines of equal sets are one
-class, told apart by a 64-bit hash of the set. Words are ordered by rarity,
+class, told apart by a 64-bit hash of the set; before a line goes as an equal one,
+a 64-bit parity map of its words must agree too. Words are ordered by rarity,
 counted over all lines into a fixed number of counters (any one order gives right
 results; a rare-first order makes them cheap). A class sends the first words of
 its set, so many that two sets of Jaccard >= threshold must share one:
@@ -12,17 +13,26 @@ its set, so many that two sets of Jaccard >= threshold must share one:
   in no more bits than the words in which similar sets may differ;
 * at last Jaccard itself, on the sets' 32-bit word hashes.
 
-A line goes if an earlier line, by (doc_id, line number), has the same set or
-one of Jaccard >= threshold, whether or not that one stays. So a class needs
-only one earlier match: each shared word offers PROBES earlier candidates, which settles large groups of variants in linear size; classes that
-these leave open, and that have more candidates, get all of theirs.
-
-Defined results: null and blank texts have no lines; a line of fewer than
-``least_words`` different words stays and removes nothing, or with ``short_lines``
-goes if an earlier line has the same set; a null doc_id counts
-as the least id; repeated rows (same doc_id) are one document: they lose the
-same lines; an empty table gives no rows; extra columns pass through
-``remove_lines`` untouched. One text is held by one task.
+A set too small to be similar to another one (of fewer than 4 words at 0.8)
+sends nothing: only an equal one removes it.
+
+A line goes if an earlier line has the same set or one of Jaccard >= threshold,
+whether or not that one stays. So a class needs only one earlier match: each
+shared word offers PROBES earlier candidates, which settles large groups of
+variants in linear size.
+
+A word sent by more than LIST_ROWS classes is hot, by counts of all that is sent:
+its classes are dealt at random into lists of about that length. Classes that
+these leave unsettled, and those that have more candidates than PROBES, then meet
+all they may be similar to: under each hot word together with a second word (two
+similar sets share their first two common words, and these stand among the first
+words of both, one further on), in a join that may split a hot key.
+
+Earlier is by (doc_id, line number, text hash). Defined results: null and blank
+texts have no lines; blank lines stay; a null doc_id counts as the least id; rows
+that agree in doc_id and text are one document and lose the same lines, rows that
+share a doc_id only are documents of their own; an empty table gives no rows;
+extra columns pass through ``remove_lines`` untouched. One text is held by one task.
 """
 
 from __future__ import annotations
@@ -35,79 +45,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import store, vec
+from lodestone.llm import packets, store, vec
+from lodestone.llm.prefixes import COUNTER_BITS, Hot, counter, ranks, short
 
 THRESHOLD = "0.8"
-LEAST_WORDS = 5
-COUNTER_BITS = 17
 PROBES = 4
 #: Sets of more words have a parity map of 128 bits: 64 say little of them. The 64 are its halves' XOR.
 WIDE_WORDS = 40
-#: Words of open classes that may be broadcast.
+#: Words of open classes that every task may hold.
 BROADCAST_WORDS = 500_000
-_FRONT = "doc long, line int, sid long, n int, low long, high long"
+#: Lines whose words are sorted at once; their number has 21 bits of the sort key.
+_BLOCK_LINES = 1 << 21
+_FRONT = "doc long, hash long, line int, sid long, n int, low long, high long"
+#: word, n, pos, line, sid, doc, low, high
+_INDEX = ["<u4", "<i4", "<i4", "<i4", "<i8", "<i8", "<u8", "<u8"]
 
 
-def _counted(docs: DataFrame, text: str) -> np.ndarray:
-    """Occurrences of all words of all texts, by counter: a fixed 2^COUNTER_BITS numbers reach the driver."""
+class _Filters:
+    """The filters for one threshold, in whole numbers."""
 
-    def run(batches):
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            for part in vec.slices(batch, "text"):
-                body, offsets = vec.flat(part.column(0))
-                h = vec.hash_spans(body, *vec.words(body, offsets), folded=True)
-                total += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["k", "n"])
-
-    rows = docs.select(docs[text].alias("text")).mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNTER_BITS, np.int64)
-    out[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    def __init__(self, threshold: str) -> None:
+        t = Fraction(threshold)
+        self.p, self.q = t.numerator, t.denominator
+        #: Fewer words than that, and only an equal set is similar.
+        self.least = -(-self.p // (self.q - self.p)) if self.p < self.q else 1 << 31
 
+    def overlap(self, a, b):
+        """Least number of common words of similar sets."""
+        return (self.p * (a + b) + self.p + self.q - 1) // (self.p + self.q)
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """Words that a set of n sends."""
+        return np.where(n >= self.least, n - (n * self.p + self.q - 1) // self.q + 1, 0)
 
-def line_sets(docs: DataFrame, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line, sid, n, low, high, words): every line of enough words; words are packed 32-bit hashes, rarest first."""
-    counts = _counted(docs, text)
-    # rank of a counter, rarest first: the words' order
-    rank = np.empty(len(counts), np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
+    def pass_(self, n, pos, maps, a, b):
+        """Whether the sets at a and b, known to meet at positions pos, may be similar."""
+        na, nb = n[a], n[b]
+        need = self.overlap(na, nb)
+        spare = na + nb - 2 * need
+        folded, low, high = maps
+        ok = (np.minimum(na - pos[a], nb - pos[b]) >= need) & (np.bitwise_count(folded[a] ^ folded[b]) <= spare)
+        at = np.flatnonzero(ok)
+        at = at[np.minimum(na[at], nb[at]) > WIDE_WORDS]
+        if len(at):
+            a, b = a[at], b[at]
+            ok[at] = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= spare[at]
+        return ok
+
+
+def _word_ranks(docs: DataFrame, text: str) -> np.ndarray:
+    """Place of each counter of words, rarest first."""
+
+    def counters(batch):
+        for part in vec.slices(batch, "text"):
+            body, offsets = vec.flat(part.column(0))
+            yield counter(short(vec.mix(vec.hash_spans(body, *vec.words(body, offsets), folded=True))))
+
+    return ranks(packets.totals(docs.select(docs[text].alias("text")), counters, COUNTER_BITS))
+
+
+def line_sets(docs: DataFrame, threshold: str = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, hash, line, sid, n, low, high, head, tail) of every line with a word.
+
+    head and tail are the set's 32-bit word hashes, rarest first; head holds those that
+    the set sends and one more. Both are empty where only an equal set is similar.
+    """
+    rank = _word_ranks(docs, text)
+    filters = _Filters(threshold)
 
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                out = _sets_of(part, rank, least_words)
+                out = _sets_of(part, rank, filters)
                 if out is not None:
                     yield out
 
-    rows = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"{_FRONT}, words binary")
-
-
-def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.RecordBatch | None:
-    body, offsets = vec.flat(part.column(1))
+    rows = docs.select(*store.doc_key(id_column, text), docs[text].alias("text"))
+    return rows.mapInArrow(run, f"{_FRONT}, head binary, tail binary")
+
+
+def _ordered(line: np.ndarray, rank: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Places of the words, each line's once each and rarest first."""
+    spare = 43 - COUNTER_BITS
+    out = []
+    for base in range(0, int(line[-1]) + 1 if len(line) else 0, _BLOCK_LINES):
+        a, b = np.searchsorted(line, (base, base + _BLOCK_LINES))
+        # one sort key: the line, the word's rank, and further bits of its hash
+        key = (line[a:b] - base).astype(np.uint64) << np.uint64(43)
+        key |= rank[counter(short(mixed[a:b]))].astype(np.uint64) << np.uint64(spare)
+        key |= (mixed[a:b] >> np.uint64(64 - COUNTER_BITS - spare)) & np.uint64((1 << spare) - 1)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        out.append(a + order[first])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _sets_of(part: pa.RecordBatch, rank: np.ndarray, filters: _Filters) -> pa.RecordBatch | None:
+    body, offsets = vec.flat(part.column(2))
     starts, ends = vec.words(body, offsets)
-    h = vec.hash_spans(body, starts, ends, folded=True)
+    mixed = vec.mix(vec.hash_spans(body, starts, ends, folded=True))
     line_start = np.unique(np.concatenate((offsets[:-1], np.flatnonzero(body == 10) + 1)))
     line = np.searchsorted(line_start, starts, "right") - 1
-    # one sort key: the line, the word's rank, and further bits of its hash
-    spare = 42 - COUNTER_BITS
-    key = (line.astype(np.uint64) << np.uint64(42)) | (rank[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] << np.uint64(spare)) | (h & np.uint64((1 << spare) - 1))
-    order = np.argsort(key)
-    key, h, line = key[order], h[order], line[order]
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    h, line = h[first], line[first]
-    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-    n = np.diff(np.append(begin, len(line)))
-    enough = np.repeat(n >= least_words, n)
-    h, line = h[enough], line[enough]
-    n = n[n >= least_words]
-    if not len(n):
+    order = _ordered(line, rank, mixed)
+    if not len(order):
         return None
-    begin = np.cumsum(n) - n
-    mixed = vec.mix(h)
+    mixed, line = mixed[order], line[order]
+    begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    n = np.diff(np.append(begin, len(line)))
     sid = vec.mix(np.add.reduceat(mixed, begin) + n.astype(np.uint64))
     bit = np.uint64(1) << (mixed & np.uint64(63))
     upper = np.repeat(n > WIDE_WORDS, n) & (mixed & np.uint64(64) != 0)
@@ -115,20 +161,23 @@ def _sets_of(part: pa.RecordBatch, rank: np.ndarray, least_words: int) -> pa.Rec
     high = np.bitwise_xor.reduceat(np.where(upper, bit, np.uint64(0)), begin)
     at = line_start[line[begin]]
     row = np.searchsorted(offsets[1:], at, "right")
-    number = line[begin] - (np.searchsorted(line_start, offsets[row], "left"))
-    doc = part.column(0).to_numpy(zero_copy_only=False)[row]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(doc.astype(np.int64)),
-            pa.array(number.astype(np.int32)),
-            pa.array(sid.view(np.int64)),
-            pa.array(n.astype(np.int32)),
-            pa.array(low.view(np.int64)),
-            pa.array(high.view(np.int64)),
-            _packed((mixed >> np.uint64(32)).astype(np.uint32), n),
-        ],
-        ["doc", "line", "sid", "n", "low", "high", "words"],
-    )
+    number = line[begin] - np.searchsorted(line_start, offsets[row], "left")
+    sent = filters.prefix(n)
+    head = np.where(sent > 0, np.minimum(sent + 1, n), 0)
+    word, place = short(mixed), vec.grouped_arange(n)
+    ahead = place < np.repeat(head, n)
+    rest = np.repeat(sent > 0, n) & ~ahead
+    cols = [
+        *(pa.array(part.column(i).to_numpy(zero_copy_only=False)[row].astype(np.int64)) for i in (0, 1)),
+        pa.array(number.astype(np.int32)),
+        pa.array(sid.view(np.int64)),
+        pa.array(n.astype(np.int32)),
+        pa.array(low.view(np.int64)),
+        pa.array(high.view(np.int64)),
+        _packed(word[ahead], head),
+        _packed(word[rest], np.where(sent > 0, n - head, 0)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, ["doc", "hash", "line", "sid", "n", "low", "high", "head", "tail"])
 
 
 def _packed(words: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -146,180 +195,252 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body.tobytes(), "<u4"), np.diff(offsets) // 4
 
 
-class _Filters:
-    """The filters for one threshold, in whole numbers."""
-
-    def __init__(self, threshold: str) -> None:
-        t = Fraction(threshold)
-        self.p, self.q = t.numerator, t.denominator
-
-    def overlap(self, a, b):
-        """Least number of common words of similar sets."""
-        return (self.p * (a + b) + self.p + self.q - 1) // (self.p + self.q)
-
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        """Words that a set of n sends."""
-        return n - (n * self.p + self.q - 1) // self.q + 1
-
-    def pass_(self, n, pos, maps, a, b):
-        """Whether the sets at a and b, known to meet at positions pos, may be similar."""
-        na, nb = n[a], n[b]
-        need = self.overlap(na, nb)
-        spare = na + nb - 2 * need
-        folded, low, high = maps
-        ok = (np.minimum(na - pos[a], nb - pos[b]) >= need) & (np.bitwise_count(folded[a] ^ folded[b]) <= spare)
-        at = np.flatnonzero(ok)
-        at = at[np.minimum(na[at], nb[at]) > WIDE_WORDS]
-        if len(at):
-            a, b = a[at], b[at]
-            ok[at] = np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= spare[at]
-        return ok
-
-
-def _index(classes: DataFrame, threshold: str) -> DataFrame:
-    """(key, sid, pos, doc, line, low, high): a row for each word that a class sends; key holds the word and the size of the set."""
-    filters = _Filters(threshold)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                words, n = _unpacked(part.column(5))
-                count = filters.prefix(n.astype(np.int64))
-                pos = vec.grouped_arange(count)
-                word = words[np.repeat(np.cumsum(n) - n, count) + pos].view(np.int32).astype(np.int64)
-                cols = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), count)) for i in range(5)]
-                key = pa.array((word << 31) + np.repeat(n, count))
-                yield pa.RecordBatch.from_arrays([key, cols[0], pa.array(pos.astype(np.int32)), *cols[1:]], ["key", "sid", "pos", "doc", "line", "low", "high"])
-
-    return classes.select("sid", "doc", "line", "low", "high", "words").mapInArrow(run, "key long, sid long, pos int, doc long, line int, low long, high long")
-
-
-def _candidates(index: DataFrame, threshold: str, most: int | None) -> DataFrame:
-    """(a, b, more): earlier class a that b may be similar to. Each word's list gives b its first ``most`` (null: all)."""
-    filters = _Filters(threshold)
-
-    def run(batches):
-        held = None
-        for batch in vec.gathered(batches):
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            known = 0
-            if held is not None:
-                known = len(held[0])
-                cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
-            word = cols[0] >> 31
-            # the last word's list may go on in the next batch
-            tail = int(np.searchsorted(word, word[-1], "left"))
-            held = [c[tail:] for c in cols]
-            yield from _met(cols, known, filters, most)
-
-    spread = index.repartition(F.shiftright("key", 31)).sortWithinPartitions("key")
-    rows = spread.select("key", "sid", "pos", "ask", "doc", "line", "low", "high").mapInArrow(run, "a long, b long, more boolean")
-    return rows.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def _met(cols: list[np.ndarray], known: int, filters: _Filters, most: int | None):
-    """Pairs of a word's list, from its ``known``-th row on, within the sizes that similar sets may have."""
-    key, sid, pos, ask, doc, number = cols[:6]
-    word, n, pos = key >> 31, key & ((1 << 31) - 1), pos.astype(np.int64)
-    low, high = (np.ascontiguousarray(c).view(np.uint64) for c in cols[6:])
+def _numbers(part: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [part.column(part.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
+
+
+def _sent(part: pa.RecordBatch, filters: _Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of all heads, where each row's begin, row, position and place of every word that is sent)."""
+    words, held = _unpacked(part.column(part.schema.get_field_index("head")))
+    begin = np.cumsum(held) - held
+    (n,) = _numbers(part, "n")
+    count = np.where(held > 0, filters.prefix(n.astype(np.int64)), 0)
+    pos = vec.grouped_arange(count)
+    row = np.repeat(np.arange(len(n)), count)
+    return words, begin, row, pos, begin[row] + pos
+
+
+def _index_blocks(batches, filters: _Filters, hot: Hot):
+    """Columns _INDEX: a row for each word that a class sends. A hot word's classes get one of its lists each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            words, _, row, pos, place = _sent(part, filters)
+            sid, doc, line, n, low, high = _numbers(part, "sid", "doc", "line", "n", "low", "high")
+            word, lists = words[place], hot.of(words[place])
+            some = np.flatnonzero(lists > 1)
+            if len(some):
+                chosen = vec.mix(sid[row[some]].view(np.uint64)) % lists[some].astype(np.uint64)
+                word[some] = short(vec.mix((word[some].astype(np.uint64) << np.uint64(32)) + chosen))
+            yield [word, n[row], pos.astype(np.int32), line[row], sid[row], doc[row], low[row].view(np.uint64), high[row].view(np.uint64)]
+
+
+def _met(cols: list[np.ndarray], filters: _Filters, most: int):
+    """(a, b, more) within the lists of cols: earlier class a that b may be similar to, ``most`` for each b in a list."""
+    order = np.argsort((cols[0].astype(np.uint64) << np.uint64(32)) | cols[1].astype(np.uint64))
+    word, n, pos, number, sid, doc, low, high = (c[order] for c in cols)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
     maps = (low ^ high, low, high)
-    n_rows = len(word)
     begin = np.concatenate(([True], word[1:] != word[:-1]))
-    at_begin = np.maximum.accumulate(np.where(begin, np.arange(n_rows), 0))
-    live = np.arange(known, n_rows)
-    found = np.zeros(n_rows, np.int64)
+    at_begin = np.maximum.accumulate(np.where(begin, np.arange(len(word)), 0))
+    live = np.flatnonzero(~begin)
+    found = np.zeros(len(word), np.int64)
     a_out, b_out, last = [], [], []
     size, lag = 0, 1
-    while True:
+    while len(live):
         live = live[live - lag >= at_begin[live]]
         live = live[filters.q * n[live - lag] >= filters.p * n[live]]
         if not len(live):
             break
-        one, two = live[(ok := filters.pass_(n, pos, maps, live - lag, live))] - lag, live[ok]
+        two = live[filters.pass_(n, pos, maps, live - lag, live)]
+        one = two - lag
         if len(two):
             swap = (doc[one] > doc[two]) | ((doc[one] == doc[two]) & ((number[one] > number[two]) | ((number[one] == number[two]) & (sid[one] > sid[two]))))
             a, b = np.where(swap, two, one), np.where(swap, one, two)
-            good = ask[b].astype(bool) & (sid[a] != sid[b])
-            if most is not None:
-                good &= found[b] < most
+            good = (found[b] < most) & (sid[a] != sid[b])
             a, b = a[good], b[good]
             np.add.at(found, b, 1)
             a_out.append(sid[a])
             b_out.append(sid[b])
-            last.append(found[b])
+            last.append(found[b] >= most)
             size += len(a)
         lag += 1
         if size > 200_000:
-            yield _pairs(a_out, b_out, last, most)
+            yield _pairs(a_out, b_out, last)
             a_out, b_out, last, size = [], [], [], 0
     if size:
-        yield _pairs(a_out, b_out, last, most)
+        yield _pairs(a_out, b_out, last)
+
 
+def _pairs(a, b, more):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, more)], ["a", "b", "more"])
 
-def _pairs(a, b, last, most):
-    more = np.concatenate(last) >= most if most is not None else np.zeros(sum(map(len, a)), bool)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(more)], ["a", "b", "more"])
 
+def _candidates(classes: DataFrame, filters: _Filters, hot: Hot, rows: int) -> DataFrame:
+    """(a, b, more): the first meetings, under every word or list of one."""
+    spark = classes.sparkSession
+    buckets = packets.buckets_for(spark, rows)
+    most = PROBES
 
-def _verified(pairs: DataFrame, classes: DataFrame, threshold: str) -> DataFrame:
+    def send(batches):
+        return packets.dealt(_index_blocks(batches, filters, hot), buckets)
+
+    def meet(batches):
+        for cols in packets.opened(batches, _INDEX):
+            yield from _met(cols, filters, most)
+
+    index = classes.select("sid", "doc", "line", "n", "low", "high", "head").mapInArrow(send, packets.SCHEMA)
+    met = packets.shuffled(index).mapInArrow(meet, "a long, b long, more boolean")
+    return met.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+_KEYS = "key long, sid long, n int, pos int, doc long, line int, map long"
+
+
+def _keys(classes: DataFrame, filters: _Filters, hot: Hot, words: np.ndarray | None) -> DataFrame:
+    """_KEYS: a row for each word that a class sends; for a hot one, for each two of which the first is that one. words: no other first words."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                all_words, begin, row, pos, place = _sent(part, filters)
+                word = all_words[place]
+                if words is not None and len(word):
+                    keep = words[np.minimum(np.searchsorted(words, word), len(words) - 1)] == word
+                    row, pos, place, word = row[keep], pos[keep], place[keep], word[keep]
+                if not len(word):
+                    continue
+                _, head = _unpacked(part.column(part.schema.get_field_index("head")))
+                # a hot word meets each later word of the head, another one stands for itself
+                is_hot = hot.of(word) > 1
+                count = np.where(is_hot, head[row] - pos - 1, 1)
+                step = vec.grouped_arange(count)
+                of = np.repeat(np.arange(len(word)), count)
+                second = np.where(is_hot[of], all_words[np.minimum(place[of] + 1 + step, len(all_words) - 1)], 0)
+                key = np.where(is_hot[of], vec.mix((word[of].astype(np.uint64) << np.uint64(32)) + second.astype(np.uint64)), word[of].astype(np.uint64))
+                # the second common word stands one further on
+                at_pos = np.where(is_hot[of], pos[of] + step, pos[of])
+                sid, doc, line, n, low, high = (c[row[of]] for c in _numbers(part, "sid", "doc", "line", "n", "low", "high"))
+                cols = [key.view(np.int64), sid, n, at_pos.astype(np.int32), doc, line, low ^ high]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "n", "pos", "doc", "line", "map"])
+
+    return classes.select("sid", "doc", "line", "n", "low", "high", "head").mapInArrow(run, _KEYS)
+
+
+def _further(classes: DataFrame, asked: DataFrame, filters: _Filters, hot: Hot) -> DataFrame:
+    """(a, b): for every class b of asked all earlier classes that it may be similar to."""
+    own = store.settled(_keys(classes.join(asked, "sid", "left_semi"), filters, hot, None), "line-asked")
+    p, q = filters.p, filters.q
+
+    def firsts(batches):
+        for batch in batches:
+            words, _, _, _, place = _sent(batch, filters)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words[place]).astype(np.int64))], ["word"])
+
+    first = classes.join(asked, "sid", "left_semi").select("n", "head").mapInArrow(firsts, "word long").distinct()
+    held = first.limit(BROADCAST_WORDS + 1).toArrow().column(0).to_numpy()
+    # beyond that number every class sends its keys
+    words = np.sort(held).astype(np.uint32) if len(held) <= BROADCAST_WORDS else None
+    a, b = _keys(classes, filters, hot, words).alias("a"), own.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    need = F.expr(f"({p}L * (a.n + b.n) + {p + q - 1}L) div {p + q}L")
+    order = lambda x: F.struct(f"{x}.doc", f"{x}.line", f"{x}.sid")
+    near = (
+        (q * F.least(na, nb) >= p * F.greatest(na, nb))
+        & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= need)
+        & (F.bit_count(F.col("a.map").bitwiseXOR(F.col("b.map"))) <= na + nb - 2 * need)
+        & (order("a") < order("b"))
+    )
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct()
+    return met.withColumn("more", F.lit(False))
+
+
+def _with_hot(classes: DataFrame, filters: _Filters, hot: Hot) -> DataFrame:
+    """(sid) of the classes that send a hot word."""
+
+    def run(batches):
+        for batch in batches:
+            words, _, row, _, place = _sent(batch, filters)
+            rows = np.unique(row[hot.of(words[place]) > 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows))], ["sid"])
+
+    return classes.select("sid", "n", "head").mapInArrow(run, "sid long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, filters: _Filters) -> DataFrame:
     """(b, more, similar) of every pair."""
-    t = Fraction(threshold)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                (wa, na), (wb, nb) = _unpacked(part.column(2)), _unpacked(part.column(3))
-                rows = np.arange(len(na), dtype=np.uint64) << np.uint64(32)
+                rows = np.arange(part.num_rows, dtype=np.uint64) << np.uint64(32)
+                words, size = [], np.zeros(part.num_rows, np.int64)
+                for i in range(2, 6):
+                    body, n = _unpacked(part.column(i))
+                    words.append(np.repeat(rows, n) + body)
+                    size += n
                 # a word of both sets of a pair stands twice
-                both = np.sort(np.concatenate((np.repeat(rows, na) + wa, np.repeat(rows, nb) + wb)))
-                common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(na))
-                similar = common * (t.numerator + t.denominator) >= (na + nb).astype(np.int64) * t.numerator
+                both = np.sort(np.concatenate(words))
+                common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(rows))
+                similar = common * (filters.p + filters.q) >= size * filters.p
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similar)], ["b", "more", "similar"])
 
-    left = classes.select(F.col("sid").alias("a"), F.col("words").alias("wa"))
-    right = classes.select(F.col("sid").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("b", "more", "wa", "wb")
+    left = classes.select(F.col("sid").alias("a"), F.col("head").alias("ha"), F.col("tail").alias("ta"))
+    right = classes.select(F.col("sid").alias("b"), F.col("head").alias("hb"), F.col("tail").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("b", "more", "ha", "ta", "hb", "tb")
     return both.mapInArrow(run, "b long, more boolean, similar boolean")
 
 
-def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS, id_column: str = "doc_id", text: str = "text", short_lines: bool = False) -> DataFrame:
-    """(doc, lines): of each document that loses lines, their numbers from 0, ascending. doc is doc_id, NULL_ID for null."""
+def _gone(classes: DataFrame, filters: _Filters) -> DataFrame:
+    """(sid) of the classes that are similar to an earlier one."""
+
+    def counters(batch):
+        words, _, _, _, place = _sent(batch, filters)
+        yield counter(words[place])
+
+    counts = packets.totals(classes.select("n", "head"), counters, COUNTER_BITS)
+    hot = Hot(counts)
+    first = _candidates(classes, filters, hot, int(counts.sum()))
+    pairs = store.settled(_verified(first, classes, filters), "line-pairs")
+    gone = pairs.where("similar").select(F.col("b").alias("sid")).distinct()
+    asked = pairs.where("more").select(F.col("b").alias("sid"))
+    if len(hot.at):
+        asked = asked.union(_with_hot(classes, filters, hot))
+    asked = store.settled(asked.distinct().join(gone, "sid", "left_anti"), "line-open")
+    if not asked.isEmpty():
+        rest = _verified(_further(classes, asked, filters, hot), classes, filters)
+        gone = gone.union(rest.where("similar").select(F.col("b").alias("sid"))).distinct()
+    return store.settled(gone, "line-gone")
+
+
+def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, hash, lines): of each document that loses lines, their numbers from 0, ascending; doc and hash as store.doc_key gives them."""
     spark = docs.sparkSession
-    path = store.fresh(spark, "line-sets")
-    sets = line_sets(docs, 1 if short_lines else least_words, id_column, text)
-    sets.write.option("compression", "snappy").parquet(path)
-    sets = spark.read.schema(sets.schema).parquet(path)
-    lines = store.settled(sets.select("doc", "line", "sid"), "lines")
+    with store.scratch(spark):
+        path = store.fresh(spark, "line-sets")
+        sets = line_sets(docs, threshold, id_column, text)
+        sets.write.option("compression", "snappy").parquet(path)
+        sets = spark.read.schema(sets.schema).parquet(path)
+        lines = store.settled(sets.select("doc", "hash", "line", "sid", "low"), "lines")
+        state = _state(sets, path, _Filters(threshold))
+        is_first = (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")) & (F.col("hash") == F.col("h"))
+        judged = lines.join(state, "sid").where((F.coalesce("g", F.lit(False)) | ~is_first) & (F.col("low") == F.col("m")))
+        return store.settled(judged.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("line")).alias("lines")), "line-removed", outlives=True)
+
+
+def _state(sets: DataFrame, path: str, filters: _Filters) -> DataFrame:
+    """(sid, d, h, l, m, g) of every class: its first line's document, text and number, its parity map, and whether it is similar to an earlier one."""
+    spark = sets.sparkSession
     # classes stay bucketed by sid, so that neither check of words moves them again
     name = f"lodestone_lines_{uuid.uuid4().hex[:12]}"
+    at = store.fresh(spark, "line-classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "n", "low", "high", "words")).alias("f")).select("sid", "f.*")
-    grouped.write.option("compression", "snappy").option("path", store.fresh(spark, "line-classes")).bucketBy(parts, "sid").saveAsTable(name)
-    classes = spark.table(name)
+    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "hash", "n", "low", "high", "head", "tail")).alias("f")).select("sid", "f.*")
+    grouped.write.option("compression", "snappy").option("path", at).bucketBy(parts, "sid").saveAsTable(name)
     store.discard(spark, path)
     del sets, grouped
     store.release(spark)
-    # shorter sets are met by equality alone
-    index = _index(classes.where(F.col("n") >= least_words), threshold)
-    pairs = store.settled(_verified(_candidates(index.withColumn("ask", F.lit(True)), threshold, PROBES), classes, threshold), "line-pairs")
-    gone = pairs.where("similar").select(F.col("b").alias("sid")).distinct()
-    open_ = pairs.groupBy("b").agg(F.max("similar").alias("s"), F.max("more").alias("m")).where("m AND NOT s").select(F.col("b").alias("sid"))
-    open_ = store.settled(open_, "line-open")
-    if not open_.isEmpty():
-        index = index.withColumn("word", F.shiftright("key", 31))
-        words = store.settled(_index(classes.join(open_, "sid", "left_semi"), threshold).select(F.shiftright("key", 31).alias("word")).distinct(), "line-words")
-        words = F.broadcast(words) if words.count() <= BROADCAST_WORDS else words
-        asked = index.join(words, "word", "left_semi").join(open_.withColumn("ask", F.lit(True)), "sid", "left")
-        rest = _verified(_candidates(asked.withColumn("ask", F.coalesce("ask", F.lit(False))), threshold, None), classes, threshold)
-        gone = gone.union(rest.where("similar").select(F.col("b").alias("sid"))).distinct()
-    gone = store.settled(gone, "line-gone")
-    # written first: a join of two tables may split the rows of a line that is everywhere
-    state = classes.select("sid", F.col("doc").alias("d"), F.col("line").alias("l")).join(gone.withColumn("g", F.lit(True)), "sid", "left")
-    state = store.settled(state, "line-state")
-    judged = lines.join(state, "sid").where(F.coalesce("g", F.lit(False)) | (F.col("doc") != F.col("d")) | (F.col("line") != F.col("l")))
-    return judged.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    try:
+        classes = spark.table(name)
+        gone = _gone(classes, filters)
+        state = classes.select("sid", F.col("doc").alias("d"), F.col("hash").alias("h"), F.col("line").alias("l"), F.col("low").alias("m"))
+        # written first: a join of two tables may split the rows of a line that is everywhere
+        return store.settled(state.join(gone.withColumn("g", F.lit(True)), "sid", "left"), "line-state")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        store.discard(spark, at)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -328,12 +449,12 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("doc") != store.NULL_ID, F.col("doc")).alias("doc_id"), F.size("lines").cast("long").alias("n_removed"), F.col("lines").alias("removed_lines"))
 
 
-def remove_lines(docs: DataFrame, threshold: str = THRESHOLD, least_words: int = LEAST_WORDS, short_lines: bool = False) -> DataFrame:
+def remove_lines(docs: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     """docs without the lines that go; n_chars, where there is one, follows the text."""
-    rows = removed_lines(docs, threshold, least_words, short_lines=short_lines)
+    rows = removed_lines(docs, threshold)
     names = docs.columns
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(store.NULL_ID))
-    joined = docs.join(rows, key == rows["doc"], "left").select(*[docs[c] for c in names], rows["lines"].alias("__gone"))
+    doc, hash_ = store.doc_key()
+    joined = docs.join(rows, (doc == rows["doc"]) & (hash_ == rows["hash"]), "left").select(*[docs[c] for c in names], rows["lines"].alias("__gone"))
     at = names.index("text")
 
     def run(batches):

@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import graph, store, vec
+from lodestone.llm import graph, packets, store, vec
+from lodestone.llm.prefixes import COUNTER_BITS, Hot, counter, ranks, short
 
 BITS = 64
 SEED = 42
@@ -288,7 +289,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 SHINGLE = 5
 SIMILARITY = 0.8
-COUNTER_BITS = 17
 #: Earlier rows of a shingle's list that each row is compared with before groups are known.
 PROBES = 4
 #: Texts to compare whose keys may be broadcast, at about 100 bytes each.
@@ -312,27 +312,14 @@ def _runs(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return out, row
 
 
-def _counter(run: np.ndarray) -> np.ndarray:
-    return (run >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
 def _ranks(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
-    """Place of each counter of shingles, rarest first; a fixed 2^COUNTER_BITS numbers reach the driver."""
+    """Place of each counter of shingles, rarest first."""
 
-    def count(batches):
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
-            for part in vec.slices(batch, "text"):
-                total += np.bincount(_counter(_runs(part.column(0), shingle)[0]), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["k", "n"])
+    def counters(batch):
+        for part in vec.slices(batch, "text"):
+            yield counter(short(_runs(part.column(0), shingle)[0]))
 
-    rows = docs.select(docs[text].alias("text")).mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNTER_BITS, np.int64)
-    counts[rows.column("k").to_numpy()] = rows.column("n").to_numpy()
-    rank = np.empty(len(counts), np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
-    return rank
+    return ranks(packets.totals(docs.select(docs[text].alias("text")), counters, COUNTER_BITS))
 
 
 def _ordered_sets(column: pa.Array, shingle: int, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -340,7 +327,7 @@ def _ordered_sets(column: pa.Array, shingle: int, rank: np.ndarray | None) -> tu
     run, row = _runs(column, shingle)
     key = row.astype(np.uint64)
     if rank is not None:
-        key = (key << np.uint64(COUNTER_BITS)) | rank[_counter(run)]
+        key = (key << np.uint64(COUNTER_BITS)) | rank[counter(short(run))]
     order = np.lexsort((run, key))
     run, row = run[order], row[order]
     new = np.ones(len(run), bool)
@@ -355,104 +342,146 @@ def _ordered_sets(column: pa.Array, shingle: int, rank: np.ndarray | None) -> tu
 
 
 def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
+    doc, text_hash = store.doc_key(id_column, text)
+    return docs.select(doc.alias("doc"), text_hash.alias("hash"), docs[text].alias("text"))
 
 
 def _sets(docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: str) -> DataFrame:
-    """(doc, sid, n, prefix): of every document its set of shingles, and so many of the rarest that sets of Jaccard >= p/q share one."""
+    """(doc, hash, sid, n, prefix): of every document its set of shingles, and so many of the rarest that sets of Jaccard >= p/q share one."""
     rank = _ranks(docs, shingle, text)
 
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                found, sid, n = _ordered_sets(part.column(1), shingle, rank)
+                found, sid, n = _ordered_sets(part.column(2), shingle, rank)
                 sent = np.where(n, n - (n * p + q - 1) // q + 1, 0)
                 at = np.repeat(np.cumsum(n) - n, sent) + vec.grouped_arange(sent)
-                prefix = vec.lists(pa.array(found[at].astype(np.uint32).view(np.int32)), sent)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), prefix], ["doc", "sid", "n", "prefix"])
+                prefix = vec.lists(pa.array(short(found[at]).view(np.int32)), sent)
+                cols = [part.column(0), part.column(1), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), prefix]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "hash", "sid", "n", "prefix"])
+
+    return _texts(docs, id_column, text).mapInArrow(run, "doc long, hash long, sid long, n int, prefix array<int>")
 
-    return _texts(docs, id_column, text).mapInArrow(run, "doc long, sid long, n int, prefix array<int>")
 
+def _sent(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, how many of each row) of a column of prefixes."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint32), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _met(index: DataFrame, p: int, q: int, most: int | None) -> DataFrame:
-    """(a, b, word) of index (word, n, sid, pos, root): sets of different roots that may be similar.
+
+def _pairs_of(cols: list[np.ndarray], p: int, q: int, most: int):
+    """(a, b, word) within the lists of cols (word, n, pos, sid): sets that may be similar.
 
     Within a word's list, by size, each row meets the earlier ones, up to ``most`` that
     pass the filters of length and position; a list where that leaves some out comes
     as (null, null, word).
     """
-
-    def pairs(cols, known):
-        word, n, sid, pos, root = cols
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        begin = np.concatenate(([True], word[1:] != word[:-1]))
-        at_begin = np.maximum.accumulate(np.where(begin, np.arange(len(word)), 0))
-        found = np.zeros(len(word), np.int64)
-        live, lag, size, a_out, b_out, cut = np.arange(known, len(word)), 1, 0, [], [], []
-        while True:
-            live = live[live - lag >= at_begin[live]]
-            live = live[q * n[live - lag] >= p * n[live]]
-            if most is not None:
-                full = found[live] >= most
-                cut.append(word[live[full]])
-                live = live[~full]
-            if len(live):
-                a = live - lag
-                need = (p * (n[a] + n[live]) + p + q - 1) // (p + q)
-                b = live[(np.minimum(n[a] - pos[a], n[live] - pos[live]) >= need) & (root[a] != root[live])]
-                found[b] += 1
-                a_out.append(np.minimum(sid[b - lag], sid[b]))
-                b_out.append(np.maximum(sid[b - lag], sid[b]))
-                size += len(b)
-            if size and (size > 200_000 or not len(live)):
-                both = np.unique(np.stack((np.concatenate(a_out), np.concatenate(b_out)), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int32())], ["a", "b", "word"])
-                size, a_out, b_out = 0, [], []
-            if not len(live):
-                break
-            lag += 1
-        cut = np.unique(np.concatenate(cut)) if cut else np.zeros(0, np.int32)
-        if len(cut):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.array(cut.astype(np.int32))], ["a", "b", "word"])
-
-    def run(batches):
-        held = None
-        for batch in vec.gathered(batches):
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            known = 0
-            if held is not None:
-                known = len(held[0])
-                cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
-            # the last word's list may go on in the next batch
-            tail = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            held = [c[tail:] for c in cols]
-            yield from pairs(cols, known)
-
-    spread = index.repartition("word").sortWithinPartitions("word", "n", "sid")
-    return spread.select("word", "n", "sid", "pos", "root").mapInArrow(run, "a long, b long, word int").distinct()
+    order = np.lexsort((cols[3], cols[1], cols[0]))
+    word, n, pos, sid = (c[order] for c in cols)
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    begin = np.concatenate(([True], word[1:] != word[:-1]))
+    at_begin = np.maximum.accumulate(np.where(begin, np.arange(len(word)), 0))
+    found = np.zeros(len(word), np.int64)
+    live, lag, size, a_out, b_out, cut = np.flatnonzero(~begin), 1, 0, [], [], []
+    while True:
+        live = live[live - lag >= at_begin[live]]
+        live = live[q * n[live - lag] >= p * n[live]]
+        full = found[live] >= most
+        cut.append(word[live[full]])
+        live = live[~full]
+        if len(live):
+            a = live - lag
+            need = (p * (n[a] + n[live]) + p + q - 1) // (p + q)
+            b = live[np.minimum(n[a] - pos[a], n[live] - pos[live]) >= need]
+            found[b] += 1
+            a_out.append(np.minimum(sid[b - lag], sid[b]))
+            b_out.append(np.maximum(sid[b - lag], sid[b]))
+            size += len(b)
+        if size and (size > 200_000 or not len(live)):
+            both = np.unique(np.stack((np.concatenate(a_out), np.concatenate(b_out)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], ["a", "b", "word"])
+            size, a_out, b_out = 0, [], []
+        if not len(live):
+            break
+        lag += 1
+    words = np.unique(np.concatenate(cut))
+    if len(words):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), pa.array(words.astype(np.int64))], ["a", "b", "word"])
+
+
+def _first_met(classes: DataFrame, p: int, q: int, hot: Hot, rows: int) -> DataFrame:
+    """(a, b, word) of ``_pairs_of`` for all prefixes. A hot word's sets are dealt into lists, and the word comes as one that left some out."""
+    buckets = packets.buckets_for(classes.sparkSession, rows)
+    most = PROBES
+
+    def blocks(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                word, count = _sent(part.column(2))
+                row, pos = np.repeat(np.arange(part.num_rows), count), vec.grouped_arange(count)
+                sid, n = (part.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+                lists = hot.of(word)
+                # the list's number makes two keys of one word differ; 0 where it has one list
+                chosen = np.where(lists > 1, 1 + vec.mix(sid.view(np.uint64)) % lists.astype(np.uint64), 0)
+                yield [(word.astype(np.uint64) << np.uint64(32)) | chosen.astype(np.uint64), n, pos.astype(np.int32), sid]
+
+    def send(batches):
+        return packets.dealt(blocks(batches), buckets)
+
+    def meet(batches):
+        for cols in packets.opened(batches, ["<u8", "<i4", "<i4", "<i8"]):
+            yield from _pairs_of(cols, p, q, most)
+            words = cols[0][(cols[0] & np.uint64(0xFFFFFFFF)) != 0]
+            if len(words):
+                words = np.unique(words)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), pa.array(words.view(np.int64))], ["a", "b", "word"])
+
+    index = classes.select("sid", "n", "prefix").mapInArrow(send, packets.SCHEMA)
+    return packets.shuffled(index).mapInArrow(meet, "a long, b long, word long").withColumn("word", F.shiftright("word", 32).cast("int")).distinct()
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: str) -> DataFrame:
     """Those pairs (a, b) of sets whose Jaccard similarity is p/q at least."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = store.settled(classes.select("sid", "doc").join(wanted, "sid", "left_semi").select("doc").distinct(), "candidate-documents")
+    wanted = store.settled(classes.select("sid", "doc", "hash").join(wanted, "sid", "left_semi").select("doc", "hash").distinct(), "candidate-documents")
     few = wanted.count() <= BROADCAST_ROWS
 
     def sets(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                found, sid, n = _ordered_sets(part.column(1), shingle, None)
+                found, sid, n = _ordered_sets(part.column(2), shingle, None)
                 yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), vec.lists(pa.array(found.view(np.int64)), n)], ["sid", "s"])
 
-    texts = _texts(docs, id_column, text).join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    texts = _texts(docs, id_column, text).join(F.broadcast(wanted) if few else wanted, ["doc", "hash"], "left_semi")
     shingles = store.settled(texts.mapInArrow(sets, "sid long, s array<long>").dropDuplicates(["sid"]), "candidate-shingles")
     both = pairs.join(shingles.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     met = both.withColumn("c", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return store.settled(met.where(q * F.col("c") >= p * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b"), "similar-texts")
 
 
+def _across_groups(index: DataFrame, words: DataFrame, roots: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): under the given words, all sets of different groups that may be similar.
+
+    In each word's list the rows outside its largest group meet all rows of other
+    groups, in a join that may split a hot word; a list of one group has none to meet.
+    """
+    held = store.settled(index.join(words, "word", "left_semi").join(roots, "sid"), "open-lists")
+    size = held.groupBy("word", "root").agg(F.count(F.lit(1)).alias("k"))
+    largest = size.groupBy("word").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("word", F.col("m.root").alias("m"))
+    asked = held.join(largest, "word").where("root != m").drop("m").alias("x")
+    y = held.alias("y")
+    need = F.expr(f"({p}L * (x.n + y.n) + {p + q - 1}L) div {p + q}L")
+    near = (
+        (F.col("x.word") == F.col("y.word"))
+        & (F.col("x.root") != F.col("y.root"))
+        & (q * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n"))
+        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
+    )
+    return asked.join(y, near).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, least): every document whose text is that of an earlier one, or that is linked to one; least is the least of its group.
+    """(doc, hash, least): every document but the first of its group; least is the least doc_id of the group. doc and hash as store.doc_key gives them.
 
     Texts of equal shingle sets are one class. Two classes are linked if their sets'
     Jaccard similarity is ``similarity`` at least; groups are the components of all
@@ -462,31 +491,38 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     only pairs that are in one group already are left out.
     """
     p, q = Fraction(str(similarity)).as_integer_ratio()
-    rows = store.settled(_sets(docs, p, q, shingle, id_column, text), "shingle-sets")
-    classes = store.settled(rows.groupBy("sid").agg(F.min(F.struct("doc", "n", "prefix")).alias("f")).select("sid", "f.*"), "set-classes")
-    index = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "word"))
-    met = store.settled(_met(index.withColumn("root", F.col("sid")), p, q, PROBES), "candidate-sets")
-    links = _similar(met.where("a IS NOT NULL").select("a", "b"), classes, docs, p, q, shingle, id_column, text)
-    groups = graph.components(links, "a", "b")
-    open_ = met.where("a IS NULL").select("word")
-    if not open_.isEmpty():
-        roots = store.settled(classes.select("sid").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("root")), "set-roots")
-        asked = index.join(open_, "word", "left_semi").join(roots, "sid")
-        rest = store.settled(_met(asked, p, q, None).select("a", "b"), "further-sets")
-        links = links.union(_similar(rest, classes, docs, p, q, shingle, id_column, text))
+    with store.scratch(docs.sparkSession):
+        rows = store.settled(_sets(docs, p, q, shingle, id_column, text), "shingle-sets")
+        classes = store.settled(rows.groupBy("sid").agg(F.min(F.struct("doc", "hash", "n", "prefix")).alias("f")).select("sid", "f.*"), "set-classes")
+
+        def counters(batch):
+            yield counter(_sent(batch.column(0))[0])
+
+        counts = packets.totals(classes.select("prefix"), counters, COUNTER_BITS)
+        met = store.settled(_first_met(classes, p, q, Hot(counts), int(counts.sum())), "candidate-sets")
+        links = _similar(met.where("a IS NOT NULL").select("a", "b"), classes, docs, p, q, shingle, id_column, text)
         groups = graph.components(links, "a", "b")
-    of = classes.select("sid", "doc").join(groups, F.col("sid") == F.col("node"), "left").select("sid", "doc", F.coalesce("component", "sid").alias("root"))
-    of = store.settled(of, "grouped-sets")
-    # written first: a join of two tables may split the rows of a text that is everywhere
-    named = store.settled(of.join(of.groupBy("root").agg(F.min("doc").alias("least")), "root").select("sid", "least"), "named-sets")
-    return rows.select("doc", "sid").join(named, "sid").where("doc != least").select("doc", "least")
+        open_ = met.where("a IS NULL").select("word").distinct()
+        if not open_.isEmpty():
+            roots = store.settled(classes.select("sid").join(groups, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("root")), "set-roots")
+            index = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "word"))
+            rest = store.settled(_across_groups(index, open_, roots, p, q), "further-sets")
+            links = links.union(_similar(rest, classes, docs, p, q, shingle, id_column, text))
+            groups = graph.components(links, "a", "b")
+        of = classes.select("sid", "doc", "hash").join(groups, F.col("sid") == F.col("node"), "left").select("sid", "doc", "hash", F.coalesce("component", "sid").alias("root"))
+        of = store.settled(of, "grouped-sets")
+        # written first: a join of two tables may split the rows of a text that is everywhere
+        first = of.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("f"))
+        named = store.settled(of.join(first, "root").select("sid", F.col("f.doc").alias("least"), F.col("f.hash").alias("least_hash")), "named-sets")
+        others = rows.select("doc", "hash", "sid").join(named, "sid").where("doc != least OR hash != least_hash")
+        return store.settled(others.select("doc", "hash", "least").distinct(), "near-copies", outlives=True)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group of near copies: the one of least doc_id.
+    """docs with one document of each group of near copies: the one of least (doc_id, text hash).
 
-    Rows that share the least doc_id stay together, as one document.
+    Rows that agree in doc_id and text are one document and stay or go together.
     """
-    gone = near_copies(docs, similarity).select("doc").distinct()
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(store.NULL_ID))
-    return docs.join(gone, key == gone["doc"], "left_anti")
+    gone = near_copies(docs, similarity)
+    doc, text_hash = store.doc_key()
+    return docs.join(gone, (doc == gone["doc"]) & (text_hash == gone["hash"]), "left_anti").select(*[docs[c] for c in docs.columns])

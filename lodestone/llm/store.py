@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,31 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once below the shared folder and reads it back: no later stage recomputes it."""
+#: Paths written within each open ``scratch``, the innermost last.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``settled`` writes within go at the end, but for those that outlive it."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            discard(spark, path)
+
+
+def settled(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Writes df once below the shared folder and reads it back: no later stage recomputes it.
+
+    outlives: the table stays when the innermost ``scratch`` ends.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
+    depth = 2 if outlives else 1
+    if len(_MADE) >= depth:
+        _MADE[-depth].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,19 +2,23 @@
 
 A text is cut into sentences (after . ! ? … and white space, and at line feeds).
 At each sentence a span starts that runs over the fewest consecutive sentences,
-two at least, that hold ``least_words`` words; a sentence that alone holds
-``alone_words`` is a span by itself. Where a span ends depends on its own words
-only, so a passage gives the same spans wherever it stands. Spans are hashed
-(64 bits over the words, ASCII case folded, and their number), joined globally,
-and the sentences that any non-first repeat covers are removed. The first
-occurrence is the one of least (doc_id, sentence number).
-
-Repeats inside one document count like those across documents.
+two at least, that hold ``least_words`` words, and another ends that is as short;
+a sentence that alone holds ``alone_words`` is a span by itself. A longer run that
+repeats is thus covered from its first sentence to its last by such spans, which
+repeat with it. Where a span ends depends on its own words only, so a passage
+gives the same spans wherever it stands. Spans are hashed (two times 64 bits over
+the words, ASCII case folded, and their number), joined globally, and the
+sentences that any non-first repeat covers are removed. The first occurrence is
+the one of least (doc_id, text hash, sentence number).
+
+Repeats inside one document count like those across documents. Runs of fewer than
+``least_words`` words are no spans: they stay, however often they repeat.
 
 Defined results: a null or blank text has no sentences and stays as it is; a
-null doc_id counts as the least id; repeated rows (same doc_id) are one document
-and lose the same sentences; ties can't occur, as a document has one span a
-sentence; an empty table gives no rows; extra columns pass through
+null doc_id counts as the least id; rows that agree in doc_id and text are one
+document and lose the same sentences, rows that share a doc_id only are documents
+of their own; ties can't occur, as a span's place is its document and sentence;
+an empty table gives no rows; extra columns pass through
 ``remove_spans`` untouched. One text is held by one task; a span's occurrences
 are never gathered in one place: minima are pre-aggregated and joined back.
 """
@@ -64,59 +68,66 @@ class Sentences:
         self.number = vec.grouped_arange(per_row)
         self.row_stop = np.cumsum(per_row)
 
-    def spans(self, least_words: int, alone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first sentence, sentences, hash) of each span."""
+    def spans(self, least_words: int, alone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first sentence, sentences, hash, second hash) of each span."""
         words = self.stop - self.first
         total = np.concatenate(([0], np.cumsum(words)))
         at = np.arange(len(words))
+        # the shortest run that starts at each sentence, and the shortest that ends there
         count = np.searchsorted(total, total[:-1] + least_words, "left") - at
         count = np.where(words >= alone_words, 1, np.maximum(count, 2))
-        inside = at + count <= self.row_stop[self.row] if len(at) else np.zeros(0, bool)
-        at, count = at[inside], count[inside]
+        back = at + 2 - np.searchsorted(total, total[1:] - least_words, "right")
+        back = np.where(words >= alone_words, 1, np.maximum(back, 2))
+        row_start = self.row_stop[self.row] - np.bincount(self.row, minlength=len(self.row_stop))[self.row]
+        ahead, behind = at + count <= self.row_stop[self.row], at + 1 - back >= row_start
+        both = np.unique(np.concatenate(((at[ahead] << 31) | count[ahead], ((at + 1 - back)[behind] << 31) | back[behind])))
+        at, count = both >> 31, both & ((1 << 31) - 1)
         h = vec.hash_spans(self.body, self.word_start, self.word_end, folded=True)
         # a running polynomial over word hashes gives each span's in two look-ups
         power, inverse = vec._powers(vec._MULTIPLIER, len(h) + 1), vec._powers(vec._INVERSE, len(h) + 1)
         running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)))
+        other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(vec.mix(h), dtype=np.uint64)))
         a, b = self.first[at], self.stop[at + count - 1]
         value = (running[b] - running[a]) * inverse[a]
-        return at, count, vec.mix(value + (b - a).astype(np.uint64))
+        return at, count, vec.mix(value + (b - a).astype(np.uint64)), vec.mix(other[b] - other[a])
 
 
 def spans_of(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, doc, at, count): hash, document, first sentence and sentences of every span."""
+    """(h, g, doc, hash, at, count): two hashes, document, first sentence and sentences of every span."""
 
     def run(batches):
         for batch in batches:
             for part in vec.slices(batch, "text"):
-                s = Sentences(part.column(1))
-                at, count, h = s.spans(least_words, alone_words)
-                doc = part.column(0).to_numpy(zero_copy_only=False)[s.row[at]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(s.number[at].astype(np.int32)), pa.array(count.astype(np.int32))],
-                    ["h", "doc", "at", "count"],
-                )
+                s = Sentences(part.column(2))
+                if not len(s.first):
+                    continue
+                at, count, h, g = s.spans(least_words, alone_words)
+                doc, text_hash = (part.column(i).to_numpy(zero_copy_only=False)[s.row[at]].astype(np.int64) for i in (0, 1))
+                cols = [h.view(np.int64), g.view(np.int64), doc, text_hash, s.number[at].astype(np.int32), count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "g", "doc", "hash", "at", "count"])
 
-    rows = docs.select(F.coalesce(docs[id_column].cast("long"), F.lit(store.NULL_ID)).alias("doc"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "h long, doc long, at int, count int")
+    rows = docs.select(*store.doc_key(id_column, text), docs[text].alias("text"))
+    return rows.mapInArrow(run, "h long, g long, doc long, hash long, at int, count int")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, at, count, first_doc): every occurrence of a repeated span but its first."""
+    """(doc, hash, at, count, first_doc): every occurrence of a repeated span but its first."""
     spans = store.settled(spans_of(docs, least_words, alone_words, id_column, text), "spans")
-    place = F.struct("doc", "at")
+    place = F.struct("doc", "hash", "at")
     # written first: a join of two tables may split the rows of a span that is everywhere
-    firsts = spans.groupBy("h").agg(F.min(place).alias("f"), F.max(place).alias("l")).where(F.col("f") != F.col("l")).select("h", "f")
+    firsts = spans.groupBy("h", "g").agg(F.min(place).alias("f"), F.max(place).alias("l")).where(F.col("f") != F.col("l")).select("h", "g", "f")
     firsts = store.settled(firsts, "first-spans")
-    met = spans.join(firsts, "h").where((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at")))
-    return met.select("doc", "at", "count", F.col("f.doc").alias("first_doc"))
+    met = spans.join(firsts, ["h", "g"]).where(place != F.col("f"))
+    return met.select("doc", "hash", "at", "count", F.col("f.doc").alias("first_doc"))
 
 
 def covered(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, sentences, first_docs): the numbers of the sentences that go, and documents that hold the first copies."""
-    met = repeated_spans(docs, least_words, alone_words, id_column, text)
-    numbers = met.groupBy("doc").agg(F.collect_set(F.struct("at", "count")).alias("s"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    each = F.flatten(F.transform("s", lambda x: F.sequence(x["at"], x["at"] + x["count"] - 1)))
-    return numbers.select("doc", F.sort_array(F.array_distinct(each)).alias("sentences"), "first_docs")
+    """(doc, hash, sentences, first_docs): the numbers of the sentences that go, and documents that hold the first copies."""
+    with store.scratch(docs.sparkSession):
+        met = repeated_spans(docs, least_words, alone_words, id_column, text)
+        numbers = met.groupBy("doc", "hash").agg(F.collect_set(F.struct("at", "count")).alias("s"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+        each = F.flatten(F.transform("s", lambda x: F.sequence(x["at"], x["at"] + x["count"] - 1)))
+        return store.settled(numbers.select("doc", "hash", F.sort_array(F.array_distinct(each)).alias("sentences"), "first_docs"), "covered", outlives=True)
 
 
 def without(text: str, gone: list[int]) -> str:
@@ -143,8 +154,8 @@ def without(text: str, gone: list[int]) -> str:
 def _applied(docs: DataFrame, gone: DataFrame, how: str) -> DataFrame:
     """docs with their text cut; how: inner for the changed documents only, left for all."""
     names = docs.columns
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(store.NULL_ID))
-    joined = docs.join(gone, key == gone["doc"], how).select(*[docs[c] for c in names], gone["sentences"].alias("__gone"))
+    doc, text_hash = store.doc_key()
+    joined = docs.join(gone, (doc == gone["doc"]) & (text_hash == gone["hash"]), how).select(*[docs[c] for c in names], gone["sentences"].alias("__gone"))
     at = names.index("text")
 
     def run(batches):

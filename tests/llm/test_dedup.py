@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import decontaminate, graph, line_dedup, simhash, store, substring_dedup
+from lodestone.llm import decontaminate, graph, line_dedup, prefixes, simhash, store, substring_dedup
 from tests.conftest import SF
 
 
@@ -163,8 +164,10 @@ def cut_copy_rows(rng):
 
 
 @pytest.mark.parametrize("probes", [1, 4])
-def test_near_copies_with_passages_added_or_cut(spark, probes, monkeypatch):
+@pytest.mark.parametrize("list_rows", [4000, 3])
+def test_near_copies_with_passages_added_or_cut(spark, probes, list_rows, monkeypatch):
     monkeypatch.setattr(simhash, "PROBES", probes)
+    monkeypatch.setattr(prefixes, "LIST_ROWS", list_rows)
     rows = cut_copy_rows(random.Random(11))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc, r.least) for r in simhash.near_copies(docs).collect()} == plain_near_copies(rows)
@@ -182,19 +185,35 @@ def test_near_copies_of_one_word_set(spark):
     assert got == plain_near_copies(rows) == {(3, 2), (5, 2)}
 
 
+def test_near_copies_of_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    a, b, c = (words_text(rng, 50) for _ in range(3))
+    rows = [(5, a), (7, a), (7, b), (None, c), (None, b + " more"), (None, None), (9, c), (9, c), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash"))
+    # of a the row of 5 stays, of b and c the null id's, of texts without words the null one
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=repr) == sorted([(5, a), (None, b + " more"), (None, c), (None, None)], key=repr)
+
+
 # -- lines ---------------------------------------------------------------------
 
 
-def plain_removed(rows, t=0.8, least=5):
-    lines = [(i if i is not None else -(2**63), k, frozenset(w.lower() for w in x.encode().split())) for i, text in rows for k, x in enumerate((text or "").split("\n"))]
-    lines = sorted({(i, k, s) for i, k, s in lines if len(s) >= least}, key=lambda r: r[:2])
+def plain_removed(rows, t=0.8):
+    """(doc, text) -> numbers of the lines that go."""
+    lines = {(i if i is not None else -(2**63), k, text, frozenset(w.lower() for w in x.encode().split())) for i, text in rows for k, x in enumerate((text or "").split("\n"))}
+    lines = sorted((r for r in lines if r[3]), key=lambda r: r[:2])
     gone = {}
-    for n, (i, k, s) in enumerate(lines):
-        if any(len(s & z) >= t * len(s | z) and (a, b) != (i, k) for a, b, z in lines[:n]):
-            gone.setdefault(i, set()).add(k)
+    for n, (i, k, text, s) in enumerate(lines):
+        if any(len(s & z) >= t * len(s | z) for *_, z in lines[:n]):
+            gone.setdefault((i, text), set()).add(k)
     return {i: sorted(v) for i, v in gone.items()}
 
 
+def plain_kept(rows):
+    """Rows without the lines that go."""
+    gone = plain_removed(rows)
+    return sorted(((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i if i is not None else -(2**63), t), ()))) for i, t in rows), key=repr)
+
+
 def line_rows(rng):
     pool = [words_text(rng, rng.randint(4, 60)) for _ in range(30)]
     rows = []
@@ -212,35 +231,72 @@ def line_rows(rng):
     return rows + [(200, None), (201, ""), (202, "a b c d"), (203, "a b c d"), (None, pool[0]), (300, "é " * 5 + "ü ö ä à"), (301, "É " * 5 + "ü ö ä à")]
 
 
-@pytest.mark.parametrize("probes", [1, 4])
-def test_lines(spark, probes, monkeypatch):
+def removed(docs, rows):
+    """removed_lines by document and text; texts by their hash."""
+    texts = {(r.d, r.h): r.t for r in docs.select(*(c.alias(n) for c, n in zip(store.doc_key(), "dh")), docs["text"].alias("t")).collect()}
+    return {(r.doc, texts[r.doc, r.hash]): r.lines for r in line_dedup.removed_lines(docs).collect()}
+
+
+@pytest.mark.parametrize("probes, list_rows", [(4, 4000), (1, 4000), (4, 6), (1, 3)])
+def test_lines(spark, probes, list_rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "PROBES", probes)
+    monkeypatch.setattr(prefixes, "LIST_ROWS", list_rows)
     rows = line_rows(random.Random(7))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("n_chars", F.length("text").cast("long"))
-    got = {r.doc: r.lines for r in line_dedup.removed_lines(docs).collect()}
-    want = plain_removed(rows)
-    assert got == want
-    left = {(r.doc_id, r.text, r.n_chars) for r in line_dedup.remove_lines(docs).collect()}
-    texts = {(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i if i is not None else -(2**63), ()))) for i, t in rows}
-    assert left == {(i, t, len(t or "")) for i, t in texts}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("n_chars", F.length("text").cast("long")).withColumn("hash", F.lit("clash"))
+    assert removed(docs, rows) == plain_removed(rows)
+    left = line_dedup.remove_lines(docs)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == plain_kept(rows)
+    assert all(r.n_chars == len(r.text or "") for r in got)
     assert line_dedup.removed_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("list_rows", [4000, 20])
+def test_lines_that_share_a_frequent_word(spark, list_rows, monkeypatch):
+    monkeypatch.setattr(prefixes, "LIST_ROWS", list_rows)
+    rng = random.Random(3)
+    # the rarest words of every line are among three, so each is sent by a third of all lines
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(["hot", f"warm{i % 3}", *rng.sample(common, rng.randint(2, 9))]) for i in range(400)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(docs, rows) == plain_removed(rows)
+
+
 def test_lines_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r.removed_lines for r in line_dedup.report(docs).collect()}
-    assert got == plain_removed([(r.doc_id, r.text) for r in docs.collect()])
+    assert got == {i: v for (i, _), v in plain_removed([(r.doc_id, r.text) for r in docs.collect()]).items()}
 
 
-def test_short_lines_in_the_pipeline(spark):
+def test_short_lines(spark):
     long = "one two three four five six seven eight nine ten"
-    rows = line_rows(random.Random(8)) + [(400, f"All rights reserved.\n{long}\n\n語語語語語語語語語語語語"), (401, f"{long} x\nall rights  reserved.\n語語語語語語語語語語語語\nreserved. all\nla la la la la la"), (402, "la la\n  \nnew")]
+    rows = line_rows(random.Random(8)) + [(400, f"All rights reserved.\n{long}\n\n語語語語語語語語語語語語"), (401, f"{long} x\nall rights  reserved.\n語語語語語語語語語語語語\nreserved. all\nla la la la la la"), (402, "la la\n  \nnew"), (403, "w x y z\nv w x y z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
-    # below five words Jaccard 0.8 means equal sets
-    want = plain_removed(rows, least=1)
-    assert want[401] == [0, 1, 2] and want[402] == [0] and want[203] == [0]
-    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()}
-    assert got == {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i if i is not None else -(2**63), ())) for i, t in rows}
+    want = plain_removed(rows)
+    by_doc = {i: v for (i, _), v in want.items()}
+    assert by_doc[401] == [0, 1, 2] and by_doc[402] == [0] and by_doc[203] == [0] and by_doc[403] == [1]
+    assert removed(docs, rows) == want
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.dedup_lines(spark, docs, SF).collect()), key=repr) == plain_kept(rows)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    unique = "three wholly unique words that nobody repeats ever"
+    rows = [(None, f"{a}\n{b}"), (None, f"{unique} x\nshort\n{a}"), (None, None), (None, None), (7, f"{b}\n{unique}"), (7, "only here and nowhere else at all"), (7, f"first of this row\n\n{b}"), (8, f"{a}\n{b}"), (8, f"{a}\n{b}"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(docs).collect()), key=repr) == plain_kept(rows)
+
+
+def test_lines_far_apart_in_one_text():
+    filters = line_dedup._Filters("0.8")
+    rank = np.arange(1 << prefixes.COUNTER_BITS, dtype=np.uint32)
+    far = (1 << 22) + 3
+    text = "a b c d e f" + "\n" * far + "g h i j k l"
+    part = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], ["_doc", "_hash", "text"])
+    out = line_dedup._sets_of(part, rank, filters)
+    assert out.column(2).to_pylist() == [0, far] and out.column(4).to_pylist() == [6, 6]
 
 
 # -- spans ---------------------------------------------------------------------
@@ -261,22 +317,23 @@ def plain_sentences(text):
 
 
 def plain_covered(rows):
+    """(doc, text) -> sentences that go. Which of a document's rows of one id comes first is left to the texts' hash."""
+    least, alone = substring_dedup.LEAST_WORDS, substring_dedup.ALONE_WORDS
     met = {}
-    for i, text in rows:
+    for i, text in {(i if i is not None else -(2**63), t) for i, t in rows}:
         s = plain_sentences(text)
+        size = [len(x) for x in s]
+        spans = {(k, 1) for k in range(len(s)) if size[k] >= alone}
         for k in range(len(s)):
-            c = n = 0
-            while k + c < len(s) and (n < substring_dedup.LEAST_WORDS or c < 2):
-                n += len(s[k + c])
-                c += 1
-                if c == 1 and n >= substring_dedup.ALONE_WORDS:
-                    break
-            if n >= substring_dedup.LEAST_WORDS and (c >= 2 or n >= substring_dedup.ALONE_WORDS):
-                met.setdefault(b" ".join(sum(s[k : k + c], [])), set()).add((i, k, c))
+            if size[k] < alone:
+                spans |= {(k, c) for c in range(2, len(s) - k + 1) if sum(size[k : k + c]) >= least and (c == 2 or sum(size[k : k + c - 1]) < least)}
+                spans |= {(k + 1 - c, c) for c in range(2, k + 2) if sum(size[k + 1 - c : k + 1]) >= least and (c == 2 or sum(size[k + 2 - c : k + 1]) < least)}
+        for k, c in spans:
+            met.setdefault(b" ".join(sum(s[k : k + c], [])), set()).add((i, text, k, c))
     gone = {}
     for v in met.values():
-        for i, k, c in sorted(v)[1:]:
-            gone.setdefault(i, set()).update(range(k, k + c))
+        for i, text, k, c in sorted(v, key=lambda x: (x[0], x[2]))[1:]:
+            gone.setdefault((i, text), set()).update(range(k, k + c))
     return {i: sorted(v) for i, v in gone.items()}
 
 
@@ -289,8 +346,9 @@ def test_spans(spark):
     rows = [(i, t + " " + (passage if i % 7 == 0 else "") + " Tail here. " + (alone if i % 9 == 0 else "")) for i, t in rows]
     rows += [(50, None), (51, ""), (52, "  "), (53, passage + "\n" + passage)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1))
+    texts = dict(rows)
     got = {r.doc: r.sentences for r in substring_dedup.covered(docs).collect()}
-    assert got == plain_covered(rows)
+    assert {(i, texts[i]): v for i, v in got.items()} == plain_covered(rows)
     assert 53 in got and 0 not in got
     cleaned = {r.doc_id: r.text for r in substring_dedup.remove_spans(docs).collect()}
     for i, text in rows:
@@ -304,7 +362,17 @@ def test_spans(spark):
 def test_spans_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r.removed_sentences for r in substring_dedup.report(docs).collect()}
-    assert got == plain_covered([(r.doc_id, r.text) for r in docs.collect()])
+    assert got == {i: v for (i, _), v in plain_covered([(r.doc_id, r.text) for r in docs.collect()]).items()}
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    rng = random.Random(10)
+    passage = " ".join(words_text(rng, 12) + "." for _ in range(3))
+    rows = [(1, passage), (1, "Short. Text."), (2, passage + " End here."), (2, "One. Two. Three."), (None, None), (None, "x"), (3, passage), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    left = [(r.doc_id, r.text, r.n_chars) for r in substring_dedup.remove_spans(docs).collect()]
+    want = [(1, passage), (1, "Short. Text."), (2, "End here."), (2, "One. Two. Three."), (None, None), (None, "x"), (3, ""), (3, "")]
+    assert sorted(left, key=repr) == sorted([(i, t, len(t or "")) for i, t in want], key=repr)
 
 
 # -- decontamination -----------------------------------------------------------
