@@ -1,9 +1,9 @@
 """Operator 4: quality rules as a bitmask ledger, in DataFrame functions only.
 
 Every rule is evaluated once per document. The ledger keeps the measurements
-and one bit for each rule that failed, so a policy is a versioned mask over the
-bits and an ablation is a bitwise aggregate over the ledger, never a new scan
-of texts.
+and one bit for each rule that failed, and is written to the shared folder, so a
+policy is a versioned mask over the stored bits and an ablation is a bitwise
+aggregate over them, never a new scan of texts.
 
 Defined results: a null text has no words; an empty or blank text fails the
 length rule and no other; repeated rows each get their ledger row; a null
@@ -16,9 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import store
+
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
+#: A line that opens with a bullet; one that ends in an ellipsis; a word with an ASCII letter or a character beyond ASCII.
+BULLET = r"^[\x20\x09]*(-|\*|\u2022|\u2023|\u25CF|\u25AA)"
+ELLIPSIS = r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$"
+LETTER = r"[A-Za-z]|[^\x00-\x7F]"
 WINDOW = 5
 
 #: Rule name -> failure, over the measurements. The order fixes each rule's bit.
@@ -29,11 +35,16 @@ RULES: dict[str, str] = {
     "symbol_ratio": "10 * n_symbols > n_words AND n_symbols > 0",
     "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "too_many_words": "n_words > 1000000",
+    "bullet_lines": "100 * n_bullet_lines > 90 * n_lines",
+    "ellipsis_lines": "100 * n_ellipsis_lines > 30 * n_lines",
+    "few_letters": "100 * n_letter_words < 70 * n_words",
 }
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_letter_words", "n_repeat_words")
 #: Policy version -> the rules that reject.
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": ("too_few_words", "repeated_windows"),
-    "v2": ("too_few_words", "repeated_windows", "mean_word_length", "symbol_ratio", "duplicate_lines", "too_many_words"),
+    "v2": ("too_few_words", "repeated_windows", "mean_word_length", "symbol_ratio", "duplicate_lines"),
+    "v3": ("too_few_words", "repeated_windows", "mean_word_length", "symbol_ratio", "duplicate_lines", "bullet_lines", "ellipsis_lines", "few_letters"),
 }
 CURRENT = "v2"
 
@@ -76,6 +87,9 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep:
         "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size("_l").cast("long").alias("n_lines"),
+        F.size(F.filter("_l", lambda l: l.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("_l", lambda l: l.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter(w, lambda x: x.rlike(LETTER))).cast("long").alias("n_letter_words"),
         F.when(
             F.size(w) > WINDOW,
             F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
@@ -94,7 +108,7 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep:
     # the measurements out again, many times over, within it
     bits = bits.cast("long") + F.monotonically_increasing_id() * 0
     return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", bits.alias("failed_bits"), *[F.col("_keep")[c].alias(c) for c in names]
+        "doc_id", *MEASURES, bits.alias("failed_bits"), *[F.col("_keep")[c].alias(c) for c in names]
     )
 
 
@@ -123,11 +137,26 @@ def ablations(rows: DataFrame, policies: dict[str, tuple[str, ...]] | None = Non
     )
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once below the shared folder and read back."""
+    return store.settled(ledger(docs), "quality-ledger")
+
+
 def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with base_failed (the two base rules) and kept (false if base_failed, else the policy's verdict)."""
-    rows = ledger(docs)
+    """What the stored ledger says of each document.
+
+    base_failed: a base rule failed; kept: false if base_failed, else the policy's verdict;
+    kept_v3: the same under v3; saved_by: the bits of the rule without which the policy
+    would keep the document, 0 where there is none.
+    """
+    rows = stored(docs)
     base = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES["v1"]))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed_bits")
+    hit = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    alone = F.when((hit != 0) & (hit.bitwiseAND(hit - 1) == 0), hit).otherwise(F.lit(0)).cast("long")
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        base.alias("base_failed"), (~base & passes(policy)).alias("kept"), (~base & passes("v3")).alias("kept_v3"), "failed_bits", alone.alias("saved_by"),
+    )
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -140,6 +169,9 @@ def _failure_bits_sql() -> str:
     return " | ".join(f"(CASE WHEN {f} THEN {1 << i} ELSE 0 END)" for i, f in enumerate(RULES.values()))
 
 
+_SQL_BULLET = "^[\\x20\\x09]*(-|\\*|\u2022|\u2023|\u25CF|\u25AA)"
+_SQL_ELLIPSIS = "(\\.\\.\\.|\u2026)[\\x20\\x09-\\x0D]*$"
+
 #: DuckDB's twin: chr() keeps control characters out of the pattern text.
 ORACLE_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -151,11 +183,16 @@ twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        len(list_filter(l, lambda x: regexp_matches(x, '{_SQL_BULLET}')))::BIGINT AS n_bullet_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '{_SQL_ELLIPSIS}')))::BIGINT AS n_ellipsis_lines,
+        len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_letter_words,
         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN rep USING (r)),
 f AS (SELECT *, ({_failure_bits_sql()})::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & {mask(POLICIES['v1'])}) <> 0 AS base_failed,
-       (failed_bits & {mask(POLICIES['v1']) | mask(POLICIES[CURRENT])}) = 0 AS kept, failed_bits
+       (failed_bits & {mask(POLICIES['v1']) | mask(POLICIES[CURRENT])}) = 0 AS kept,
+       (failed_bits & {mask(POLICIES['v1']) | mask(POLICIES['v3'])}) = 0 AS kept_v3, failed_bits,
+       CASE WHEN bit_count(failed_bits & {mask(POLICIES[CURRENT])}) = 1 THEN failed_bits & {mask(POLICIES[CURRENT])} ELSE 0 END::BIGINT AS saved_by
 FROM f"""
