@@ -34,8 +34,10 @@ def write(path: str, body: bytes) -> None:
     local = _local(path)
     if local is None:
         system, at = _remote(path)
-        with system.open_output_stream(at) as f:
+        part = f"{at}.{uuid.uuid4().hex[:8]}.part"
+        with system.open_output_stream(part) as f:
             f.write(body)
+        system.move(part, at)
         return
     part = f"{local}.{uuid.uuid4().hex[:8]}.part"
     with open(part, "wb") as f:

@@ -4,17 +4,18 @@ Each task groups its records into independent Zstandard frames, writes frames
 into bundles, and ends each bundle with a seek table (a skippable frame holding
 every frame's sizes, and a footer with their number), so any record is read by
 one seek and one frame. The index maps a record's identifier to its bundle, its
-frame, and its offset within the frame.
+frame, and its offset within the frame; where the frame lies is read from the
+bundle's footer. The first frame holds the bundle's warcinfo record alone.
 
 Of records with equal payloads of at least ``least_bytes`` bytes, the one of the
 smallest page_id is a response and holds the payload; the others are revisit
-records that name it. Digests are pre-aggregated; only payloads that occur under
+records that name it by its record identifier. Digests are pre-aggregated; only payloads that occur under
 several page_ids are looked up again, by broadcast if they are few, else by a
 join; payloads never move.
 
 Defined results: null html: an empty payload; null page_id: a revisit if another
 page has the payload, else a response; repeated rows of one page_id: each gets a
-record of the same type; null url: urn:page:<page_id>; line breaks in a url are
+record of the same type, under one identifier if the payloads agree; null url: urn:page:<page_id>; line breaks in a url are
 percent-encoded; an empty table gives no bundle and no rows; extra columns are
 ignored. One payload is held by one task; bundles are cut at BUNDLE_BYTES.
 """
@@ -25,6 +26,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -43,12 +45,32 @@ DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the seekable format: the seek table's skippable frame, and its footer.
 SEEK_FRAME, SEEK_FOOTER = 0x184D2A5E, 0x8F92EAB1
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-INDEX = "page_id long, record_id string, bundle string, frame int, frame_at long, frame_size int, at int, size int"
+INDEX = "page_id long, record_id string, bundle string, frame int, at int, size int"
+
+
+def identifier(page_id: int | None, digest: str) -> str:
+    """The record identifier of a page's payload."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}"
+
+
+def warcinfo(bundle: str, date: str = DATE) -> bytes:
+    """The record that opens a bundle."""
+    block = b"software: lodestone\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1",
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, bundle)}>",
+        f"WARC-Date: {date}",
+        f"WARC-Filename: {bundle.rsplit('/', 1)[-1]}",
+        "Content-Type: application/warc-fields",
+        f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, kind: str, date: str = DATE) -> tuple[str, bytes]:
     """(identifier, bytes) of one WARC record."""
-    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}"
+    name = identifier(page_id, digest)
     uri = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
@@ -61,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Page-ID: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{identifier(refers_to, digest)}>", f"WARC-Refers-To-Page-ID: {refers_to}"]
     block = _HTTP if kind == "revisit" else _HTTP + payload
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -116,12 +138,15 @@ class _Bundler:
         self.body: list[bytes] = []
         self.frames: list[tuple[int, int]] = []
         self.end = 0
+        self.rows: list[tuple] = []
         self.raw: list[bytes] = []
         self.raw_size = 0
         self.waiting: list[tuple] = []
-        self.rows: list[tuple] = []
 
     def add(self, page_id, name: str, raw: bytes) -> None:
+        if not self.frames:
+            info = warcinfo(self.path)
+            self._put(info, len(info))
         self.waiting.append((page_id, name, self.raw_size, len(raw)))
         self.raw.append(raw)
         self.raw_size += len(raw)
@@ -131,12 +156,15 @@ class _Bundler:
     def _close_frame(self) -> None:
         if not self.raw:
             return
-        frame = self.pack.compress(b"".join(self.raw))
-        self.rows += [(p, n, self.path, len(self.frames), self.end, len(frame), at, size) for p, n, at, size in self.waiting]
-        self.frames.append((len(frame), self.raw_size))
+        self.rows += [(p, n, self.path, len(self.frames), at, size) for p, n, at, size in self.waiting]
+        self._put(b"".join(self.raw), self.raw_size)
+        self.raw, self.raw_size, self.waiting = [], 0, []
+
+    def _put(self, raw: bytes, size: int) -> None:
+        frame = self.pack.compress(raw)
+        self.frames.append((len(frame), size))
         self.body.append(frame)
         self.end += len(frame)
-        self.raw, self.raw_size, self.waiting = [], 0, []
 
     def full(self) -> bool:
         return self.end >= self.bundle_bytes
@@ -148,7 +176,7 @@ class _Bundler:
             return None
         files.write(self.path, b"".join(self.body) + seek_table(self.frames))
         cols = list(zip(*self.rows))
-        types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
         out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in INDEX.split(", ")])
         self._new()
         return out
@@ -192,26 +220,34 @@ def write_bundles(pages: DataFrame, folder: str | None = None, least_bytes: int
 def read_bundles(index: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of every indexed record.
 
-    Each frame is read once, by its offset. A response's payload is digested again and must agree with its header.
+    Each frame is read once, where the bundle's seek table says that it lies. A
+    record must have the index's identifier, a response's payload is digested again
+    and must agree with its header, and a revisit must name the response's record.
     """
 
     def run(batches):
-        path, frame, reader, raw, unpack = None, None, None, b"", zstandard.ZstdDecompressor()
+        path, frame, reader, raw, unpack, sizes, ends = None, None, None, b"", zstandard.ZstdDecompressor(), [], []
         for batch in batches:
             rows = []
-            for page_id, bundle, number, frame_at, frame_size, at, size in zip(*[c.to_pylist() for c in batch.columns]):
+            for page_id, record_id, bundle, number, at, size in zip(*[c.to_pylist() for c in batch.columns]):
                 if bundle != path:
                     reader, path, frame = files.open_read(bundle), bundle, None
+                    sizes = [packed for packed, _ in read_seek_table(reader)]
+                    ends = list(accumulate(sizes))
                 if number != frame:
-                    reader.seek(frame_at)
-                    raw, frame = unpack.decompress(reader.read(frame_size)), number
+                    reader.seek(ends[number] - sizes[number])
+                    raw, frame = unpack.decompress(reader.read(sizes[number])), number
                 headers, payload = parse(raw[at : at + size])
+                if headers["WARC-Record-ID"] != f"<{record_id}>":
+                    raise ValueError(f"the index names another record for page {page_id}")
                 digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
                 kind = headers["WARC-Type"]
                 length = int(headers["WARC-Payload-Length"])
                 if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != length):
                     raise ValueError(f"the payload of page {page_id} does not match its digest")
-                refers = int(headers["WARC-Refers-To"][len("<urn:page:") : -1]) if kind == "revisit" else None
+                refers = int(headers["WARC-Refers-To-Page-ID"]) if kind == "revisit" else None
+                if kind == "revisit" and headers["WARC-Refers-To"] != f"<{identifier(refers, digest)}>":
+                    raise ValueError(f"the revisit of page {page_id} names no response")
                 held = headers["WARC-Page-ID"]
                 rows.append((int(held) if held else None, headers["WARC-Target-URI"], payload if kind == "response" else None, length, digest, kind, refers))
             cols = list(zip(*rows)) if rows else [[]] * 7
@@ -220,7 +256,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
     order = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
-    rows = order.select("page_id", "bundle", "frame", "frame_at", "frame_size", "at", "size")
+    rows = order.select("page_id", "record_id", "bundle", "frame", "at", "size")
     return rows.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

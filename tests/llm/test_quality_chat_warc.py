@@ -38,12 +38,31 @@ def test_measurements(spark):
 
 
 def test_plan_has_no_python(spark):
-    plan = quality.verdicts(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    plan = quality.ledger(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
+def test_rules(spark):
+    texts = {1: "- one two\n  * three four\n• five six seven eight nine ten", 2: "one two three four...\nfive six seven eight … \nnine ten", 3: "1 2 3 4 5 6 7 8 é x", 4: "a b c d e f g h i j k"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.ledger(docs).collect()}
+    assert [rows[i].n_bullet_lines for i in texts] == [3, 0, 0, 0]
+    assert [rows[i].n_ellipsis_lines for i in texts] == [0, 2, 0, 0]
+    assert [rows[i].n_letter_words for i in texts] == [11, 11, 2, 11]
+    failed = lambda i: {n for k, n in enumerate(quality.RULES) if rows[i].failed_bits >> k & 1}
+    assert "bullet_lines" in failed(1) and "ellipsis_lines" in failed(2) and "few_letters" in failed(3)
+    one = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    assert one[4].saved_by == quality.mask(["mean_word_length"]) and not one[4].kept
+
+
+def test_verdicts_come_from_the_stored_ledger(spark, monkeypatch):
+    monkeypatch.setattr(quality.store, "settled", lambda df, name: df.where("doc_id = 1"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert [r.doc_id for r in quality.verdicts(docs).collect()] == [1]
+
+
 def test_ablations(spark):
-    rows = quality.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = quality.stored(spark.read.parquet(f"{SF}/documents.parquet"))
     bits = [r.failed_bits for r in rows.collect()]
     names = list(quality.RULES)
     for r in quality.ablations(rows).collect():
@@ -105,11 +124,25 @@ def test_bundles_are_seekable(spark):
             # a plain reader sees the frames and skips the seek table
             whole = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
         assert sum(d for _, d in sizes) == len(whole)
+        assert warc.parse(whole[: sizes[0][1]])[0]["WARC-Type"] == "warcinfo"
         for r in (r for r in rows if r.bundle == path):
-            assert r.frame_at == sum(c for c, _ in sizes[: r.frame])
+            assert r.frame > 0
             base = sum(d for _, d in sizes[: r.frame])
             headers, _ = warc.parse(whole[base + r.at : base + r.at + r.size])
             assert headers["WARC-Record-ID"] == f"<{r.record_id}>"
+            if headers["WARC-Type"] == "revisit":
+                # the record that it names is there, and holds the payload
+                assert headers["WARC-Refers-To"] in {f"<{x.record_id}>" for x in rows if x.page_id == int(headers["WARC-Refers-To-Page-ID"])}
+
+
+def test_the_footer_is_read(spark, monkeypatch):
+    index = warc.write_bundles(page_rows(spark))
+    path = index.first().bundle
+    with files.open_read(path) as f:
+        body = f.read()
+    files.write(path, body[:-4] + b"none")
+    with pytest.raises(Exception, match="no seek table"):
+        warc.read_bundles(index.where(F.col("bundle") == path)).collect()
 
 
 def test_a_broken_payload_is_noticed():
