@@ -470,6 +470,8 @@ def verify(spark: SparkSession, folder: str) -> bool:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Writes the store and returns what its files say of each document."""
+    """Writes the store and returns what its files say of each document, once its recipes have given the manifest's roots."""
     folder = write_store(docs)
+    if not verify(docs.sparkSession, folder):
+        raise ValueError("the recipes do not give the manifest's roots")
     return read_sums(docs.sparkSession, folder)

@@ -112,6 +112,21 @@ def test_a_changed_chunk_is_noticed(spark):
         token_store.read_sums(spark, folder).collect()
 
 
+def test_swapped_recipes_are_noticed(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some words here {i}") for i in range(9)], "doc_id long, text string")
+
+    def swapped(docs, write=token_store.write_store):
+        folder = write(docs)
+        rows = store.settled(spark.read.parquet(f"{folder}/recipes").withColumn("addresses", F.reverse(F.transform("addresses", lambda a: F.sha2(a, 256).cast("binary")))), "bad")
+        store.discard(spark, f"{folder}/recipes")
+        rows.write.parquet(f"{folder}/recipes")
+        return folder
+
+    monkeypatch.setattr(token_store, "write_store", swapped)
+    with pytest.raises(ValueError, match="roots"):
+        token_store.report(docs)
+
+
 def test_empty_store(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_store.report(docs).count() == 0
@@ -152,7 +167,7 @@ def brute_counts(text, own, rule):
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, rule):
     own = bpe.codec(bpe.vocabulary_path())
-    texts = ["", "one\ntwo\n\n\n\nthree", "é\n😀\n", "\n\n", "a\n \n  \nb c"] + [s.replace("<|", "<") for s in strings(60, 5)]
+    texts = ["", "one\ntwo\n\n\n\nthree", "é\n😀\n", "\n\n", "a\n \n  \nb c"] + strings(60, 5) + ["<|endoftext|>", "a\n<|endoftext|>\n<|endoftext|>b"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in token_counts.count_tokens(docs, rule=rule).collect():
         assert r.section_tokens == brute_counts(texts[r.doc_id], own, rule)
