@@ -5,16 +5,18 @@ stripped). A random walk embeds a window: step j writes the word at the walk's
 place and moves on if a random bit of (j, word) says so; sequences a few edits
 apart thus meet again and agree in most coordinates. A key is a sample of
 coordinates. Windows start at every word of a document, and at every word of an
-item, and the item's keys are looked up for each. Walks are added until, on
-items edited as far as ``similarity`` allows, the keys find ``recall`` of them.
-Each meeting gives an item-sized window of the document, and the least number of
-word edits between the item and any part of it is computed exactly.
+item, and the item's keys are looked up for each. Walks are added until, of items
+of each class of sizes, edited as far as ``similarity`` allows, the keys find
+``recall``. Each meeting gives an item-sized window of the document, and the least
+number of word edits between the item and any part of it is computed exactly.
 
-Items shorter than SHORT words are met by their pieces instead, one more than
-the edits allowed, so none is missed.
+Items shorter than SHORT words, and those of a class that MOST_WALKS walks leave
+short of ``recall``, are met by their pieces instead, one more than the edits
+allowed, so none is missed. The share found of its class comes with every match.
 
-The benchmark is a query set: it is taken in blocks of at most BLOCK_ITEMS items
-and each block meets all documents; documents are never shuffled.
+The benchmark is a query set: it is taken in blocks of about BLOCK_ITEMS items or
+BLOCK_BYTES of text and each block meets all documents; documents are never
+shuffled. A task gets the items' words and builds their tables itself.
 
 Defined results: null and blank texts and items match nothing; a null id stays
 null; repeated rows and repeated items each report; an empty table gives no
@@ -36,7 +38,12 @@ from lodestone.llm import vec
 SIMILARITY = 0.8
 RECALL = 0.97
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
 SHORT = 8
+#: Least words of the classes of sizes for which recall is measured, after the first.
+CLASSES = (10, 12, 16, 24, 40, 80)
+#: Edited items of a class that are tried.
+TRIALS = 300
 STEPS = 10
 #: Coordinates that are sampled together; all hold the first, so that only words of items start a walk.
 SAMPLES = ((0, 3, 6, 9), (0, 2, 5, 8), (0, 4, 7, 9))
@@ -120,42 +127,68 @@ class Items:
     """A block of benchmark items, ready to be met."""
 
     def __init__(self, ids: list, texts: list[str], similarity: float, recall: float) -> None:
-        self.ids, self.similarity = ids, similarity
-        self.words, self.bounds = word_hashes(pa.array(texts, pa.string()))
-        self.size = np.diff(self.bounds)
+        words, bounds = word_hashes(pa.array(texts, pa.string()))
+        size = np.diff(bounds)
+        self._lay(ids, words, bounds, similarity)
+        self.of_class = np.digitize(size, CLASSES)
+        by_keys = size >= SHORT
+        # walks of each class: as many as its recall takes
+        self.class_walks = np.zeros(len(CLASSES) + 1, np.int64)
+        self.class_recall = np.ones(len(CLASSES) + 1)
+        for k in np.unique(self.of_class[by_keys]).tolist():
+            own = np.flatnonzero(by_keys & (self.of_class == k))
+            trial = self._edited(own)
+            found = np.zeros(len(trial), bool)
+            for walk in range(MOST_WALKS):
+                tables = self._walk(own, walk)
+                found |= np.array([self._met(words_, item, walk, tables) for item, words_ in trial])
+                self.class_walks[k], self.class_recall[k] = walk + 1, found.mean()
+                if found.mean() >= recall:
+                    break
+            else:
+                self.class_walks[k], self.class_recall[k] = 0, 1.0
+        self._build()
+
+    def __getstate__(self) -> tuple:
+        return self.ids, self.words, self.bounds, self.similarity, self.of_class, self.class_walks, self.class_recall
+
+    def __setstate__(self, state: tuple) -> None:
+        self._lay(*state[:4])
+        self.of_class, self.class_walks, self.class_recall = state[4:]
+        self._build()
+
+    def _lay(self, ids: list, words: np.ndarray, bounds: np.ndarray, similarity: float) -> None:
+        self.ids, self.words, self.bounds, self.similarity = ids, words, bounds, similarity
+        self.size = np.diff(bounds)
         self.edits = np.array([allowed(int(n), similarity) for n in self.size], np.int64)
-        self.long = self.size >= SHORT
-        self.pieces = self._pieces()
-        self.walks: list[list[_Table]] = []
-        item = np.repeat(np.arange(len(ids)), self.size)
+
+    def _build(self) -> None:
+        walks = np.where(self.size >= SHORT, self.class_walks[self.of_class], 0)
+        self.recall = self.class_recall[self.of_class]
+        self.pieces = self._pieces(np.flatnonzero((walks == 0) & (self.size > 0)))
+        self.walks = [self._walk(np.flatnonzero(walks > k), k) for k in range(int(walks.max(initial=0)))]
+        item = np.repeat(np.arange(len(self.ids)), self.size)
         self.pair_bits = min(26, max(14, int(len(item)).bit_length() + 6))
         self.pairs = np.zeros(1 << self.pair_bits, bool)
         key = vec.mix(self.words + item.astype(np.uint64) * vec._MULTIPLIER)
         self.pairs[(key >> np.uint64(64 - self.pair_bits)).astype(np.int64)] = True
-        keep = self.long[item] if len(item) else np.zeros(0, bool)
-        self.at = np.flatnonzero(keep)
-        self.of = item[keep]
-        firsts = np.unique(self.words[self.at])
+        firsts = np.unique(self.words[walks[item] > 0])
         self.first = _Table(firsts, np.zeros(len(firsts), np.int64), np.zeros(len(firsts), np.int64))
-        trial = self._edited()
-        found = np.zeros(len(trial), bool)
-        for walk in range(MOST_WALKS if len(self.at) else 0):
-            tables = []
-            for key, inside in walk_keys(self.words, self.at, self.bounds[self.of + 1], walk):
-                tables.append(_Table(key[inside], self.of[inside], (self.at - self.bounds[self.of])[inside]))
-            self.walks.append(tables)
-            for i, (item_, words) in enumerate(trial):
-                found[i] = found[i] or self._met(words, item_, walk)
-            self.recall = float(found.mean())
-            if self.recall >= recall:
-                break
-
-    def _edited(self, most: int = 300) -> list[tuple[int, np.ndarray]]:
-        """Items with as many random edits as allowed; a bounded trial of the keys, not of the corpus."""
+
+    def _walk(self, own: np.ndarray, walk: int) -> list[_Table]:
+        """For each sample the keys of one walk from every word of some items."""
+        item = np.repeat(own, self.size[own])
+        offset = vec.grouped_arange(self.size[own])
+        tables = []
+        for key, inside in walk_keys(self.words, self.bounds[item] + offset, self.bounds[item + 1], walk):
+            tables.append(_Table(key[inside], item[inside], offset[inside]))
+        return tables
+
+    def _edited(self, own: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """TRIALS items with as many random edits as allowed, all of a small class by turns; a bounded trial of the keys, not of the corpus."""
         rng = np.random.default_rng(11)
-        long = np.flatnonzero(self.long)
         out = []
-        for i in rng.choice(long, min(most, len(long)), replace=False) if len(long) else []:
+        for i in rng.permutation(own)[np.arange(TRIALS) % len(own)]:
             words = self.words[self.bounds[i] : self.bounds[i + 1]].tolist()
             for _ in range(self.edits[i]):
                 at = int(rng.integers(len(words)))
@@ -165,19 +198,19 @@ class Items:
             out.append((int(i), np.array(words, np.uint64)))
         return out
 
-    def _met(self, words: np.ndarray, item: int, walk: int) -> bool:
+    def _met(self, words: np.ndarray, item: int, walk: int, tables: list[_Table]) -> bool:
         stop = np.full(len(words), len(words))
         keys = walk_keys(words, np.arange(len(words)), stop, walk)
-        for (key, inside), table in zip(keys, self.walks[walk]):
+        for (key, inside), table in zip(keys, tables):
             _, entry = table.meet(key[inside])
             if (table.item[entry] == item).any():
                 return True
         return False
 
-    def _pieces(self) -> dict[int, _Table]:
-        """Short items: length of a piece -> table of the pieces of that length."""
+    def _pieces(self, own: np.ndarray) -> dict[int, _Table]:
+        """Length of a piece -> table of the pieces of that length of some items."""
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for i in np.flatnonzero(~self.long & (self.size > 0)):
+        for i in own:
             n, k = int(self.size[i]), int(self.edits[i])
             edges = [n * p // (k + 1) for p in range(k + 2)]
             for a, b in zip(edges, edges[1:]):
@@ -188,7 +221,7 @@ class Items:
     def candidates(self, words: np.ndarray, stop: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, word at which its window would start, row of the words that met) of every meeting, once each."""
         items, starts, met = [], [], []
-        if len(self.at):
+        if self.walks:
             at, _ = self.first.meet(words)
             for walk, tables in enumerate(self.walks):
                 for (key, inside), table in zip(walk_keys(words, at, stop[at], walk), tables):
@@ -286,43 +319,45 @@ def _found(items: Items, part: pa.RecordBatch) -> pa.RecordBatch:
                 if e <= limit and (e, z) < best.get((r, i), (1 << 60, 0)):
                     best[r, i] = (e, z)
     ids = part.column(0).to_pylist()
-    out = [(ids[r], items.ids[i], int(items.size[i]), e, int(z - bounds[r])) for (r, i), (e, z) in sorted(best.items())]
-    cols = list(zip(*out)) if out else [[], [], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "item_words", "edits", "end_word"])
+    out = [(ids[r], items.ids[i], int(items.size[i]), e, int(z - bounds[r]), float(items.recall[i])) for (r, i), (e, z) in sorted(best.items())]
+    cols = list(zip(*out)) if out else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 5, pa.float64()])], ["doc_id", "item_id", "item_words", "edits", "end_word", "recall"])
+
+
+def _blocks(benchmark: DataFrame, similarity: float, recall: float):
+    """The benchmark's items, a block at a time."""
+    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    for block in range(blocks):
+        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        held = some.toArrow()
+        yield Items(held.column(0).to_pylist(), held.column(1).to_pylist(), similarity, recall)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_words, edits, end_word, similarity) of every item that a document holds.
+    """(doc_id, item_id, item_words, edits, end_word, recall, similarity) of every item that a document holds.
 
-    end_word is the number of words before the end of the best match.
+    end_word is the number of words before the end of the best match; recall the share
+    of the trial of the item's class of sizes that its keys found, 1 for items met by pieces.
     """
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias("text"))
     parts = []
-    for block in range(blocks):
-        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = some.toArrow()
-        items = Items(held.column(0).to_pylist(), held.column(1).to_pylist(), similarity, recall)
+    for items in _blocks(benchmark, similarity, recall):
 
         def run(batches, items=items):
             for batch in batches:
                 for part in vec.slices(batch, "text"):
                     yield _found(items, part)
 
-        parts.append(rows.mapInArrow(run, "doc_id long, item_id long, item_words long, edits long, end_word long"))
+        parts.append(rows.mapInArrow(run, "doc_id long, item_id long, item_words long, edits long, end_word long, recall double"))
     return reduce(DataFrame.union, parts).withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """docs without those that hold an item; a document's verdict is found where its text lies, without a join."""
-    wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     names, at = docs.columns, docs.columns.index("text")
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
-    for block in range(blocks):
-        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = some.toArrow()
-        items = Items(held.column(0).to_pylist(), held.column(1).to_pylist(), similarity, recall)
+    for items in _blocks(benchmark, similarity, recall):
 
         def run(batches, items=items):
             for batch in batches:

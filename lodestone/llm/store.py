@@ -21,13 +21,15 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one in local mode, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
         return context._jsc.sc().getCheckpointDir().get()
     return path

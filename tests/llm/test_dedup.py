@@ -439,6 +439,39 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_every_class_of_sizes_is_found(spark):
+    rng = random.Random(6)
+    sizes = [8] * 40 + [9] * 40 + [11] * 40 + [14] * 20 + [60] * 200
+    items = [words_text(rng, n) for n in sizes]
+    held = decontaminate.Items(list(range(len(items))), items, 0.8, 0.97)
+    assert all(r >= 0.97 for r in held.recall)
+    found = 0
+    for i, text in enumerate(items):
+        w = text.split()
+        for _ in range(decontaminate.allowed(len(w), 0.8)):
+            w[rng.randrange(len(w))] = words_text(rng, 1)
+        part = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([" ".join(w)])], ["doc_id", "text"])
+        found += i in decontaminate._found(held, part).column(1).to_pylist()
+    assert found >= 0.95 * len(items)
+
+
+def test_a_class_short_of_recall_goes_by_pieces(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [words_text(rng, 20) for _ in range(30)]
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 1)
+    held = decontaminate.Items(list(range(30)), items, 0.8, 1.01)
+    assert not held.walks and held.pieces
+    docs = []
+    for text in items:
+        w = text.split()
+        for at in rng.sample(range(20), 4):
+            w[at] = "other"
+        docs.append("before " + " ".join(w) + " after")
+    part = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(docs)], ["doc_id", "text"])
+    out = decontaminate._found(held, part)
+    assert {(a, b) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())} >= {(i, i) for i in range(30)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench).collect()}
