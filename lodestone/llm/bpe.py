@@ -262,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_column: str =
     def run(batches):
         yield from encoded(path, batches, text, make)
 
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias(text)).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias(text)).mapInArrow(vec.lean(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -275,7 +275,7 @@ def decode_documents(tokens: DataFrame, path: str | None = None) -> DataFrame:
             texts = [bpe.decode(np.array(ids or [], np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(vec.lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,5 +306,5 @@ def round_trip(docs: DataFrame, path: str | None = None, id_column: str = "doc_i
         yield from encoded(path, batches, text, make)
 
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias(text)).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"
+        vec.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean"
     )

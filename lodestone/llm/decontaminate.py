@@ -350,7 +350,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 for part in vec.slices(batch, "text"):
                     yield _found(items, part)
 
-        parts.append(rows.mapInArrow(run, "doc_id long, item_id long, item_words long, edits long, end_word long, recall double"))
+        parts.append(rows.mapInArrow(vec.lean(run), "doc_id long, item_id long, item_words long, edits long, end_word long, recall double"))
     return reduce(DataFrame.union, parts).withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
 
 
@@ -368,5 +368,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
                     clean[hit] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(vec.lean(run), docs.schema)
     return docs.select(*names)

@@ -58,7 +58,7 @@ BROADCAST_WORDS = 500_000
 _BLOCK_LINES = 1 << 21
 _FRONT = "doc long, hash long, line int, sid long, n int, low long, high long"
 #: word, n, pos, line, sid, doc, low, high
-_INDEX = ["<u4", "<i4", "<i4", "<i4", "<i8", "<i8", "<u8", "<u8"]
+_INDEX = ["<u4", "<i4", "<i4", "<i4", "<u8", "<i8", "<u8", "<u8"]
 
 
 class _Filters:
@@ -121,7 +121,7 @@ def line_sets(docs: DataFrame, threshold: str = THRESHOLD, id_column: str = "doc
                     yield out
 
     rows = docs.select(*store.doc_key(id_column, text), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"{_FRONT}, head binary, tail binary")
+    return rows.mapInArrow(vec.lean(run), f"{_FRONT}, head binary, tail binary")
 
 
 def _ordered(line: np.ndarray, rank: np.ndarray, mixed: np.ndarray) -> np.ndarray:
@@ -222,13 +222,14 @@ def _index_blocks(batches, filters: _Filters, hot: Hot):
             if len(some):
                 chosen = vec.mix(sid[row[some]].view(np.uint64)) % lists[some].astype(np.uint64)
                 word[some] = short(vec.mix((word[some].astype(np.uint64) << np.uint64(32)) + chosen))
-            yield [word, n[row], pos.astype(np.int32), line[row], sid[row], doc[row], low[row].view(np.uint64), high[row].view(np.uint64)]
+            yield [word, n[row], pos.astype(np.int32), line[row], sid[row].view(np.uint64), doc[row], low[row].view(np.uint64), high[row].view(np.uint64)]
 
 
 def _met(cols: list[np.ndarray], filters: _Filters, most: int):
     """(a, b, more) within the lists of cols: earlier class a that b may be similar to, ``most`` for each b in a list."""
     order = np.argsort((cols[0].astype(np.uint64) << np.uint64(32)) | cols[1].astype(np.uint64))
     word, n, pos, number, sid, doc, low, high = (c[order] for c in cols)
+    sid = sid.view(np.int64)
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     maps = (low ^ high, low, high)
     begin = np.concatenate(([True], word[1:] != word[:-1]))
@@ -279,8 +280,8 @@ def _candidates(classes: DataFrame, filters: _Filters, hot: Hot, rows: int) -> D
         for cols in packets.opened(batches, _INDEX):
             yield from _met(cols, filters, most)
 
-    index = classes.select("sid", "doc", "line", "n", "low", "high", "head").mapInArrow(send, packets.SCHEMA)
-    met = packets.shuffled(index).mapInArrow(meet, "a long, b long, more boolean")
+    index = classes.select("sid", "doc", "line", "n", "low", "high", "head").mapInArrow(vec.lean(send), packets.SCHEMA)
+    met = packets.shuffled(index).mapInArrow(vec.lean(meet), "a long, b long, more boolean")
     return met.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -315,7 +316,7 @@ def _keys(classes: DataFrame, filters: _Filters, hot: Hot, words: np.ndarray | N
                 cols = [key.view(np.int64), sid, n, at_pos.astype(np.int32), doc, line, low ^ high]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "sid", "n", "pos", "doc", "line", "map"])
 
-    return classes.select("sid", "doc", "line", "n", "low", "high", "head").mapInArrow(run, _KEYS)
+    return classes.select("sid", "doc", "line", "n", "low", "high", "head").mapInArrow(vec.lean(run), _KEYS)
 
 
 def _further(classes: DataFrame, asked: DataFrame, filters: _Filters, hot: Hot) -> DataFrame:
@@ -328,7 +329,7 @@ def _further(classes: DataFrame, asked: DataFrame, filters: _Filters, hot: Hot)
             words, _, _, _, place = _sent(batch, filters)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(words[place]).astype(np.int64))], ["word"])
 
-    first = classes.join(asked, "sid", "left_semi").select("n", "head").mapInArrow(firsts, "word long").distinct()
+    first = classes.join(asked, "sid", "left_semi").select("n", "head").mapInArrow(vec.lean(firsts), "word long").distinct()
     held = first.limit(BROADCAST_WORDS + 1).toArrow().column(0).to_numpy()
     # beyond that number every class sends its keys
     words = np.sort(held).astype(np.uint32) if len(held) <= BROADCAST_WORDS else None
@@ -355,7 +356,7 @@ def _with_hot(classes: DataFrame, filters: _Filters, hot: Hot) -> DataFrame:
             rows = np.unique(row[hot.of(words[place]) > 1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows))], ["sid"])
 
-    return classes.select("sid", "n", "head").mapInArrow(run, "sid long")
+    return classes.select("sid", "n", "head").mapInArrow(vec.lean(run), "sid long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, filters: _Filters) -> DataFrame:
@@ -380,7 +381,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, filters: _Filters) -> DataFr
     left = classes.select(F.col("sid").alias("a"), F.col("head").alias("ha"), F.col("tail").alias("ta"))
     right = classes.select(F.col("sid").alias("b"), F.col("head").alias("hb"), F.col("tail").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("b", "more", "ha", "ta", "hb", "tb")
-    return both.mapInArrow(run, "b long, more boolean, similar boolean")
+    return both.mapInArrow(vec.lean(run), "b long, more boolean, similar boolean")
 
 
 def _gone(classes: DataFrame, filters: _Filters) -> DataFrame:
@@ -454,7 +455,8 @@ def remove_lines(docs: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     rows = removed_lines(docs, threshold)
     names = docs.columns
     doc, hash_ = store.doc_key()
-    joined = docs.join(rows, (doc == rows["doc"]) & (hash_ == rows["hash"]), "left").select(*[docs[c] for c in names], rows["lines"].alias("__gone"))
+    # by sorting at every size: what is broadcast would grow with the documents
+    joined = docs.join(rows.hint("merge"), (doc == rows["doc"]) & (hash_ == rows["hash"]), "left").select(*[docs[c] for c in names], rows["lines"].alias("__gone"))
     at = names.index("text")
 
     def run(batches):
@@ -469,7 +471,7 @@ def remove_lines(docs: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(vec.lean(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
                 values = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values)], ["doc_id", "fp"])
 
-    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(vec.lean(run), "doc_id long, fp long")
 
 
 # -- the plan of the search ---------------------------------------------------
@@ -99,7 +99,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         flat = total.ravel().astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1, dtype=np.int32)), pa.array(np.append(flat, n))], ["k", "v"])
 
-    rows = fps.select("fp").mapInArrow(run, "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = fps.select("fp").mapInArrow(vec.lean(run), "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(BITS * BITS + 1, np.int64)
     for r in rows:
         out[r["k"]] = r["v"]
@@ -291,8 +291,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Earlier rows of a shingle's list that each row is compared with before groups are known.
 PROBES = 4
-#: Texts to compare whose keys may be broadcast, at about 100 bytes each.
-BROADCAST_ROWS = 100_000
+#: Bits of the table of texts to compare.
+TABLE_BITS = 22
 
 
 def _runs(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +360,7 @@ def _sets(docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: s
                 cols = [part.column(0), part.column(1), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), prefix]
                 yield pa.RecordBatch.from_arrays(cols, ["doc", "hash", "sid", "n", "prefix"])
 
-    return _texts(docs, id_column, text).mapInArrow(run, "doc long, hash long, sid long, n int, prefix array<int>")
+    return _texts(docs, id_column, text).mapInArrow(vec.lean(run), "doc long, hash long, sid long, n int, prefix array<int>")
 
 
 def _sent(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +377,7 @@ def _pairs_of(cols: list[np.ndarray], p: int, q: int, most: int):
     """
     order = np.lexsort((cols[3], cols[1], cols[0]))
     word, n, pos, sid = (c[order] for c in cols)
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    n, pos, sid = n.astype(np.int64), pos.astype(np.int64), sid.view(np.int64)
     begin = np.concatenate(([True], word[1:] != word[:-1]))
     at_begin = np.maximum.accumulate(np.where(begin, np.arange(len(word)), 0))
     found = np.zeros(len(word), np.int64)
@@ -423,37 +423,43 @@ def _first_met(classes: DataFrame, p: int, q: int, hot: Hot, rows: int) -> DataF
                 lists = hot.of(word)
                 # the list's number makes two keys of one word differ; 0 where it has one list
                 chosen = np.where(lists > 1, 1 + vec.mix(sid.view(np.uint64)) % lists.astype(np.uint64), 0)
-                yield [(word.astype(np.uint64) << np.uint64(32)) | chosen.astype(np.uint64), n, pos.astype(np.int32), sid]
+                yield [(word.astype(np.uint64) << np.uint64(32)) | chosen.astype(np.uint64), n, pos.astype(np.int32), sid.view(np.uint64)]
 
     def send(batches):
         return packets.dealt(blocks(batches), buckets)
 
     def meet(batches):
-        for cols in packets.opened(batches, ["<u8", "<i4", "<i4", "<i8"]):
+        for cols in packets.opened(batches, ["<u8", "<i4", "<i4", "<u8"]):
             yield from _pairs_of(cols, p, q, most)
             words = cols[0][(cols[0] & np.uint64(0xFFFFFFFF)) != 0]
             if len(words):
                 words = np.unique(words)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), pa.array(words.view(np.int64))], ["a", "b", "word"])
 
-    index = classes.select("sid", "n", "prefix").mapInArrow(send, packets.SCHEMA)
-    return packets.shuffled(index).mapInArrow(meet, "a long, b long, word long").withColumn("word", F.shiftright("word", 32).cast("int")).distinct()
+    index = classes.select("sid", "n", "prefix").mapInArrow(vec.lean(send), packets.SCHEMA)
+    return packets.shuffled(index).mapInArrow(vec.lean(meet), "a long, b long, word long").withColumn("word", F.shiftright("word", 32).cast("int")).distinct()
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: str) -> DataFrame:
     """Those pairs (a, b) of sets whose Jaccard similarity is p/q at least."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = store.settled(classes.select("sid", "doc", "hash").join(wanted, "sid", "left_semi").select("doc", "hash").distinct(), "candidate-documents")
-    few = wanted.count() <= BROADCAST_ROWS
+    wanted = store.settled(classes.select("sid", "doc", "hash").join(wanted, "sid", "left_semi").select("sid", F.xxhash64("doc", "hash").alias("row")), "candidate-documents")
+    # texts never move: a bit table, which only errs by letting more pass, turns most others away where they lie
+    held = wanted.select(F.shiftrightunsigned("row", 64 - TABLE_BITS).alias("k")).distinct().toArrow().column(0).to_numpy()
+    table = np.packbits(np.isin(np.arange(1 << TABLE_BITS), held))
 
     def sets(batches):
+        bits = np.unpackbits(table).astype(bool)
         for batch in batches:
-            for part in vec.slices(batch, "text"):
-                found, sid, n = _ordered_sets(part.column(2), shingle, None)
-                yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), vec.lists(pa.array(found.view(np.int64)), n)], ["sid", "s"])
-
-    texts = _texts(docs, id_column, text).join(F.broadcast(wanted) if few else wanted, ["doc", "hash"], "left_semi")
-    shingles = store.settled(texts.mapInArrow(sets, "sid long, s array<long>").dropDuplicates(["sid"]), "candidate-shingles")
+            row = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - TABLE_BITS)
+            some = batch.filter(pa.array(bits[row.astype(np.int64)]))
+            for part in vec.slices(some, "text"):
+                found, sid, n = _ordered_sets(part.column(0), shingle, None)
+                yield pa.RecordBatch.from_arrays([pa.array(sid.view(np.int64)), vec.lists(pa.array(found.view(np.int64)), n), part.column(1)], ["sid", "s", "row"])
+
+    texts = _texts(docs, id_column, text).select("text", F.xxhash64("doc", "hash").alias("row"))
+    found = texts.mapInArrow(vec.lean(sets), "sid long, s array<long>, row long").join(wanted, ["sid", "row"], "left_semi").drop("row")
+    shingles = store.settled(found.dropDuplicates(["sid"]), "candidate-shingles")
     both = pairs.join(shingles.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     met = both.withColumn("c", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return store.settled(met.where(q * F.col("c") >= p * (F.size("sa") + F.size("sb") - F.col("c"))).select("a", "b"), "similar-texts")
@@ -525,4 +531,5 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     gone = near_copies(docs, similarity)
     doc, text_hash = store.doc_key()
-    return docs.join(gone, (doc == gone["doc"]) & (text_hash == gone["hash"]), "left_anti").select(*[docs[c] for c in docs.columns])
+    # by sorting at every size: what is broadcast would grow with the documents
+    return docs.join(gone.hint("merge"), (doc == gone["doc"]) & (text_hash == gone["hash"]), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -96,5 +96,5 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def tuned(spark: SparkSession) -> SparkSession:
     """The session with Arrow batches bounded for rows that hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark

@@ -107,7 +107,7 @@ def spans_of(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "g", "doc", "hash", "at", "count"])
 
     rows = docs.select(*store.doc_key(id_column, text), docs[text].alias("text"))
-    return rows.mapInArrow(run, "h long, g long, doc long, hash long, at int, count int")
+    return rows.mapInArrow(vec.lean(run), "h long, g long, doc long, hash long, at int, count int")
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +155,7 @@ def _applied(docs: DataFrame, gone: DataFrame, how: str) -> DataFrame:
     """docs with their text cut; how: inner for the changed documents only, left for all."""
     names = docs.columns
     doc, text_hash = store.doc_key()
-    joined = docs.join(gone, (doc == gone["doc"]) & (text_hash == gone["hash"]), how).select(*[docs[c] for c in names], gone["sentences"].alias("__gone"))
+    joined = docs.join(gone.hint("merge"), (doc == gone["doc"]) & (text_hash == gone["hash"]), how).select(*[docs[c] for c in names], gone["sentences"].alias("__gone"))
     at = names.index("text")
 
     def run(batches):
@@ -168,7 +168,7 @@ def _applied(docs: DataFrame, gone: DataFrame, how: str) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(vec.lean(run), docs.schema)
 
 
 def remove_spans(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS) -> DataFrame:

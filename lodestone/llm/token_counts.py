@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: str
 
     parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     whole = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.concat_ws(GAP, *parts).alias("text"), F.array(*[F.length(p) for p in parts]).alias("lengths"))
-    return whole.mapInArrow(run, "doc_id long, n_tokens long, n_crossing long, field_tokens array<long>, section_tokens array<long>")
+    return whole.mapInArrow(vec.lean(run), "doc_id long, n_tokens long, n_crossing long, field_tokens array<long>, section_tokens array<long>")
 
 
 def _counted(codec: bpe.ByteBPE, part: pa.RecordBatch, width: int, rule: str) -> pa.RecordBatch:

@@ -298,7 +298,7 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias("text"))
     staged = f"{folder}/staged"
-    rows.mapInArrow(run, "doc_id long, tie long, n long, addresses array<binary>, sizes array<int>, payloads array<binary>").write.option("compression", "none").parquet(staged)
+    rows.mapInArrow(vec.lean(run), "doc_id long, tie long, n long, addresses array<binary>, sizes array<int>, payloads array<binary>").write.option("compression", "none").parquet(staged)
     stage = spark.read.parquet(staged)
     each = stage.select(F.explode(F.arrays_zip("addresses", "sizes", "payloads")).alias("c"))
     unique = each.select(F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"), F.col("c.payloads").alias("payload")).dropDuplicates(["address"])
@@ -324,7 +324,7 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
     order = stage.select("doc_id", "n", "addresses", "sizes", "tie")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = order.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie").drop("tie")
-    order.mapInArrow(placed, "doc_id long, n long, addresses array<binary>, sizes array<int>, file int, at long, root binary, total long").write.parquet(f"{folder}/recipes")
+    order.mapInArrow(vec.lean(placed), "doc_id long, n long, addresses array<binary>, sizes array<int>, file int, at long, root binary, total long").write.parquet(f"{folder}/recipes")
     store.discard(spark, staged)
     store.release(spark)
     # one row a file of recipes, as many as partitions
@@ -395,7 +395,7 @@ def chunk_sums(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["address", "ids", "crc"])
 
     chunks = spark.read.parquet(f"{folder}/chunks").select("address", F.col("n").cast("long").alias("n"), "payload")
-    return chunks.mapInArrow(run, "address binary, ids long, crc long")
+    return chunks.mapInArrow(vec.lean(run), "address binary, ids long, crc long")
 
 
 def read_sums(spark: SparkSession, folder: str) -> DataFrame:
@@ -419,7 +419,7 @@ def read_sums(spark: SparkSession, folder: str) -> DataFrame:
             crc = shift_crc(batch.column(3).to_numpy(), 4 * batch.column(4).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc.astype(np.int64)), batch.column(5)], ["doc_id", "start", "n", "part", "ids"])
 
-    parts = met.mapInArrow(run, "doc_id long, start long, n long, part long, ids long")
+    parts = met.mapInArrow(vec.lean(run), "doc_id long, start long, n long, part long, ids long")
     sums = parts.groupBy("doc_id", "start", "n").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("ids").alias("read"), F.count(F.lit(1)).alias("n_chunks"))
     whole = F.when(F.col("read") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("a document's chunks do not add up")).cast("long"))
     return sums.select("doc_id", "start", whole.alias("n_tokens"), "ids_crc32", "n_chunks")
@@ -440,7 +440,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             ids = np.concatenate(lists) if lists else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec.lists(pa.array(ids), sizes)], ["doc_id", "start", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return rows.mapInArrow(vec.lean(run), "doc_id long, start long, ids array<int>")
 
 
 def verify(spark: SparkSession, folder: str) -> bool:
@@ -459,7 +459,7 @@ def verify(spark: SparkSession, folder: str) -> bool:
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([tree.root()], pa.binary())], ["file", "found"])
 
     recipes = spark.read.parquet(f"{folder}/recipes").repartition("file").sortWithinPartitions("file", "at").select("file", "n", "addresses")
-    found = recipes.mapInArrow(run, "file int, found binary")
+    found = recipes.mapInArrow(vec.lean(run), "file int, found binary")
     manifest = spark.read.parquet(f"{folder}/manifest")
     bad = manifest.join(found, "file", "left").where(~F.col("root").eqNullSafe(F.col("found"))).count()
     tops = manifest.orderBy("file").select("root", "whole").collect()

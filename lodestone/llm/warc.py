@@ -214,7 +214,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, least_bytes: int
         if last is not None:
             yield last
 
-    return store.settled(typed(pages, least_bytes).mapInArrow(run, INDEX), "warc-index")
+    return store.settled(typed(pages, least_bytes).mapInArrow(vec.lean(run), INDEX), "warc-index")
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
     parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.sparkSession.sparkContext.defaultParallelism)
     order = index.repartition(parts, "bundle", "frame").sortWithinPartitions("bundle", "frame", "at")
     rows = order.select("page_id", "record_id", "bundle", "frame", "at", "size")
-    return rows.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return rows.mapInArrow(vec.lean(run), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def report(pages: DataFrame) -> DataFrame:
