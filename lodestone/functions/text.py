@@ -60,7 +60,7 @@ REPLY_MARKERS = (
     r"-+\s*Original Message\s*-+",
     r"-+\s*Message d'origine\s*-+",
     r"On\s.+\swrote:",
-    r"Le\s.+\sa\s*écrit\s*:",
+    r"Le\s.+\sa\sécrit\s*:",
 )
 CAPTION = r"(?i)^(Fig\.|Figure|Table)\s+\d+[.:]\s+\S"
 CAPTION_LABEL = r"(?i)^(Fig\.|Figure|Table)\s+\d+\.?\s*$"
@@ -117,6 +117,7 @@ def clean_description(c: Column) -> Column:
     empty = reduce(lambda a, p: a | F.lower(text).contains(p), EMPTY_DESCRIPTIONS, F.lit(False))
     out = _chain(text, *(("(?i)" + p, "") for p in DESCRIPTION_OPENINGS))
     out = _chain(out, (r"\*{1,2}([^*]+)\*{1,2}", "$1"), (r"\*+", ""), (r"[\\\"]", ""), (r"(?m)^\s*[\*\-]\s+", ""))
+    out = F.array_join(F.filter(F.split(out, LINE_BREAK), lambda l: strip(l) != ""), "\n")
     return F.when(empty, F.lit("")).otherwise(clean_text(out))
 
 

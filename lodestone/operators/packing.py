@@ -69,11 +69,16 @@ def paragraphs(text: Column, most: int = MOST, least: int = LEAST) -> Column:
 
 
 def table_batches(table: Column, whole: int = MOST, most: int = TABLE_MOST) -> Column:
-    """A table in one chunk, or its rows in batches that each repeat the header."""
-    lines = F.split(table, "\n")
-    rule = F.array_position(F.transform(lines, lambda l: l.rlike(r"^[\|\-:\s]+$") & l.contains("-")), True).cast("int")
+    """A table in one chunk, or its rows in batches that each repeat the header.
+
+    The header ends with the first line of nothing but bars, dashes, colons and
+    spaces; a table without one stays whole.
+    """
+    lines = F.split(strip(table), "\n")
+    rule = F.array_position(F.transform(lines, lambda l: F.translate(l, "|-: ", "") == ""), True).cast("int")
     header = F.slice(lines, 1, rule)
-    rows = F.filter(F.slice(lines, rule + 1, F.greatest(F.size(lines) - rule, F.lit(0))), lambda l: strip(l) != "")
+    below = F.when(rule > 0, F.slice(lines, rule + 1, F.greatest(F.size(lines) - rule, F.lit(0)))).otherwise(_empty())
+    rows = F.filter(below, lambda l: strip(l) != "")
     head = F.array_join(header, "\n")
     start = F.struct(_empty().alias("out"), F.lit("").alias("cur"))
 
@@ -155,10 +160,17 @@ def prompt_tokens(stored: Column, content: Column, ratio: float = 3.8) -> Column
     return F.coalesce(F.nullif(stored.cast("long"), F.lit(0).cast("long")), tokens(content, ratio))
 
 
+def bare(part: Column) -> Column:
+    """Whether a part holds nothing but rules, page numbers and digits."""
+    left = strip(part)
+    for pattern in (r"[-_=]{2,}", r"(?i)\bPage\s+\d+\b", r"(?i)\bP\.\s*\d+\b", r"\d+"):
+        left = F.regexp_replace(left, pattern, "")
+    return strip(left) == ""
+
+
 def merge_artifacts(parts: Column) -> Column:
     """Page artifacts (rules, page numbers, digits) joined to the part before, or to the next one where they come first."""
     start = F.struct(_empty().alias("out"), F.lit("").alias("held"))
-    bare = lambda p: strip(F.regexp_replace(p, r"(?i)(-{3,}|page\s*\d+|\d+)", "")) == ""
 
     def step(a, p):
         first = F.size(a["out"]) == 0

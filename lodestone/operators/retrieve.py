@@ -23,11 +23,10 @@ FILTER_FIELDS = ("source", "source_type", "type", "section", "page", "file_id",
 
 
 def visible(caller: str | None, email: str | None, is_admin: bool = False) -> Column:
-    """Rows that a caller may see: own, shared by name, public, or without an owner. Admins see all; so does no caller at all."""
+    """Rows that a caller may see: own, shared by name, public, or whose owner is null. Admins see all; so does no caller at all."""
     if is_admin or (caller is None and email is None):
         return F.lit(True)
-    owner = F.col("owner_email")
-    arms = [owner.isNull() | (owner == ""), F.coalesce(F.col("is_public"), F.lit(False))]
+    arms = [F.col("owner_email").isNull(), F.coalesce(F.col("is_public"), F.lit(False))]
     if caller is not None:
         arms.append(F.coalesce(F.col("uploaded_by") == caller, F.lit(False)))
     if email is not None:
@@ -83,12 +82,13 @@ def after_filter(hits: DataFrame, allowed: DataFrame, pool: int, query: str = "q
 def fuse(lists: dict[str, DataFrame], n: int, k: int = RRF_K, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """(query, key, score, found_in, rank): ranked lists merged by the sum of 1 / (k + rank).
 
-    found_in is the list's name, or both. Ties: the better rank in any list, then the key.
+    found_in is the list's name, or both. Ties keep the order in which the lists bring
+    them: those of the first list by rank, then what only the next one holds.
     """
-    rows = reduce(DataFrame.union, [df.select(query, key, "rank", F.lit(name).alias("_in")) for name, df in lists.items()])
+    rows = reduce(DataFrame.union, [df.select(query, key, "rank", F.lit(name).alias("_in"), F.lit(i).alias("_list")) for i, (name, df) in enumerate(lists.items())])
     merged_ = rows.groupBy(query, key).agg(
         F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("score"),
-        F.min("rank").alias("_best"),
+        F.min(F.struct("_list", "rank")).alias("_best"),
         F.when(F.count_distinct("_in") > 1, "both").otherwise(F.min("_in")).alias("found_in"),
     )
     order = W.partitionBy(query).orderBy(F.desc("score"), "_best", key)

@@ -8,14 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.guard import NotAQuery, check
+
 #: Least score of a vector route; fixes tried.
 ROUTE_LEAST, FIXES = 0.45, 2
 
 
-class NotAQuery(ValueError):
-    """The statement is not one plain query."""
-
-
 def profile(df: DataFrame, name: str) -> DataFrame:
     """(table_name, column_name, data_type, rows, nulls, distinct_values) of each column, in one pass."""
     cols = [c for c, _ in df.dtypes]
@@ -41,28 +39,9 @@ def mentioned(question: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.when(F.instr(low, name.lower()) > 0, F.lit(name)) for name in sorted(names, key=lambda n: (-len(n), n))], F.lit(None).cast("string"))
 
 
-_READ = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
-
-
-def guarded(spark: SparkSession, statement: str, allowed: set[str], most_rows: int | None = 1000) -> DataFrame:
-    """One SELECT over allowed temporary views; anything else is refused before it runs.
-
-    The parsed plan decides, not the text alone: relations outside ``allowed``,
-    commands, and table functions are refused. most_rows caps what a person sees.
-    """
-    text = statement.strip().rstrip(";")
-    if not _READ.match(text) or ";" in text:
-        raise NotAQuery("only one SELECT is taken")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    shown = plan.toString()
-    if re.search(r"Command|InsertInto|CreateTable|UnresolvedTableValuedFunction|\bDelete|\bUpdate|\bMerge", shown):
-        raise NotAQuery("only a query is taken")
-    common = set(re.findall(r"(\w+)\s+AS\s*\(", text, re.IGNORECASE))
-    named = {m.split(".")[-1].strip("`[] ") for m in re.findall(r"'UnresolvedRelation \[([^\]]+)\]", shown)}
-    outside = named - {a.lower() for a in allowed} - allowed - common
-    if outside:
-        raise NotAQuery(f"no access to {sorted(outside)}")
-    df = spark.sql(text)
+def guarded(spark: SparkSession, statement: str, allowed: set[str], most_rows: int | None = None) -> DataFrame:
+    """One query over allowed temporary views; anything else is refused before it runs. most_rows caps what a person is shown."""
+    df = spark.sql(check(spark, statement, allowed))
     return df.limit(most_rows) if most_rows else df
 
 

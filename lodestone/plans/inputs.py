@@ -18,7 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with uploaded_by, owner_email, allowed_users, is_public, document_id."""
     d = table(spark, sf_dir, "documents")
     user = lambda n: F.concat(F.lit("u"), F.pmod("doc_id", F.lit(n)).cast("string"))
-    mail = F.when(F.pmod("doc_id", F.lit(5)) != 0, F.concat(user(50), F.lit("@x")))
+    mail = F.when(F.pmod("doc_id", F.lit(45)) == 5, "").when(F.pmod("doc_id", F.lit(5)) != 0, F.concat(user(50), F.lit("@x")))
     return d.select(
         "doc_id",
         "text",
@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOCUMENTS_SQL = """docs AS (SELECT *, 'doc_' || doc_id AS document_id, 'u' || (doc_id % 50) AS uploaded_by,
-  CASE WHEN doc_id % 5 <> 0 THEN 'u' || (doc_id % 50) || '@x' END AS owner_email,
+  CASE WHEN doc_id % 45 = 5 THEN '' WHEN doc_id % 5 <> 0 THEN 'u' || (doc_id % 50) || '@x' END AS owner_email,
   ['u' || (doc_id % 50) || '@x', 'u' || (doc_id % 11) || '@x'] AS allowed_both,
   'u' || (doc_id % 11) || '@x' AS other_user, doc_id % 7 = 0 AS is_public FROM documents)"""
 

@@ -81,7 +81,7 @@ def registry_status(spark, d):
 
 def _changes(spark, d):
     e = inputs.events(spark, d).select(F.col("user_id").alias("key"), "event_type", F.col("event_id").alias("version"))
-    old = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit("known").alias("event_type"), F.lit(-1).cast("long").alias("version"))
+    old = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.lit("known").alias("event_type"), F.lit(-1).cast("long").alias("version"))
     return old, e
 
 
@@ -155,7 +155,7 @@ def _any(c: str, patterns) -> str:
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 _TTL_SQL = "t AS (SELECT *, (['short', 'mid', 'long'])[event_id % 3 + 1] AS tier, CASE event_id % 3 WHEN 0 THEN ts + INTERVAL 30 MINUTE WHEN 1 THEN ts + INTERVAL 24 HOUR END AS expires_at FROM events)"
-_CHANGES_SQL = """old AS (SELECT c_custkey AS key, 'known' AS event_type, -1::BIGINT AS version FROM customer),
+_CHANGES_SQL = """old AS (SELECT c_custkey AS key, 'known' AS event_type, -1::BIGINT AS version FROM customer WHERE c_custkey % 3 <> 0),
 new AS (SELECT user_id AS key, event_type, event_id AS version FROM events)"""
 
 QUERIES = {

@@ -27,7 +27,7 @@ def _weights_sql(name: str, relation: str, key: str) -> str:
   WHERE round(tf::DOUBLE / total * (1 + ln(1 + tf)), 6) > 0)"""
 
 
-_VISIBLE_SQL = f"(owner_email IS NULL OR owner_email = '' OR is_public OR uploaded_by = '{CALLER}' OR other_user = '{EMAIL}' OR owner_email = '{EMAIL}')"
+_VISIBLE_SQL = f"(owner_email IS NULL OR is_public OR uploaded_by = '{CALLER}' OR other_user = '{EMAIL}' OR owner_email = '{EMAIL}')"
 _QUERIES_SQL = "q AS (SELECT item_id AS query_id, b.text, embedding AS vector FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
 
 
@@ -46,7 +46,7 @@ dense_s AS (SELECT query_id, doc_id, round(list_cosine_similarity(q.vector::DOUB
   FROM q, held JOIN embeddings e ON e.vec_id = held.doc_id),
 dense_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense_s QUALIFY rank <= {K}),
 {name}_l AS ({' UNION ALL '.join(parts)}),
-{name} AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 9) AS score, min(rank) AS best,
+{name} AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / ({RRF_K} + rank)), 9) AS score, min(rank + CASE m WHEN 'dense' THEN 0 ELSE 1000000 END) AS best,
    CASE WHEN count(DISTINCT m) > 1 THEN 'both' ELSE min(m) END AS found_in FROM {name}_l GROUP BY query_id, doc_id),
 {name}_top AS (SELECT query_id, doc_id, score, found_in, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank FROM {name} QUALIFY rank <= {n})"""
 

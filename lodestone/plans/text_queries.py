@@ -32,7 +32,7 @@ def clean_mail(spark, d):
 def keep_filter(spark, d):
     t = table(spark, d, "documents")
     kind = F.when(F.pmod("doc_id", F.lit(3)) == 0, "table").otherwise("text")
-    return t.select("doc_id", kind.alias("type"), T.clean(kind, F.col("text")).alias("content")).where(T.keeps(F.col("type"), F.col("content"))).select("doc_id", "type", F.length("content").alias("chars"))
+    return t.select("doc_id", kind.alias("type"), T.clean(kind, F.col("text")).alias("content")).where(T.keeps(F.col("type"), F.col("content"))).select("doc_id", "type", "content")
 
 
 def embed_text(spark, d):
@@ -212,39 +212,75 @@ def section_exclusion(spark, d):
 
 
 def _broken(spark, d):
+    """Documents as chunks that each break some rules."""
     t = table(spark, d, "documents")
+    nth = lambda n: F.pmod("doc_id", F.lit(n)) == 0
+    fields = F.filter(F.array(*[F.lit(x) for x in chunks.REQUIRED]), lambda x: ~(nth(17) & (x == "chunk_id")) & ~(nth(37) & (x == "embed_text")))
+    names = F.filter(F.array(*[F.lit(x) for x in chunks.REQUIRED_METADATA]), lambda x: ~(nth(29) & x.isin("source", "page")))
+    values = F.transform(names, lambda x: F.when(x == "source_type", F.when(nth(31), "fax").otherwise("txt")).otherwise("v"))
     return t.select(
-        F.when(F.pmod("doc_id", F.lit(17)) != 0, F.concat(F.lit("c"), F.col("doc_id").cast("string"))).alias("chunk_id"),
-        F.when(F.pmod("doc_id", F.lit(19)) == 0, "figure").otherwise("text").alias("type"),
-        F.when(F.pmod("doc_id", F.lit(23)) == 0, "  ").otherwise(F.col("text")).alias("content"),
-        F.col("text").alias("embed_text"),
-        F.when(F.pmod("doc_id", F.lit(29)) != 0, F.col("source")).alias("source"),
-        F.when(F.pmod("doc_id", F.lit(31)) == 0, "fax").otherwise("txt").alias("source_type"),
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"),
+        fields.alias("fields"),
+        F.when(nth(19), "figure").when(~nth(41), "text").alias("type"),
+        F.when(nth(23), "  ").otherwise(F.col("text")).alias("content"),
+        F.when(~nth(37), F.col("text")).alias("embed_text"),
+        F.map_from_arrays(names, values).alias("metadata"),
     )
 
 
 def validate_chunks(spark, d):
-    return chunks.problems(_broken(spark, d)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return chunks.problems(_broken(spark, d))
 
 
 def upsert_refusals(spark, d):
     e = table(spark, d, "embeddings")
+    nth = lambda n: F.pmod("vec_id", F.lit(n)) == 0
+    size = F.size("embedding")
     rows = e.select(
-        F.when(F.pmod("vec_id", F.lit(17)) != 0, F.concat(F.lit("c"), F.col("vec_id").cast("string"))).alias("chunk_id"),
-        F.when(F.pmod("vec_id", F.lit(19)) == 0, " ").otherwise("x").alias("content"),
-        F.when(F.pmod("vec_id", F.lit(23)) == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("vector"),
-        F.lit("txt").alias("source_type"),
+        "vec_id",
+        F.when(nth(17), F.when(nth(2), "")).otherwise(F.concat(F.lit("c"), F.col("vec_id").cast("string"))).alias("chunk_id"),
+        F.when(nth(19), " ").otherwise("x").alias("content"),
+        F.when(nth(23), F.slice("embedding", 1, 3)).when(~nth(29), F.col("embedding")).alias("vector"),
+        F.when(~nth(13), F.array(F.lit(1), F.lit(5))).alias("indices"),
+        F.when(nth(11), F.array(F.lit(0.5))).otherwise(F.array(F.lit(0.5), F.lit(0.25))).alias("weights"),
     )
-    return rows.groupBy(F.coalesce(chunks.refusal(), F.lit("stored")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    dimension = table(spark, d, "embeddings").select(size.alias("n")).first()["n"]
+    return rows.select("vec_id", F.coalesce(chunks.refusal(dimension=dimension), F.lit("stored")).alias("reason"))
+
+
+def source_types(spark, d):
+    """Files of many names, a few with an override."""
+    p = table(spark, d, "part")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".DOCX", ".pptx", ".eml", ".txt", ".jpg", ".tif", ".bmp", ".xyz", "")]), F.pmod("p_partkey", F.lit(10)).cast("int") + 1)
+    path = F.concat(F.lit("/in/part."), F.col("p_partkey").cast("string"), ext)
+    override = F.when(F.pmod("p_partkey", F.lit(7)) == 0, "pdf_scanned")
+    return p.select("p_partkey", chunks.source_type(path, override).alias("source_type"))
+
+
+def shape_unification(spark, d):
+    """Conversations as handler outputs: a list, a mapping with chunks, a single chunk, or neither."""
+    c = table(spark, d, "conversations")
+    one = F.struct("turn", F.col("text").alias("content"))
+    rows = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("chunks"))
+    shape = F.element_at(F.array(F.lit("list"), F.lit("chunks"), F.lit("single"), F.lit("odd")), F.pmod("conv_id", F.lit(4)).cast("int") + 1)
+    out = rows.select(F.col("conv_id").cast("string").alias("source"), F.lit("txt").alias("source_type"), shape.alias("shape"), "chunks", F.get("chunks", F.lit(0)).alias("chunk"))
+    return chunks.unified(out).select("source", "position", "turn", "content")
+
+
+def descriptions(spark, d):
+    """Image descriptions made of documents' texts."""
+    t = table(spark, d, "documents")
+    made = F.concat(F.lit("The image shows, "), F.regexp_replace("text", r"[\x{A0}<>]", ""), F.lit("\n\n* **bold** \"quoted\"\n  \n- last"))
+    return t.select("doc_id", T.clean_description(made).alias("text"))
 
 
 def canonical_chunks(spark, d):
     """Documents as text elements, made canonical."""
     t = table(spark, d, "documents")
     meta = F.create_map(F.lit("file_name"), F.col("source"), F.lit("section"), F.col("lang"), F.lit("page_start"), F.pmod("doc_id", F.lit(9)).cast("string"))
-    e = t.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("pdf").alias("source_type"), F.lit(0).alias("position"), F.lit("note").alias("type"), F.col("text").alias("content"), meta.alias("metadata"))
+    e = t.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("pdf_digital").alias("source_type"), F.lit(0).alias("position"), F.lit("note").alias("type"), F.col("text").alias("content"), meta.alias("metadata"))
     n = chunks.normalise(e)
-    return n.select(F.col("doc_id").cast("long").alias("doc_id"), "type", F.col("metadata.source").alias("source"), F.col("metadata.page").alias("page"), F.col("metadata.section").alias("section"), F.length("content").alias("chars"))
+    return n.select(F.col("doc_id").cast("long").alias("doc_id"), "type", F.col("metadata.source").alias("source"), F.col("metadata.page").alias("page"), F.col("metadata.section").alias("section"), "chunk_id", "content", "embed_text")
 
 
 def html_text(spark, d):
@@ -304,7 +340,7 @@ SELECT conv_id, turn, {_clean_sql('t')} AS text FROM k""",
         keep_filter,
         f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END AS type,
 CASE WHEN doc_id % 3 = 0 THEN {_STRIP.format(_TABLE)} ELSE {_clean_sql('text')} END AS content FROM documents)
-SELECT doc_id, type, length(content)::INT AS chars FROM c WHERE (type = 'table' AND content <> '') OR (type = 'text' AND length(content) >= 20)""",
+SELECT doc_id, type, content FROM c WHERE (type = 'table' AND content <> '') OR (type = 'text' AND length(content) >= 20)""",
     ),
     "embed_text": (embed_text, "SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'Table: ' || text WHEN 2 THEN 'Image description: ' || text ELSE text END AS embed_text FROM documents"),
     "uuid5_ids": (uuid5_ids, _UUID),
@@ -373,18 +409,43 @@ SELECT event_id, first_value(CASE WHEN value > 50 THEN round(value, 2) END IGNOR
     "section_exclusion": (section_exclusion, "SELECT event_type, count(*) AS n FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 GROUP BY event_type"),
     "validate_chunks": (
         validate_chunks,
-        """SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN doc_id % 17 = 0 THEN 'missing chunk_id' END, CASE WHEN doc_id % 19 = 0 THEN 'bad type' END,
-CASE WHEN doc_id % 23 = 0 OR regexp_matches(text, '^\\s*$') THEN 'empty content' END, CASE WHEN regexp_matches(text, '^\\s*$') THEN 'empty embed_text' END,
-CASE WHEN doc_id % 29 = 0 THEN 'missing source' END, CASE WHEN doc_id % 31 = 0 THEN 'bad source_type' END], lambda x: x IS NOT NULL)) AS problem FROM documents) GROUP BY problem""",
+        """WITH c AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'figure' WHEN doc_id % 41 <> 0 THEN 'text' END AS type,
+ CASE WHEN doc_id % 23 = 0 THEN '  ' ELSE text END AS content, CASE WHEN doc_id % 37 <> 0 THEN text END AS embed_text FROM documents)
+SELECT 'c' || doc_id AS chunk_id, problem FROM (SELECT doc_id, unnest(list_filter([
+ CASE WHEN doc_id % 629 = 0 THEN 'missing top-level fields: chunk_id, embed_text' WHEN doc_id % 17 = 0 THEN 'missing top-level fields: chunk_id' WHEN doc_id % 37 = 0 THEN 'missing top-level fields: embed_text' END,
+ CASE WHEN type IS NULL OR type NOT IN ('text', 'table', 'image') THEN 'invalid type: ' || coalesce(type, 'None') END,
+ CASE WHEN regexp_matches(content, '^\\s*$') THEN 'empty content' END, CASE WHEN embed_text IS NULL OR regexp_matches(embed_text, '^\\s*$') THEN 'empty embed_text' END,
+ CASE WHEN doc_id % 29 = 0 THEN 'missing metadata fields: source, page' END, CASE WHEN doc_id % 31 = 0 THEN 'invalid source_type: fax' END], lambda x: x IS NOT NULL)) AS problem FROM c)""",
     ),
     "upsert_refusals": (
         upsert_refusals,
-        "SELECT CASE WHEN vec_id % 17 = 0 THEN 'missing chunk_id' WHEN vec_id % 19 = 0 THEN 'empty content' WHEN vec_id % 23 = 0 THEN 'zero vector' ELSE 'stored' END AS reason, count(*) AS n FROM embeddings GROUP BY 1",
+        """SELECT vec_id, CASE WHEN vec_id % 17 = 0 THEN 'missing chunk_id' WHEN vec_id % 23 = 0 THEN 'wrong dense_vector dim: 3 (expected ' || len(embedding) || ')' WHEN vec_id % 29 = 0 THEN 'missing dense_vector'
+ WHEN vec_id % 13 = 0 THEN 'missing or empty sparse_vector' WHEN vec_id % 11 = 0 THEN 'sparse_vector indices/values length mismatch' WHEN vec_id % 19 = 0 THEN 'empty content' ELSE 'stored' END AS reason FROM embeddings""",
+    ),
+    "source_types": (
+        source_types,
+        """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'pdf_scanned' ELSE CASE p_partkey % 10 WHEN 0 THEN 'pdf_digital' WHEN 1 THEN 'docx' WHEN 2 THEN 'pptx' WHEN 3 THEN 'eml' WHEN 4 THEN 'txt'
+ WHEN 5 THEN 'image' WHEN 6 THEN 'image' WHEN 7 THEN 'image' END END AS source_type FROM part""",
+    ),
+    "shape_unification": (
+        shape_unification,
+        """SELECT conv_id::VARCHAR AS source, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1)::INT AS position, turn, text AS content FROM conversations
+WHERE conv_id % 4 < 3 QUALIFY conv_id % 4 < 2 OR (position = 0 AND content IS NOT NULL)""",
+    ),
+    "descriptions": (
+        descriptions,
+        f"""WITH a AS (SELECT doc_id, regexp_replace(text, '[<>' || chr(160) || ']', '', 'g') || chr(10) || chr(10) || '* **bold** "quoted"' || chr(10) || '  ' || chr(10) || '- last' AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('The image shows, ' || t, '^the image (shows?|presents?|depicts?|displays?|contains?|illustrates?)[,.]?\\s*', '', 'i'),
+ '\\*{{1,2}}([^*]+)\\*{{1,2}}', '\\1', 'g'), '\\*+', '', 'g'), '[\\\\"]', '', 'g'), '(?m)^\\s*[*-]\\s+', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT regexp_matches(l, '^\\s*$')), chr(10)) AS t FROM b)
+SELECT doc_id, {_clean_sql('t')} AS text FROM c""",
     ),
     "canonical_chunks": (
         canonical_chunks,
-        f"""WITH c AS (SELECT doc_id, source, lang, {_clean_sql('text')} AS content FROM documents)
-SELECT doc_id, 'text' AS type, source, (doc_id % 9)::INT AS page, lang AS section, length(content)::INT AS chars FROM c WHERE length(content) >= 20""",
+        f"""WITH c AS (SELECT doc_id, source, lang, {_clean_sql('text')} AS content FROM documents),
+h AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('pdf_digital:' || source || ':' || substring(content, 1, 200))) AS h FROM c)
+SELECT doc_id, 'text' AS type, source, (doc_id % 9)::INT AS page, lang AS section,
+concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], lower(to_hex((('0x' || h[17])::INT & 3) | 8)) || h[18:20], h[21:32]) AS chunk_id, content, content AS embed_text FROM h WHERE length(content) >= 20""",
     ),
     "html_text": (
         html_text,

@@ -32,7 +32,7 @@ def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), source_type(F.col("path")).alias("source_type"), F.md5("content").alias("digest"), F.col("modificationTime").alias("modified"), "content")
+    return files.select("path", name.alias("name"), F.coalesce(F.when(F.lower("path").endswith(".csv"), "csv"), source_type(F.col("path")), F.lit("unknown")).alias("source_type"), F.md5("content").alias("digest"), F.col("modificationTime").alias("modified"), "content")
 
 
 def decode(raw: bytes) -> tuple[str, str]:

@@ -2,46 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.chunks import refusal
+from lodestone.operators.dml import upsert
 
 
-def split_storable(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks that can be stored, the others with their reason)."""
-    rows = chunks.withColumn("reason", refusal())
+def split_storable(chunks: DataFrame, **names) -> tuple[DataFrame, DataFrame]:
+    """(chunks that can be stored, the others with their reason); names as for refusal."""
+    rows = chunks.withColumn("reason", refusal(**names))
     return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL")
 
 
-def upsert_table(spark: SparkSession, chunks: DataFrame, path: str, keys: list[str], parts: int = 64) -> DataFrame:
-    """Rewrites a keyed table with the new rows, into a new version below path; the newest version is what read_table reads.
+def upsert_table(spark: SparkSession, chunks: DataFrame, path: str, keys: list[str], parts: int = 64, newest: list[Column] | None = None) -> DataFrame:
+    """Puts rows into a keyed table; the new row replaces the old one, and of several of a batch the one that ``newest`` puts first stays, else the greatest row.
 
-    Versions are whole tables, so a reader never sees half of a change.
+    The table is cut into ``parts`` by a hash of its keys. A change writes a new version of
+    the parts that it touches and leaves the others where they lie; readers take each
+    part's newest complete version, so they never see half of a change.
     """
-    old = read_table(spark, path)
-    rows = chunks if old is None else old.join(chunks, keys, "left_anti").unionByName(chunks)
-    version = _newest(spark, path) + 1
-    rows.write.mode("errorifexists").parquet(f"{path}/version={version:06d}")
-    return spark.read.parquet(f"{path}/version={version:06d}")
-
-
-def _newest(spark: SparkSession, path: str) -> int:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    order = newest or [F.desc(F.struct(*[c for c in chunks.columns if c not in keys] or keys))]
+    new = upsert(chunks.limit(0), chunks, keys, order).withColumn("_part", part)
+    touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # parts at most
+    places = _parts(spark, path)
+    version = max((v for v, _ in places.values()), default=-1) + 1
+    held = [places[p][1] for p in touched if p in places]
+    if held:
+        old = spark.read.schema(chunks.schema).parquet(*held)
+        new = old.join(new.select(*keys), keys, "left_anti").select(*chunks.columns).withColumn("_part", part).unionByName(new)
+    if touched:
+        new.repartition(len(touched), "_part").write.mode("errorifexists").partitionBy("_part").parquet(f"{path}/version={version:06d}")
+    return read_table(spark, path, chunks.schema) if touched or places else chunks.limit(0)
+
+
+def _parts(spark: SparkSession, path: str) -> dict[int, tuple[int, str]]:
+    """part -> (version, folder) of its newest complete version."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = Path(path)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, tuple[int, str]] = {}
     if not system.exists(hadoop):
-        return -1
-    done = []
+        return out
     for s in system.listStatus(hadoop):
         name = s.getPath().getName()
-        if name.startswith("version=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-            done.append(int(name.split("=")[1]))
-    return max(done, default=-1)
+        if name.startswith("version=") and system.exists(Path(s.getPath(), "_SUCCESS")):
+            version = int(name.split("=")[1])
+            for p in system.listStatus(s.getPath()):
+                if p.getPath().getName().startswith("_part="):
+                    number = int(p.getPath().getName().split("=")[1])
+                    if version > out.get(number, (-1, ""))[0]:
+                        out[number] = (version, p.getPath().toString())
+    return out
+
+
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The newest version of every part; None where there is no table."""
+    places = [folder for _, folder in _parts(spark, path).values()]
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(*places) if places else None
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    """Deletes a table with all its versions; whether there was one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    version = _newest(spark, path)
-    return spark.read.parquet(f"{path}/version={version:06d}") if version >= 0 else None
+def table_info(spark: SparkSession, path: str) -> dict[str, int]:
+    """Versions, parts, and rows of a table."""
+    places = _parts(spark, path)
+    held = read_table(spark, path)
+    return {"versions": len({v for v, _ in places.values()}), "parts": len(places), "rows": held.count() if held is not None else 0}
 
 
 def append_log(rows: DataFrame, path: str) -> None:
