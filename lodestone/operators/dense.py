@@ -18,6 +18,8 @@ from lodestone.operators import sparse
 
 #: Queries a pass; their vectors are sent to every task.
 BLOCK = 4096
+#: Rows that a block of queries meets at once.
+SLICE = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,11 +51,11 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, query: str = "query
         def run(batches, ids=ids, vectors=vectors):
             best_k = np.zeros((len(ids), 0), np.int64)
             best_s = np.zeros((len(ids), 0))
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
+            for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
+                if not len(ids):
                     continue
-                s = np.round(vectors @ _unit(_matrix(batch.column(1))).T, 6) + 0.0
-                keys = np.broadcast_to(batch.column(0).to_numpy(), s.shape)
+                s = np.round(vectors @ _unit(_matrix(part.column(1))).T, 6) + 0.0
+                keys = np.broadcast_to(part.column(0).to_numpy(), s.shape)
                 best_k, best_s = np.concatenate((best_k, keys), 1), np.concatenate((best_s, s), 1)
                 order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
                 best_k, best_s = np.take_along_axis(best_k, order, 1), np.take_along_axis(best_s, order, 1)

@@ -104,10 +104,11 @@ def search(
     depth: int = DEPTH,
     query: str = "query_id",
     key: str = "doc_id",
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Search of a batch of queries (query, text, vector) over chunks (key, text, vector, and the predicate's columns).
 
-    Scores come from ranks in every mode, 1 / (k + rank).
+    Scores come from ranks in every mode, 1 / (k + rank). postings: stored weights of the chunks' texts.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -116,7 +117,7 @@ def search(
     if mode in ("hybrid", "dense"):
         lists["dense"] = dense.search(queries, held, depth, query, key)
     if mode in ("hybrid", "sparse"):
-        lists["sparse"] = sparse.search(queries, held, depth, query, key)
+        lists["sparse"] = sparse.search(queries, held, depth, query, key, postings=postings)
     return fuse(lists, n, query=query, key=key)
 
 

@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import STOPWORDS
 
 
+_TERM = re.compile("[a-z0-9]+")
+_LEFT_OUT = frozenset(STOPWORDS)
+
+
 def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, total): occurrences of each ASCII alphanumeric term, stopwords and single characters out."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z0-9]+)"))
-    kept = F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
-    rows = docs.select(F.col(key), kept.alias("_terms")).select(key, F.size("_terms").cast("long").alias("total"), F.explode("_terms").alias("term"))
-    return rows.groupBy(key, "total", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf, total): occurrences of each ASCII alphanumeric term, stopwords and single characters out.
+
+    A text is counted where it lies, in Arrow batches, so that no word is shuffled.
+    """
+    kind = docs.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("total", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                words, counts, sizes, totals = [], [], [], []
+                for body in part.column(1).to_pylist():
+                    held = Counter(w for w in _TERM.findall((body or "").lower()) if len(w) > 1 and w not in _LEFT_OUT)
+                    words.extend(held)
+                    counts.extend(held.values())
+                    sizes.append(len(held))
+                    totals.append(sum(held.values()))
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                total = np.array(totals, np.int64)[row]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(total)], [key, "term", "tf", "total"])
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
 def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,6 +70,9 @@ def top(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Top k documents of each query text."""
-    return top(scores(weights(queries, query, text), weights(docs, key, text), query, key), k, query, key)
+def search(queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query_id", key: str = "doc_id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
+    """Top k documents of each query text. postings: the stored weights of a table that docs are rows of; docs' texts are not read then."""
+    if postings is None:
+        return top(scores(weights(queries, query, text), weights(docs, key, text), query, key), k, query, key)
+    met = scores(weights(queries, query, text), postings, query, key)
+    return top(met.join(docs.select(key), key, "left_semi"), k, query, key)

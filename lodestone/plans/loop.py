@@ -16,11 +16,11 @@ from lodestone.operators import answer, retrieve
 from lodestone.session import pinned
 
 
-def corrective_search(queries: DataFrame, chunks: DataFrame, predicate: Column | None = None, n: int = answer.TOP) -> DataFrame:
+def corrective_search(queries: DataFrame, chunks: DataFrame, predicate: Column | None = None, n: int = answer.TOP, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, grade, rank, attempt, mode): each query's reranked hits of the round that it ended in."""
     open_, done, mode = queries, [], "hybrid"
     for attempt in range(answer.ATTEMPTS + 1):
-        hits = pinned(retrieve.search(open_, chunks, mode, 20, predicate))
+        hits = pinned(retrieve.search(open_, chunks, mode, 20, predicate, postings=postings))
         ranked = answer.rerank(hits, answer.coverage(hits, open_, chunks), n)
         graded = pinned(ranked.select("query_id", "doc_id", "score", answer.relevance(F.col("score")).alias("grade"), "rank", F.lit(attempt).alias("attempt"), F.lit(mode).alias("mode")))
         last = attempt == answer.ATTEMPTS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOPWORDS
 from lodestone.functions.vectors import norm
-from lodestone.operators import answer, dense, packing, permissions, retrieve, sparse
+from lodestone.operators import answer, dense, index, packing, permissions, retrieve, sparse
 from lodestone.operators.retrieve import RRF_K
 from lodestone.plans import inputs
 from lodestone.plans.loop import corrective_search
@@ -55,9 +55,14 @@ def sparse_weights(spark, d):
     return sparse.weights(table(spark, d, "documents"))
 
 
+def _postings(spark, d):
+    """Term weights of the documents, stored once."""
+    return index.postings(spark, f"{d}/documents.parquet", "doc_id")
+
+
 def sparse_topk(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return sparse.search(q, table(spark, d, "documents"), K)
+    return sparse.search(q, table(spark, d, "documents"), K, postings=_postings(spark, d))
 
 
 def _vector_queries(spark, d):
@@ -72,17 +77,17 @@ def dense_topk(spark, d):
 
 
 def hybrid_rrf(spark, d):
-    return retrieve.search(inputs.queries(spark, d), inputs.chunks(spark, d), "hybrid", K)
+    return retrieve.search(inputs.queries(spark, d), inputs.chunks(spark, d), "hybrid", K, postings=_postings(spark, d))
 
 
 def hybrid_acl(spark, d):
-    return retrieve.search(inputs.queries(spark, d), inputs.chunks(spark, d), "hybrid", K, retrieve.visible(CALLER, EMAIL))
+    return retrieve.search(inputs.queries(spark, d), inputs.chunks(spark, d), "hybrid", K, retrieve.visible(CALLER, EMAIL), postings=_postings(spark, d))
 
 
 def search_modes(spark, d):
     """One mode alone: scores still come from ranks."""
     q, c = inputs.queries(spark, d), inputs.chunks(spark, d)
-    rows = [retrieve.search(q, c, m, 5, retrieve.visible(CALLER, EMAIL)).withColumn("mode", F.lit(m)) for m in ("dense", "sparse")]
+    rows = [retrieve.search(q, c, m, 5, retrieve.visible(CALLER, EMAIL), postings=_postings(spark, d)).withColumn("mode", F.lit(m)) for m in ("dense", "sparse")]
     return rows[0].unionByName(rows[1])
 
 
@@ -151,7 +156,7 @@ def weak_ratio_retry(spark, d):
 
 
 def corrective_loop(spark, d):
-    return corrective_search(inputs.queries(spark, d), inputs.chunks(spark, d), retrieve.visible(CALLER, EMAIL))
+    return corrective_search(inputs.queries(spark, d), inputs.chunks(spark, d), retrieve.visible(CALLER, EMAIL), postings=_postings(spark, d))
 
 
 def _with_pages(spark, d):

@@ -32,9 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one in local mode, and an error on a cluster."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
+    if not path and not held.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    if not held.isDefined():
+        context.setCheckpointDir(path)
+    return path or held.get()
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed below spark.checkpoint.dir, or a temporary folder where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    """df computed once and checkpointed below the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
