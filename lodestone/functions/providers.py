@@ -66,3 +66,34 @@ def with_retry(call: Callable, tries: int = 5, wait: float = 0.0) -> Callable:
 def non_blank(df: DataFrame, text: str) -> DataFrame:
     """Rows with something to embed."""
     return df.where(F.trim(F.coalesce(text, F.lit(""))) != "")
+
+
+def query_vector(text: str, embed: Embed = hashed_embedding, prefix: str = "") -> np.ndarray:
+    """The vector of one question; an empty one is an error. prefix: what the model wants before questions."""
+    if not text or not text.strip():
+        raise ValueError("an empty question has no vector")
+    return embed([prefix + text])[0]
+
+
+def embedded_or_dropped(df: DataFrame, text: str, key: str, embed: Embed = hashed_embedding, batch: int = 32, tries: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rows with their vector, keys of the batches that failed ``tries`` times). A row without a text is an error before any call."""
+    if not df.where(F.trim(F.coalesce(text, F.lit(""))) == "").isEmpty():
+        raise ValueError("a row has nothing to embed")
+    call = with_retry(embed, tries)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for at in range(0, len(part), batch):
+                some = list(part[text][at : at + batch])
+                try:
+                    out += [v.tolist() for v in call(some)]
+                except Exception:
+                    out += [None] * len(some)
+            part["vector"] = out
+            yield part
+
+    from pyspark.sql import types as T
+
+    rows = df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    return rows.where("vector IS NOT NULL"), rows.where("vector IS NULL").select(key)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # -- fixed values ------------------------------------------------------------
 #: Characters a token, for stored chunks and for prompts.
@@ -62,6 +63,16 @@ REPLY_MARKERS = (
     r"On\s.+\swrote:",
     r"Le\s.+\sa\sécrit\s*:",
 )
+#: What a model writes around its answer: step headings, and lines that only announce.
+STEP_HEADINGS = (r"(?i)##\s*Step\s*\d+[:\-].*\n?", r"(?i)\*\*Step\s*\d+.*?\*\*\n?")
+PREAMBLES = (
+    r"^(Let me|I will|I'll|First,|Here is|Here are|The following|Below is|Below are|Sure,|Certainly,|Of course,).*\n?",
+    r"^There (is|are) \w+ table[s]? in the image.*\n?",
+    r"^There (is|are) \w+ chart[s]? in the image.*\n?",
+    r"^I (can see|found|identified|detected|notice).*\n?",
+)
+#: Slide-number marks that a deck's template leaves in texts.
+PLACEHOLDERS = ("‹#›", "<#>", "‹›", "#", "\u200b")
 CAPTION = r"(?i)^(Fig\.|Figure|Table)\s+\d+[.:]\s+\S"
 CAPTION_LABEL = r"(?i)^(Fig\.|Figure|Table)\s+\d+\.?\s*$"
 ANY_CAPTION = r"(?i)^(Fig\.|Figure|Table|Tableau|FIGURE|TABLE)\s*[\dIVXLC]+[.:\s]"
@@ -280,3 +291,56 @@ def fenced_code(c: Column) -> Column:
     """The code of the first fence, else the whole text."""
     code = F.regexp_extract(c, r"(?s)```(?:\w+)?\s*\n(.*?)```", 1)
     return strip(F.when(code == "", c).otherwise(code))
+
+
+def without_preamble(c: Column) -> Column:
+    """A model's answer without step headings and announcing lines."""
+    text = _chain(F.coalesce(c, F.lit("")), *((p, "") for p in STEP_HEADINGS), *(("(?im)" + p, "") for p in PREAMBLES), (r"\n{3,}", "\n\n"))
+    return strip(text)
+
+
+def without_placeholders(c: Column) -> Column:
+    """A slide's text without its template's marks."""
+    text = reduce(lambda t, mark: F.replace(t, F.lit(mark), F.lit("")), PLACEHOLDERS, F.coalesce(c, F.lit("")))
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+
+
+def clean_nested(c: Column, kind: T.DataType) -> Column:
+    """Every text within a nested value cleaned by what stands beside it; metadata stays as it is.
+
+    A struct with type and content is cleaned by its type, and a text too short to keep
+    becomes empty; content and text without a type are plain texts; headers and rows of
+    a table are cleaned cell by cell; other fields are walked into. Empty texts, images
+    and mails, and tables without headers and rows, go from arrays.
+    """
+    if isinstance(kind, T.ArrayType):
+        out = F.transform(c, lambda x: clean_nested(x, kind.elementType))
+        names = kind.elementType.names if isinstance(kind.elementType, T.StructType) else []
+        if "type" in names:
+            bare = lambda x, f: F.coalesce(F.size(x[f]), F.lit(0)) <= 0 if f in names else F.lit(True)
+            empty = lambda x: (x["type"].isin("text", "image", "email") & (x["content"] == "")) if "content" in names else F.lit(False)
+            table = lambda x: (x["type"] == "table") & bare(x, "headers") & bare(x, "rows") if "rows" in names else F.lit(False)
+            out = F.filter(out, lambda x: ~F.coalesce(empty(x) | table(x), F.lit(False)))
+        return out
+    if not isinstance(kind, T.StructType):
+        return c
+    names = kind.names
+    fields = []
+    for f in kind.fields:
+        x = c[f.name]
+        if f.name == "content" and isinstance(f.dataType, T.StringType):
+            if "type" in names:
+                body = clean(c["type"], x)
+                x = F.when(c["type"] == "table", body if "rows" not in names else x).when(keeps(c["type"], body), body).otherwise("")
+            else:
+                x = clean_text(x)
+        elif f.name == "text" and isinstance(f.dataType, T.StringType):
+            x = F.when(x.isNotNull(), clean_text(x))
+        elif f.name == "headers":
+            x = F.transform(x, clean_text)
+        elif f.name == "rows" and isinstance(f.dataType, T.ArrayType):
+            x = F.transform(x, lambda row: F.transform(row, clean_text))
+        elif f.name != "metadata":
+            x = clean_nested(x, f.dataType)
+        fields.append(x.alias(f.name))
+    return F.when(c.isNotNull(), F.struct(*fields))

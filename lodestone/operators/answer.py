@@ -95,3 +95,21 @@ def session_summary(rows: DataFrame, by: list[str], metrics: list[str], alert: f
     agg += [F.round(F.avg(m), 2).alias(f"avg_{m}") for m in metrics]
     out = rows.groupBy(*by).agg(*agg)
     return out.withColumns({f"low_{m}": F.coalesce(F.col(f"avg_{m}") < alert, F.lit(False)) for m in metrics})
+
+
+def length_stats(hits: DataFrame, docs: DataFrame, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, candidates, mean_chars, most_chars) of the texts that are sent to a reranker."""
+    size = hits.join(docs.select(key, F.length(F.coalesce(text, F.lit(""))).alias("_n")), key)
+    return size.groupBy(query).agg(F.count(F.lit(1)).alias("candidates"), F.round(F.avg("_n"), 2).alias("mean_chars"), F.max("_n").cast("long").alias("most_chars"))
+
+
+def direct(question: str, history: str = "", generate=None) -> str:
+    """An answer without retrieval: the question after its history, to a generator; the stand-in says that it can't."""
+    text = f"{history}\n\n{question}".strip()
+    return generate(text) if generate is not None else "I can answer questions about the documents that you have added."
+
+
+def judged(answers: DataFrame, judges: dict[str, Column]) -> DataFrame:
+    """answers with each judge's score and their average; a judge that fails gives null and doesn't count."""
+    rows = answers.withColumns(judges)
+    return rows.withColumn("average", judge_average(*[F.col(j) for j in judges]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ANY_CAPTION, CAPTION_LABEL, SKIPPED_SECTIONS, caption_parts, sentences, strip, tokens
+from lodestone.functions.text import ANY_CAPTION, CAPTION_LABEL, SKIPPED_SECTIONS, caption_parts, sections, sentences, strip, structure, structured_sentences, tokens, uuid5, without_preamble
 from lodestone.operators import packing
 from lodestone.operators.windows import islands
 
@@ -139,3 +139,74 @@ def mail_chunks(mails: DataFrame) -> DataFrame:
     body = F.transform(packing.paragraphs(F.coalesce("text", F.lit(""))), lambda p: F.struct(F.lit("text").alias("type"), p.alias("content")))
     tables = F.transform(F.coalesce("tables", F.array().cast("array<string>")), lambda t: F.struct(F.lit("table").alias("type"), t.alias("content")))
     return mails.select("path", "subject", "from", "date", F.posexplode(F.concat(body, tables)).alias("position", "c")).select("path", "position", "c.type", "c.content", "subject", "from", "date")
+
+
+def attachment_chunks(mails: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Chunks of attachments (path, name, position, type, content, source_type) with their mail's header fields and file id.
+
+    All chunks of an attachment share one identifier, made of the mail's and its name.
+    Attached CSVs are tables of their own and give no chunk.
+    """
+    head = mails.select("path", "file_id", "subject", "from", "to", "date", F.col("name").alias("eml_source"))
+    rows = attachments.where(~F.lower("name").endswith(".csv")).join(head, "path")
+    kind = F.coalesce("source_type", F.nullif(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)), F.lit("")), F.lit("attachment"))
+    return rows.select(
+        "path", F.col("name").alias("source"), "file_id", uuid5(F.concat_ws(":", "file_id", "name")).alias("attachment_guid"), kind.alias("source_type"),
+        "eml_source", "subject", "from", "to", "date", "position", F.coalesce("type", F.lit("text")).alias("type"), F.coalesce("content", F.lit("")).alias("content"),
+    )
+
+
+def ordered_shapes(shapes: Column) -> Column:
+    """A slide's shapes from top to bottom, then left to right; a missing place counts as 0, ties keep their order."""
+    place = F.transform(shapes, lambda x, i: F.struct(F.coalesce(x["top"], F.lit(0)).alias("t"), F.coalesce(x["left"], F.lit(0)).alias("l"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(place, lambda a, b: _by(a, b, ("t", "l", "i"))), lambda s: s["x"])
+
+
+def _by(a: Column, b: Column, names: tuple[str, ...]) -> Column:
+    order = F.lit(0)
+    for name in reversed(names):
+        order = F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(order)
+    return order
+
+
+def scanned_text(pages: DataFrame) -> DataFrame:
+    """(doc_id, text, visuals) of scanned pages (doc_id, page, label, ocr, description, table).
+
+    Pages are laid one after the other under a rule with their number. What else a page
+    gives goes by its class: a table for has_table, a description for has_chart and
+    mixed; an unknown class counts as text_only. visuals lists them in order of pages.
+    """
+    label = F.lower(strip(F.coalesce("label", F.lit(""))))
+    known = F.when(label.isin("has_chart", "has_table", "mixed"), label).otherwise("text_only")
+    extra = F.when(known == "has_table", F.struct(F.lit("table").alias("type"), without_preamble(F.col("table")).alias("content"))).when(
+        known.isin("has_chart", "mixed"), F.struct(F.lit("image").alias("type"), without_preamble(F.col("description")).alias("content"))
+    )
+    body = F.concat(F.lit("---\nPage "), F.col("page").cast("string"), F.lit("\n"), strip(F.coalesce("ocr", F.lit(""))))
+    rows = pages.select("doc_id", F.struct("page", body.alias("body"), F.when(extra["content"] != "", extra).alias("extra")).alias("p"))
+    held = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return held.select("doc_id", F.array_join("p.body", "\n\n").alias("text"), F.array_compact("p.extra").alias("visuals"))
+
+
+def spread_captions(items: DataFrame) -> DataFrame:
+    """Items (doc_id, position, type, content, section) in which every run of tables of one section carries the caption of the first that has one.
+
+    A table's own caption goes for it: what stands before the mark stays, trimmed.
+    """
+    runs = islands(items, ["doc_id"], ["position"], F.struct(F.when(F.col("type") == "table", "").otherwise(F.col("position").cast("string")), "section"), "_run")
+    content = F.col("content")
+    mark = F.coalesce(F.nullif(F.instr(content, "\n\nCaption:"), F.lit(0)), F.nullif(F.instr(content, "Caption:"), F.lit(0)))
+    own = F.when((F.col("type") == "table") & mark.isNotNull(), F.concat(F.lit("\n\n"), F.regexp_replace(F.substring(content, mark, F.length(content)), r"^\n\n", "")))
+    w = W.partitionBy("doc_id", "_run").orderBy("position").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = F.first(own, ignorenulls=True).over(w)
+    bare = F.when(mark.isNotNull(), strip(F.substring(content, F.lit(1), mark - 1))).otherwise(content)
+    rows = runs.withColumn("_caption", first)
+    return rows.withColumn("content", F.when((F.col("type") == "table") & F.col("_caption").isNotNull(), F.concat(bare, F.col("_caption"))).otherwise(content)).drop("_run", "_caption")
+
+
+def text_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, kind, chunk_index, chunk_total, content) of plain texts (doc_id, text): a narrative is packed by sentences, others section by section."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).withColumn("kind", structure(F.col("_t")))
+    fits = lambda s: F.when(tokens(s) <= packing.MOST, F.array(s)).otherwise(packing.sentence_groups(structured_sentences(s)))
+    parts = F.when(F.col("kind") == "narrative", packing.sentence_groups(sentences(F.col("_t")))).otherwise(packing.merge_short(F.flatten(F.transform(sections(F.col("_t"), F.col("kind")), fits))))
+    out = rows.select("doc_id", "kind", parts.alias("p")).where(F.size("p") > 0)
+    return out.select("doc_id", "kind", F.size("p").alias("chunk_total"), F.posexplode("p").alias("_i", "content")).select("doc_id", "kind", (F.col("_i") + 1).alias("chunk_index"), "chunk_total", "content")

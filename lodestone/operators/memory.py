@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.classify import expiry, tier
-from lodestone.functions.text import strip
+from lodestone.functions.text import strip, title_of
 from lodestone.operators import dml
 from lodestone.operators.windows import last_n
 
 #: Turns that set off compression, turns kept, facts kept a user, longest fact, history excerpt.
 COMPRESS_ABOVE, KEEP, FACTS, FACT_CHARS, EXCERPT = 6, 3, 15, 200, 300
+#: Fixed value: most words of a summary.
+SUMMARY_WORDS = 500
 ROLES = ("user", "assistant")
 
 
@@ -77,3 +79,47 @@ def context(summary: Column, facts: Column, recent: Column) -> Column:
     """Memory sections with their headings; absent ones are left out."""
     section = lambda head, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(head + "\n"), body))
     return F.concat_ws("\n\n", section("## Conversation summary", summary), section("## Known facts about the user", facts), section("## Recent conversation", recent))
+
+
+def excerpted(existing: Column, conversation: Column) -> Column:
+    """A stand-in summary: what there is, and the start of each line since."""
+    lines = F.transform(F.split(conversation, "\n"), lambda l: F.substring_index(l, " ", 8))
+    return F.concat_ws("\n", F.nullif(existing, F.lit("")), F.array_join(lines, "\n"))
+
+
+def condensed(summary: Column, most: int = SUMMARY_WORDS) -> Column:
+    """A stand-in condenser: the last ``most`` words."""
+    words = F.split(strip(summary), r"\s+")
+    return F.array_join(F.slice(words, F.greatest(F.size(words) - most + 1, F.lit(1)), F.lit(most)), " ")
+
+
+def compressed(turns: DataFrame, summaries: DataFrame, summarise=excerpted, condense=condensed, session: str = "session_id", order: str = "turn") -> tuple[DataFrame, DataFrame]:
+    """(turns that stay, summaries): sessions with too many turns give all but the last to their summary.
+
+    A summary of more than SUMMARY_WORDS words is condensed; where the condenser gives
+    nothing the long one stays. A session whose summary comes out empty keeps its turns.
+    """
+    old = to_compress(turns, session, order)
+    line = F.concat(F.upper("role"), F.lit(": "), F.coalesce("content", F.lit("")))
+    talk = old.groupBy(session).agg(F.array_join(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))["l"], "\n").alias("_talk"))
+    made = talk.join(summaries, session, "left").withColumn("_new", summarise(F.coalesce("summary", F.lit("")), F.col("_talk")))
+    made = made.where(strip(F.coalesce("_new", F.lit(""))) != "")
+    long = F.size(F.split(strip(F.col("_new")), r"\s+")) > SUMMARY_WORDS
+    new = made.select(session, F.coalesce(F.when(long, F.nullif(condense(F.col("_new")), F.lit(""))), F.col("_new")).alias("summary"))
+    gone = old.join(new.select(session), session, "left_semi").select(session, order)
+    return turns.join(gone, [session, order], "left_anti"), summaries.join(new, session, "left_anti").select(session, "summary").unionByName(new)
+
+
+def saved(turns: DataFrame, summaries: DataFrame, facts: DataFrame, titles: DataFrame, new: DataFrame, extract: Column | None = None) -> dict[str, DataFrame]:
+    """The memory after new turns (session_id, user_id, turn, role, content, created_at): turns, summaries, facts, titles.
+
+    Facts come from user turns only: ``extract``, an array of texts, none where it isn't
+    given. A session without a title gets one from its first user turn.
+    """
+    left, kept = compressed(turns.unionByName(new.select(*turns.columns)), summaries)
+    said = new.where("role = 'user'")
+    found = extract if extract is not None else F.array().cast("array<string>")
+    learnt = said.select("user_id", F.explode(found).alias("fact"), "created_at", F.col("turn").cast("long").alias("id"))
+    first = said.groupBy("session_id").agg(F.min_by("content", "turn").alias("content"))
+    named = first.join(titles, "session_id", "left_anti").select("session_id", title_of(F.col("content")).alias("title"))
+    return {"turns": left, "summaries": kept, "facts": store_facts(facts, learnt), "titles": titles.unionByName(named)}

@@ -45,3 +45,30 @@ def resolved(entries: DataFrame, owners: DataFrame) -> DataFrame:
     named = F.coalesce("_users", F.array().cast("array<string>"))
     users = F.sort_array(F.array_distinct(F.array_compact(F.concat(named, F.array(F.lower("owner_email"))))))
     return out.select("file_id", "owner_email", users.alias("allowed_users"), F.coalesce("_public", F.lit(False)).alias("is_public"))
+
+
+def emails_of(callers: DataFrame, users: DataFrame, caller: str = "caller_id") -> DataFrame:
+    """callers with the email of their user; empty for an unknown one. users is (user_id, email)."""
+    held = users.select(F.col("user_id").alias("_u"), F.col("email").alias("_e"))
+    return callers.join(held, F.col(caller) == F.col("_u"), "left").withColumn("email", F.coalesce("_e", F.lit(""))).drop("_u", "_e")
+
+
+def users_like(users: DataFrame, pattern: str, column: str = "user_id") -> DataFrame:
+    """Users whose name a LIKE pattern takes."""
+    return users.where(F.col(column).like(pattern))
+
+
+def registrable(email: Column, password: Column, name: Column) -> Column:
+    """Why a registration is refused, the first reason; null: it isn't."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return (
+        F.when(~F.coalesce(email.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False)), "bad email")
+        .when(F.length(F.coalesce(password, F.lit(""))) < 6, "short password")
+        .when(blank(name), "blank name")
+    )
+
+
+def uploads_allowed(uploaded: DataFrame, permissions: DataFrame, user: str, now: Column) -> DataFrame:
+    """document_id of a user's own uploads (document_id, uploaded_by) that the user may read too."""
+    own = uploaded.where(F.col("uploaded_by") == user).select("document_id")
+    return own.intersect(valid_permissions(permissions, now).where(F.col("user_id") == user).select("document_id"))

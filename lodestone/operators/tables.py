@@ -39,6 +39,30 @@ def mentioned(question: Column, names: list[str]) -> Column:
     return F.coalesce(*[F.when(F.instr(low, name.lower()) > 0, F.lit(name)) for name in sorted(names, key=lambda n: (-len(n), n))], F.lit(None).cast("string"))
 
 
+def table_index(profiles: DataFrame, held: DataFrame | None = None, embed=None, force: bool = False) -> DataFrame:
+    """(table_name, summary, digest, vector, status) of tables (table_name, summary, digest).
+
+    A table whose digest the index holds keeps its vector and is skipped; new and changed ones are embedded.
+    """
+    from lodestone.functions import providers
+    from lodestone.operators.dml import status
+
+    if held is None:
+        held = profiles.limit(0).withColumn("vector", F.lit(None).cast("array<float>"))
+    rows = status(profiles, held, "table_name", "digest", force)
+    fresh = providers.embedded(rows.where("status <> 'skipped'"), "summary", embed or providers.hashed_embedding)
+    kept = rows.where("status = 'skipped'").join(held.select("table_name", "vector"), "table_name")
+    return kept.select("table_name", "summary", "digest", "vector", "status").unionByName(fresh.select("table_name", "summary", "digest", "vector", "status"))
+
+
+def routed(questions: DataFrame, index: DataFrame, least: float = ROUTE_LEAST, query: str = "query_id", key: str = "table_id") -> DataFrame:
+    """(query, routed_to, score) of questions (query, vector): the nearest table, or null where even that scores below ``least``."""
+    from lodestone.operators import dense
+
+    best = dense.search(questions, index, 1, query, key)
+    return best.select(query, F.when(F.col("score") >= least, F.col(key)).alias("routed_to"), "score")
+
+
 def guarded(spark: SparkSession, statement: str, allowed: set[str], most_rows: int | None = None) -> DataFrame:
     """One query over allowed temporary views; anything else is refused before it runs. most_rows caps what a person is shown."""
     df = spark.sql(check(spark, statement, allowed))

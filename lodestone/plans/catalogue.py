@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import memory_queries, retrieval_queries, table_queries, text_queries
+from lodestone.plans import memory_queries, retrieval_queries, service_queries, table_queries, text_queries
 
-_PARTS = (retrieval_queries, text_queries, memory_queries, table_queries)
+_PARTS = (retrieval_queries, text_queries, memory_queries, table_queries, service_queries)
 
 
 def queries():

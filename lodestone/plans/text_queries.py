@@ -69,7 +69,7 @@ def structure_kind(spark, d):
 
 def structure_sections(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.size(T.sections(F.col("text"), T.structure(F.col("text")))).alias("sections"))
+    return t.select("doc_id", T.sections(F.col("text"), T.structure(F.col("text"))).alias("sections"))
 
 
 def sentence_chunks(spark, d):
@@ -325,6 +325,83 @@ r AS (SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '^\s*[\*\-
  len(list_filter(l, lambda x: regexp_matches(x, '^\s*#{1,6}\s+') OR regexp_matches(x, '^\d+[\)\.]\s+[A-Z]') OR regexp_matches(x, '^[A-Z][A-Z\s\-]{3,}$')
    OR regexp_matches(x, '^\s*_{3,}\s*$') OR regexp_matches(x, '^\s*={3,}\s*$') OR regexp_matches(x, '^\s*-{3,}\s*$'))) / len(l)::DOUBLE AS h FROM l)"""
 
+
+
+def _tok(x: str) -> str:
+    return _TOKENS.format(x, 3.5)
+
+
+def _fold(parts: str, state: str, start: str, item: str, step: str) -> str:
+    """A fold over a list: state names the fields, start and item give them for the start and for one part x, step from a to x."""
+    return f"list_reduce(list_transform({parts}, lambda x: {{{item}}}), lambda a, x: {{{step}}}, {{{start}}})"
+
+
+def _but_last(x: str) -> str:
+    return f"list_slice({x}, 1, len({x}) - 1)"
+
+
+#: The open chunk joins the last one if it is short.
+_TAIL = f"CASE WHEN f.cur = '' THEN f.out WHEN len(f.out) > 0 AND {_tok('f.cur')} < 80 THEN list_append({_but_last('f.out')}, f.out[-1] || ' ' || f.cur) ELSE list_append(f.out, f.cur) END"
+_OPEN = "'out': []::VARCHAR[], 'cur': ''"
+
+
+def _chunks_sql(key: str, chunk: str, source: str, chunks: str) -> str:
+    """Rows of a list of chunks, numbered from 0."""
+    return f"SELECT {key}, (unnest(range(1, len(c) + 1)) - 1)::INT AS {chunk}, unnest(c) AS content FROM (SELECT {key}, {chunks} AS c FROM ({source}))"
+
+
+_CLOSE = "(a.tok + x.tok > 450 AND a.tok >= 80)"
+
+
+def _sentence_groups(parts: str) -> str:
+    return _fold(
+        parts, "out cur tok", _OPEN + ", 'tok': 0::BIGINT", f"'out': [x], 'cur': x, 'tok': {_tok('x')}",
+        f"'out': CASE WHEN {_CLOSE} THEN list_append(a.out, a.cur) ELSE a.out END, 'cur': CASE WHEN {_CLOSE} OR a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END, 'tok': CASE WHEN {_CLOSE} THEN x.tok ELSE a.tok + x.tok END",
+    )
+
+
+_BOTH = "CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END"
+_FITS = f"(a.cur = '' OR {_tok(_BOTH)} <= 450)"
+_PARAGRAPHS = _fold(
+    r"""list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')""",
+    "out cur", _OPEN, "'out': [x], 'cur': x",
+    f"'out': CASE WHEN {_FITS} THEN a.out ELSE list_append(a.out, a.cur) END, 'cur': CASE WHEN {_FITS} THEN {_BOTH} ELSE x.cur END",
+)
+_HEAD = "'name | segment | balance' || chr(10) || '--- | --- | ---'"
+_ROWS = "CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || x.cur END"
+_OVER = f"({_tok(f'{_HEAD} || chr(10) || ' + _ROWS)} > 400 AND a.cur <> '')"
+_BATCHES = _fold("rows", "out cur", _OPEN, "'out': [x], 'cur': x", f"'out': CASE WHEN {_OVER} THEN list_append(a.out, {_HEAD} || chr(10) || a.cur) ELSE a.out END, 'cur': CASE WHEN {_OVER} THEN x.cur ELSE {_ROWS} END")
+_TINY_TEXT = "CASE WHEN x.type = 'text' AND a.held <> '' THEN a.held || ' ' || x.content ELSE x.content END"
+_TINY_SHORT = f"(x.type = 'text' AND {_tok(_TINY_TEXT)} < 80)"
+_TINY_ON = f"({_TINY_SHORT} AND x.next = 'text')"
+_TINY_BACK = f"({_TINY_SHORT} AND x.next <> 'text' AND len(a.out) > 0 AND coalesce(a.out[-1].type, '') = 'text')"
+_TINY = _fold(
+    "items", "", "'out': []::STRUCT(type VARCHAR, content VARCHAR)[], 'held': '', 'type': '', 'content': '', 'next': ''", "'out': [{'type': x.type, 'content': x.content}], 'held': '', 'type': x.type, 'content': x.content, 'next': x.next",
+    f"""'out': CASE WHEN {_TINY_ON} THEN a.out WHEN {_TINY_BACK} THEN list_append({_but_last('a.out')}, {{'type': a.out[-1].type, 'content': a.out[-1].content || ' ' || {_TINY_TEXT}}})
+ ELSE list_append(a.out, {{'type': x.type, 'content': {_TINY_TEXT}}}) END, 'held': CASE WHEN {_TINY_ON} THEN {_TINY_TEXT} ELSE '' END, 'type': '', 'content': '', 'next': ''""",
+)
+_BARE = r"regexp_matches(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[-_=]{2,}', '', 'g'), '(?i)\bPage\s+\d+\b', '', 'g'), '(?i)\bP\.\s*\d+\b', '', 'g'), '\d+', '', 'g'), '^\s*$')"
+_LINE = "CASE WHEN a.held = '' THEN x.p ELSE a.held || chr(10) || x.p END"
+_ARTIFACTS = _fold(
+    "parts", "", "'out': []::VARCHAR[], 'held': '', 'p': '', 'bare': false", f"'out': [x], 'held': '', 'p': x, 'bare': {_BARE}",
+    f"""'out': CASE WHEN x.bare AND len(a.out) = 0 THEN a.out WHEN x.bare THEN list_append({_but_last('a.out')}, CASE WHEN a.out[-1] = '' THEN x.p ELSE a.out[-1] || chr(10) || x.p END) ELSE list_append(a.out, {_LINE}) END,
+ 'held': CASE WHEN x.bare AND len(a.out) = 0 THEN {_LINE} WHEN x.bare THEN a.held ELSE '' END, 'p': '', 'bare': false""",
+)
+_KIND = "CASE WHEN b > 0.2 OR h > 0.05 THEN 'structured' WHEN b > 0.05 OR h > 0.02 THEN 'mixed' ELSE 'narrative' END"
+_SECTIONS = r"""list_filter(list_transform(CASE kind WHEN 'structured' THEN string_split_regex(text, '(?m)_{3,}|={3,}|^#{1,3}\s')
+ WHEN 'mixed' THEN string_split(regexp_replace(text, '\n{2,}([A-Z\d#])', chr(1) || '\1', 'g'), chr(1)) ELSE [text] END, lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"""
+_STRUCTURED_TEXT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'),
+ '_{3,}', chr(1), 'g'), '\n{2,}', chr(1), 'g'), '(?m)^([A-Z][A-Z\s\-]{3,})\s*$', chr(1) || '\1' || chr(1), 'g'), '\n\*\s+', chr(1), 'g'), '\n\d+\.\s+', chr(1), 'g'), '\n\-\s+', chr(1), 'g'), '(\d+)\.\s', '\1' || chr(2) || ' ', 'g')"""
+
+
+def _structured_sql() -> str:
+    text = _STRUCTURED_TEXT
+    for short in T.ABBREVIATIONS:
+        text = f"replace({text}, '{short}.', '{short}' || chr(2))"
+    cut = f"string_split(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: {_STRIP.format('replace(s, chr(2), chr(46))')}), lambda s: s <> '')"
+
+
 QUERIES = {
     "token_estimate": (token_estimate, f"SELECT doc_id, {_TOKENS.format('text', 3.5)} AS tokens, {_TOKENS.format('text', 3.8)} AS prompt_tokens FROM documents"),
     "clean_text": (clean_text, f"SELECT doc_id, {_clean_sql('text')} AS text FROM documents"),
@@ -352,15 +429,22 @@ SELECT p_partkey, {_SLUG.format('a')} AS slug, {_SLUG.format('b')} AS numbered F
     ),
     "safe_casts": (safe_casts, "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id::INT END AS number, CASE WHEN event_id % 2 <> 0 THEN event_type END AS word FROM events"),
     "sentence_split": (sentence_split, f"SELECT doc_id, len({_SENT})::INT AS sentences, array_to_string({_SENT}, '|') AS joined FROM documents"),
-    "structured_split": (structured_split, None),
+    "structured_split": (structured_split, f"SELECT doc_id, {_structured_sql()} AS sentences FROM documents"),
     "structure_kind": (
         structure_kind,
         f"WITH {_STRUCTURE} SELECT doc_id, CASE WHEN b > 0.2 OR h > 0.05 THEN 'structured' WHEN b > 0.05 OR h > 0.02 THEN 'mixed' ELSE 'narrative' END AS kind FROM r",
     ),
-    "structure_sections": (structure_sections, None),
-    "sentence_chunks": (sentence_chunks, None),
-    "paragraph_chunks": (paragraph_chunks, None),
-    "table_chunks": (table_chunks, None),
+    "structure_sections": (structure_sections, f"WITH {_STRUCTURE}, k AS (SELECT doc_id, {_KIND} AS kind, text FROM r JOIN documents USING (doc_id)) SELECT doc_id, {_SECTIONS} AS sections FROM k"),
+    "sentence_chunks": (sentence_chunks, _chunks_sql("doc_id", "chunk", f"SELECT doc_id, {_sentence_groups(_SENT)} AS f FROM documents", _TAIL)),
+    "paragraph_chunks": (paragraph_chunks, _chunks_sql("doc_id", "chunk", f"SELECT doc_id, {_PARAGRAPHS} AS f FROM documents", _TAIL)),
+    "table_chunks": (
+        table_chunks,
+        _chunks_sql(
+            "c_nationkey", "batch",
+            f"""SELECT c_nationkey, rows, {_BATCHES} AS f FROM (SELECT c_nationkey, list(c_name || ' | ' || c_mktsegment || ' | ' || CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{{:,.2f}}', abs(c_acctbal)) ORDER BY c_custkey) AS rows FROM customer GROUP BY c_nationkey)""",
+            f"CASE WHEN {_tok(_HEAD + ' || chr(10) || array_to_string(rows, chr(10))')} <= 450 THEN [{_HEAD} || chr(10) || array_to_string(rows, chr(10))] WHEN f.cur = '' THEN f.out ELSE list_append(f.out, {_HEAD} || chr(10) || f.cur) END",
+        ),
+    ),
     "adjacent_cosine": (adjacent_cosine, f"WITH {_COS} SELECT vec_id, label, similarity FROM c"),
     "valley_boundaries": (
         valley_boundaries,
@@ -395,8 +479,19 @@ SELECT event_id, first_value(CASE WHEN value > 50 THEN round(value, 2) END IGNOR
         chunk_index_total,
         "SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS chunk_index, count(*) OVER (PARTITION BY source) AS chunk_total FROM documents",
     ),
-    "tiny_merge": (tiny_merge, None),
-    "artifact_merge": (artifact_merge, None),
+    "tiny_merge": (
+        tiny_merge,
+        f"""WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l) <> '') AS l FROM documents),
+t AS (SELECT doc_id, list_transform(l, lambda x, i: {{'type': CASE WHEN (i - 1) % 7 = 3 THEN 'table' ELSE 'text' END, 'content': x, 'next': CASE WHEN i = len(l) THEN '' WHEN i % 7 = 3 THEN 'table' ELSE 'text' END}}) AS items FROM l),
+f AS (SELECT doc_id, ({_TINY}).out AS c FROM t)
+SELECT doc_id, (unnest(range(1, len(c) + 1)) - 1)::INT AS chunk, unnest(c).type AS type, unnest(c).content AS content FROM f""",
+    ),
+    "artifact_merge": (
+        artifact_merge,
+        f"""WITH t AS (SELECT doc_id, string_split('---' || chr(10) || 'Page 1' || chr(10) || text || chr(10) || 'Page 2', chr(10)) AS parts FROM documents), f AS (SELECT doc_id, {_ARTIFACTS} AS f FROM t),
+c AS (SELECT doc_id, CASE WHEN f.held <> '' THEN list_append(f.out, f.held) ELSE f.out END AS c FROM f)
+SELECT doc_id, (unnest(range(1, len(c) + 1)) - 1)::INT AS part, unnest(c) AS content FROM c""",
+    ),
     "type_counts": (type_counts, f"WITH {_TYPED} SELECT type, count(*) AS chunks, min(tokens) AS least, floor(avg(tokens))::BIGINT AS mean, max(tokens) AS most FROM t GROUP BY type"),
     "length_stats": (
         length_stats,
