@@ -38,6 +38,7 @@ extra columns pass through ``remove_lines`` untouched. One text is held by one t
 from __future__ import annotations
 
 import uuid
+from contextlib import ExitStack, contextmanager
 from fractions import Fraction
 
 import numpy as np
@@ -410,40 +411,53 @@ def removed_lines(docs: DataFrame, threshold: str = THRESHOLD, id_column: str =
     """(doc, hash, lines): of each document that loses lines, their numbers from 0, ascending; doc and hash as store.doc_key gives them."""
     spark = docs.sparkSession
     with store.scratch(spark):
-        path = store.fresh(spark, "line-sets")
-        sets = line_sets(docs, threshold, id_column, text)
-        sets.write.option("compression", "snappy").parquet(path)
-        sets = spark.read.schema(sets.schema).parquet(path)
-        lines = store.settled(sets.select("doc", "hash", "line", "sid", "low"), "lines")
-        state = _state(sets, path, _Filters(threshold))
+        with ExitStack() as held:
+            path = store.fresh(spark, "line-sets")
+            sets = line_sets(docs, threshold, id_column, text)
+            sets.write.option("compression", "snappy").parquet(path)
+            sets = spark.read.schema(sets.schema).parquet(path)
+            lines = store.settled(sets.select("doc", "hash", "line", "sid", "low"), "lines")
+            classes = held.enter_context(_classes(sets))
+            store.discard(spark, path)
+            del sets
+            store.release(spark)
+            state = _state(classes, _Filters(threshold))
         is_first = (F.col("doc") == F.col("d")) & (F.col("line") == F.col("l")) & (F.col("hash") == F.col("h"))
         judged = lines.join(state, "sid").where((F.coalesce("g", F.lit(False)) | ~is_first) & (F.col("low") == F.col("m")))
         return store.settled(judged.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("line")).alias("lines")), "line-removed", outlives=True)
 
 
-def _state(sets: DataFrame, path: str, filters: _Filters) -> DataFrame:
-    """(sid, d, h, l, m, g) of every class: its first line's document, text and number, its parity map, and whether it is similar to an earlier one."""
+@contextmanager
+def _classes(sets: DataFrame):
+    """The first line of every sid, as a table below the shared folder for as long as the context lasts.
+
+    It is bucketed by sid, so that neither check of words moves it again, and made in
+    two halves of all sids, so that the words of one half only are shuffled at a time.
+    """
     spark = sets.sparkSession
-    # classes stay bucketed by sid, so that neither check of words moves them again
-    name = f"lodestone_lines_{uuid.uuid4().hex[:12]}"
-    at = store.fresh(spark, "line-classes")
+    name, at = f"lodestone_lines_{uuid.uuid4().hex[:12]}", store.fresh(spark, "line-classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped = sets.groupBy("sid").agg(F.min(F.struct("doc", "line", "hash", "n", "low", "high", "head", "tail")).alias("f")).select("sid", "f.*")
-    grouped.write.option("compression", "snappy").option("path", at).bucketBy(parts, "sid").saveAsTable(name)
-    store.discard(spark, path)
-    del sets, grouped
-    store.release(spark)
     try:
-        classes = spark.table(name)
-        gone = _gone(classes, filters)
-        state = classes.select("sid", F.col("doc").alias("d"), F.col("hash").alias("h"), F.col("line").alias("l"), F.col("low").alias("m"))
-        # written first: a join of two tables may split the rows of a line that is everywhere
-        return store.settled(state.join(gone.withColumn("g", F.lit(True)), "sid", "left"), "line-state")
+        for half in range(2):
+            first = F.min(F.struct("doc", "line", "hash", "n", "low", "high", "head", "tail")).alias("f")
+            rows = sets.where(F.col("sid").bitwiseAND(1) == half).groupBy("sid").agg(first).select("sid", "f.*")
+            rows.write.mode("append").option("compression", "snappy").option("path", at).bucketBy(parts, "sid").saveAsTable(name)
+            del rows
+            store.release(spark)
+        yield spark.table(name)
     finally:
-        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
         store.discard(spark, at)
 
 
+def _state(classes: DataFrame, filters: _Filters) -> DataFrame:
+    """(sid, d, h, l, m, g) of every class: its first line's document, text and number, its parity map, and whether it is similar to an earlier one."""
+    gone = _gone(classes, filters)
+    state = classes.select("sid", F.col("doc").alias("d"), F.col("hash").alias("h"), F.col("line").alias("l"), F.col("low").alias("m"))
+    # written first: a join of two tables may split the rows of a line that is everywhere
+    return store.settled(state.join(gone.withColumn("g", F.lit(True)), "sid", "left"), "line-state")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed, removed_lines of each document that loses lines."""
     rows = removed_lines(docs)
