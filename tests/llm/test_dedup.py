@@ -497,3 +497,41 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == counts["decontaminate"] and out.where("NOT lossless").count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small table with every kind of planted case, row by row."""
+    from tokenizers import Tokenizer
+
+    from lodestone.llm import bpe
+    from tests.llm.test_quality_chat_warc import restated
+
+    rng = random.Random(21)
+    items = [(i, words_text(rng, 25)) for i in range(4)]
+    base = words_text(rng, 150)
+    texts = [words_text(rng, rng.randint(12, 200)) for _ in range(40)]
+    texts += [base, base, base + " " + words_text(rng, 10), words_text(rng, 12) + "\n" + texts[3] + "\nAll rights reserved.", "All rights reserved.\n" + texts[5].replace(" ", "  ", 3)]
+    texts += [words_text(rng, 30) + " " + items[0][1] + " " + words_text(rng, 30), words_text(rng, 30) + " " + items[1][1].upper() + ", " + words_text(rng, 9)]
+    texts += [None, "", "too short", "again and again " * 30, "# * $ | " + words_text(rng, 20), "x y z " * 9, "\n".join(["one line of six words here"] * 9)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def good(text):
+        n, chars, symbols, dup, repeat = restated(text)
+        lines = sum(1 for x in (text or "").split("\n") if x.strip())
+        return n >= 10 and 100 * repeat <= 20 * n and 2 * n <= chars <= 20 * n and not (10 * symbols > n and symbols) and 100 * dup <= 50 * lines
+
+    kept = [(i, t) for i, t in rows if good(t)]
+    assert 0 < len(kept) < len(rows)
+    lined = sorted(plain_kept(kept))
+    assert lined != sorted(kept)
+    gone = {x for x, _ in plain_near_copies(lined)}
+    assert gone
+    single = [r for r in lined if r[0] not in gone]
+    clean = [(i, t) for i, t in single if all(plain_edits(plain_words(x), plain_words(t)) > decontaminate.allowed(len(plain_words(x)), 0.8) for _, x in items)]
+    assert len(clean) == len(single) - 2
+    lib = Tokenizer.from_file(bpe.vocabulary_path())
+    want = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in clean}
+    assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
