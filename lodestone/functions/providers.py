@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,13 @@ Embed = Callable[[list[str]], np.ndarray]
 def hashed_embedding(texts: list[str], dimension: int = DIMENSION) -> np.ndarray:
     """Signed feature hashing of words, of unit length; an empty text is the zero vector."""
     out = np.zeros((len(texts), dimension), np.float32)
-    for i, text in enumerate(texts):
-        for word in (text or "").lower().split():
-            h = zlib.crc32(word.encode())
-            out[i, h % dimension] += 1.0 if (h >> 16) & 1 else -1.0
+    held = [(text or "").lower().split() for text in texts]
+    known: dict[str, int] = {}
+    code = [known.get(w) or known.setdefault(w, zlib.crc32(w.encode())) for words in held for w in words]
+    if code:
+        h = np.array(code, np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in held])
+        np.add.at(out, (row, h % dimension), np.where((h >> 16) & 1, 1.0, -1.0).astype(np.float32))
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, n, out=out, where=n > 0)
 
@@ -41,6 +45,41 @@ def embedded(df: DataFrame, text: str, embed: Embed = hashed_embedding, name: st
     return df.mapInPandas(run, schema)
 
 
+def segmented(df: DataFrame, parts: str, cut: float, embed: Embed = hashed_embedding, batch: int = 256) -> DataFrame:
+    """df with each row's array of texts joined into runs: a new one begins where neighbours' similarity, to 6 places, lies below the cut.
+
+    A row's texts are embedded and compared where they lie; nothing is shuffled. Zero vectors have similarity 0.
+    """
+    names = df.columns
+    at = names.index(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 100):
+                rows = whole.slice(first, 100)
+                held = [x or [] for x in rows.column(at).to_pylist()]
+                texts = [t for x in held for t in x]
+                vectors = [embed(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+                v = np.concatenate(vectors).astype(np.float64) if vectors else np.zeros((0, 1))
+                norm = np.sqrt((v * v).sum(1))
+                dot, size = (v[1:] * v[:-1]).sum(1), norm[1:] * norm[:-1]
+                near = np.round(np.divide(dot, size, out=np.zeros_like(dot), where=size > 0), 6)
+                out, base = [], 0
+                for x in held:
+                    runs: list[list[str]] = []
+                    for i, text in enumerate(x):
+                        if i == 0 or near[base + i - 1] < cut:
+                            runs.append([])
+                        runs[-1].append(text)
+                    out.append([" ".join(r) for r in runs])
+                    base += len(x)
+                cols = list(rows.columns)
+                cols[at] = pa.array(out, pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def healthy(embed: Embed = hashed_embedding) -> bool:
     """Whether an embedder gives vectors of one length, not zero, and orders related texts before unrelated ones."""
     a, b, c = embed(["annual sales report", "sales report of the year", "zebra crossing"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.providers import embedded
+from lodestone.functions.providers import segmented
 from lodestone.operators import chunkers, chunks, crawl, packing, windows
 from lodestone.plans import inputs
 from lodestone.session import table
@@ -107,11 +107,8 @@ def semantic_segments(spark, d):
 def semantic_chunks(spark, d):
     """Sentences of each document cut where neighbours' embeddings differ, then short segments merged."""
     t = table(spark, d, "documents")
-    s = embedded(t.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "sentence")), "sentence")
-    rows = windows.segments(windows.neighbours(s, ["doc_id"], ["i"], "vector"), ["doc_id"], ["i"])
-    parts = rows.groupBy("doc_id", "segment").agg(F.sort_array(F.collect_list(F.struct("i", "sentence"))).alias("s")).select("doc_id", "segment", F.array_join("s.sentence", " ").alias("p"))
-    whole = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("segment", "p"))).alias("a"))
-    return whole.select("doc_id", F.posexplode(packing.merge_short(F.col("a.p"))).alias("chunk", "content"))
+    runs = segmented(t.select("doc_id", T.sentences(F.col("text")).alias("s")), "s", windows.SEGMENT_CUT)
+    return runs.select("doc_id", F.posexplode(packing.merge_short(F.col("s"))).alias("chunk", "content"))
 
 
 def section_islands(spark, d):

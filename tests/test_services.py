@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import providers
 from lodestone.functions import text as T
-from lodestone.operators import answer, chunkers, chunks, index, memory, permissions, tables
+from lodestone.operators import answer, chunkers, chunks, index, memory, permissions, tables, windows
 from lodestone.plans import services
 from lodestone.sources import files, sinks
 
@@ -62,6 +62,19 @@ def test_embedding_drops_failed_batches(spark):
     assert providers.query_vector("a b").any()
 
 
+def test_segments_where_texts_lie(spark):
+    """The same runs as by windows over exploded rows."""
+    texts = [["a b c", "a b c d", "x y", "x y z", ""], [], None, ["one"], [f"w{i % 3} same {i}" for i in range(9)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s array<string>")
+    got = {r.id: r.s for r in providers.segmented(df, "s", 0.65).collect()}
+    rows = providers.embedded(df.select("id", F.posexplode("s").alias("i", "t")), "t")
+    parts = windows.segments(windows.neighbours(rows, ["id"], ["i"], "vector"), ["id"], ["i"], cut=0.65)
+    want = {}
+    for r in parts.orderBy("id", "i").collect():
+        want.setdefault(r.id, {}).setdefault(r.segment, []).append(r.t)
+    assert {i: v for i, v in got.items() if v} == {i: [" ".join(x) for x in v.values()] for i, v in want.items()}
+
+
 def test_table_index(spark):
     profiles = spark.createDataFrame([("orders", "Table orders. COLUMNS: price", "1"), ("parts", "Table parts. COLUMNS: size", "1")], "table_name string, summary string, digest string")
     first = tables.table_index(profiles)
