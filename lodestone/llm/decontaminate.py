@@ -15,8 +15,10 @@ short of ``recall``, are met by their pieces instead, one more than the edits
 allowed, so none is missed. The share found of its class comes with every match.
 
 The benchmark is a query set: it is taken in blocks of about BLOCK_ITEMS items or
-BLOCK_BYTES of text and each block meets all documents; documents are never
-shuffled. A task gets the items' words and builds their tables itself.
+BLOCK_BYTES of text, and PASS_BLOCKS blocks meet all documents in one pass over
+them; documents are never shuffled, and their words are hashed once a pass. Blocks
+are broadcast as their items' words; a worker builds the tables of one block at a
+time, and keeps the last block's for its next task.
 
 Defined results: null and blank texts and items match nothing; a null id stays
 null; repeated rows and repeated items each report; an empty table gives no
@@ -26,11 +28,13 @@ task.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import vec
@@ -39,6 +43,10 @@ SIMILARITY = 0.8
 RECALL = 0.97
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
+#: Blocks that take turns in one pass over the documents; a worker holds the words of so many, 8 bytes each.
+PASS_BLOCKS = 4
+#: Bytes of rows and words that a task holds while the blocks of a pass take turns.
+HELD_BYTES = 32 << 20
 SHORT = 8
 #: Least words of the classes of sizes for which recall is measured, after the first.
 CLASSES = (10, 12, 16, 24, 40, 80)
@@ -302,8 +310,28 @@ def least_edits(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.
     return best, end
 
 
-def _found(items: Items, part: pa.RecordBatch) -> pa.RecordBatch:
-    words, bounds = word_hashes(part.column(1))
+#: The items whose tables this worker holds, by their block's name; one block at most.
+_BUILT: dict[str, Items] = {}
+
+
+class _Block:
+    """A block of items as a broadcast of its words."""
+
+    def __init__(self, spark: SparkSession, items: Items) -> None:
+        self.name = uuid.uuid4().hex
+        self.sent = spark.sparkContext.broadcast(items.__getstate__())
+
+    def items(self) -> Items:
+        if self.name not in _BUILT:
+            _BUILT.clear()
+            held = Items.__new__(Items)
+            held.__setstate__(self.sent.value)
+            _BUILT[self.name] = held
+        return _BUILT[self.name]
+
+
+def _matches(items: Items, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """(row, item) -> (edits, word after the match) of the best match of each."""
     stop = np.repeat(bounds[1:], np.diff(bounds))
     item, start, row = items.candidates(words, stop, bounds)
     best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -318,21 +346,56 @@ def _found(items: Items, part: pa.RecordBatch) -> pa.RecordBatch:
             for i, r, e, z, limit in zip(item[some].tolist(), row[some].tolist(), edits.tolist(), (low[some] + end).tolist(), items.edits[item[some]].tolist()):
                 if e <= limit and (e, z) < best.get((r, i), (1 << 60, 0)):
                     best[r, i] = (e, z)
-    ids = part.column(0).to_pylist()
+    return best
+
+
+def _rows(items: Items, ids: list, bounds: np.ndarray, best: dict[tuple[int, int], tuple[int, int]]) -> pa.RecordBatch:
     out = [(ids[r], items.ids[i], int(items.size[i]), e, int(z - bounds[r]), float(items.recall[i])) for (r, i), (e, z) in sorted(best.items())]
     cols = list(zip(*out)) if out else [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 5, pa.float64()])], ["doc_id", "item_id", "item_words", "edits", "end_word", "recall"])
 
 
-def _blocks(benchmark: DataFrame, similarity: float, recall: float):
-    """The benchmark's items, a block at a time."""
+def _found(items: Items, part: pa.RecordBatch) -> pa.RecordBatch:
+    words, bounds = word_hashes(part.column(1))
+    return _rows(items, part.column(0).to_pylist(), bounds, _matches(items, words, bounds))
+
+
+def _turns(batches: Iterator[pa.RecordBatch], at: int, blocks: list[_Block]) -> Iterator[tuple[list[tuple], Iterator[Items]]]:
+    """Slices of rows as (rows, word hashes, bounds), up to HELD_BYTES together, with the blocks that meet them.
+
+    The block whose tables are held comes first. One block needs no turns, so each slice goes alone.
+    """
+
+    def in_turn() -> Iterator[Items]:
+        for block in sorted(blocks, key=lambda b: b.name not in _BUILT):
+            yield block.items()
+
+    held, size = [], 0
+    for batch in batches:
+        for part in vec.slices(batch, "text"):
+            words, bounds = word_hashes(part.column(at))
+            held.append((part, words, bounds))
+            size += part.nbytes + words.nbytes
+            if len(blocks) == 1 or size >= HELD_BYTES:
+                yield held, in_turn()
+                held, size = [], 0
+    if held:
+        yield held, in_turn()
+
+
+def _passes(benchmark: DataFrame, similarity: float, recall: float) -> Iterator[list[_Block]]:
+    """The benchmark's items as blocks, the blocks of one pass together; the driver holds a block's texts at a time."""
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    held: list[_Block] = []
     for block in range(blocks):
         some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = some.toArrow()
-        yield Items(held.column(0).to_pylist(), held.column(1).to_pylist(), similarity, recall)
+        rows = some.toArrow()
+        held.append(_Block(benchmark.sparkSession, Items(rows.column(0).to_pylist(), rows.column(1).to_pylist(), similarity, recall)))
+        if len(held) == PASS_BLOCKS or block == blocks - 1:
+            yield held
+            held = []
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,12 +406,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].alias("text"))
     parts = []
-    for items in _blocks(benchmark, similarity, recall):
+    for blocks in _passes(benchmark, similarity, recall):
 
-        def run(batches, items=items):
-            for batch in batches:
-                for part in vec.slices(batch, "text"):
-                    yield _found(items, part)
+        def run(batches, blocks=blocks):
+            for held, in_turn in _turns(batches, 1, blocks):
+                for items in in_turn:
+                    for part, words, bounds in held:
+                        yield _rows(items, part.column(0).to_pylist(), bounds, _matches(items, words, bounds))
 
         parts.append(rows.mapInArrow(vec.lean(run), "doc_id long, item_id long, item_words long, edits long, end_word long, recall double"))
     return reduce(DataFrame.union, parts).withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
@@ -357,16 +421,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """docs without those that hold an item; a document's verdict is found where its text lies, without a join."""
     names, at = docs.columns, docs.columns.index("text")
-    for items in _blocks(benchmark, similarity, recall):
-
-        def run(batches, items=items):
-            for batch in batches:
-                for part in vec.slices(batch, "text"):
-                    number = pa.array(np.arange(part.num_rows))
-                    hit = _found(items, pa.RecordBatch.from_arrays([number, part.column(at)], ["doc_id", "text"])).column(0).to_numpy()
-                    clean = np.ones(part.num_rows, bool)
-                    clean[hit] = False
-                    yield part.filter(pa.array(clean))
+    for blocks in _passes(benchmark, similarity, recall):
+
+        def run(batches, blocks=blocks):
+            for held, in_turn in _turns(batches, at, blocks):
+                clean = [np.ones(part.num_rows, bool) for part, _, _ in held]
+                for items in in_turn:
+                    for good, (_, words, bounds) in zip(clean, held):
+                        good[[row for row, _ in _matches(items, words, bounds)]] = False
+                for good, (part, _, _) in zip(clean, held):
+                    yield part.filter(pa.array(good))
 
         docs = docs.mapInArrow(vec.lean(run), docs.schema)
     return docs.select(*names)

@@ -479,6 +479,27 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench).collect()} == whole
     verbatim = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
     assert verbatim <= {k[:2] for k in whole}
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench).collect()} == whole
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} - {k[0] for k in whole}
+
+
+def test_blocks_take_turns_over_held_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [words_text(rng, 20) for _ in range(12)]
+    blocks = [decontaminate._Block(spark, decontaminate.Items(list(range(k, 12, 3)), texts[k::3], 0.8, 0.97)) for k in range(3)]
+    rows = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f"a {t} b"])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 1000)
+    met, groups = [], 0
+    for held, in_turn in decontaminate._turns(iter(rows), 1, blocks):
+        groups += 1
+        for items in in_turn:
+            assert len(decontaminate._BUILT) == 1
+            for part, words, bounds in held:
+                found = decontaminate._rows(items, part.column(0).to_pylist(), bounds, decontaminate._matches(items, words, bounds))
+                met += zip(found.column(0).to_pylist(), found.column(1).to_pylist())
+    assert 1 < groups < 12 and sorted(met) == [(i, i) for i in range(12)]
 
 
 # -- pipeline -------------------------------------------------------------------
