@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import corpus_pipeline
-from lodestone.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, store, substring_dedup, token_counts, token_store, warc
+from lodestone.llm import bpe, centroids, chat, decontaminate, line_dedup, quality, simhash, store, substring_dedup, token_counts, token_store, warc
 
 
 def _table(spark, sf_dir, name):
@@ -52,6 +52,10 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark, sf_dir):
+    return centroids.report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op1_bpe": op1_bpe,
@@ -64,6 +68,7 @@ def queries():
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
+        "op11_centroids": op11_centroids,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -73,4 +78,5 @@ def oracle_sql():
         "op4_quality": quality.ORACLE_SQL,
         "op5_chat": chat.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
+        "op11_centroids": centroids.ORACLE_SQL,
     }
