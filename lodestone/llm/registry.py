@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import corpus_pipeline
-from lodestone.llm import bpe, centroids, chat, decontaminate, line_dedup, quality, simhash, store, substring_dedup, token_counts, token_store, warc
+from lodestone.llm import bpe, centroids, chat, decontaminate, line_dedup, pii, quality, simhash, store, substring_dedup, token_counts, token_store, warc
 
 
 def _table(spark, sf_dir, name):
@@ -56,6 +56,10 @@ def op11_centroids(spark, sf_dir):
     return centroids.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_pii(spark, sf_dir):
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_bpe": op1_bpe,
@@ -69,6 +73,7 @@ def queries():
         "op9_token_counts": op9_token_counts,
         "op10_line_dedup": op10_line_dedup,
         "op11_centroids": op11_centroids,
+        "op12_pii": op12_pii,
         "pipeline": corpus_pipeline.run,
     }
 
