@@ -38,7 +38,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Rows from which pieces are taken, and pieces that are kept of these.
 SAMPLE_ROWS, SAMPLE_PIECES, PIECE = 4000, 2000, 160
 HIDDEN, STEPS, EXAMPLES, LENGTH, SEED = 20, 800, 8000, 96, 12
-WINDOW, OVERLAP, ROUND, ROWS = 512, 64, 64, 512
+WINDOW, OVERLAP, ROUND, ROWS, SLICE = 768, 64, 128, 512, 4 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -234,9 +234,8 @@ def fit(docs: DataFrame, steps: int = STEPS) -> tagger.Tagger:
 
 
 def _windows(n: int) -> list[tuple[int, int]]:
-    """Windows [start, end) that cover n characters; each pair of neighbours shares OVERLAP of them or more."""
-    out = [(s, s + WINDOW) for s in range(0, max(0, n - WINDOW), WINDOW - OVERLAP)]
-    return out + [(max(0, n - WINDOW), n)] if n else []
+    """Windows [start, end) that cover n characters; each pair of neighbours shares OVERLAP of them."""
+    return [(s, min(n, s + WINDOW)) for s in range(0, max(n - OVERLAP, min(n, 1)), WINDOW - OVERLAP)]
 
 
 def reconciled(found: list[tuple[str, int, int, float, bool, bool]]) -> list[Span]:
@@ -302,7 +301,7 @@ def added_spans(texts: list[str], base: list[list[Span]], model: tagger.Tagger)
         em = model.emissions(x)
         for r, tags in model.paths(em).items():
             _, i, s = where[at + r]
-            for kind, start, end, score in model.spans(tags, em[:, r]):
+            for kind, start, end, score in model.spans(tags, em[:, :, r]):
                 end = min(end, len(chars[i]) - s)
                 if start < end:
                     found[i].append((kind, s + start, s + end, score, s > 0 and start == 0, end == size and s + end < len(chars[i])))
@@ -343,7 +342,7 @@ def find(docs: DataFrame, model: tagger.Tagger, id_column: str = "doc_id", text:
 
     def run(batches):
         for batch in batches:
-            for part in vec.slices(batch, "text"):
+            for part in vec.slices(batch, "text", SLICE):
                 rows = [[dict(zip(("kind", "start", "end", "base"), s)) for s in spans] for spans in _found(part.column(1), model)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
@@ -365,7 +364,7 @@ def redact(docs: DataFrame, model: tagger.Tagger, text: str = "text") -> DataFra
 
     def run(batches):
         for batch in batches:
-            for part in vec.slices(batch, names[at]):
+            for part in vec.slices(batch, names[at], SLICE):
                 bodies = part.column(at).to_pylist()
                 cols = list(part.columns)
                 cols[at] = pa.array([None if b is None else without(b, s) for b, s in zip(bodies, _found(part.column(at), model))], pa.string())

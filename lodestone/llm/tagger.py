@@ -72,7 +72,8 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 class Tagger:
     """e (2, classes, 4h), u (2, h, 4h), w (2, h, tags), b (tags), trans (tags, tags), first (tags), last (tags).
 
-    Gate columns are input, forget, output (at half their scale, so that one tanh serves all), and candidate.
+    Gate columns are input, forget, output, and candidate. A gate is 1 + tanh, twice the usual one, so that one tanh
+    serves all columns; the cell halves what they let through, and the output's double is left to the weights.
     """
 
     kinds: tuple[str, ...]
@@ -106,42 +107,46 @@ class Tagger:
         return trans, first
 
     def emissions(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """(steps, rows, tags) for classes x (rows, steps), all rows of one length. keep: receives what the way back needs."""
+        """(steps, tags, rows) for classes x (rows, steps), all rows of one length. keep: receives what the way back needs.
+
+        Rows are the last axis throughout, so each gate is one run of memory and a step stays within the cache.
+        """
         n, steps = x.shape
         hid = self.p["u"].shape[1]
-        # gate by gate, so that each is one run of memory: (gate, direction, ...)
-        e = np.ascontiguousarray(self.p["e"].reshape(2 * N_CLASSES, 4, hid).transpose(1, 0, 2)).reshape(-1, hid)
-        u = np.ascontiguousarray(self.p["u"].reshape(2, hid, 4, hid).transpose(2, 0, 1, 3))
+        e = self.p["e"].reshape(2 * N_CLASSES, 4 * hid)
+        u, w = (np.ascontiguousarray(self.p[k].transpose(0, 2, 1)) for k in ("u", "w"))
         both = np.stack([x.T, x.T[::-1]], axis=1).astype(np.intp)  # (steps, 2, rows)
         both[:, 1] += N_CLASSES
-        gate = (np.arange(4) * 2 * N_CLASSES)[:, None, None]
         dtype = e.dtype
-        h, c = np.zeros((steps + 1, 2, n, hid), dtype), np.zeros((2, n, hid), dtype)
-        z, zu, tmp = np.empty((4, 2, n, hid), dtype), np.empty((4, 2, n, hid), dtype), np.empty((2, n, hid), dtype)
+        h, c, tmp = (np.zeros((2, hid, n), dtype) for _ in range(3))
+        seen, z = np.empty((2, n, 4 * hid), dtype), np.empty((2, 4 * hid, n), dtype)
+        out = np.empty((steps, 2, w.shape[1], n), dtype)
         for t in range(steps):
-            np.take(e, both[t] + gate, axis=0, out=z, mode="clip")
-            np.matmul(h[t], u, out=zu)
-            z += zu
+            before = (h.copy(), c.copy()) if keep is not None else None
+            np.take(e, both[t], axis=0, out=seen, mode="clip")
+            np.matmul(u, h, out=z)
+            z += seen.transpose(0, 2, 1)
             np.tanh(z, out=z)
-            gates = z[:3]
-            gates *= 0.5
-            gates += 0.5
-            before = c.copy() if keep is not None else None
-            c *= z[1]
-            np.multiply(z[0], z[3], out=tmp)
+            z[:, : 3 * hid] += 1  # gates lie between 0 and 2
+            c *= z[:, hid : 2 * hid]
+            np.multiply(z[:, :hid], z[:, 3 * hid :], out=tmp)
             c += tmp
+            c *= 0.5
             np.tanh(c, out=tmp)
-            np.multiply(z[2], tmp, out=h[t + 1])
+            np.multiply(z[:, 2 * hid : 3 * hid], tmp, out=h)
+            np.matmul(w, h, out=out[t])
             if keep is not None:
-                keep.append((both[t], h[t], before, z.copy(), tmp.copy(), h[t + 1]))
-        out = np.matmul(h[1:], self.p["w"])
-        return out[:, 0] + out[::-1, 1] + self.p["b"]
+                keep.append((both[t], *before, z.copy(), tmp.copy(), h.copy()))
+        em = out[:, 0]
+        em += out[::-1, 1]
+        em += self.p["b"][:, None]
+        return em
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood a row of the tags y (rows, steps), and its gradient."""
         keep: list = []
-        em = self.emissions(x, keep)
-        steps, n, t = em.shape
+        em = np.ascontiguousarray(self.emissions(x, keep).transpose(0, 2, 1))
+        steps, n, _ = em.shape
         trans, first = self._allowed(_SELDOM)
         last = self.p["last"]
         alpha, beta = np.empty_like(em), np.empty_like(em)
@@ -164,27 +169,28 @@ class Tagger:
             d_em[s, rows, y[:, s]] -= 1
         g["first"], g["last"], g["b"] = d_em[0].sum(axis=0), d_em[-1].sum(axis=0), d_em.sum(axis=(0, 1))
         g["trans"], g["first"] = self._allowed(np.float32(0), g["trans"], g["first"])
+        d_em = d_em.transpose(0, 2, 1)
         self._back(keep, np.stack([d_em, d_em[::-1]], axis=1), g)
         return float((z - gold).mean()), {k: v / n for k, v in g.items()}
 
     def _back(self, keep: list, d_out: np.ndarray, g: dict[str, np.ndarray]) -> None:
-        """Gradient of the recurrent layers; d_out is (steps, 2, rows, tags) in each direction's own order."""
-        u_t, w_t = self.p["u"].transpose(0, 2, 1), self.p["w"].transpose(0, 2, 1)
+        """Gradient of the recurrent layers; d_out is (steps, 2, tags, rows) in each direction's own order."""
+        hid = self.p["u"].shape[1]
         one_of = np.eye(N_CLASSES, dtype=self.p["e"].dtype)
         d_h = np.zeros_like(keep[0][1])
         d_c = np.zeros_like(d_h)
         for t in range(len(keep) - 1, -1, -1):
             at, h0, c0, z, tc, h1 = keep[t]
-            i, f, o, k = z
-            g["w"] += h1.transpose(0, 2, 1) @ d_out[t]
-            d_h = d_h + d_out[t] @ w_t
-            d_c = d_c + d_h * o * (1 - tc * tc)
-            # gates are (tanh + 1) / 2 of their columns: slope 2 g (1 - g)
-            d_z = np.concatenate([d_c * k * 2 * i * (1 - i), d_c * c0 * 2 * f * (1 - f), d_h * tc * 2 * o * (1 - o), d_c * i * (1 - k * k)], axis=-1)
-            g["u"] += h0.transpose(0, 2, 1) @ d_z
+            i, f, o, k = (z[:, j * hid : (j + 1) * hid] for j in range(4))
+            g["w"] += h1 @ d_out[t].transpose(0, 2, 1)
+            d_h = d_h + self.p["w"] @ d_out[t]
+            d_c = 0.5 * (d_c + d_h * o * (1 - tc * tc))
+            # a gate is tanh + 1: its slope is g (2 - g)
+            d_z = np.concatenate([d_c * k * i * (2 - i), d_c * c0 * f * (2 - f), d_h * tc * o * (2 - o), d_c * i * (1 - k * k)], axis=1)
+            g["u"] += h0 @ d_z.transpose(0, 2, 1)
             for side in range(2):
-                g["e"][side] += one_of[at[side] - side * N_CLASSES].T @ d_z[side]
-            d_h = d_z @ u_t
+                g["e"][side] += (d_z[side] @ one_of[at[side] - side * N_CLASSES]).T
+            d_h = self.p["u"] @ d_z
             d_c = d_c * f
 
     @staticmethod
@@ -193,36 +199,34 @@ class Tagger:
 
         A run opens with a B, and gains at most the best step into it, its best emissions, the best step within it for each further tag, and the best out of it.
         """
-        opening, best = em[:, :, 1].copy(), em[:, :, 2].copy()
-        for t in range(3, em.shape[2]):
-            side = opening if t % 2 else best
-            np.maximum(side, em[:, :, t], out=side)
-        np.maximum(best, opening, out=best)
+        opening, best = em[:, 1::2].max(axis=1), em[:, 1:].max(axis=1)
         into, out, within = max(trans[0, 1:].max(), first[1:].max()), max(trans[1:, 0].max(), last[1:].max()), trans[1:, 1:].max()
-        opening -= em[:, :, 0]
-        best -= em[:, :, 0]
+        opening -= em[:, 0]
+        best -= em[:, 0]
         best += within
         total = np.cumsum(best, axis=0, dtype=np.float64)
         return (total + np.maximum.accumulate(opening - total, axis=0)).max(axis=0) + into + out
 
     def paths(self, em: np.ndarray) -> dict[int, np.ndarray]:
-        """row -> best tags, of the rows whose best path is not O throughout; em is (steps, rows, tags)."""
+        """row -> best tags, of the rows whose best path is not O throughout; em is (steps, tags, rows)."""
         trans, first = self._allowed()
         last = self.p["last"]
         open_ = np.flatnonzero(self._most_gain(em, trans - trans[0, 0], first - first[0], last - last[0]) > -0.01)
         if not len(open_):
             return {}
-        em = np.ascontiguousarray(em[:, open_])
-        score, back = first + em[0], np.empty(em.shape, np.uint8)
+        em = np.ascontiguousarray(em[:, :, open_])
+        score = np.empty_like(em)
+        score[0] = first[:, None] + em[0]
+        each, step = np.empty((len(first), *em.shape[1:]), em.dtype), trans[:, :, None]
         for s in range(1, len(em)):
-            each = score[:, :, None] + trans
-            back[s] = each.argmax(axis=1)
-            score = each.max(axis=1) + em[s]
-        tags = np.empty(em.shape[:2], np.uint8)
-        tags[-1] = (score + last).argmax(axis=1)
-        rows = np.arange(len(open_))
+            np.add(score[s - 1][:, None], step, out=each)
+            np.max(each, axis=0, out=score[s])
+            score[s] += em[s]
+        # the way back finds the best tag before each tag that it takes
+        tags = np.empty((len(em), len(open_)), np.uint8)
+        tags[-1] = (score[-1] + last[:, None]).argmax(axis=0)
         for s in range(len(em) - 1, 0, -1):
-            tags[s - 1] = back[s, rows, tags[s]]
+            tags[s - 1] = (score[s - 1] + trans[:, tags[s]]).argmax(axis=0)
         return {int(r): tags[:, i] for i, r in enumerate(open_) if tags[:, i].any()}
 
     def spans(self, tags: np.ndarray, em: np.ndarray) -> list[tuple[str, int, int, float]]:
