@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import vec
+from lodestone.llm import store, vec
 
 SIMILARITY = 0.8
 RECALL = 0.97
@@ -372,7 +372,7 @@ def _turns(batches: Iterator[pa.RecordBatch], at: int, blocks: list[_Block]) ->
 
     held, size = [], 0
     for batch in batches:
-        for part in vec.slices(batch, "text"):
+        for part in vec.slices(batch, at):
             words, bounds = word_hashes(part.column(at))
             held.append((part, words, bounds))
             size += part.nbytes + words.nbytes
@@ -430,7 +430,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
                     for good, (_, words, bounds) in zip(clean, held):
                         good[[row for row, _ in _matches(items, words, bounds)]] = False
                 for good, (part, _, _) in zip(clean, held):
-                    yield part.filter(pa.array(good))
+                    yield part.filter(pa.array(good)).rename_columns(names)
 
-        docs = docs.mapInArrow(vec.lean(run), docs.schema)
-    return docs.select(*names)
+        docs = store.mapped(docs, vec.lean(run), docs.schema)
+    return docs

@@ -470,7 +470,7 @@ def remove_lines(docs: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
     names = docs.columns
     doc, hash_ = store.doc_key()
     # by sorting at every size: what is broadcast would grow with the documents
-    joined = docs.join(rows.hint("merge"), (doc == rows["doc"]) & (hash_ == rows["hash"]), "left").select(*[docs[c] for c in names], rows["lines"].alias("__gone"))
+    joined = docs.join(rows.hint("merge"), (doc == rows["doc"]) & (hash_ == rows["hash"]), "left").select(*store.own(docs), rows["lines"].alias(store.unused(names, "gone")))
     at = names.index("text")
 
     def run(batches):
@@ -485,7 +485,7 @@ def remove_lines(docs: DataFrame, threshold: str = THRESHOLD) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.mapInArrow(vec.lean(run), docs.schema)
+    out = store.mapped(joined, vec.lean(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import tagger, vec
+from lodestone.llm import store, tagger, vec
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rows from which pieces are taken, and pieces that are kept of these.
@@ -364,13 +364,13 @@ def redact(docs: DataFrame, model: tagger.Tagger, text: str = "text") -> DataFra
 
     def run(batches):
         for batch in batches:
-            for part in vec.slices(batch, names[at], SLICE):
+            for part in vec.slices(batch, at, SLICE):
                 bodies = part.column(at).to_pylist()
                 cols = list(part.columns)
                 cols[at] = pa.array([None if b is None else without(b, s) for b, s in zip(bodies, _found(part.column(at), model))], pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = docs.mapInArrow(vec.lean(run), docs.schema)
+    out = store.mapped(docs, vec.lean(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out

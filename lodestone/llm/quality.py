@@ -21,10 +21,11 @@ from lodestone.llm import store
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: A line that opens with a bullet; one that ends in an ellipsis; a word with an ASCII letter or a character beyond ASCII.
-BULLET = r"^[\x20\x09]*(-|\*|\u2022|\u2023|\u25CF|\u25AA)"
-ELLIPSIS = r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$"
-LETTER = r"[A-Za-z]|[^\x00-\x7F]"
+#: A line that opens with a bullet; one that ends in an ellipsis; a word with an ASCII letter or a character beyond ASCII,
+#: from its start on. Each is counted by one pass over the text; lines end at \n only.
+BULLET = r"(?dm)^[\x20\x09]*+(-|\*|\u2022|\u2023|\u25CF|\u25AA)"
+ELLIPSIS = r"(?dm)(\.\.\.|\u2026)[\x20\x09\x0B-\x0D]*+$"
+LETTER_WORD = r"(?<![^\x20\x09-\x0D])[\x00-\x08\x0E-\x1F\x21-\x40\x5B-\x60\x7B-\x7F]*+[^\x00-\x40\x5B-\x60\x7B-\x7F][^\x20\x09-\x0D]*+"
 WINDOW = 5
 
 #: Rule name -> failure, over the measurements. The order fixes each rule's bit.
@@ -64,20 +65,22 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(positions, start, step, lambda a: a["n"])
 
 
-def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the measurements, failed_bits, and the columns named in keep (as they were)."""
-    kept = [F.col(c) for c in keep]
-    names = [c for c in keep if c != id_column]
-    if set(names) & {"_t", "_w", "_x", "_z", "_l"}:
-        raise ValueError("columns _t, _w, _x, _z and _l are taken")
-    df = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.struct(*kept, F.lit(0).alias("_")).alias("_keep"))
+def _measured(docs: DataFrame, id_column: str, text: str, kept: list[str]) -> DataFrame:
+    """doc_id, the measurements, failed_bits, and _keep: a struct of the columns named in kept, under names of its own."""
+    keep = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("_"))
+    df = docs.select(docs[f"`{id_column}`"].alias("doc_id"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("_t"), keep.alias("_keep"))
     trimmed = F.trim(F.col("_t"), F.lit(SPACE))
+    count = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("long")
     df = df.select(
-        "*",
+        "doc_id",
+        "_keep",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)).alias("_w"),
         F.filter(F.split(F.col("_t"), "\n"), lambda l: F.trim(l, F.lit(SPACE)) != "").alias("_l"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-    ).drop("_t")
+        count(SYMBOLS).alias("n_symbols"),
+        count(BULLET).alias("n_bullet_lines"),
+        count(ELLIPSIS).alias("n_ellipsis_lines"),
+        count(LETTER_WORD).alias("n_letter_words"),
+    )
     w = F.col("_w")
     df = df.select(
         "doc_id",
@@ -87,9 +90,9 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep:
         "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.filter("_l", lambda l: l.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter("_l", lambda l: l.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter(w, lambda x: x.rlike(LETTER))).cast("long").alias("n_letter_words"),
+        "n_bullet_lines",
+        "n_ellipsis_lines",
+        "n_letter_words",
         F.when(
             F.size(w) > WINDOW,
             F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
@@ -104,12 +107,16 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep:
     bits = F.lit(0)
     for i, failure in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(failure), F.lit(1 << i)).otherwise(F.lit(0)))
-    # a term that counts as nondeterministic: else the optimiser pushes a filter on the bits down and writes
-    # the measurements out again, many times over, within it
-    bits = bits.cast("long") + F.monotonically_increasing_id() * 0
-    return df.select(
-        "doc_id", *MEASURES, bits.alias("failed_bits"), *[F.col("_keep")[c].alias(c) for c in names]
-    )
+    return df.select("doc_id", *MEASURES, bits.cast("long").alias("failed_bits"), "_keep")
+
+
+def ledger(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the measurements, failed_bits, and the columns named in keep (as they were); one of the ledger's own names can't be kept."""
+    own = {"doc_id", "failed_bits", *MEASURES}
+    names = [c for c in keep if c != id_column]
+    if clash := sorted(c for c in names if c.lower() in own):
+        raise ValueError(f"the ledger has columns of its own named {clash}")
+    return _measured(docs, id_column, text, names).select("doc_id", *MEASURES, "failed_bits", *[F.col("_keep")[f"c{i}"].alias(c) for i, c in enumerate(names)])
 
 
 def passes(policy: str | int = CURRENT, bits: str = "failed_bits") -> Column:
@@ -147,22 +154,35 @@ def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
     base_failed: a base rule failed; kept: false if base_failed, else the policy's verdict;
     kept_v3: the same under v3; saved_by: the bits of the rule without which the policy
-    would keep the document, 0 where there is none.
+    would keep the document, 0 where there is none; saved_with: how many documents it would
+    keep without that rule, from the ablation of the policy over the ledger's bit patterns.
     """
     rows = stored(docs)
     base = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES["v1"]))) != 0
     hit = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy])))
     alone = F.when((hit != 0) & (hit.bitwiseAND(hit - 1) == 0), hit).otherwise(F.lit(0)).cast("long")
-    return rows.select(
+    # a row for each rule at most
+    effect = ablations(rows, {policy: POLICIES[policy]}).select(rule_bit("rule").alias("_bit"), F.col("only_by_rule").alias("saved_with"))
+    each = rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & passes(policy)).alias("kept"), (~base & passes("v3")).alias("kept_v3"), "failed_bits", alone.alias("saved_by"),
     )
+    return each.join(F.broadcast(effect), F.col("saved_by") == F.col("_bit"), "left").drop("_bit").withColumn("saved_with", F.coalesce("saved_with", F.lit(0).cast("long")))
+
+
+def rule_bit(rule: str) -> Column:
+    """Bit of the rule that a column names."""
+    bits = [x for i, name in enumerate(RULES) for x in (F.lit(name), F.lit(1 << i).cast("long"))]
+    return F.element_at(F.create_map(*bits), F.col(rule))
 
 
 def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, with their own columns."""
-    rows = ledger(docs, keep=tuple(docs.columns))
-    return rows.where(passes(policy) & passes("v1")).select(*docs.columns)
+    """The documents that a policy keeps, with their own columns, whatever their names."""
+    rows = _measured(docs, "doc_id", "text", docs.columns)
+    # a term that counts as nondeterministic: else the optimiser pushes the filter down and writes
+    # the measurements out again, many times over, within it
+    good = rows.withColumn("failed_bits", F.col("failed_bits") + F.monotonically_increasing_id() * 0).where(passes(policy) & passes("v1"))
+    return good.select(*[F.col("_keep")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _failure_bits_sql() -> str:
@@ -194,5 +214,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & {mask(POLICIES['v1'])}) <> 0 AS base_failed,
        (failed_bits & {mask(POLICIES['v1']) | mask(POLICIES[CURRENT])}) = 0 AS kept,
        (failed_bits & {mask(POLICIES['v1']) | mask(POLICIES['v3'])}) = 0 AS kept_v3, failed_bits,
-       CASE WHEN bit_count(failed_bits & {mask(POLICIES[CURRENT])}) = 1 THEN failed_bits & {mask(POLICIES[CURRENT])} ELSE 0 END::BIGINT AS saved_by
+       CASE WHEN bit_count(failed_bits & {mask(POLICIES[CURRENT])}) = 1 THEN failed_bits & {mask(POLICIES[CURRENT])} ELSE 0 END::BIGINT AS saved_by,
+       CASE WHEN bit_count(failed_bits & {mask(POLICIES[CURRENT])}) = 1 THEN count(*) OVER (PARTITION BY bit_count(failed_bits & {mask(POLICIES[CURRENT])}) = 1, failed_bits & {mask(POLICIES[CURRENT])}) ELSE 0 END::BIGINT AS saved_with
 FROM f"""

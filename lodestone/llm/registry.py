@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-
-import corpus_pipeline
-from lodestone.llm import bpe, centroids, chat, decontaminate, line_dedup, pii, quality, simhash, store, substring_dedup, token_counts, token_store, warc
+from lodestone.llm import bpe, centroids, chat, decontaminate, line_dedup, pii, pipeline, quality, simhash, store, substring_dedup, token_counts, token_store, warc
 
 
 def _table(spark, sf_dir, name):
@@ -74,7 +72,7 @@ def queries():
         "op10_line_dedup": op10_line_dedup,
         "op11_centroids": op11_centroids,
         "op12_pii": op12_pii,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

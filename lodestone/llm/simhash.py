@@ -532,4 +532,4 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = near_copies(docs, similarity)
     doc, text_hash = store.doc_key()
     # by sorting at every size: what is broadcast would grow with the documents
-    return docs.join(gone.hint("merge"), (doc == gone["doc"]) & (text_hash == gone["hash"]), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(gone.hint("merge"), (doc == gone["doc"]) & (text_hash == gone["hash"]), "left_anti").select(*store.own(docs))

@@ -10,11 +10,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a null doc_id wherever documents are ordered or joined.
 NULL_ID = -(2**63)
@@ -93,6 +94,24 @@ def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """docs' columns as its own, whatever their names and whatever it is joined with."""
+    return [docs[f"`{c}`"] for c in docs.columns]
+
+
+def unused(names: list[str], stem: str) -> str:
+    """A column name that none of names is, upper or lower case."""
+    taken = {n.lower() for n in names}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names, dots included: run sees them as c0, c1, ... and names its own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """The session with Arrow batches bounded for rows that hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -155,7 +155,7 @@ def _applied(docs: DataFrame, gone: DataFrame, how: str) -> DataFrame:
     """docs with their text cut; how: inner for the changed documents only, left for all."""
     names = docs.columns
     doc, text_hash = store.doc_key()
-    joined = docs.join(gone.hint("merge"), (doc == gone["doc"]) & (text_hash == gone["hash"]), how).select(*[docs[c] for c in names], gone["sentences"].alias("__gone"))
+    joined = docs.join(gone.hint("merge"), (doc == gone["doc"]) & (text_hash == gone["hash"]), how).select(*store.own(docs), gone["sentences"].alias(store.unused(names, "gone")))
     at = names.index("text")
 
     def run(batches):
@@ -168,7 +168,7 @@ def _applied(docs: DataFrame, gone: DataFrame, how: str) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return joined.mapInArrow(vec.lean(run), docs.schema)
+    return store.mapped(joined, vec.lean(run), docs.schema)
 
 
 def remove_spans(docs: DataFrame, least_words: int = LEAST_WORDS, alone_words: int = ALONE_WORDS) -> DataFrame:

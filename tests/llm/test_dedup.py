@@ -9,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lodestone.llm import decontaminate, graph, line_dedup, prefixes, simhash, store, substring_dedup
+from lodestone.llm import pipeline as corpus_pipeline
 from tests.conftest import SF
 
 
