@@ -18,7 +18,12 @@ from lodestone.operators.memory import COMPRESS_ABOVE, KEEP
 
 
 def landing(spark: SparkSession, path: str, schema: StructType | str, files_a_batch: int = 1000) -> DataFrame:
-    """Rows of Parquet files as they land."""
+    """Rows of Parquet files as they land in a folder; a single file, or a pattern, will do too."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = held.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(held) and not system.getFileStatus(held).isDirectory():
+        # a file stream takes a file by a pattern only
+        path = f"{path.rpartition('/')[0]}/{{{held.getName()}}}"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
@@ -44,6 +49,40 @@ def unseen_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+class Versions(StatefulProcessor):
+    """Hands on a key's newest row where its version is not the one held for the key."""
+
+    def __init__(self, version: str, order: tuple[str, ...]) -> None:
+        self.version, self.order = version, [*order, version]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("version", "version string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for part in rows:
+            both = part if newest is None else pd.concat([newest, part])
+            newest = both.sort_values(self.order, kind="stable", na_position="first").tail(1)
+        version = newest[self.version].iloc[0]
+        held = self.held.get() if self.held.exists() else None
+        if held is None or held[0] != version:
+            self.held.update((version,))
+            yield newest
+
+    def close(self) -> None:
+        pass
+
+
+def changed(stream: DataFrame, key: str, version: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose key is new, or comes with another version than it last had; of several rows of a micro-batch the last by ``order``, then version.
+
+    A key's version is streaming state, so nothing that was written before is read
+    again, and a version that comes back after another counts as a change. Needs the
+    RocksDB state store. version is a string; a key's rows of one micro-batch meet in one task.
+    """
+    return stream.groupBy(key).transformWithStateInPandas(Versions(version, order), outputStructType=stream.schema, outputMode="Update", timeMode="None")
+
+
 def sessions_by_time(events: DataFrame, key: str, event_time: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Activity sessions of each key; an addition of this engine."""
     w = F.session_window(event_time, gap)
