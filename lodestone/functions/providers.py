@@ -45,6 +45,15 @@ def embedded(df: DataFrame, text: str, embed: Embed = hashed_embedding, name: st
     return df.mapInPandas(run, schema)
 
 
+def _near(texts: list[str], embed: Embed, batch: int) -> np.ndarray:
+    """Similarity of each text and the next, to 6 places; zero vectors have similarity 0."""
+    vectors = [embed(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+    v = np.concatenate(vectors).astype(np.float64) if vectors else np.zeros((0, 1))
+    norm = np.sqrt((v * v).sum(1))
+    dot, size = (v[1:] * v[:-1]).sum(1), norm[1:] * norm[:-1]
+    return np.round(np.divide(dot, size, out=np.zeros_like(dot), where=size > 0), 6)
+
+
 def segmented(df: DataFrame, parts: str, cut: float, embed: Embed = hashed_embedding, batch: int = 256) -> DataFrame:
     """df with each row's array of texts joined into runs: a new one begins where neighbours' similarity, to 6 places, lies below the cut.
 
@@ -58,12 +67,7 @@ def segmented(df: DataFrame, parts: str, cut: float, embed: Embed = hashed_embed
             for first in range(0, whole.num_rows, 100):
                 rows = whole.slice(first, 100)
                 held = [x or [] for x in rows.column(at).to_pylist()]
-                texts = [t for x in held for t in x]
-                vectors = [embed(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-                v = np.concatenate(vectors).astype(np.float64) if vectors else np.zeros((0, 1))
-                norm = np.sqrt((v * v).sum(1))
-                dot, size = (v[1:] * v[:-1]).sum(1), norm[1:] * norm[:-1]
-                near = np.round(np.divide(dot, size, out=np.zeros_like(dot), where=size > 0), 6)
+                near = _near([t for x in held for t in x], embed, batch)
                 out, base = [], 0
                 for x in held:
                     runs: list[list[str]] = []
@@ -80,6 +84,44 @@ def segmented(df: DataFrame, parts: str, cut: float, embed: Embed = hashed_embed
     return df.mapInArrow(run, df.schema)
 
 
+def with_valleys(df: DataFrame, parts: str, name: str, factor: float, embed: Embed = hashed_embedding, batch: int = 256) -> DataFrame:
+    """df with name: for each list of texts of a row's array<array<string>>, which of them begin behind a valley of their similarity curve.
+
+    A valley lies below both its neighbours and below the curve's mean less ``factor`` times
+    its standard deviation (of the population), to 6 places. All lists of a run of rows are
+    embedded together where they lie; nothing is exploded or shuffled.
+    """
+    names = df.columns
+    at = names.index(parts)
+
+    def marks(n: int, near: np.ndarray) -> list[bool]:
+        out = np.zeros(n, bool)
+        if n > 3:
+            low = np.round(near.mean() - factor * near.std(), 6)
+            inner = near[1:-1]
+            out[2:-1] = (inner < near[:-2]) & (inner < near[2:]) & (inner < low)
+        return out.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 100):
+                rows = whole.slice(first, 100)
+                held = [x or [] for x in rows.column(at).to_pylist()]
+                near = _near([t for x in held for texts in x for t in texts], embed, batch)
+                out, base = [], 0
+                for x in held:
+                    each = []
+                    for texts in x:
+                        each.append(marks(len(texts), near[base : base + max(0, len(texts) - 1)]))
+                        base += len(texts)
+                    out.append(each)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.list_(pa.list_(pa.bool_())))], [*names, name])
+
+    from pyspark.sql import types as T
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.ArrayType(T.BooleanType())))]))
+
+
 def healthy(embed: Embed = hashed_embedding) -> bool:
     """Whether an embedder gives vectors of one length, not zero, and orders related texts before unrelated ones."""
     a, b, c = embed(["annual sales report", "sales report of the year", "zebra crossing"])

@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.providers import Embed, hashed_embedding, segmented, with_valleys
 from lodestone.functions.text import ANY_CAPTION, CAPTION_LABEL, SKIPPED_SECTIONS, caption_parts, sections, sentences, strip, structure, structured_sentences, tokens, uuid5, without_preamble
 from lodestone.operators import packing
-from lodestone.operators.windows import islands
+from lodestone.operators.windows import SEGMENT_CUT, VALLEY_STD, islands
 
 #: Longest caption line of its own, and longest text of a slide that is a caption.
 CAPTION_LINE, SLIDE_CAPTION = 200, 150
+#: Fixed value: most tokens of a narrative that is packed as a whole.
+NARRATIVE_MOST = 8000
 #: Fixed values of a section slide: most paragraphs, words, title characters and title lines.
 SLIDE_PARAGRAPHS, SLIDE_WORDS, TITLE_CHARS, TITLE_LINES = 4, 30, 80, 3
 _ITEM = "struct<type:string,content:string,section:string>"
@@ -62,12 +65,45 @@ def attach_captions(items: Column) -> Column:
     return F.aggregate(rows, start, step, lambda s: s["out"])
 
 
-def page_chunks(elements: DataFrame) -> DataFrame:
-    """(doc_id, chunk_index, chunk_total, type, content, section) of page elements.
+def spread(items: Column) -> Column:
+    """Items in which every run of tables of one section carries the caption of the first that has one.
 
-    Texts of a section that follow one another are joined, and split again where
-    they pass the budget or have no known section; tables are split by rows;
-    captions are attached; tiny texts merged; references are left out.
+    A table's own caption goes for it: what stands before the mark stays, trimmed.
+    items is array<struct<type, content, section>>; spread_captions does the same over rows.
+    """
+    state = f"struct<out:array<struct<e:{_ITEM},bare:string,own:string,last:boolean>>,own:string>"
+    rows = F.transform(items, lambda e, i: F.struct(e.alias("e"), F.get(items, i - 1).alias("before"), F.get(items, i + 1).alias("after")))
+    of_one = lambda a, b: F.coalesce((a["type"] == "table") & (b["type"] == "table") & a["section"].eqNullSafe(b["section"]), F.lit(False))
+
+    def forward(s, r):
+        content = r["e"]["content"]
+        mark = F.coalesce(F.nullif(F.instr(content, "\n\nCaption:"), F.lit(0)), F.nullif(F.instr(content, "Caption:"), F.lit(0)))
+        table = r["e"]["type"] == "table"
+        caption = F.when(table & mark.isNotNull(), F.concat(F.lit("\n\n"), F.regexp_replace(F.substring(content, mark, F.length(content)), r"^\n\n", "")))
+        bare = F.when(mark.isNotNull(), strip(F.substring(content, F.lit(1), mark - 1))).otherwise(content)
+        own = F.coalesce(F.when(of_one(r["before"], r["e"]), s["own"]), caption)
+        row = F.struct(r["e"].alias("e"), bare.alias("bare"), own.alias("own"), (~of_one(r["e"], r["after"])).alias("last"))
+        return F.struct(F.array_append(s["out"], row).alias("out"), own.alias("own"))
+
+    # the last of a run knows the run's first caption; it goes back from there
+    known = F.aggregate(rows, F.struct(F.array().alias("out"), F.lit(None).cast("string").alias("own")).cast(state), forward, lambda s: F.reverse(s["out"]))
+
+    def back(s, r):
+        own = F.when(r["last"], r["own"]).otherwise(s["own"])
+        content = F.when((r["e"]["type"] == "table") & own.isNotNull(), F.concat(r["bare"], own)).otherwise(r["e"]["content"])
+        return F.struct(F.array_append(s["out"], _item(r["e"]["type"], content, r["e"]["section"])).alias("out"), own.alias("own"))
+
+    return F.aggregate(known, F.struct(F.array().cast(f"array<{_ITEM}>").alias("out"), F.lit(None).cast("string").alias("own")), back, lambda s: F.reverse(s["out"]))
+
+
+def page_chunks(elements: DataFrame, embed: Embed = hashed_embedding) -> DataFrame:
+    """(doc_id, chunk_index, chunk_total, type, content) of page elements.
+
+    Texts of a section that follow one another are joined; where they pass the budget
+    or have no known section they are cut by meaning, at neighbouring sentences whose
+    embeddings differ, and short pieces joined again. Tables are split by rows;
+    captions are attached, and spread over the pieces of a table; tiny texts merged;
+    references are left out.
     """
     section = F.lower(strip(F.coalesce("section", F.lit(""))))
     skipped = section.rlike("|".join(SKIPPED_SECTIONS))
@@ -75,18 +111,23 @@ def page_chunks(elements: DataFrame) -> DataFrame:
     kind = F.when(F.col("type").isin("table", "image"), F.col("type")).otherwise("text")
     rows = rows.withColumn("type", kind).withColumn("_key", F.when(F.col("type") == "text", section).otherwise(F.concat(F.lit("\0"), F.col("position").cast("string"))))
     runs = islands(rows, ["doc_id"], ["position"], F.col("_key"), "run")
-    ordered = F.sort_array(F.collect_list(F.struct("position", strip(F.col("content")).alias("c"))))
-    runs = runs.groupBy("doc_id", "run", "type").agg(F.min("section").alias("section"), ordered["c"].alias("parts"))
+    ordered = F.sort_array(F.collect_list(F.struct("position", strip(F.col("content")).alias("c"), F.col("section").alias("s"))))
+    runs = runs.groupBy("doc_id", "run", "type").agg(ordered.alias("o"))
     is_caption = lambda c: c.rlike(ANY_CAPTION) & (F.length(c) < CAPTION_LINE)
-    body = F.array_join(F.filter("parts", lambda c: ~is_caption(c)), " ")
+    runs = runs.select("doc_id", "run", "type", F.get("o.s", F.lit(0)).alias("section"), F.col("o.c").alias("parts"))
+    runs = runs.withColumn("body", F.when(F.col("type") == "text", F.array_join(F.filter("parts", lambda c: ~is_caption(c)), " ")).otherwise(""))
     unknown = F.lower(strip(F.col("section"))).isin("", "unknown")
-    split = F.when(body == "", F.array().cast("array<string>")).when(~unknown & (tokens(body) <= packing.MOST), F.array(body)).otherwise(packing.sentence_groups(sentences(body)))
-    texts = F.concat(split, F.filter("parts", is_caption))
-    pieces = F.when(F.col("type") == "text", texts).when(F.col("type") == "table", packing.table_batches(F.get("parts", F.lit(0)))).otherwise(F.col("parts"))
-    items = runs.withColumn("items", F.transform(pieces, lambda p: _item(F.col("type"), p, F.col("section"))))
+    whole = (F.col("body") == "") | (~unknown & (tokens(F.col("body")) <= packing.MOST))
+    cut = segmented(runs.withColumn("cut", F.when(whole, F.array().cast("array<string>")).otherwise(sentences(F.col("body")))), "cut", SEGMENT_CUT, embed)
+    pieces = F.when(F.col("body") == "", F.array().cast("array<string>")).when(F.size("cut") < 2, F.array("body")).otherwise(packing.merge_short(F.col("cut")))
+    texts = F.concat(pieces, F.filter("parts", is_caption))
+    each = F.when(F.col("type") == "text", texts).when(F.col("type") == "table", packing.table_batches(F.get("parts", F.lit(0)))).otherwise(F.col("parts"))
+    items = cut.withColumn("items", F.transform(each, lambda p: _item(F.col("type"), p, F.col("section"))))
     docs = items.groupBy("doc_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("run", "items")))["items"]).alias("items"))
-    joined = packing.merge_tiny(F.transform(attach_captions(F.col("items")), lambda x: F.struct(x["type"].alias("type"), x["content"].alias("content"))))
-    out = docs.select("doc_id", F.posexplode(joined).alias("_i", "c"))
+    # each fold stands alone: within one another they would be written out many times over
+    docs = docs.select("doc_id", attach_captions(F.col("items")).alias("items"))
+    docs = docs.select("doc_id", F.transform(spread(F.col("items")), lambda x: F.struct(x["type"].alias("type"), x["content"].alias("content"))).alias("items"))
+    out = docs.select("doc_id", F.posexplode(packing.merge_tiny(F.col("items"))).alias("_i", "c"))
     return out.select("doc_id", (F.col("_i") + 1).alias("chunk_index"), F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("chunk_total"), "c.type", "c.content")
 
 
@@ -203,10 +244,22 @@ def spread_captions(items: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.when((F.col("type") == "table") & F.col("_caption").isNotNull(), F.concat(bare, F.col("_caption"))).otherwise(content)).drop("_run", "_caption")
 
 
-def text_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, chunk_index, chunk_total, content) of plain texts (doc_id, text): a narrative is packed by sentences, others section by section."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).withColumn("kind", structure(F.col("_t")))
-    fits = lambda s: F.when(tokens(s) <= packing.MOST, F.array(s)).otherwise(packing.sentence_groups(structured_sentences(s)))
-    parts = F.when(F.col("kind") == "narrative", packing.sentence_groups(sentences(F.col("_t")))).otherwise(packing.merge_short(F.flatten(F.transform(sections(F.col("_t"), F.col("kind")), fits))))
-    out = rows.select("doc_id", "kind", parts.alias("p")).where(F.size("p") > 0)
+def text_chunks(docs: DataFrame, embed: Embed = hashed_embedding) -> DataFrame:
+    """(doc_id, kind, chunk_index, chunk_total, content) of plain texts (doc_id, text).
+
+    A narrative of up to NARRATIVE_MOST tokens is packed by sentences. Others go section
+    by section: sentences are packed, and a chunk also ends at a valley of the curve of
+    their neighbours' similarity. A section of one sentence stays as it is.
+    """
+    rows = docs.select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("_t")).where("_t <> ''").withColumn("kind", structure(F.col("_t")))
+    packed = (F.col("kind") == "narrative") & (tokens(F.col("_t")) <= NARRATIVE_MOST)
+    parts = F.when(packed, F.array("_t")).otherwise(sections(F.col("_t"), F.col("kind")))
+    rows = rows.select("doc_id", "kind", packed.alias("packed"), parts.alias("parts"))
+    rows = rows.withColumn("s", F.transform("parts", structured_sentences))
+    # a packed text has no use for a curve
+    curves = with_valleys(rows.withColumn("_c", F.when(F.col("packed"), F.array().cast("array<array<string>>")).otherwise(F.col("s"))), "_c", "b", VALLEY_STD, embed)
+    zipped = F.arrays_zip(F.col("parts").alias("p"), F.col("s").alias("s"), F.when(F.col("packed"), F.array(F.array().cast("array<boolean>"))).otherwise(F.col("b")).alias("b"))
+    none = F.array().cast("array<boolean>")
+    each = lambda x: F.when(F.size(x["s"]) < 2, F.array(x["p"])).otherwise(packing.sentence_groups(x["s"], F.coalesce(x["b"], none)))
+    out = curves.select("doc_id", "kind", F.flatten(F.transform(zipped, each)).alias("p")).where(F.size("p") > 0)
     return out.select("doc_id", "kind", F.size("p").alias("chunk_total"), F.posexplode("p").alias("_i", "content")).select("doc_id", "kind", (F.col("_i") + 1).alias("chunk_index"), "chunk_total", "content")

@@ -152,14 +152,18 @@ def artifact_merge(spark, d):
     return t.select("doc_id", F.posexplode(packing.merge_artifacts(lines)).alias("part", "content"))
 
 
-def page_chunks(spark, d):
-    """Documents' lines as page elements: every ninth a table, every eleventh a caption below one."""
+def page_elements(spark, d):
+    """Documents' lines as page elements: every ninth a table, with a caption below it."""
     t = table(spark, d, "documents")
     rows = t.select(F.col("doc_id"), F.col("lang").alias("section"), F.posexplode(F.split("text", "\n")).alias("position", "content"))
     n = F.pmod("position", F.lit(9))
     kind = F.when(n == 3, "table").otherwise("text")
     content = F.when(n == 4, F.concat(F.lit("Figure 1: "), F.col("content"))).otherwise(F.col("content"))
-    return chunkers.page_chunks(rows.withColumn("type", kind).withColumn("content", content))
+    return rows.withColumn("type", kind).withColumn("content", content)
+
+
+def page_chunks(spark, d):
+    return chunkers.page_chunks(page_elements(spark, d))
 
 
 def slide_chunks(spark, d):
