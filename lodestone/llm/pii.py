@@ -37,7 +37,7 @@ from lodestone.llm import store, tagger, vec
 KINDS = ("email", "ip", "card", "phone")
 #: Rows from which pieces are taken, and pieces that are kept of these.
 SAMPLE_ROWS, SAMPLE_PIECES, PIECE = 4000, 2000, 160
-HIDDEN, STEPS, EXAMPLES, LENGTH, SEED = 20, 800, 8000, 96, 12
+HIDDEN, STEPS, EXAMPLES, LENGTH, SEED = 16, 900, 8000, 96, 12
 WINDOW, OVERLAP, ROUND, ROWS, SLICE = 768, 64, 128, 512, 4 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
