@@ -10,7 +10,7 @@ from lodestone.functions.text import strip
 from lodestone.operators import sparse
 
 # -- fixed values ------------------------------------------------------------
-TOP, PASSAGE_CHARS = 5, 2000
+TOP = 5
 WEAK_BELOW, WEAK_SHARE, ATTEMPTS = 3, 0.5, 2
 NEXT_MODE = {"hybrid": "dense", "dense": "sparse", "sparse": "hybrid"}
 NO_ANSWER = "i don't have enough information in the provided context"
@@ -18,12 +18,21 @@ CITATION = r"(?i)\[Source:\s*([^,\]]+)(?:,\s*page\s+(\d+))?\]"
 # ----------------------------------------------------------------------------
 
 
-def coverage(pairs: DataFrame, queries: DataFrame, docs: DataFrame, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, key, coverage): the share of a query's different terms that the document's first characters hold."""
+def coverage(pairs: DataFrame, queries: DataFrame, docs: DataFrame, query: str = "query_id", key: str = "doc_id", text: str = "text", postings: DataFrame | None = None, chars: int | None = None) -> DataFrame:
+    """(query, key, coverage): the share of a query's different terms that the document holds.
+
+    postings: stored term weights of the documents, whose texts are not read then. chars: a
+    reranker's limit on what it reads of a text; none unless one is given.
+    """
     q = sparse.terms(queries, query, "text").select(query, "term").withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(query)))
-    short = docs.join(pairs.select(key).distinct(), key, "left_semi").select(key, F.substring(text, 1, PASSAGE_CHARS).alias(text))
-    d = sparse.terms(short, key, text).select(key, "term")
-    met = pairs.select(query, key).join(q, query).join(d.withColumn("_hit", F.lit(1)), [key, "term"], "left")
+    wanted = pairs.select(query, key)
+    if postings is not None and chars is None:
+        # terms of the questions only
+        d = postings.join(q.select("term").distinct(), "term", "left_semi").select(key, "term")
+    else:
+        held = docs.join(pairs.select(key).distinct(), key, "left_semi").select(key, F.substring(text, 1, chars).alias(text) if chars else F.col(text))
+        d = sparse.terms(held, key, text).select(key, "term")
+    met = wanted.join(q, query).join(d.withColumn("_hit", F.lit(1)), [key, "term"], "left")
     return met.groupBy(query, key).agg(F.round(F.sum(F.coalesce("_hit", F.lit(0))) / F.max("_all"), 6).alias("coverage"))
 
 

@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from lodestone.operators import dml, permissions
 
 # -- fixed values ------------------------------------------------------------
+_WORD = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+_SLIDES = "application/vnd.openxmlformats-officedocument.presentationml.presentation"
 MIME_TYPES = {
-    "application/pdf": "pdf",
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
-    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
-    "text/plain": "txt",
-    "text/csv": "csv",
-    "image/png": "image",
-    "image/jpeg": "image",
+    "application/pdf": "pdf_digital", _WORD: "docx", _SLIDES: "pptx", "text/plain": "txt",
+    "image/png": "image", "image/jpeg": "image", "image/jpg": "image", "image/bmp": "image", "image/tiff": "image",
+}
+#: Workspace files can't be fetched as they are; what each is exported as.
+EXPORTS = {
+    "application/vnd.google-apps.document": _WORD,
+    "application/vnd.google-apps.spreadsheet": "text/plain",
+    "application/vnd.google-apps.presentation": _SLIDES,
 }
 STATES = ("pending", "running", "done", "failed")
 # ----------------------------------------------------------------------------
 
 
+def _of(values: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
 def due(listed: DataFrame, seen: DataFrame, most: int | None = None) -> DataFrame:
-    """Listed files of a known type that are new, or whose modified_time has changed; the oldest ``most``."""
-    known = F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv])
-    rows = listed.withColumn("source_type", F.try_element_at(known, F.col("mime_type"))).where(F.col("source_type").isNotNull())
+    """Listed files of a known type that are new, or whose modified_time has changed, with source_type and fetch_as; the oldest ``most``.
+
+    fetch_as is the type to fetch: that of the export for a Workspace file, else the file's own.
+    """
+    fetched = F.coalesce(_of(EXPORTS, F.col("mime_type")), F.col("mime_type"))
+    rows = listed.withColumn("fetch_as", fetched).withColumn("source_type", _of(MIME_TYPES, F.col("fetch_as"))).where(F.col("source_type").isNotNull())
     rows = dml.unseen(rows, seen, ["file_id"], "modified_time")
     return rows.orderBy("modified_time", "file_id").limit(most) if most else rows
 

@@ -110,6 +110,11 @@ def search(
 
     Scores come from ranks in every mode, 1 / (k + rank). postings: stored weights of the chunks' texts.
     """
+    return fuse(ranked(queries, chunks, mode, predicate, depth, query, key, postings), n, query=query, key=key)
+
+
+def ranked(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", predicate: Column | None = None, depth: int = DEPTH, query: str = "query_id", key: str = "doc_id", postings: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The lists that a mode fuses, by name; only rows that the predicate takes are scored."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     held = chunks.where(predicate) if predicate is not None else chunks
@@ -117,8 +122,9 @@ def search(
     if mode in ("hybrid", "dense"):
         lists["dense"] = dense.search(queries, held, depth, query, key)
     if mode in ("hybrid", "sparse"):
-        lists["sparse"] = sparse.search(queries, held, depth, query, key, postings=postings)
-    return fuse(lists, n, query=query, key=key)
+        # where every chunk may be seen there is nothing to leave out
+        lists["sparse"] = sparse.search(queries, held if predicate is not None or postings is None else None, depth, query, key, postings=postings)
+    return lists
 
 
 def formatted(hits: DataFrame, chunks: DataFrame, fields: list[str], key: str = "doc_id") -> DataFrame:

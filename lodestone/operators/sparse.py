@@ -53,14 +53,18 @@ def weights(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return terms(docs, key, text).select(key, "term", weight.alias("weight")).where("weight > 0")
 
 
-def scores(queries: DataFrame, postings: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+def scores(queries: DataFrame, postings: DataFrame, query: str = "query_id", key: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
     """(query, key, score): dot products of those that share a term.
 
     Both sides meet by term, so only postings of query terms take part; products are
-    summed on the map side before they are gathered by (query, key).
+    summed on the map side before they are gathered by (query, key). allowed: keys that
+    may be scored; the others go before anything is summed, and as the sums can then be
+    gathered by key, which is how these keys meet, it costs no further shuffle.
     """
     q = queries.select(F.col(query), "term", F.col("weight").alias("_qw"))
     met = q.join(postings, "term")
+    if allowed is not None:
+        met = met.join(allowed.select(key), key, "left_semi")
     return met.groupBy(query, key).agg(F.round(F.sum(F.col("_qw") * F.col("weight")), 6).alias("score"))
 
 
@@ -70,9 +74,8 @@ def top(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 20, query: str = "query_id", key: str = "doc_id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
-    """Top k documents of each query text. postings: the stored weights of a table that docs are rows of; docs' texts are not read then."""
+def search(queries: DataFrame, docs: DataFrame | None, k: int = 20, query: str = "query_id", key: str = "doc_id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
+    """Top k documents of each query text. postings: the stored weights of a table that docs are rows of; docs' texts are not read then, and None stands for the whole table."""
     if postings is None:
         return top(scores(weights(queries, query, text), weights(docs, key, text), query, key), k, query, key)
-    met = scores(weights(queries, query, text), postings, query, key)
-    return top(met.join(docs.select(key), key, "left_semi"), k, query, key)
+    return top(scores(weights(queries, query, text), postings, query, key, docs), k, query, key)

@@ -2,7 +2,8 @@
 
 Round 0 is hybrid, then dense, then sparse: queries whose hits are graded weak
 go round again, at most three rounds, and every query keeps its last round.
-Rounds are jobs of the driver; each round's hits and grades are checkpointed, so a later round doesn't search again.
+The dense and the sparse lists, of which every mode is a view, are searched once for all queries and
+checkpointed, and so are the grades of all that they hold; a round only fuses and ranks.
 """
 
 from __future__ import annotations
@@ -18,19 +19,18 @@ from lodestone.session import pinned
 
 def corrective_search(queries: DataFrame, chunks: DataFrame, predicate: Column | None = None, n: int = answer.TOP, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, grade, rank, attempt, mode): each query's reranked hits of the round that it ended in."""
-    open_, done, mode = queries, [], "hybrid"
+    lists = {name: pinned(rows) for name, rows in retrieve.ranked(queries, chunks, "hybrid", predicate, postings=postings).items()}
+    pairs = reduce(DataFrame.union, [rows.select("query_id", "doc_id") for rows in lists.values()]).distinct()
+    covered = pinned(answer.coverage(pairs, queries, chunks, postings=postings))
+    open_, done, mode = queries.select("query_id"), [], "hybrid"
     for attempt in range(answer.ATTEMPTS + 1):
-        hits = pinned(retrieve.search(open_, chunks, mode, 20, predicate, postings=postings))
-        ranked = answer.rerank(hits, answer.coverage(hits, open_, chunks), n)
+        held = {name: rows.join(open_, "query_id", "left_semi") for name, rows in lists.items() if mode in ("hybrid", name)}
+        ranked = answer.rerank(retrieve.fuse(held, 20), covered, n)
         graded = pinned(ranked.select("query_id", "doc_id", "score", answer.relevance(F.col("score")).alias("grade"), "rank", F.lit(attempt).alias("attempt"), F.lit(mode).alias("mode")))
-        last = attempt == answer.ATTEMPTS
-        if last:
-            done.append(graded)
-            break
         weak = answer.weak(graded, attempt).where("retry").select("query_id")
-        if weak.isEmpty():
+        if attempt == answer.ATTEMPTS or weak.isEmpty():
             done.append(graded)
             break
         done.append(graded.join(weak, "query_id", "left_anti"))
-        open_, mode = open_.join(weak, "query_id", "left_semi"), answer.NEXT_MODE[mode]
+        open_, mode = weak, answer.NEXT_MODE[mode]
     return reduce(DataFrame.unionByName, done)

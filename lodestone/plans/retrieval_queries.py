@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import STOPWORDS
 from lodestone.functions.vectors import norm
-from lodestone.operators import answer, dense, index, packing, permissions, retrieve, sparse
+from lodestone.operators import answer, dense, index, ivf, packing, permissions, retrieve, sparse
 from lodestone.operators.retrieve import RRF_K
 from lodestone.plans import inputs
 from lodestone.plans.loop import corrective_search
@@ -76,6 +76,15 @@ def dense_topk(spark, d):
     return dense.search(_vector_queries(spark, d), rows, K)
 
 
+def dense_ivf(spark, d):
+    """The questions of dense_topk by the inverted file: probes and recall say how it was searched."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    lists, c = ivf.stored(spark, f"{d}/embeddings.parquet", "doc_id", "vector", rows)
+    q = _vector_queries(spark, d)
+    probes, recall = ivf.probes_for(q, lists, c, K)
+    return ivf.search(q, lists, c, K, probes).withColumn("probes", F.lit(probes)).withColumn("recall", F.lit(recall))
+
+
 def hybrid_rrf(spark, d):
     return retrieve.search(inputs.queries(spark, d), inputs.chunks(spark, d), "hybrid", K, postings=_postings(spark, d))
 
@@ -144,7 +153,7 @@ def rerank_topn(spark, d):
     hits = sparse_topk(spark, d)
     docs = table(spark, d, "documents")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return answer.rerank(hits, answer.coverage(hits, q, docs)).select("query_id", "doc_id", "score", "retrieval_score", "rank")
+    return answer.rerank(hits, answer.coverage(hits, q, docs, postings=_postings(spark, d))).select("query_id", "doc_id", "score", "retrieval_score", "rank")
 
 
 def _graded(spark, d):
@@ -201,6 +210,7 @@ SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
 FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank FROM s QUALIFY rank <= {K}""",
     ),
+    "dense_ivf": (dense_ivf, None),
     "hybrid_rrf": (hybrid_rrf, f"WITH {_search_sql('true')} SELECT query_id, doc_id, score, found_in, rank::INT AS rank FROM fused_top"),
     "hybrid_acl": (hybrid_acl, f"WITH {_search_sql(_VISIBLE_SQL)} SELECT query_id, doc_id, score, found_in, rank::INT AS rank FROM fused_top"),
     "search_modes": (
@@ -251,7 +261,7 @@ SELECT query_id, doc_id, source, page FROM c WHERE lower(source) = 'src' || (que
 _HITS = f"""q AS (SELECT item_id AS query_id, text FROM benchmark), {_weights_sql('qw', 'q', 'query_id')}, {_weights_sql('dw', 'documents', 'doc_id')},
 s AS (SELECT query_id, doc_id, round(sum(qw.weight * dw.weight), 6) AS score FROM qw JOIN dw USING (term) GROUP BY ALL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= {K})"""
-_RERANKED = f"""{_HITS}, pt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substring(text, 1, {answer.PASSAGE_CHARS})), '[a-z0-9]+')) AS term
+_RERANKED = f"""{_HITS}, pt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term
     FROM documents WHERE doc_id IN (SELECT doc_id FROM hits))),
 qt AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n FROM qw),
 cov AS (SELECT h.query_id, h.doc_id, round(count(pt.term)::DOUBLE / max(n), 6) AS cov FROM hits h JOIN qt USING (query_id) LEFT JOIN pt ON pt.doc_id = h.doc_id AND pt.term = qt.term GROUP BY ALL),

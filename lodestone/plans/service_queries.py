@@ -11,14 +11,12 @@ from lodestone.plans.retrieval_queries import _HITS, CALLER, EMAIL, _postings, s
 from lodestone.plans.text_queries import _STRIP, _clean_sql
 from lodestone.session import table
 
-MARKS = 8
-
 
 def vector_router(spark, d):
-    """Every twentieth vector as a question, the first eight others as tables' summaries."""
+    """Every twentieth vector as a question, all others as tables' summaries."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
-    held = e.where(f"vec_id % 20 <> 0 AND vec_id <= {MARKS}").withColumnRenamed("vec_id", "table_id")
+    held = e.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "table_id")
     return tables.routed(q, held).select("query_id", "routed_to", "score")
 
 
@@ -89,12 +87,13 @@ def slide_marks(spark, d):
 
 
 def scanned_pages(spark, d):
-    """Documents of a source as a scanned file's pages of all classes."""
-    t = table(spark, d, "documents")
-    label = F.element_at(F.array(*[F.lit(x) for x in ("text_only", "has_chart", " HAS_TABLE", "mixed", "odd")]), F.pmod("doc_id", F.lit(5)).cast("int") + 1)
+    """Documents as scanned files whose pages are their lines, of all classes."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("page", "line"))
+    n = F.col("doc_id") + F.col("page")
+    label = F.element_at(F.array(*[F.lit(x) for x in ("text_only", "has_chart", " HAS_TABLE", "mixed", "odd")]), F.pmod(n, F.lit(5)).cast("int") + 1)
     pages = t.select(
-        F.concat_ws("-", "source", "lang").alias("doc_id"), F.col("doc_id").alias("page"), label.alias("label"), F.substring("text", 1, 60).alias("ocr"),
-        F.concat(F.lit("Here is what it shows\nchart "), F.col("doc_id").cast("string")).alias("description"), F.when(F.pmod("doc_id", F.lit(7)) != 0, F.lit("a | b")).alias("table"),
+        "doc_id", "page", label.alias("label"), F.col("line").alias("ocr"),
+        F.concat(F.lit("Here is what it shows\nchart "), n.cast("string")).alias("description"), F.when(F.pmod(n, F.lit(7)) != 0, F.lit("a | b")).alias("table"),
     )
     out = chunkers.scanned_text(pages)
     return out.select("doc_id", "text", F.array_join(F.transform("visuals", lambda v: F.concat_ws(":", v["type"], v["content"])), "\n").alias("visuals"))
@@ -167,8 +166,8 @@ _GUID = "concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], lower(to_hex((('0x' ||
 QUERIES = {
     "vector_router": (
         vector_router,
-        f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS t, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b
-WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 AND b.vec_id <= {MARKS} QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) = 1)
+        """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS t, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b
+WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score DESC, b.vec_id) = 1)
 SELECT query_id, CASE WHEN score >= 0.45 THEN t END AS routed_to, score FROM s""",
     ),
     "id_intersection": (
@@ -214,9 +213,10 @@ SELECT doc_id, {_STRIP.format("regexp_replace(' ' || t, '\\n{3,}', chr(10) || ch
     ),
     "scanned_pages": (
         scanned_pages,
-        f"""WITH p AS (SELECT source || '-' || lang AS g, doc_id, '---' || chr(10) || 'Page ' || doc_id || chr(10) || {_STRIP.format("substring(text, 1, 60)")} AS body,
- CASE WHEN doc_id % 5 = 2 AND doc_id % 7 <> 0 THEN 'table:a | b' WHEN doc_id % 5 IN (1, 3) THEN 'image:chart ' || doc_id END AS v FROM documents)
-SELECT g AS doc_id, string_agg(body, chr(10) || chr(10) ORDER BY doc_id) AS text, coalesce(string_agg(v, chr(10) ORDER BY doc_id), '') AS visuals FROM p GROUP BY g""",
+        f"""WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS page FROM documents),
+p AS (SELECT doc_id, page, '---' || chr(10) || 'Page ' || page || chr(10) || {_STRIP.format("line")} AS body,
+ CASE WHEN (doc_id + page) % 5 = 2 AND (doc_id + page) % 7 <> 0 THEN 'table:a | b' WHEN (doc_id + page) % 5 IN (1, 3) THEN 'image:chart ' || (doc_id + page) END AS v FROM t)
+SELECT doc_id, string_agg(body, chr(10) || chr(10) ORDER BY page) AS text, coalesce(string_agg(v, chr(10) ORDER BY page), '') AS visuals FROM p GROUP BY doc_id""",
     ),
     "table_captions": (
         table_captions,

@@ -174,13 +174,33 @@ def slide_chunks(spark, d):
     return chunkers.slide_chunks(slides)
 
 
+_LISTED = [*crawl.MIME_TYPES, *crawl.EXPORTS, "video/mp4", "text/csv"]
+
+
 def crawl_due(spark, d):
-    """Orders as listed files: those not seen in their present state."""
+    """Orders as listed files of every type: those not seen in their present state."""
     o = table(spark, d, "orders")
-    mime = F.element_at(F.array(F.lit("application/pdf"), F.lit("text/plain"), F.lit("video/mp4")), F.pmod("o_orderkey", F.lit(3)).cast("int") + 1)
+    mime = F.element_at(F.array(*map(F.lit, _LISTED)), F.pmod("o_orderkey", F.lit(len(_LISTED))).cast("int") + 1)
     listed = o.select(F.col("o_orderkey").alias("file_id"), mime.alias("mime_type"), F.col("o_orderstatus").alias("modified_time"))
     seen = o.where("o_orderkey <= 500").select(F.col("o_orderkey").alias("file_id"), F.lit("F").alias("modified_time"))
-    return crawl.due(listed, seen).select("file_id", "source_type", "modified_time")
+    return crawl.due(listed, seen).select("file_id", "source_type", "fetch_as", "modified_time")
+
+
+def markdown_elements(spark, d):
+    """Documents' lines as a page's mark-up: headings, bars with and without a rule below, and texts."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "l"))
+    nth = lambda m, *of: F.pmod(F.col("n") + F.col("doc_id"), F.lit(m)).isin(*of)
+    line = F.when(nth(13, 0), F.concat(F.lit("## "), F.substring_index("l", " ", 2))).when(nth(13, 3, 4, 6, 7, 9), F.concat(F.lit("| "), F.col("l"))).when(nth(13, 5), F.lit(" |---|---|"))
+    return files.markdown_elements(t.select("doc_id", "n", F.coalesce(line, F.col("l")).alias("line")), ["doc_id"], ["n"]).select("doc_id", "element", "section", "type", "content")
+
+
+def mail_marks(spark, d):
+    """Conversations as HTML mails with each kind of quoted part: what is left of them."""
+    plain = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    marks = ["<div class='x gmail_attr'>{}</div>", "<span class='gmail_attr'>kept</span>", "<p class='moz-cite-prefix'>{}</p>", "<div class='outlookmessageheader'>{}</div>", "<p class='OutlookMessageHeader'>kept</p>", "<div id='olk_src_body_section'><b>{}</b></div>", "<div id='divRplyFwdMsg'>{}</div>", "<i id='MT-Signature'>{}</i>", "<blockquote>{}</blockquote>"]
+    mark = F.replace(F.element_at(F.array(*map(F.lit, marks)), F.pmod("turn", F.lit(len(marks))).cast("int") + 1), F.lit("{}"), F.lit("gone"))
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.concat(F.lit("<html><body><p>"), plain, F.lit("</p>"), mark, F.lit("</body></html>")).alias("html"))
+    return files.pages(rows, "key").select("key", "text")
 
 
 def _typed(spark, d):
@@ -560,7 +580,28 @@ SELECT conv_id AS doc_id, turn AS slide, section, type, content, CASE WHEN type
     ),
     "crawl_due": (
         crawl_due,
-        """SELECT o_orderkey AS file_id, CASE o_orderkey % 3 WHEN 0 THEN 'pdf' ELSE 'txt' END AS source_type, o_orderstatus AS modified_time FROM orders
-WHERE o_orderkey % 3 < 2 AND NOT (o_orderkey <= 500 AND o_orderstatus = 'F')""",
+        f"""WITH m(k, source_type, fetch_as) AS (VALUES {", ".join(f"({_LISTED.index(k)}, '{crawl.MIME_TYPES[crawl.EXPORTS.get(k, k)]}', '{crawl.EXPORTS.get(k, k)}')" for k in _LISTED if crawl.EXPORTS.get(k, k) in crawl.MIME_TYPES)})
+SELECT o_orderkey AS file_id, source_type, fetch_as, o_orderstatus AS modified_time FROM orders JOIN m ON m.k = o_orderkey % {len(_LISTED)} WHERE NOT (o_orderkey <= 500 AND o_orderstatus = 'F')""",
+    ),
+    "markdown_elements": (
+        markdown_elements,
+        f"""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+a AS (SELECT doc_id, n, CASE (n + doc_id) % 13 WHEN 0 THEN '## ' || array_to_string(list_slice(string_split(l, ' '), 1, 2), ' ') WHEN 3 THEN '| ' || l WHEN 4 THEN '| ' || l WHEN 6 THEN '| ' || l WHEN 7 THEN '| ' || l WHEN 9 THEN '| ' || l
+  WHEN 5 THEN ' |---|---|' ELSE l END AS line FROM t),
+b AS (SELECT *, {_STRIP.format('line')} AS t, starts_with({_STRIP.format('line')}, '|') AS bar, coalesce(contains(lead(line) OVER (PARTITION BY doc_id ORDER BY n), '---'), false) AS rule FROM a),
+c AS (SELECT *, CASE WHEN starts_with(t, '#') THEN {_STRIP.format("regexp_replace(t, '^#+', '')")} END AS head, CASE WHEN lag(bar) OVER (PARTITION BY doc_id ORDER BY n) = bar THEN 0 ELSE 1 END AS ch FROM b),
+e AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY n) AS run, count(head) OVER (PARTITION BY doc_id ORDER BY n) AS heads,
+  coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING), 'Unknown') AS section FROM c),
+f AS (SELECT *, CASE WHEN max((bar AND rule)::INT) OVER (PARTITION BY doc_id, run ORDER BY n ROWS UNBOUNDED PRECEDING) = 1 THEN 'table' ELSE 'text' END AS type FROM e),
+g AS (SELECT *, concat_ws('/', heads, type, CASE WHEN type = 'table' THEN run END) AS k FROM f WHERE head IS NULL AND t <> ''),
+h AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id ORDER BY n) = k THEN 0 ELSE 1 END AS ck FROM g),
+i AS (SELECT *, (sum(ck) OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS element FROM h)
+SELECT doc_id, element, section, type, CASE type WHEN 'table' THEN string_agg(t, chr(10) ORDER BY n) ELSE string_agg(t, ' ' ORDER BY n) END AS content FROM i GROUP BY doc_id, element, section, type""",
+    ),
+    "mail_marks": (
+        mail_marks,
+        r"""WITH l AS (SELECT conv_id || '-' || turn AS key, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') AS l,
+  CASE turn % 9 WHEN 1 THEN 'kept' WHEN 4 THEN 'kept' END AS m FROM conversations)
+SELECT key, array_to_string(CASE WHEN m IS NULL THEN l ELSE list_append(l, m) END, chr(10)) AS text FROM l""",
     ),
 }

@@ -11,11 +11,13 @@ import csv
 import email
 import email.policy
 import io
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import LINE_BREAK, clean_mail, strip, without_forward_header, without_reply
@@ -65,7 +67,14 @@ class _Body(HTMLParser):
 
     _SKIP = {"script", "style", "head", "blockquote", "template"}
     _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-    _QUOTE = ("gmail_attr", "moz-cite-prefix", "OutlookMessageHeader", "divRplyFwdMsg")
+    #: What marks quoted parts and trackers: attribute, tag (any where it is empty), pattern.
+    _QUOTE = (
+        ("class", "div", re.compile(r"gmail_attr")),
+        ("class", "", re.compile(r"moz-cite-prefix")),
+        ("class", "div", re.compile(r"OutlookMessageHeader", re.I)),
+        ("id", "", re.compile(r"divRplyFwdMsg|OLK_SRC_BODY_SECTION", re.I)),
+        ("id", "", re.compile(r"mt-signature", re.I)),
+    )
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -76,8 +85,8 @@ class _Body(HTMLParser):
         self.open = 0
 
     def handle_starttag(self, tag, attrs):
-        marks = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-        if self.skip or tag in self._SKIP or any(q in marks for q in self._QUOTE):
+        quoted = any(k == attr and (not of or tag == of) and mark.search(v or "") for k, v in attrs for attr, of, mark in self._QUOTE)
+        if self.skip or tag in self._SKIP or quoted:
             if tag not in self._VOID:
                 self.skip.append(tag)
             return
@@ -182,18 +191,26 @@ def mails(files: DataFrame) -> DataFrame:
 
 
 def markdown_elements(lines: DataFrame, by: list[str], order: list[str], line: str = "line") -> DataFrame:
-    """Elements of marked-up lines: # sets the section of its page, pipe lines with a rule below are tables, others text.
+    """(*by, element, section, type, content) of marked-up lines; by names a page.
 
-    Unbroken runs of table lines or of text lines within a section are one element.
+    A line of # opens a section, "Unknown" before the first. A line that begins with a bar is a
+    table's first where the line below it holds a rule (---); the table goes on while lines begin
+    with a bar. All else is text: unbroken by tables and headings, blank lines or not, one element.
     """
     from lodestone.operators.windows import carried, islands
 
-    text = strip(F.col(line))
-    rows = lines.withColumn("_head", F.when(text.rlike(r"^#{1,6}\s"), F.regexp_replace(text, r"^#{1,6}\s+", "")))
+    w = W.partitionBy(*by).orderBy(*order)
+    text = strip(F.coalesce(line, F.lit("")))
+    rows = lines.withColumn("_t", text).withColumn("_bar", F.col("_t").startswith("|"))
+    rows = rows.withColumn("_head", F.when(F.col("_t").startswith("#"), strip(F.regexp_replace("_t", r"^#+", ""))))
+    rows = rows.withColumn("_rule", F.coalesce(F.lead(line).over(w).contains("---"), F.lit(False)))
+    rows = islands(rows, by, order, F.col("_bar"), "_run")
+    begun = F.max(F.col("_bar") & F.col("_rule")).over(W.partitionBy(*by, "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("type", F.when(begun, "table").otherwise("text")).withColumn("_heads", F.count("_head").over(w))
     rows = carried(rows, by, order, F.col("_head"), "section").withColumn("section", F.coalesce("section", F.lit("Unknown")))
-    rows = rows.where(F.col("_head").isNull()).withColumn("type", F.when(text.rlike(r"^\|"), "table").otherwise("text"))
-    rows = islands(rows.where(text != ""), by, order, F.struct("section", "type"), "element")
-    body = F.sort_array(F.collect_list(F.struct(*order, text.alias("_t"))))["_t"]
+    rows = rows.where(F.col("_head").isNull() & (F.col("_t") != ""))
+    rows = islands(rows, by, order, F.struct("_heads", "type", F.when(F.col("type") == "table", F.col("_run"))), "element")
+    body = F.sort_array(F.collect_list(F.struct(*order, F.col("_t"))))["_t"]
     kept = rows.groupBy(*by, "element", "section", "type").agg(body.alias("_l"))
     joined = F.when(F.col("type") == "table", F.array_join("_l", "\n")).otherwise(F.array_join("_l", " "))
     return kept.withColumn("content", joined).drop("_l")
