@@ -169,13 +169,6 @@ def _totals(rows: DataFrame) -> dict[int, tuple[int, list[int]]]:
     return {a: (n, [x[i] for i in range(len(x))]) for a, (n, x) in found.items()}
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as written below the shared folder, and its path."""
-    path = store.fresh(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def first_centroids(rows: DataFrame, clusters: int = CLUSTERS, salt: str = SALT) -> np.ndarray:
     """The vectors of least sha256 of salt:id; equal ids by their components."""
     by = F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")), 256)
@@ -186,14 +179,14 @@ def first_centroids(rows: DataFrame, clusters: int = CLUSTERS, salt: str = SALT)
 def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, dims: int = DIMS, scale: int = SCALE, salt: str = SALT, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, np.ndarray, list[dict[str, int]], dict[int, int]]:
     """(rows of vec_id, a and d; final centroids; how far each pass had to go; squared distance summed by cluster)."""
     spark = vectors.sparkSession
-    rows, old = _written(integers(vectors, dims, scale, id_column, column), "vectors")
+    rows, old = store.written(integers(vectors, dims, scale, id_column, column), "vectors")
     c, drift, done = first_centroids(rows, clusters, salt), None, []
     if not len(c):
         store.discard(spark, old)
         return spark.createDataFrame([], "vec_id long, a int, d long"), c, done, {}
     for turn in range(rounds + 1):
         last = turn == rounds
-        new, path = _written(_pass(rows, c, drift, last), f"centroids-{turn}")
+        new, path = store.written(_pass(rows, c, drift, last), f"centroids-{turn}")
         store.discard(spark, old)
         totals = _totals(new)
         done.append(dict(zip(STEPS, totals.pop(-1)[1])))

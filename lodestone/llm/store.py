@@ -61,13 +61,18 @@ def settled(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
 
     outlives: the table stays when the innermost ``scratch`` ends.
     """
-    spark = df.sparkSession
-    path = fresh(spark, name)
     depth = 2 if outlives else 1
+    back, path = written(df, name)
     if len(_MADE) >= depth:
         _MADE[-depth].append(path)
+    return back
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as written below the shared folder, and its path, which is the caller's to discard."""
+    path = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
