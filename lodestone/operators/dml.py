@@ -17,6 +17,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: list[Column]
     return old.join(new, keys, "left_anti").unionByName(_last(new, keys, newest))
 
 
+def upsert_changed(old: DataFrame, new: DataFrame, keys: list[str], newest: list[Column], stamp: str, now: Column) -> DataFrame:
+    """upsert in which ``stamp`` of a replaced row moves to ``now`` only where another column differs; new keys are stamped too.
+
+    Columns differ where one is null and the other isn't. old has stamp, new need not.
+    """
+    values = [c for c in old.columns if c != stamp]
+    rest = [c for c in values if c not in keys]
+    last = _last(new.select(*values), keys, newest)
+    held = old.select(*keys, F.struct(*rest, F.lit(1).alias("_")).alias("_was"), F.col(stamp).alias("_stamp"))
+    both = last.join(held, keys, "left")
+    same = F.struct(*rest, F.lit(1).alias("_")).eqNullSafe(F.col("_was"))
+    moved = both.select(*values, F.when(same, F.col("_stamp")).otherwise(now).alias(stamp)).select(*old.columns)
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(moved)
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], oldest: list[Column]) -> DataFrame:
     """old and those new rows whose key it lacks; the first of several."""
     return old.unionByName(added(old, new, keys, oldest))

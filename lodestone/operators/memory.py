@@ -15,6 +15,8 @@ from lodestone.operators.windows import last_n
 COMPRESS_ABOVE, KEEP, FACTS, FACT_CHARS, EXCERPT = 6, 3, 15, 200, 300
 #: Fixed value: most words of a summary.
 SUMMARY_WORDS = 500
+#: Fixed value: a question of fewer words needs no memory but the last turns.
+LAYER_WORDS = 4
 ROLES = ("user", "assistant")
 
 
@@ -81,6 +83,28 @@ def context(summary: Column, facts: Column, recent: Column) -> Column:
     return F.concat_ws("\n\n", section("## Conversation summary", summary), section("## Known facts about the user", facts), section("## Recent conversation", recent))
 
 
+def layers(chosen: Column, question: Column, has_summary: Column, has_facts: Column) -> Column:
+    """Which of summary and facts a question needs, by a model's JSON list with or without a fence.
+
+    None where there is neither, or for a question of under LAYER_WORDS words. An answer that is
+    no JSON: all that there are; JSON but no list: both names. What there isn't goes from a list.
+    """
+    has = {"summary": has_summary, "facts": has_facts}
+    words = F.size(F.filter(F.split(F.coalesce(question, F.lit("")), r"\s+"), lambda w: w != ""))
+    plain = strip(F.coalesce(chosen, F.lit("")))
+    fenced = F.regexp_replace(F.get(F.split(plain, "```"), F.lit(1)), "^json", "")
+    plain = strip(F.when(plain.startswith("```"), fenced).otherwise(plain))
+    listed = F.from_json(F.when(plain.startswith("["), plain), "array<string>")
+    there = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in has.items()]))
+    known = F.filter(listed, lambda x: (x != "summary") | has_summary)
+    known = F.filter(known, lambda x: (x != "facts") | has_facts)
+    both = F.array(F.lit("summary"), F.lit("facts"))
+    none = F.array().cast("array<string>")
+    # a value of JSON other than a list: an object, a text, a number, a word of its own
+    other = plain.rlike(r'^(\{.*\}|"[^"]*"|-?\d+(\.\d+)?|true|false|null)$')
+    return F.when(~(has_summary | has_facts) | (words < LAYER_WORDS), none).when(listed.isNotNull(), known).when(other, both).otherwise(there)
+
+
 def excerpted(existing: Column, conversation: Column) -> Column:
     """A stand-in summary: what there is, and the start of each line since."""
     lines = F.transform(F.split(conversation, "\n"), lambda l: F.substring_index(l, " ", 8))

@@ -66,6 +66,35 @@ def ttl_purge(spark, d):
     return memory.expired(_ttl(spark, d), F.to_timestamp(F.lit(TTL_NOW))).select("event_id", "tier")
 
 
+_CHOSEN = ('["summary"]', '```json\n["facts"]\n```', "summary and facts", '{"a": 1}', '["facts", "summary", "other"]', "[]", '["summary"', None)
+
+
+def memory_layers(spark, d):
+    """What a model's answers, well formed and not, choose of each turn's memory."""
+    t = inputs.turns(spark, d)
+    chosen = F.element_at(F.array(*[F.lit(x).cast("string") for x in _CHOSEN]), F.pmod(F.col("session_id") + F.col("turn"), F.lit(len(_CHOSEN))).cast("int") + 1)
+    has = lambda n: F.pmod("session_id", F.lit(n)) != 0
+    question = F.when(F.pmod("turn", F.lit(5)) == 4, F.lit("what of it")).otherwise(F.concat(F.lit("and so then "), F.col("content")))
+    return t.select("session_id", "turn", F.array_join(memory.layers(chosen, question, has(2), has(3)), ",").alias("layers"))
+
+
+def rewrite_acceptance(spark, d):
+    """Rewrites with and without preambles, too short and too long, and none."""
+    t = inputs.turns(spark, d)
+    forms = ["Rewritten question: {}", "{}", "QUERY:{} and more", "ok", "{} {} {} {} {} {} {} {} {} {}", "Question: Answer: {}"]
+    form = F.get(F.array(*map(F.lit, forms)), F.pmod("turn", F.lit(7)).cast("int"))
+    short = F.substring_index(F.coalesce("content", F.lit("")), " ", 6)
+    return t.select("session_id", "turn", C.accepted_rewrite(F.replace(form, F.lit("{}"), short), short).alias("asked"))
+
+
+def upsert_changed(spark, d):
+    """Customers merged with a later state in which every third has another balance and every seventh's segment is unknown."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.when(F.pmod("c_custkey", F.lit(5)) != 0, F.col("c_mktsegment")).alias("segment"))
+    old = c.where("c_custkey % 4 <> 0").withColumn("updated_at", F.lit(1))
+    new = c.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") + F.when(F.pmod("c_custkey", F.lit(3)) == 0, 1).otherwise(0)).alias("c_acctbal"), F.when(F.pmod("c_custkey", F.lit(7)) != 0, F.col("segment")).alias("segment"))
+    return dml.upsert_changed(old, new, ["c_custkey"], [F.desc("c_acctbal")], "updated_at", F.lit(2))
+
+
 def incremental_antijoin(spark, d):
     """Orders that are not registered, or not in their present state."""
     o = table(spark, d, "orders")
@@ -187,6 +216,29 @@ SELECT CASE WHEN {_any('t', C.CHITCHAT + C.FOLLOW_UP + C.META)} OR len(list_filt
     ),
     "role_check": (role_check, "SELECT conv_id AS session_id, turn, role FROM conversations WHERE role NOT IN ('user', 'assistant')"),
     "ttl_active": (ttl_active, f"WITH {_TTL_SQL} SELECT tier, count(*) AS n FROM t WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{TTL_NOW}' GROUP BY tier"),
+    "memory_layers": (
+        memory_layers,
+        """WITH t AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, conv_id % 2 <> 0 AS s, conv_id % 3 <> 0 AS f,
+  len(regexp_extract_all(CASE WHEN turn % 5 = 4 THEN 'what of it' ELSE 'and so then ' || text END, '\\S+')) AS w FROM conversations)
+SELECT conv_id AS session_id, turn, CASE WHEN NOT (s OR f) OR w < 4 THEN '' WHEN k = 0 THEN CASE WHEN s THEN 'summary' ELSE '' END WHEN k = 1 THEN CASE WHEN f THEN 'facts' ELSE '' END
+  WHEN k = 3 THEN 'summary,facts' WHEN k = 4 THEN concat_ws(',', CASE WHEN f THEN 'facts' END, CASE WHEN s THEN 'summary' END, 'other') WHEN k = 5 THEN ''
+  ELSE concat_ws(',', CASE WHEN s THEN 'summary' END, CASE WHEN f THEN 'facts' END) END AS layers FROM t""",
+    ),
+    "rewrite_acceptance": (
+        rewrite_acceptance,
+        """WITH t AS (SELECT conv_id, turn, array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 1, 6), ' ') AS q FROM conversations),
+r AS (SELECT *, CASE turn % 7 WHEN 0 THEN trim(q) WHEN 1 THEN q WHEN 2 THEN q || ' and more' WHEN 3 THEN 'ok' WHEN 4 THEN array_to_string(list_transform(range(10), lambda i: q), ' ') WHEN 5 THEN trim(q) END AS a FROM t),
+n AS (SELECT *, len(regexp_extract_all(q, '\\S+')) AS wq, len(regexp_extract_all(a, '\\S+')) AS wa FROM r)
+SELECT conv_id AS session_id, turn, CASE WHEN turn % 7 = 6 OR turn % 7 = 3 OR (turn % 7 IN (1, 4) AND length(a) < 3) OR wa > greatest(wq * 3, 25) THEN q ELSE a END AS asked FROM n""",
+    ),
+    "upsert_changed": (
+        upsert_changed,
+        """WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment FROM customer),
+o AS (SELECT *, 1 AS updated_at FROM c WHERE c_custkey % 4 <> 0),
+n AS (SELECT c_custkey, c_acctbal + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS c_acctbal, CASE WHEN c_custkey % 7 <> 0 THEN segment END AS segment FROM c WHERE c_custkey % 2 = 0)
+SELECT * FROM o WHERE c_custkey % 2 <> 0 UNION ALL
+SELECT n.*, CASE WHEN o.c_custkey IS NOT NULL AND n.c_acctbal = o.c_acctbal AND n.segment IS NOT DISTINCT FROM o.segment THEN 1 ELSE 2 END FROM n LEFT JOIN o USING (c_custkey)""",
+    ),
     "ttl_purge": (ttl_purge, f"WITH {_TTL_SQL} SELECT event_id, tier FROM t WHERE expires_at <= TIMESTAMP '{TTL_NOW}'"),
     "incremental_antijoin": (incremental_antijoin, "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT (o_orderkey <= 1000 AND o_orderkey % 10 <> 0)"),
     "registry_status": (registry_status, "SELECT CASE WHEN p_size <= 10 THEN 'new' WHEN p_size > 40 THEN 'updated' ELSE 'skipped' END AS status, count(*) AS n FROM part GROUP BY 1"),

@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from lodestone.functions import classify, providers
 from lodestone.functions.text import strip
 from lodestone.operators import answer, chunks, dml, packing, permissions
+from lodestone.operators import memory as memories
 from lodestone.plans.loop import corrective_search
 from lodestone.sources import files, sinks
 
 
+#: What memory holds of a question's past.
+MEMORY = ("last_question", "rewrite", "summary", "facts", "recent", "layers")
+
+
 def ingest(found: DataFrame, override: Column | None = None, parsers: dict | None = None) -> DataFrame:
     """Canonical chunks of scanned files, by extension or an override; a file of no known type is an error."""
     kind = chunks.source_type(F.col("path"), override, strict=True)
@@ -57,18 +62,24 @@ def context_block(number: Column, source: Column, page: Column, section: Column,
 def answered(questions: DataFrame, chunks_: DataFrame, visible: Column | None = None, memory: DataFrame | None = None, budget: int = packing.BUDGET, postings: DataFrame | None = None) -> DataFrame:
     """(query_id, route, question, prompt, answer, cited) of a batch of questions (query_id, text, vector), with the stand-in generator.
 
-    Small talk is answered without retrieval. A vague question is rewritten with the
-    session's last one, where memory (query_id, last_question, context) has one. Hits come
-    from the corrective search; as many as fit the budget make the prompt, memory first.
+    Small talk is answered without retrieval. memory holds (query_id, last_question, rewrite,
+    summary, facts, recent, layers) of the questions that have a past: a vague question is
+    asked as its rewrite where that is acceptable (a null rewrite: the last question before
+    it), and the prompt begins with the layers that it needs; layers is a model's answer, and
+    null stands for all. Hits come from the corrective search; as many as fit the budget follow.
     chunks_ needs doc_id, text, vector, source, and what ``visible`` reads.
     """
     rows = questions.withColumn("route", classify.route(F.col("text")))
     if memory is None:
-        memory = questions.select("query_id", F.lit(None).cast("string").alias("last_question"), F.lit(None).cast("string").alias("context")).limit(0)
-    held = rows.join(memory, "query_id", "left")
-    both = F.concat_ws(" ", "last_question", "text")
-    asked = F.when(classify.is_vague(F.col("text")) & F.col("last_question").isNotNull(), both).otherwise(F.col("text"))
-    held = held.withColumn("question", asked)
+        memory = questions.select("query_id", *[F.lit(None).cast("string").alias(c) for c in MEMORY]).limit(0)
+    held = rows.join(memory.select("query_id", *MEMORY), "query_id", "left")
+    both = F.coalesce("rewrite", F.concat_ws(" ", "last_question", "text"))
+    past = F.col("last_question").isNotNull()
+    asked = F.when(classify.is_vague(F.col("text")) & past, classify.accepted_rewrite(both, F.col("text"))).otherwise(F.col("text"))
+    has = {c: F.coalesce(strip(F.col(c)) != "", F.lit(False)) for c in ("summary", "facts")}
+    needed = memories.layers(F.col("layers"), F.col("text"), has["summary"], has["facts"])
+    layer = {c: F.when(F.array_contains(needed, c), F.col(c)) for c in has}
+    held = held.withColumn("question", asked).withColumn("context", F.when(past, memories.context(layer["summary"], layer["facts"], F.col("recent"))))
     talk = held.where("route = 'DIRECT'").select("query_id", "route", "question", F.lit(None).cast("string").alias("prompt"), F.lit(answer.direct("")).alias("answer"), F.lit(0).cast("long").alias("cited"))
     search = held.where("route <> 'DIRECT'")
     hits = corrective_search(search.select("query_id", F.col("question").alias("text"), "vector"), chunks_, visible, postings=postings)

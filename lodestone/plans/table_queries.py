@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import tables
 from lodestone.session import TABLES, table
+from lodestone.sources import files
 
 _STARS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -67,7 +68,25 @@ def nl_top(spark, d):
     return tables.ask(spark, "top 10 part by p_retailprice", lambda q, e: "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10", _views(spark, d, "part"))[0]
 
 
+def csv_tables(spark, d):
+    """Customers as CSV files of a hundred, in turns of four encodings, read back as tables' rows."""
+    c = table(spark, d, "customer")
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""né""\nhere"')), F.col("c_acctbal").cast("string"), F.when(F.pmod("c_custkey", F.lit(3)) == 0, F.lit("")).otherwise(F.col("c_mktsegment")))
+    held = c.groupBy(F.floor(F.col("c_custkey") / 100).alias("g")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l"))))["l"].alias("l"))
+    text = F.concat(F.lit("Cust Key,NAME,Acct.Bal,name\n"), F.array_join("l", "\n"), F.lit("\n"))
+    n = F.pmod("g", F.lit(4))
+    raw = F.when(n == 0, F.encode(text, "UTF-8")).when(n == 1, F.encode(text, "UTF-16")).when(n == 2, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "ISO-8859-1"))
+    rows = files.csv_rows(held.select(F.concat(F.lit("Part "), F.col("g").cast("string"), F.lit(".CSV")).alias("name"), F.md5(raw).alias("digest"), raw.alias("content")))
+    cell = lambda i: F.get("cells", F.lit(i))
+    return rows.select("table_name", "row", F.array_join("names", ",").alias("columns"), cell(0).cast("bigint").alias("key"), cell(1).alias("name"), cell(2).cast("double").alias("balance"), cell(3).alias("segment"))
+
+
 QUERIES = {
+    "csv_tables": (
+        csv_tables,
+        """SELECT 'part_' || (c_custkey // 100) AS table_name, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS row, 'custkey,name,acctbal,name_2' AS columns, c_custkey AS key,
+  c_name || ', "né"' || chr(10) || 'here' AS name, c_acctbal AS balance, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer""",
+    ),
     "table_profile": (table_profile, None),
     "table_router": (
         table_router,

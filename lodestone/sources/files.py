@@ -7,6 +7,7 @@ parsed here with the standard library.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import email
 import email.policy
@@ -16,15 +17,18 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import LINE_BREAK, clean_mail, strip, without_forward_header, without_reply
+from lodestone.functions.text import LINE_BREAK, clean_mail, slug, strip, without_forward_header, without_reply
 from lodestone.operators.chunks import ELEMENT, source_type
+from lodestone.session import pinned
 
-#: Decoders that are tried in turn.
-ENCODINGS = ("utf-8-sig", "utf-16", "cp1252")
+#: Fixed value: bytes by which a file's encoding is told.
+SNIFFED = 50_000
+#: Rows of a CSV that leave a parser at once.
+_ROWS = 10_000
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -37,16 +41,35 @@ def scan(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     return files.select("path", name.alias("name"), F.coalesce(F.when(F.lower("path").endswith(".csv"), "csv"), source_type(F.col("path")), F.lit("unknown")).alias("source_type"), F.md5("content").alias("digest"), F.col("modificationTime").alias("modified"), "content")
 
 
+def sniff(raw: bytes) -> str:
+    """The encoding of a file by its first SNIFFED bytes: a mark, UTF-8, UTF-16 by its zeros, else one byte a character."""
+    head = raw[:SNIFFED]
+    if head.startswith(codecs.BOM_UTF8):
+        return "utf-8-sig"
+    if head[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        return "utf-16"
+    pairs = head[: len(head) // 2 * 2]
+    if pairs and pairs[1::2].count(0) > 0.4 * len(pairs) / 2 > pairs[::2].count(0):
+        return "utf-16-le"
+    if pairs and pairs[::2].count(0) > 0.4 * len(pairs) / 2 > pairs[1::2].count(0):
+        return "utf-16-be"
+    try:
+        # a character may be cut at the end of what is read
+        codecs.getincrementaldecoder("utf-8")().decode(head, len(raw) <= SNIFFED)
+        return "utf-8"
+    except UnicodeDecodeError:
+        pass
+    try:
+        head.decode("cp1252")
+        return "cp1252"
+    except UnicodeDecodeError:
+        return "latin-1"
+
+
 def decode(raw: bytes) -> tuple[str, str]:
-    """(text, encoding) by the first decoder that fits; the last replaces what it can't read."""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return raw.decode("utf-16", "replace"), "utf-16"
-    for name in ("utf-8-sig", "cp1252"):
-        try:
-            return raw.decode(name), name
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("latin-1"), "latin-1"
+    """(text, encoding); what the encoding found can't read is replaced."""
+    name = sniff(raw)
+    return raw.decode(name, "replace"), name
 
 
 def texts(files: DataFrame) -> DataFrame:
@@ -260,16 +283,97 @@ def csv_table(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
     return df.toDF(*header_names(df.columns))
 
 
-def csv_rows(raw: bytes) -> tuple[list[str], list[list[str]]]:
-    """(header, rows) of an attached CSV."""
-    rows = list(csv.reader(io.StringIO(decode(raw)[0])))
-    return (header_names(rows[0]), rows[1:]) if rows else ([], [])
+def column_names(names: list[str]) -> list[str]:
+    """Columns of an imported table: lower case, letters and digits only, repeats numbered, "column" where nothing is left."""
+    return header_names([re.sub(r"[^a-z0-9]+", "", n.lower()) for n in names])
+
+
+def csv_rows(files: DataFrame) -> DataFrame:
+    """(table_name, digest, row, names, cells) of CSV files (name, digest, content): one row a line, whatever the files' encodings and columns.
+
+    names and cells are arrays of one length; a short line's last cells are null, and what a long one
+    has beyond its header goes. An empty cell is null. A file is read by one task, and leaves it in runs of lines.
+    """
+    schema = "name string, digest string, row long, names array<string>, cells array<string>"
+    columns = ["name", "digest", "row", "names", "cells"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, digest, raw in zip(part["name"], part["digest"], part["content"]):
+                lines = csv.reader(io.StringIO(decode(bytes(raw))[0], newline=""))
+                header = next(lines, None)
+                if header is None:
+                    continue
+                names, held = column_names(header), []
+                for n, line in enumerate(x for x in lines if x):
+                    cells = [c if c != "" else None for c in line[: len(names)]]
+                    held.append((name, digest, n, names, cells + [None] * (len(names) - len(cells))))
+                    if len(held) == _ROWS:
+                        yield pd.DataFrame(held, columns=columns)
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=columns)
+
+    rows = files.select("name", "digest", "content").mapInPandas(run, schema)
+    return rows.select(table_name(F.col("name")).alias("table_name"), "digest", "row", "names", "cells")
+
+
+def table_name(name: Column) -> Column:
+    """The table that a CSV file becomes."""
+    return slug(F.regexp_replace(name, r"(?i)\.csv$", ""))
 
 
 def import_csv(spark: SparkSession, files: DataFrame, registry: DataFrame, force: bool = False) -> DataFrame:
     """Which CSV files are new, updated, or skipped, by digest: (table_name, path, digest, status)."""
-    from lodestone.functions.text import slug
     from lodestone.operators.dml import status
 
-    rows = files.where(F.lower("path").endswith(".csv")).select(slug(F.regexp_replace("name", r"(?i)\.csv$", "")).alias("table_name"), "path", "digest")
+    rows = files.where(F.lower("path").endswith(".csv")).select(table_name(F.col("name")).alias("table_name"), "path", "digest")
     return status(rows, registry, "table_name", "digest", force)
+
+
+def import_tables(spark: SparkSession, files: DataFrame, place: str, now: Column, force: bool = False) -> DataFrame:
+    """Imports the new and changed CSV files of a scan into tables below ``place``, all in one job; (table_name, path, digest, status) of each file.
+
+    Rows lie in ``rows`` below it, a partition a table, so a changed file replaces its own table by
+    dynamic overwrite and the others stay; ``registry`` has a partition a table too, and follows once the
+    rows are written: a run that dies in between imports its files again.
+    """
+    held = registered(spark, place)
+    # as the registry was before the import
+    found = pinned(import_csv(spark, files, held.select("table_name", "digest"), force))
+    due = found.where("status <> 'skipped'")
+    if not due.isEmpty():
+        rows = csv_rows(files.join(due.select("path"), "path", "left_semi"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_name").parquet(f"{place}/rows")
+        noted = due.select("path", "digest", now.alias("imported_at"), "table_name")
+        noted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table_name").parquet(f"{place}/registry")
+    return found
+
+
+def registered(spark: SparkSession, place: str) -> DataFrame:
+    """(table_name, path, digest, imported_at) of imported tables, newest first."""
+    schema = "path string, digest string, imported_at timestamp, table_name string"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/registry")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema).select("table_name", "path", "digest", "imported_at")
+    return spark.read.schema(schema).parquet(f"{place}/registry").select("table_name", "path", "digest", "imported_at").orderBy(F.desc("imported_at"), "table_name")
+
+
+def typed(rows: DataFrame) -> DataFrame:
+    """One table's rows (row, names, cells) as columns: whole numbers, numbers, or texts, by what all cells of a column are."""
+    first = rows.select("names").limit(1).collect()
+    if not first:
+        return rows.select("row")
+    names = first[0]["names"]
+    cell = lambda i: F.get("cells", F.lit(i))
+    fits = lambda kind: [F.bool_and(cell(i).isNull() | cell(i).try_cast(kind).isNotNull()).alias(f"{kind}{i}") for i in range(len(names))]
+    kinds = rows.agg(*fits("bigint"), *fits("double")).collect()[0]
+    pick = lambda i: "bigint" if kinds[f"bigint{i}"] else "double" if kinds[f"double{i}"] else "string"
+    return rows.select("row", *[cell(i).try_cast(pick(i)).alias(n) for i, n in enumerate(names)])
+
+
+def load_table(spark: SparkSession, place: str, name: str) -> DataFrame:
+    """An imported table as the registry has it, typed, in the order of its file by ``row``."""
+    held = spark.read.schema("digest string, row long, names array<string>, cells array<string>, table_name string").parquet(f"{place}/rows")
+    known = registered(spark, place).where(F.col("table_name") == name).select("digest")
+    return typed(held.where(F.col("table_name") == name).join(known, "digest", "left_semi"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from lodestone.operators.memory import COMPRESS_ABOVE, KEEP
+from lodestone.operators.memory import COMPRESS_ABOVE, KEEP, with_tiers
 
 
 def landing(spark: SparkSession, path: str, schema: StructType | str, files_a_batch: int = 1000) -> DataFrame:
@@ -114,6 +114,46 @@ class TurnBuffer(StatefulProcessor):
         pass
 
 
+class Tiers(StatefulProcessor):
+    """Holds a session's turns until they expire, each by a timer of its own, and hands on those that have."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.turns = handle.getMapState("turns", "turn long", "tier string, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for turn, tier, until in part.loc[part["until"].notna(), ["turn", "tier", "until"]].itertuples(index=False, name=None):
+                self.turns.updateValue((int(turn),), (tier, int(until)))
+                self.handle.registerTimer(int(until))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, gone = expiredTimerInfo.getExpiryTimeInMs(), []
+        for (turn,), (tier, until) in list(self.turns.iterator()):
+            if until <= now:
+                gone.append((key[0], turn, tier, until))
+                self.turns.removeKey((turn,))
+        if gone:
+            yield pd.DataFrame(sorted(gone), columns=["session_id", "turn", "tier", "until"])
+
+    def close(self) -> None:
+        pass
+
+
+def purge_stream(turns: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(session_id, turn, tier, expires_at) of turns (session_id, turn, content, created_at) that expire as event time goes on.
+
+    Only turns of tiers that expire are held, and each for as long as its tier says, so state
+    does not grow with what is kept for good; that too moves event time on. Batch twin: memory.expired at the watermark. A
+    turn that comes again after its expiry is late, and is not held anew.
+    """
+    rows = with_tiers(turns.withWatermark("created_at", late))
+    held = rows.select("session_id", "turn", "tier", F.unix_millis("expires_at").alias("until"), "created_at")
+    gone = held.groupBy("session_id").transformWithStateInPandas(Tiers(), outputStructType="session_id long, turn long, tier string, until long", outputMode="Append", timeMode="EventTime")
+    return gone.select("session_id", "turn", "tier", F.timestamp_millis("until").alias("expires_at"))
+
+
 def compression_stream(turns: DataFrame, above: int = COMPRESS_ABOVE, keep: int = KEEP) -> DataFrame:
     """Turns to compress, as sessions grow. Needs the RocksDB state store."""
     return turns.groupBy("session_id").transformWithStateInPandas(
