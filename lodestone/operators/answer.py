@@ -45,8 +45,8 @@ def rerank(hits: DataFrame, scored: DataFrame, n: int = TOP, query: str = "query
 
 
 def relevance(coverage_: Column) -> Column:
-    """A stand-in judge's 1..5 of a coverage share."""
-    return (F.least(F.floor(coverage_ * 5), F.lit(4)) + 1).cast("int")
+    """A stand-in judge's 1..5 of a coverage share; null for none."""
+    return F.when(coverage_.isNotNull(), (F.least(F.floor(coverage_ * 5), F.lit(4)) + 1).cast("int"))
 
 
 def weak(graded: DataFrame, attempt: int, query: str = "query_id", grade: str = "grade") -> DataFrame:
