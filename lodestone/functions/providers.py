@@ -144,11 +144,6 @@ def with_retry(call: Callable, tries: int = 5, wait: float = 0.0) -> Callable:
     return tried
 
 
-def non_blank(df: DataFrame, text: str) -> DataFrame:
-    """Rows with something to embed."""
-    return df.where(F.trim(F.coalesce(text, F.lit(""))) != "")
-
-
 def query_vector(text: str, embed: Embed = hashed_embedding, prefix: str = "") -> np.ndarray:
     """The vector of one question; an empty one is an error. prefix: what the model wants before questions."""
     if not text or not text.strip():

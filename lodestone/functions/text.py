@@ -73,7 +73,6 @@ PREAMBLES = (
 )
 #: Slide-number marks that a deck's template leaves in texts.
 PLACEHOLDERS = ("‹#›", "<#>", "‹›", "#", "\u200b")
-CAPTION = r"(?i)^(Fig\.|Figure|Table)\s+\d+[.:]\s+\S"
 CAPTION_LABEL = r"(?i)^(Fig\.|Figure|Table)\s+\d+\.?\s*$"
 ANY_CAPTION = r"(?i)^(Fig\.|Figure|Table|Tableau|FIGURE|TABLE)\s*[\dIVXLC]+[.:\s]"
 SKIPPED_SECTIONS = ("references", "bibliography", "acknowledgments", "acknowledgements")

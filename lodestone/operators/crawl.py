@@ -21,6 +21,8 @@ EXPORTS = {
     "application/vnd.google-apps.presentation": _SLIDES,
 }
 STATES = ("pending", "running", "done", "failed")
+#: State -> the states that it may follow; a failed or finished crawl may be queued again, and a failed one taken up.
+FOLLOWS = {"pending": ("done", "failed"), "running": ("pending", "failed"), "done": ("running",), "failed": ("running",)}
 # ----------------------------------------------------------------------------
 
 
@@ -46,8 +48,30 @@ def stamped(chunks: DataFrame, listed: DataFrame, entries: DataFrame) -> DataFra
     return out.withColumn("owner_email", F.coalesce("owner_email", F.lit("unknown"))).withColumn("is_public", F.coalesce("is_public", F.lit(False)))
 
 
-def advanced(users: DataFrame, of: Column, state: str) -> DataFrame:
-    """crawl_status of the users that ``of`` holds for."""
-    if state not in STATES:
-        raise ValueError(f"state must be one of {STATES}")
-    return dml.update(users, of, crawl_status=F.lit(state))
+def advanced(crawls: DataFrame, wanted: DataFrame, now: Column, key: str = "user_id") -> DataFrame:
+    """crawls (key, crawl_status, cursor, attempts, changed_at) after the wanted changes (key, state, cursor), one a key.
+
+    A change takes place only from a state that its own may follow; the others, and
+    changes to no known state, leave their row as it is. Running counts an attempt. A
+    cursor that comes with a change replaces the one held, so a failed crawl goes on from
+    the last page that it had; done clears it. A key without a row begins as pending.
+    """
+    allowed = F.create_map(*[x for state, before in FOLLOWS.items() for x in (F.lit(state), F.array(*map(F.lit, before)))])
+    new = wanted.select(F.col(key), F.col("state").alias("_to"), F.col("cursor").alias("_at"))
+    both = crawls.join(new, key, "full_outer")
+    first = F.col("crawl_status").isNull() & (F.col("_to") == "pending")
+    moves = F.coalesce(first | F.array_contains(F.try_element_at(allowed, F.col("_to")), F.col("crawl_status")), F.lit(False))
+    held = F.when(F.col("_to") == "done", F.lit(None)).otherwise(F.coalesce("_at", "cursor"))
+    out = both.select(
+        key,
+        F.when(moves, F.col("_to")).otherwise(F.col("crawl_status")).alias("crawl_status"),
+        F.when(moves, held).otherwise(F.col("cursor")).alias("cursor"),
+        (F.coalesce("attempts", F.lit(0)) + F.when(moves & (F.col("_to") == "running"), 1).otherwise(0)).alias("attempts"),
+        F.when(moves, now).otherwise(F.col("changed_at")).alias("changed_at"),
+    )
+    return out.where(F.col("crawl_status").isNotNull())
+
+
+def resumable(crawls: DataFrame, most_attempts: int = 3) -> DataFrame:
+    """Crawls to start, with the cursor to go on from: those pending, and those that failed fewer than ``most_attempts`` times."""
+    return crawls.where((F.col("crawl_status") == "pending") | ((F.col("crawl_status") == "failed") & (F.col("attempts") < most_attempts)))

@@ -97,8 +97,3 @@ def templates(question: str, error: str | None = None) -> str:
     if m:
         return f"SELECT * FROM {m[2]} ORDER BY {m[3]} DESC LIMIT {m[1]}"
     raise NotAQuery("no template for this question")
-
-
-def checked_columns(statement: str, df: DataFrame) -> list[str]:
-    """Backquoted columns that a table lacks."""
-    return sorted(set(re.findall(r"`([^`]+)`", statement)) - set(df.columns))

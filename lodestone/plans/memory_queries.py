@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import classify as C
 from lodestone.functions import text as T
-from lodestone.operators import answer, dml, memory, permissions
+from lodestone.operators import answer, crawl, dml, memory, permissions
 from lodestone.plans import inputs
 from lodestone.session import table
 
@@ -155,6 +155,36 @@ def crawl_permissions(spark, d):
     return out.select("file_id", F.array_join("allowed_users", ",").alias("allowed"), "is_public")
 
 
+def crawl_stamps(spark, d):
+    """Documents as chunks of crawled files, some without a listing, with their file's access columns."""
+    t = table(spark, d, "documents")
+    chunks = t.select("doc_id", F.pmod("doc_id", F.lit(97)).alias("file_id"))
+    files = t.where("doc_id < 90").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("O"), F.col("doc_id").cast("string"), F.lit("@x")).alias("owner_email"))
+    role = F.element_at(F.array(F.lit("reader"), F.lit("owner"), F.lit("none")), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    entries = t.select(F.pmod("doc_id", F.lit(90)).alias("file_id"), F.when(F.pmod("doc_id", F.lit(7)) == 0, "anyone").otherwise("user").alias("type"), role.alias("role"), F.concat(F.lit("u"), F.pmod("doc_id", F.lit(11)).cast("string"), F.lit("@x")).alias("email"))
+    out = crawl.stamped(chunks, files, entries)
+    return out.select("doc_id", "file_id", "owner_email", F.array_join(F.coalesce("allowed_users", F.array().cast("array<string>")), ",").alias("allowed"), "is_public")
+
+
+def _crawls(spark, d):
+    """Customers' crawls in every state, and changes wanted of them, some of them of no known crawl or state."""
+    c = table(spark, d, "customer")
+    nth = lambda *of: F.element_at(F.array(*[F.lit(x).cast("string") for x in of]), F.pmod("c_custkey", F.lit(len(of))).cast("int") + 1)
+    held = c.where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("user_id"), nth("pending", "running", "done", "failed").alias("crawl_status"), nth("p1", None, "p3").alias("cursor"), F.pmod("c_custkey", F.lit(5)).cast("int").alias("attempts"), F.lit(1).alias("changed_at"))
+    wanted = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("user_id"), nth("running", "done", "pending", "failed", "lost").alias("state"), nth(None, "n1").alias("cursor"))
+    return held, wanted
+
+
+def crawl_states(spark, d):
+    held, wanted = _crawls(spark, d)
+    return crawl.advanced(held, wanted, F.lit(2))
+
+
+def crawl_resumed(spark, d):
+    held, wanted = _crawls(spark, d)
+    return crawl.resumable(crawl.advanced(held, wanted, F.lit(2)))
+
+
 def judge_summary(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     scored = rows.select("source", (F.col("quality") * 4 + 1).alias("faithfulness"), F.when(F.pmod("doc_id", F.lit(3)) == 0, 5 - F.col("toxic") * 4).alias("correctness"))
@@ -187,6 +217,12 @@ _TTL_SQL = "t AS (SELECT *, (['short', 'mid', 'long'])[event_id % 3 + 1] AS tier
 _CHANGES_SQL = """old AS (SELECT c_custkey AS key, 'known' AS event_type, -1::BIGINT AS version FROM customer WHERE c_custkey % 3 <> 0),
 new AS (SELECT user_id AS key, event_type, event_id AS version FROM events)"""
 
+_CRAWLS_SQL = """h AS (SELECT c_custkey AS user_id, (['pending', 'running', 'done', 'failed'])[c_custkey % 4 + 1] AS st, (['p1', NULL, 'p3'])[c_custkey % 3 + 1] AS cur, (c_custkey % 5)::INT AS n FROM customer WHERE c_custkey % 9 <> 0),
+w AS (SELECT c_custkey AS user_id, (['running', 'done', 'pending', 'failed', 'lost'])[c_custkey % 5 + 1] AS too, (CASE c_custkey % 2 WHEN 1 THEN 'n1' END) AS nxt FROM customer WHERE c_custkey % 7 <> 0),
+b AS (SELECT *, coalesce((st IS NULL AND too = 'pending') OR (too = 'pending' AND st IN ('done', 'failed')) OR (too = 'running' AND st IN ('pending', 'failed')) OR (too IN ('done', 'failed') AND st = 'running'), false) AS m FROM h FULL JOIN w USING (user_id)),
+s AS (SELECT user_id, CASE WHEN m THEN too ELSE st END AS crawl_status, CASE WHEN m AND too = 'done' THEN NULL WHEN m THEN coalesce(nxt, cur) ELSE cur END AS cursor,
+  (coalesce(n, 0) + CASE WHEN m AND too = 'running' THEN 1 ELSE 0 END)::INT AS attempts, CASE WHEN m THEN 2 WHEN st IS NOT NULL THEN 1 END AS changed_at FROM b WHERE m OR st IS NOT NULL)"""
+
 QUERIES = {
     "last_n_turns": (last_n_turns, "SELECT conv_id AS session_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4"),
     "history_text": (
@@ -263,6 +299,18 @@ SELECT 'parent' AS relation, count(*) AS n FROM supplier WHERE s_suppkey NOT IN
 u AS (SELECT file_id, email FROM e WHERE reads UNION SELECT DISTINCT file_id, 'o' || file_id || '@x' FROM e)
 SELECT file_id, string_agg(email, ',' ORDER BY email) AS allowed, (SELECT coalesce(bool_or(anyone), false) FROM e WHERE e.file_id = u.file_id AND reads) AS is_public FROM u GROUP BY file_id""",
     ),
+    "crawl_stamps": (
+        crawl_stamps,
+        """WITH e AS (SELECT doc_id % 90 AS file_id, doc_id % 7 = 0 AS anyone, doc_id % 3 < 2 AS reads, 'u' || (doc_id % 11) || '@x' AS email FROM documents),
+f AS (SELECT doc_id AS file_id, 'O' || doc_id || '@x' AS owner FROM documents WHERE doc_id < 90),
+u AS (SELECT file_id, email FROM e WHERE reads AND file_id IN (SELECT file_id FROM f) UNION SELECT file_id, lower(owner) FROM f),
+a AS (SELECT file_id, string_agg(email, ',' ORDER BY email) AS allowed FROM u GROUP BY file_id),
+p AS (SELECT file_id, bool_or(anyone) AS is_public FROM e WHERE reads GROUP BY file_id)
+SELECT doc_id, doc_id % 97 AS file_id, coalesce(owner, 'unknown') AS owner_email, coalesce(allowed, '') AS allowed, coalesce(owner IS NOT NULL AND is_public, false) AS is_public
+FROM documents d LEFT JOIN f ON f.file_id = d.doc_id % 97 LEFT JOIN a ON a.file_id = f.file_id LEFT JOIN p ON p.file_id = f.file_id""",
+    ),
+    "crawl_states": (crawl_states, f"WITH {_CRAWLS_SQL} SELECT * FROM s"),
+    "crawl_resumed": (crawl_resumed, f"WITH {_CRAWLS_SQL} SELECT * FROM s WHERE crawl_status = 'pending' OR (crawl_status = 'failed' AND attempts < 3)"),
     "judge_summary": (
         judge_summary,
         """WITH s AS (SELECT source, (quality * 4 + 1)::DOUBLE AS f, CASE WHEN l.doc_id % 3 = 0 THEN (5 - toxic * 4)::DOUBLE END AS c FROM labels l JOIN documents d USING (doc_id)),

@@ -194,6 +194,23 @@ def markdown_elements(spark, d):
     return files.markdown_elements(t.select("doc_id", "n", F.coalesce(line, F.col("l")).alias("line")), ["doc_id"], ["n"]).select("doc_id", "element", "section", "type", "content")
 
 
+def mail_chunks(spark, d):
+    """Documents as parsed mails, some with tables: body paragraphs packed, then the tables."""
+    t = table(spark, d, "documents")
+    held = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.array(F.lit("a | b"), F.concat(F.lit("n | "), F.col("doc_id").cast("string"))))
+    body = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    mails = t.select(F.col("doc_id").cast("string").alias("path"), body.alias("text"), held.alias("tables"), F.col("source").alias("subject"), F.lit("a@x").alias("from"), F.col("lang").alias("date"))
+    return chunkers.mail_chunks(mails).select("path", "position", "type", "content", "subject", "date")
+
+
+def fenced_code(spark, d):
+    """A model's answers with and without a fence."""
+    t = table(spark, d, "documents")
+    nth = F.pmod("doc_id", F.lit(4))
+    made = F.when(nth == 0, F.concat(F.lit("So:\n```sql\n"), F.col("text"), F.lit("\n```\ndone ``` x"))).when(nth == 1, F.concat(F.lit("``` \n"), F.col("text"), F.lit("```"))).when(nth == 2, F.concat(F.lit("```"), F.col("text"))).otherwise(F.col("text"))
+    return t.select("doc_id", T.fenced_code(made).alias("code"))
+
+
 def mail_marks(spark, d):
     """Conversations as HTML mails with each kind of quoted part: what is left of them."""
     plain = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -598,6 +615,17 @@ h AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id ORDER BY n) = k THEN
 i AS (SELECT *, (sum(ck) OVER (PARTITION BY doc_id ORDER BY n))::BIGINT AS element FROM h)
 SELECT doc_id, element, section, type, CASE type WHEN 'table' THEN string_agg(t, chr(10) ORDER BY n) ELSE string_agg(t, ' ' ORDER BY n) END AS content FROM i GROUP BY doc_id, element, section, type""",
     ),
+    "mail_chunks": (
+        mail_chunks,
+        f"""WITH p AS ({_chunks_sql("doc_id, source, lang", "i", f"SELECT doc_id, source, lang, {_PARAGRAPHS} AS f FROM (SELECT doc_id, source, lang, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)", _TAIL)}),
+n AS (SELECT d.doc_id, count(p.i) AS n FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id::VARCHAR AS path, i AS position, 'text' AS type, content, source AS subject, lang AS date FROM p
+UNION ALL SELECT doc_id::VARCHAR, (n + k)::INT, 'table', CASE k WHEN 0 THEN 'a | b' ELSE 'n | ' || doc_id END, source, lang FROM documents JOIN n USING (doc_id), (VALUES (0), (1)) AS v(k) WHERE doc_id % 3 = 0""",
+    ),
+    "fenced_code": (
+        fenced_code,
+        f"""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN {_STRIP.format('text')} WHEN doc_id % 4 = 2 THEN {_STRIP.format("'```' || text")} ELSE {_STRIP.format('text')} END AS code FROM documents""",
+    ),
     "mail_marks": (
         mail_marks,
         r"""WITH l AS (SELECT conv_id || '-' || turn AS key, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') AS l,

@@ -88,7 +88,3 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.option("header", "true").csv(path)
         return df.select("question", (F.col("reference") if "reference" in df.columns else F.lit(None).cast("string")).alias("reference"))
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").alias("question"), F.lit(None).cast("string").alias("reference"))
-
-
-def write_json(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("overwrite").json(path)

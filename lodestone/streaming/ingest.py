@@ -27,13 +27,6 @@ def landing(spark: SparkSession, path: str, schema: StructType | str, files_a_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def first_seen(stream: DataFrame, keys: list[str], event_time: str | None = None, late: str = "7 days") -> DataFrame:
-    """Each key once; with an event time, keys are forgotten once no later row may come."""
-    if event_time:
-        return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
-    return stream.dropDuplicates(keys)
-
-
 def unseen_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str, version: str | None = None):
     """A query that appends the rows of each batch that a Parquet table lacks; replayed batches add nothing."""
     on = keys + ([version] if version else [])
@@ -83,12 +76,6 @@ def changed(stream: DataFrame, key: str, version: str, order: tuple[str, ...] =
     return stream.groupBy(key).transformWithStateInPandas(Versions(version, order), outputStructType=stream.schema, outputMode="Update", timeMode="None")
 
 
-def sessions_by_time(events: DataFrame, key: str, event_time: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Activity sessions of each key; an addition of this engine."""
-    w = F.session_window(event_time, gap)
-    return events.withWatermark(event_time, late).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, "w.start", "w.end", "n")
-
-
 class TurnBuffer(StatefulProcessor):
     """Keeps a session's turns; past ``above`` all but the last ``keep`` are handed on for compression, each once."""
 

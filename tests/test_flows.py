@@ -110,3 +110,25 @@ def test_semantic_chunks(spark, tables):
         got.setdefault(r.doc_id, []).append(r.content)
     # a text of one sentence is that sentence
     assert got == {d: by_meaning(t) if len(s) > 1 else s for d, (t, _) in docs.items() if (s := sentences(t or ""))}
+
+
+def plain_page(html):
+    """(characters, tables) of a page, by patterns over its mark-up."""
+    import html as entities
+
+    body = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>", "", html or "")
+    body = re.sub(r"(?is)<(script|style|head|blockquote|template)\b[^>]*>.*?</\1\s*>", "", body)
+    tables = 0
+    for found in re.findall(r"(?is)<table\b.*?</table>", body):
+        rows = [r for r in ([*re.findall(r"(?is)<t[dh]\b[^>]*>.*?</t[dh]>", r)] for r in re.findall(r"(?is)<tr\b[^>]*>.*?(?=<tr\b|</table>)", found)) if r]
+        tables += len(rows) >= 2 and max(map(len, rows)) >= 2
+    body = re.sub(r"(?is)<t[dh]\b[^>]*>.*?</t[dh]>", "", body)
+    body = re.sub(r"(?is)</?(p|div|li|h[1-6])\b[^>]*>|<(br|tr)\b[^>]*>", "\n", body)
+    lines = [" ".join(x.split()) for x in entities.unescape(re.sub(r"(?s)<[^>]+>", "", body)).split("\n")]
+    return len("\n".join(x for x in lines if x)), tables
+
+
+def test_html_parts(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: (r.chars, r.tables) for r in text_queries.html_parts(spark, SF).collect()}
+    assert got == {p: plain_page(h) for p, h in pages.items()}
