@@ -131,6 +131,62 @@ def page_chunks(elements: DataFrame, embed: Embed = hashed_embedding) -> DataFra
     return out.select("doc_id", (F.col("_i") + 1).alias("chunk_index"), F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("chunk_total"), "c.type", "c.content")
 
 
+def grid(cells: Column) -> Column:
+    """A table's text of its cells, array<struct<row, col, text>>: each stands where it begins, what it spans stays blank.
+
+    Of several cells of one place the last counts. The first row is the header, unless it is
+    the only one; no cells: null. One fold over the cells in order of their places.
+    """
+    placed = F.array_sort(F.transform(cells, lambda c, i: F.struct(c["row"].cast("int").alias("row"), c["col"].cast("int").alias("col"), i.alias("i"), F.coalesce(c["text"], F.lit("")).alias("text"))))
+    bars = lambda n: F.repeat(F.lit(" | "), n)
+    none = F.lit(-1)
+    # w: width; r, c, cur, text: the last cell's place, its line before it, and itself; lines: those that are full
+    start = F.struct((F.array_max(F.transform(cells, lambda c: c["col"].cast("int"))) + 1).alias("w"), none.alias("r"), none.alias("c"), F.lit("").alias("cur"), F.lit("").alias("text"), F.array().cast("array<string>").alias("lines"))
+    full = lambda a: F.concat(a["cur"], a["text"], bars(a["w"] - 1 - a["c"]))
+
+    def step(a, x):
+        same_row = x["row"] == a["r"]
+        same = same_row & (x["col"] == a["c"])
+        closed = F.when(a["r"] < 0, a["lines"]).otherwise(F.array_append(a["lines"], full(a)))
+        skipped = F.array_repeat(bars(a["w"] - 1), x["row"] - a["r"] - 1)
+        return F.struct(
+            a["w"].alias("w"), x["row"].alias("r"), x["col"].alias("c"),
+            F.when(same, a["cur"]).when(same_row, F.concat(a["cur"], a["text"], bars(x["col"] - a["c"]))).otherwise(bars(x["col"])).alias("cur"),
+            x["text"].alias("text"),
+            F.when(same_row, a["lines"]).otherwise(F.concat(closed, skipped)).alias("lines"),
+        )
+
+    def text(a):
+        rule = F.array_join(F.array_repeat(F.lit("---"), a["w"]), " | ")
+        below = F.concat(F.slice(a["lines"], 1, 1), F.array(rule), F.slice(a["lines"], F.lit(2), F.greatest(F.size(a["lines"]) - 1, F.lit(0))), F.array(full(a)))
+        return F.array_join(F.when(a["r"] > 0, below).otherwise(F.array(full(a))), "\n")
+
+    return F.when(F.size(cells) > 0, F.aggregate(placed, start, step, text))
+
+
+def digital_elements(parsed: DataFrame) -> DataFrame:
+    """(doc_id, number, type, content, section, page_start, page_end, table_index) of a parser's items (doc_id, position, kind, page, text, cells).
+
+    kind is section, text, table, or image, whose text describes it. Texts that follow one another are one
+    element, across pages: its first and last page are those of its first and last text. Any
+    other item ends it. A section is that of the last heading, "Unknown" before the first.
+    Tables are numbered within the document; blank texts, images without a description and tables without cells go.
+    """
+    w = W.partitionBy("doc_id").orderBy("position")
+    text = strip(F.coalesce("text", F.lit("")))
+    rows = parsed.withColumn("_t", text)
+    rows = rows.withColumn("section", F.coalesce(F.last(F.when(F.col("kind") == "section", F.col("_t")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit("Unknown")))
+    rows = rows.withColumn("_run", F.count(F.when(F.col("kind") != "text", 1)).over(w))
+    body = F.when(F.col("kind") == "table", grid(F.col("cells"))).when(F.col("kind").isin("text", "image"), F.nullif(F.col("_t"), F.lit("")))
+    rows = rows.withColumn("_body", body).where(F.col("_body").isNotNull())
+    rows = rows.withColumn("table_index", F.when(F.col("kind") == "table", F.count(F.when(F.col("kind") == "table", 1)).over(w)))
+    held = F.sort_array(F.collect_list(F.struct("position", "page", "_body")))
+    # texts of a run are one element; a table or image is a run's first item, and stands alone
+    runs = rows.groupBy("doc_id", "_run", F.col("kind").alias("type"), "section", "table_index").agg(held.alias("h"))
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy(F.get("h.position", F.lit(0))))
+    return runs.select("doc_id", number.alias("number"), "type", F.array_join("h._body", " ").alias("content"), "section", F.get("h.page", F.lit(0)).alias("page_start"), F.element_at("h.page", -1).alias("page_end"), "table_index")
+
+
 def is_section_slide(tables: Column, images: Column, paragraphs: Column, bullets: Column, words: Column, title: Column) -> Column:
     """A slide that only names a section: no table or image, few words, no bullets, a short title."""
     text = strip(F.coalesce(title, F.lit("")))

@@ -152,6 +152,16 @@ def artifact_merge(spark, d):
     return t.select("doc_id", F.posexplode(packing.merge_artifacts(lines)).alias("part", "content"))
 
 
+def digital_elements(spark, d):
+    """Documents' lines as a parser's items over pages of five: headings, texts, pictures, and tables of cells, some missing and some twice."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("position", "text"))
+    n = F.col("position") + F.pmod("doc_id", F.lit(10)).cast("int")
+    kind = F.when(n % 10 == 0, "section").when(n % 7 == 3, "table").when(n % 11 == 6, "image").otherwise("text")
+    words = F.filter(F.split("text", " "), lambda x, i: (i % 4 != 2))
+    cells = F.transform(words, lambda x, i: F.struct(F.floor(i / 3).cast("int").alias("row"), (i % 2).alias("col"), x.alias("text")))
+    return chunkers.digital_elements(t.select("doc_id", "position", kind.alias("kind"), (F.floor(F.col("position") / 5) + 1).cast("int").alias("page"), "text", F.when(F.col("text") != "", cells).alias("cells")))
+
+
 def page_elements(spark, d):
     """Documents' lines as page elements: every ninth a table, with a caption below it."""
     t = table(spark, d, "documents")
@@ -585,6 +595,23 @@ concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], lower(to_hex((('0x' || h[17])::
         r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""",
     ),
     "html_parts": (html_parts, None),
+    "digital_elements": (
+        digital_elements,
+        f"""WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, (generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1)::INT AS position FROM documents),
+k AS (SELECT *, {_STRIP.format('text')} AS t, CASE WHEN (position + doc_id % 10) % 10 = 0 THEN 'section' WHEN (position + doc_id % 10) % 7 = 3 THEN 'table' WHEN (position + doc_id % 10) % 11 = 6 THEN 'image' ELSE 'text' END AS kind, position // 5 + 1 AS page FROM t),
+s AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'section' THEN t END IGNORE NULLS) OVER w, 'Unknown') AS section, count(CASE WHEN kind <> 'text' THEN 1 END) OVER w AS run FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT doc_id, position, list_filter(string_split(text, ' '), lambda q, i: (i - 1) % 4 <> 2) AS ws FROM s WHERE kind = 'table' AND text <> ''),
+c AS (SELECT doc_id, position, w, (i - 1) // 3 AS r, (i - 1) % 2 AS c, i FROM (SELECT doc_id, position, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM x)),
+m AS (SELECT doc_id, position, r, c, arg_max(w, i) AS w FROM c GROUP BY ALL),
+z AS (SELECT doc_id, position, max(r) AS h, max(c) AS v FROM m GROUP BY ALL),
+y AS (SELECT doc_id, position, r, unnest(range(0, v + 1)) AS c FROM (SELECT doc_id, position, v, unnest(range(0, h + 1)) AS r FROM z)),
+g AS (SELECT doc_id, position, r, string_agg(coalesce(w, ''), ' | ' ORDER BY c) AS line FROM y LEFT JOIN m USING (doc_id, position, r, c) GROUP BY doc_id, position, r),
+b AS (SELECT g.doc_id, g.position, string_agg(line || CASE WHEN r = 0 AND h > 0 THEN chr(10) || CASE v WHEN 0 THEN '---' ELSE '--- | ---' END ELSE '' END, chr(10) ORDER BY r) AS grid FROM g JOIN z USING (doc_id, position) GROUP BY g.doc_id, g.position),
+e AS (SELECT s.*, CASE kind WHEN 'table' THEN grid WHEN 'section' THEN NULL ELSE nullif(t, '') END AS body FROM s LEFT JOIN b USING (doc_id, position)),
+f AS (SELECT *, CASE WHEN kind = 'table' THEN count(CASE WHEN kind = 'table' THEN 1 END) OVER (PARTITION BY doc_id ORDER BY position) END AS table_index FROM e WHERE body IS NOT NULL),
+a AS (SELECT doc_id, run, kind AS type, section, table_index, string_agg(body, ' ' ORDER BY position) AS content, arg_min(page, position) AS page_start, arg_max(page, position) AS page_end, min(position) AS first FROM f GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first))::INT AS number, type, content, section, page_start::INT AS page_start, page_end::INT AS page_end, table_index FROM a""",
+    ),
     "page_chunks": (page_chunks, None),
     "slide_chunks": (
         slide_chunks,
