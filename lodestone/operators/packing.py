@@ -6,10 +6,13 @@ so nothing is shuffled and documents are packed side by side.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import strip, tokens
+from lodestone.functions.text import CHUNK_RATIO, strip, tokens
 
 #: Most and least tokens of a chunk, most of a table batch, and the prompt's budget.
 MOST, LEAST, TABLE_MOST, BUDGET = 450, 80, 400, 8000
@@ -68,33 +71,40 @@ def paragraphs(text: Column, most: int = MOST, least: int = LEAST) -> Column:
     return F.aggregate(parts, start, step, lambda a: _with_tail(a["out"], a["cur"], least))
 
 
+def _row_batches(head: str, rows: list[str], most: int) -> list[str]:
+    """Rows in batches below the head: a batch ends before the row that would take it past ``most`` tokens."""
+    out, cur, size = [], [], 0
+    for r in rows:
+        # code points of the batch with this row and the line breaks
+        grown = size + len(r) + (1 if cur or head else 0)
+        if cur and max(1, math.floor((len(head) + grown) / CHUNK_RATIO)) > most:
+            out.append("\n".join([head, *cur] if head else cur))
+            cur, grown = [], len(r) + (1 if head else 0)
+        cur.append(r)
+        size = grown
+    return [*out, "\n".join([head, *cur] if head else cur)] if cur else out
+
+
 def table_batches(table: Column, whole: int = MOST, most: int = TABLE_MOST) -> Column:
     """A table in one chunk, or its rows in batches that each repeat the header.
 
     The header ends with the first line of nothing but bars, dashes, colons and
-    spaces; a table without one stays whole.
+    spaces; a table without one stays whole. Batches are made in Arrow batches: a fold
+    copies what it holds at every item, which for a long table is the square of its text.
     """
     lines = F.split(strip(table), "\n")
     rule = F.array_position(F.transform(lines, lambda l: F.translate(l, "|-: ", "") == ""), True).cast("int")
     header = F.slice(lines, 1, rule)
     below = F.when(rule > 0, F.slice(lines, rule + 1, F.greatest(F.size(lines) - rule, F.lit(0)))).otherwise(_empty())
     rows = F.filter(below, lambda l: strip(l) != "")
-    head = F.array_join(header, "\n")
-    start = F.struct(_empty().alias("out"), F.lit("").alias("cur"))
+    long = tokens(table) > whole
 
-    def with_head(body: Column) -> Column:
-        return _joined(head, body, "\n")
-
-    def step(a, r):
-        both = _joined(a["cur"], r, "\n")
-        over = (tokens(with_head(both)) > most) & (a["cur"] != "")
-        return F.struct(
-            F.when(over, F.array_append(a["out"], with_head(a["cur"]))).otherwise(a["out"]).alias("out"),
-            F.when(over, r).otherwise(both).alias("cur"),
-        )
+    @F.arrow_udf(_STRINGS)
+    def packed(heads: pa.Array, bodies: pa.Array) -> pa.Array:
+        pairs = zip(heads.to_pylist(), bodies.to_pylist())
+        return pa.array([_row_batches(h or "", r, most) if r else None for h, r in pairs], pa.list_(pa.string()))
 
-    packed = F.aggregate(rows, start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.array_append(a["out"], with_head(a["cur"]))))
-    return F.when((tokens(table) <= whole) | (F.size(rows) == 0), F.array(table)).otherwise(packed)
+    return F.coalesce(packed(F.when(long, F.array_join(header, "\n")), F.when(long, rows)), F.array(table))
 
 
 def merge_short(parts: Column, most: int = MOST, least: int = LEAST) -> Column:
