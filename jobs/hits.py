@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from jobs import settings
 from lodestone.functions import text as T
-from lodestone.operators import index, retrieve
+from lodestone.operators import retrieve
 from lodestone.plans import inputs
-from lodestone.session import pinned
+from lodestone.session import pinned, sent
 
 log = logging.getLogger("jobs.hits")
 
@@ -32,10 +32,9 @@ SCHEMA = "query_id long, doc_id long, rank int, score double, found_in string, s
 def sheet(spark: SparkSession, tables: str, caller: str, hits: int) -> DataFrame:
     """(query_id, doc_id, rank, score, found_in, source, citation, snippet) of a caller, whose address is caller@x."""
     queries, chunks = inputs.queries(spark, tables), inputs.chunks(spark, tables)
-    postings = index.postings(spark, f"{tables}/documents.parquet", "doc_id")
-    found = pinned(retrieve.search(queries, chunks, "hybrid", hits, retrieve.visible(caller, f"{caller}@x"), postings=postings))
+    found = pinned(retrieve.search(queries, chunks, "hybrid", hits, retrieve.visible(caller, f"{caller}@x"), texts=inputs.documents(spark, tables)))
     # the texts of the winners only are cleaned, each once
-    texts = inputs.documents(spark, tables).select("doc_id", "source", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = inputs.documents(spark, tables).select("doc_id", "source", "text").join(sent(found.select("doc_id").distinct()), "doc_id", "left_semi")
     first = F.get(T.sentences(T.clean_text(F.col("text"))), F.lit(0))
     payload = texts.select("doc_id", "source", F.concat(F.lit("[Source: "), F.coalesce("source", F.lit("unknown")), F.lit("]")).alias("citation"), F.coalesce(first, F.lit("")).alias("snippet"))
     return found.join(payload, "doc_id").select("query_id", "doc_id", "rank", "score", "found_in", "source", "citation", "snippet")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 from lodestone.operators import sparse
+from lodestone.session import sent
 
 # -- fixed values ------------------------------------------------------------
 TOP = 5
@@ -30,7 +31,7 @@ def coverage(pairs: DataFrame, queries: DataFrame, docs: DataFrame, query: str =
         # terms of the questions only
         d = postings.join(q.select("term").distinct(), "term", "left_semi").select(key, "term")
     else:
-        held = docs.join(pairs.select(key).distinct(), key, "left_semi").select(key, F.substring(text, 1, chars).alias(text) if chars else F.col(text))
+        held = docs.join(sent(pairs.select(key).distinct()), key, "left_semi").select(key, F.substring(text, 1, chars).alias(text) if chars else F.col(text))
         d = sparse.terms(held, key, text).select(key, "term")
     met = wanted.join(q, query).join(d.withColumn("_hit", F.lit(1)), [key, "term"], "left")
     return met.groupBy(query, key).agg(F.round(F.sum(F.coalesce("_hit", F.lit(0))) / F.max("_all"), 6).alias("coverage"))

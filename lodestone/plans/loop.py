@@ -17,11 +17,11 @@ from lodestone.operators import answer, retrieve
 from lodestone.session import pinned
 
 
-def corrective_search(queries: DataFrame, chunks: DataFrame, predicate: Column | None = None, n: int = answer.TOP, postings: DataFrame | None = None) -> DataFrame:
+def corrective_search(queries: DataFrame, chunks: DataFrame, predicate: Column | None = None, n: int = answer.TOP, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, grade, rank, attempt, mode): each query's reranked hits of the round that it ended in."""
-    lists = {name: pinned(rows) for name, rows in retrieve.ranked(queries, chunks, "hybrid", predicate, postings=postings).items()}
+    lists = {name: pinned(rows) for name, rows in retrieve.ranked(queries, chunks, "hybrid", predicate, texts=texts).items()}
     pairs = reduce(DataFrame.union, [rows.select("query_id", "doc_id") for rows in lists.values()]).distinct()
-    covered = pinned(answer.coverage(pairs, queries, chunks, postings=postings))
+    covered = pinned(answer.coverage(pairs, queries, chunks if texts is None else texts))
     open_, done, mode = queries.select("query_id"), [], "hybrid"
     for attempt in range(answer.ATTEMPTS + 1):
         held = {name: rows.join(open_, "query_id", "left_semi") for name, rows in lists.items() if mode in ("hybrid", name)}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import answer, chunkers, memory, packing, permissions, retrieve, tables
 from lodestone.plans import inputs, services
-from lodestone.plans.retrieval_queries import _HITS, CALLER, EMAIL, _postings, sparse_topk
+from lodestone.plans.retrieval_queries import _HITS, CALLER, EMAIL, sparse_topk
 from lodestone.plans.text_queries import _STRIP, _clean_sql
-from lodestone.session import table
+from lodestone.session import pinned, sent, table
 
 
 def vector_router(spark, d):
@@ -62,7 +62,7 @@ def crawl_preview(spark, d):
 
 
 def candidate_lengths(spark, d):
-    return answer.length_stats(sparse_topk(spark, d), table(spark, d, "documents"))
+    return answer.length_stats(sent(pinned(sparse_topk(spark, d))), table(spark, d, "documents"))
 
 
 def clean_walk(spark, d):
@@ -151,13 +151,13 @@ def question_path(spark, d):
     """Benchmark items and greetings as questions: routed, searched, answered with a citation."""
     q = inputs.queries(spark, d)
     hello = q.select((F.col("query_id") + 100000).alias("query_id"), F.lit("hello").alias("text"), "vector").where("query_id % 10 = 0")
-    return services.answered(q.unionByName(hello), inputs.chunks(spark, d), retrieve.visible(CALLER, EMAIL), postings=_postings(spark, d)).select("query_id", "route", "question", "answer", "cited")
+    return services.answered(q.unionByName(hello), inputs.chunks(spark, d), retrieve.visible(CALLER, EMAIL), texts=inputs.documents(spark, d)).select("query_id", "route", "question", "answer", "cited")
 
 
 def evaluation(spark, d):
     q = inputs.queries(spark, d)
     refs = q.where("query_id % 2 = 0").select("query_id", F.col("text").alias("reference"))
-    rows = services.answered(q, inputs.chunks(spark, d), retrieve.visible(CALLER, EMAIL), postings=_postings(spark, d))
+    rows = services.answered(q, inputs.chunks(spark, d), retrieve.visible(CALLER, EMAIL), texts=inputs.documents(spark, d))
     return services.evaluated(rows, refs).select("query_id", "faithfulness", "relevance", "agreement", "average")
 
 

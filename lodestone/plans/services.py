@@ -10,6 +10,7 @@ from lodestone.functions.text import strip
 from lodestone.operators import answer, chunks, dml, packing, permissions
 from lodestone.operators import memory as memories
 from lodestone.plans.loop import corrective_search
+from lodestone.session import pinned, sent
 from lodestone.sources import files, sinks
 
 
@@ -59,7 +60,7 @@ def context_block(number: Column, source: Column, page: Column, section: Column,
     return F.concat(answer.header(number, source, page, section), F.lit("\n"), content)
 
 
-def answered(questions: DataFrame, chunks_: DataFrame, visible: Column | None = None, memory: DataFrame | None = None, budget: int = packing.BUDGET, postings: DataFrame | None = None) -> DataFrame:
+def answered(questions: DataFrame, chunks_: DataFrame, visible: Column | None = None, memory: DataFrame | None = None, budget: int = packing.BUDGET, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, route, question, prompt, answer, cited) of a batch of questions (query_id, text, vector), with the stand-in generator.
 
     Small talk is answered without retrieval. memory holds (query_id, last_question, rewrite,
@@ -67,7 +68,8 @@ def answered(questions: DataFrame, chunks_: DataFrame, visible: Column | None =
     asked as its rewrite where that is acceptable (a null rewrite: the last question before
     it), and the prompt begins with the layers that it needs; layers is a model's answer, and
     null stands for all. Hits come from the corrective search; as many as fit the budget follow.
-    chunks_ needs doc_id, text, vector, source, and what ``visible`` reads.
+    chunks_ needs doc_id, text, vector, source, and what ``visible`` reads; texts, the same but vector
+    where that lies in a table of its own.
     """
     rows = questions.withColumn("route", classify.route(F.col("text")))
     if memory is None:
@@ -82,8 +84,8 @@ def answered(questions: DataFrame, chunks_: DataFrame, visible: Column | None =
     held = held.withColumn("question", asked).withColumn("context", F.when(past, memories.context(layer["summary"], layer["facts"], F.col("recent"))))
     talk = held.where("route = 'DIRECT'").select("query_id", "route", "question", F.lit(None).cast("string").alias("prompt"), F.lit(answer.direct("")).alias("answer"), F.lit(0).cast("long").alias("cited"))
     search = held.where("route <> 'DIRECT'")
-    hits = corrective_search(search.select("query_id", F.col("question").alias("text"), "vector"), chunks_, visible, postings=postings)
-    named = hits.join(chunks_.select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    hits = corrective_search(search.select("query_id", F.col("question").alias("text"), "vector"), chunks_, visible, texts=texts)
+    named = sent(pinned(hits)).join((chunks_ if texts is None else texts).select("doc_id", "source", F.col("text").alias("content")), "doc_id")
     sized = named.withColumn("tokens", packing.prompt_tokens(F.lit(None), F.col("content")))
     lists = sized.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source", "content", "tokens"))).alias("h"))
     taken = lists.withColumn("t", packing.within_budget(F.col("h.tokens").cast("array<bigint>"), budget))

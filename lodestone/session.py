@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -50,3 +51,12 @@ def pinned(df: DataFrame) -> DataFrame:
     """df computed once and checkpointed below the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that is sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df as a side of a join: sent to every task where it has few rows. It is counted first, so it should be stored."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
