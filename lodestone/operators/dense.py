@@ -18,8 +18,8 @@ from lodestone.operators import sparse
 
 #: Queries a pass; their vectors are sent to every task.
 BLOCK = 4096
-#: Rows that a block of queries meets at once.
-SLICE = 1024
+#: Rows that meet TILE queries at once: what a task holds beside its k best is of this size, whatever the tables'.
+SLICE, TILE = 1024, 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,18 +49,17 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 20, query: str = "query
         vectors = _unit(_matrix(table.column("v").combine_chunks())) if len(ids) else np.zeros((0, 0))
 
         def run(batches, ids=ids, vectors=vectors):
-            best_k = np.zeros((len(ids), 0), np.int64)
-            best_s = np.zeros((len(ids), 0))
+            best_k, best_s = sparse.nothing_yet(len(ids), k)
             for part in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
-                if not len(ids):
-                    continue
-                s = np.round(vectors @ _unit(_matrix(part.column(1))).T, 6) + 0.0
-                keys = np.broadcast_to(part.column(0).to_numpy(), s.shape)
-                best_k, best_s = np.concatenate((best_k, keys), 1), np.concatenate((best_s, s), 1)
-                order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
-                best_k, best_s = np.take_along_axis(best_k, order, 1), np.take_along_axis(best_s, order, 1)
-            n = best_k.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_k.ravel()), pa.array(best_s.ravel())], [query, key, "score"])
+                rows, keys = _unit(_matrix(part.column(1))).T, part.column(0).to_numpy()
+                for at in range(0, len(ids), TILE):
+                    some = slice(at, at + TILE)
+                    s = vectors[some] @ rows
+                    np.round(s, 6, out=s)
+                    s += 0.0
+                    sparse.keep_best(best_k[some], best_s[some], keys, s)
+            q, c = np.nonzero(best_s > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_k[q, c]), pa.array(best_s[q, c])], [query, key, "score"])
 
         parts.append(held.mapInArrow(run, f"{query} long, {key} long, score double"))
     return sparse.top(reduce(DataFrame.union, parts), k, query, key)

@@ -1,4 +1,4 @@
-"""The inverted file against brute force, and searches of stored postings that score allowed rows only."""
+"""The inverted file against brute force, the scan against postings, and searches of stored postings that score allowed rows only."""
 
 import numpy as np
 import pytest
@@ -94,3 +94,31 @@ def test_coverage_from_postings_is_that_from_texts(spark):
     assert rows() == rows(postings=retrieval_queries._postings(spark, SF))
     short = rows(chars=200)
     assert len(short) == len(rows()) and sum(c for *_, c in short) < sum(c for *_, c in rows())
+
+
+def test_scan_is_the_join_by_term(spark, monkeypatch):
+    """Blocks, batches and tasks of a few rows give what postings that meet by term give; no posting is shuffled."""
+    monkeypatch.setattr(sparse, "BLOCK", 7)
+    monkeypatch.setattr(sparse, "ROWS", 5)
+    q = table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    q = q.unionByName(spark.createDataFrame([(-1, None), (-2, "the a"), (-3, "nowherefound")], "query_id long, text string"))
+    docs = table(spark, SF, "documents").unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", None, None, None)], table(spark, SF, "documents").schema))
+    rows = lambda df: sorted((r.query_id, r.doc_id, r.score, r.rank) for r in df.collect())
+    got = sparse.search(q, docs.repartition(3), 5)
+    assert rows(got) == rows(sparse.search(q, docs, 5, postings=sparse.weights(docs)))
+    assert got.columns == ["query_id", "doc_id", "score", "rank"] and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sparse.search(q, docs.limit(0), 5).count() == 0 and sparse.search(q.limit(0), docs, 5).count() == 0
+
+
+def test_dense_tiles_keep_ties_by_key(spark, monkeypatch):
+    """Many rows of one score, over several tiles and batches; a tile's scores are all that grows with a batch."""
+    monkeypatch.setattr(dense, "TILE", 3)
+    monkeypatch.setattr(dense, "SLICE", 4)
+    rows = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40, 0, -1)], "doc_id long, vector array<double>").repartition(3)
+    q = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(10)], "query_id long, vector array<double>")
+    got = {}
+    for r in dense.search(q, rows, 6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    for i in range(10):
+        assert sorted(got[i]) == [(n + 1, 2 * n + (1 if i % 2 else 2), 1.0) for n in range(6)]
+    assert dense.search(q, rows.limit(4), 6).count() == 40
