@@ -38,8 +38,9 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 def cut(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, chunk_index, chunk_total, chunk_id, tokens, content) of cleaned texts packed by sentences."""
     parts = packing.sentence_groups(T.sentences(T.clean_text(F.col("text"))))
-    rows = docs.select("doc_id", "lang", "source", parts.alias("p")).where(F.size("p") > 0)
-    each = rows.select("doc_id", "lang", "source", F.size("p").alias("chunk_total"), F.posexplode("p").alias("_i", "content"))
+    rows = docs.select("doc_id", "lang", "source", parts.alias("p"))
+    # outer, and empty texts dropped after: a filter on the parts' number would pack every text a second time
+    each = rows.select("doc_id", "lang", "source", F.size("p").alias("chunk_total"), F.posexplode_outer("p").alias("_i", "content")).where("_i IS NOT NULL")
     return each.select(
         "doc_id", "lang", "source", (F.col("_i") + 1).alias("chunk_index"), "chunk_total",
         T.chunk_id(F.lit(None).cast("string"), F.lit("txt"), F.coalesce("source", F.lit("")), F.col("content")).alias("chunk_id"),

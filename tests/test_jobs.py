@@ -112,3 +112,12 @@ def test_settings(tmp_path):
         settings.read(hits.DEFAULTS, str(path))
     for name, defaults in (("ingest", ingest.DEFAULTS), ("hits", hits.DEFAULTS)):
         settings.read(defaults, f"jobs/{name}.json", **{k: "x" for k, v in defaults.items() if v is None})
+
+
+def test_texts_are_packed_once(spark):
+    """No filter on a text's number of chunks stands below the explosion: it would clean, cut and pack every text again."""
+    docs = spark.createDataFrame([(1, "One. Two.", "en", "s"), (2, None, "en", "s"), (3, "", "en", "s")], ingest.SCHEMA)
+    cut = ingest.cut(docs)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+    assert [(r.doc_id, r.chunk_index, r.chunk_total, r.content) for r in cut.collect()] == [(1, 1, 1, "One. Two.")]
