@@ -127,7 +127,8 @@ def page_chunks(elements: DataFrame, embed: Embed = hashed_embedding) -> DataFra
     # each fold stands alone: within one another they would be written out many times over
     docs = docs.select("doc_id", attach_captions(F.col("items")).alias("items"))
     docs = docs.select("doc_id", F.transform(spread(F.col("items")), lambda x: F.struct(x["type"].alias("type"), x["content"].alias("content"))).alias("items"))
-    out = docs.select("doc_id", F.posexplode(packing.merge_tiny(F.col("items"))).alias("_i", "c"))
+    # outer, and documents without a chunk dropped after: a filter on their number would run all folds a second time
+    out = docs.select("doc_id", F.posexplode_outer(packing.merge_tiny(F.col("items"))).alias("_i", "c")).where("_i IS NOT NULL")
     return out.select("doc_id", (F.col("_i") + 1).alias("chunk_index"), F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("chunk_total"), "c.type", "c.content")
 
 
