@@ -27,7 +27,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group of near copies stays."""
+    """Operator 3: one document of each group of near copies stays; fingerprints group first, shingle sets check and complete the groups."""
     store.tuned(spark)
     return simhash.keep_one(docs)
 

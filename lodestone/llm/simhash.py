@@ -285,7 +285,7 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
-# -- near copies by shingle similarity ---------------------------------------------
+# -- near copies: fingerprints first, shingle sets decide ---------------------------
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -347,7 +347,7 @@ def _texts(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: str) -> DataFrame:
-    """(doc, hash, sid, n, prefix): of every document its set of shingles, and so many of the rarest that sets of Jaccard >= p/q share one."""
+    """(doc, hash, sid, n, prefix, fp): of every document its set of shingles, so many of the rarest that sets of Jaccard >= p/q share one, and its fingerprint."""
     rank = _ranks(docs, shingle, text)
 
     def run(batches):
@@ -357,10 +357,35 @@ def _sets(docs: DataFrame, p: int, q: int, shingle: int, id_column: str, text: s
                 sent = np.where(n, n - (n * p + q - 1) // q + 1, 0)
                 at = np.repeat(np.cumsum(n) - n, sent) + vec.grouped_arange(sent)
                 prefix = vec.lists(pa.array(short(found[at]).view(np.int32)), sent)
-                cols = [part.column(0), part.column(1), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), prefix]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "hash", "sid", "n", "prefix"])
+                texts = part.column(2).cast(pa.large_binary()).to_pylist()
+                fp = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
+                cols = [part.column(0), part.column(1), pa.array(sid.view(np.int64)), pa.array(n.astype(np.int32)), prefix, pa.array(fp)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "hash", "sid", "n", "prefix", "fp"])
 
-    return _texts(docs, id_column, text).mapInArrow(vec.lean(run), "doc long, hash long, sid long, n int, prefix array<int>")
+    return _texts(docs, id_column, text).mapInArrow(vec.lean(run), "doc long, hash long, sid long, n int, prefix array<int>, fp long")
+
+
+def _near_sets(rows: DataFrame, tau: int) -> DataFrame:
+    """(a, b): sets to compare by their documents' fingerprints.
+
+    The first set of each fingerprint meets those of two others within tau bits, the
+    least and the nearest of the lesser ones; a fingerprint's other sets meet its first.
+    So comparisons follow the number of sets, however large a group is.
+    """
+    held = store.settled(rows.select("sid", "fp").distinct(), "fingerprinted-sets")
+    firsts = store.settled(held.groupBy("fp").agg(F.min("sid").alias("first")), "fingerprints")
+    near = near_pairs(firsts, tau).groupBy("b").agg(F.min("a").alias("least"), F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"), "a")).alias("nearest"))
+    near = near.select("b", F.explode(F.array_distinct(F.array("least", "nearest.a"))).alias("a"))
+    across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    within = held.join(firsts, "fp").select(F.col("sid").alias("x"), F.col("first").alias("y"))
+    return across.select("x", "y").union(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that are not in one group already."""
+    of_a = groups.select(F.col("node").alias("a"), F.col("component").alias("ga"))
+    of_b = groups.select(F.col("node").alias("b"), F.col("component").alias("gb"))
+    return pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
 
 
 def _sent(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -486,15 +511,16 @@ def _across_groups(index: DataFrame, words: DataFrame, roots: DataFrame, p: int,
     return asked.join(y, near).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_column: str = "doc_id", text: str = "text", tau: int = 3) -> DataFrame:
     """(doc, hash, least): every document but the first of its group; least is the least doc_id of the group. doc and hash as store.doc_key gives them.
 
     Texts of equal shingle sets are one class. Two classes are linked if their sets'
     Jaccard similarity is ``similarity`` at least; groups are the components of all
-    links. The join is exact: similar sets share one of their rarest shingles (prefix
-    filter), and Jaccard itself decides. In long lists each set first meets PROBES
-    others; then, in the lists that this left open, all those of other groups, so
-    only pairs that are in one group already are left out.
+    links. Fingerprints within ``tau`` bits (``near_pairs``) give the first groups,
+    each link checked by Jaccard. Similar sets whose fingerprints differ in more bits
+    are found exactly: they share one of their rarest shingles (prefix filter). In long
+    lists each set first meets PROBES others, then, in the lists that this left open,
+    all those of other groups; only pairs that are in one group already are left out.
     """
     p, q = Fraction(str(similarity)).as_integer_ratio()
     with store.scratch(docs.sparkSession):
@@ -504,9 +530,12 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         def counters(batch):
             yield counter(_sent(batch.column(0))[0])
 
+        links = _similar(store.settled(_near_sets(rows, tau), "near-sets"), classes, docs, p, q, shingle, id_column, text)
+        groups = graph.components(links, "a", "b")
         counts = packets.totals(classes.select("prefix"), counters, COUNTER_BITS)
         met = store.settled(_first_met(classes, p, q, Hot(counts), int(counts.sum())), "candidate-sets")
-        links = _similar(met.where("a IS NOT NULL").select("a", "b"), classes, docs, p, q, shingle, id_column, text)
+        others = store.settled(_apart(met.where("a IS NOT NULL").select("a", "b"), groups), "sets-apart")
+        links = links.union(_similar(others, classes, docs, p, q, shingle, id_column, text))
         groups = graph.components(links, "a", "b")
         open_ = met.where("a IS NULL").select("word").distinct()
         if not open_.isEmpty():
@@ -520,8 +549,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         # written first: a join of two tables may split the rows of a text that is everywhere
         first = of.groupBy("root").agg(F.min(F.struct("doc", "hash")).alias("f"))
         named = store.settled(of.join(first, "root").select("sid", F.col("f.doc").alias("least"), F.col("f.hash").alias("least_hash")), "named-sets")
-        others = rows.select("doc", "hash", "sid").join(named, "sid").where("doc != least OR hash != least_hash")
-        return store.settled(others.select("doc", "hash", "least").distinct(), "near-copies", outlives=True)
+        gone = rows.select("doc", "hash", "sid").join(named, "sid").where("doc != least OR hash != least_hash")
+        return store.settled(gone.select("doc", "hash", "least").distinct(), "near-copies", outlives=True)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

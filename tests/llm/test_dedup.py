@@ -149,6 +149,27 @@ def plain_near_copies(rows):
     return {(rows[x][0], rows[r][0]) for x, r in least_of(links).items() if x != r}
 
 
+def test_near_copies_come_from_fingerprints(spark, monkeypatch):
+    """With nothing from the join of rare shingles, the stage drops the copies within 3 bits, and those only."""
+    rng, rows = random.Random(14), []
+    for g in range(40):
+        w = words_text(rng, 250).split()
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:90] + ["changed"] * (1 + g % 12) + w[90:]))]
+    near = {2 * g + 1 for g in range(40) if (plain_fingerprint(rows[2 * g][1]) ^ plain_fingerprint(rows[2 * g + 1][1])).bit_count() <= 3}
+    assert near < {x for x, _ in plain_near_copies(rows)} and len(near) > 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_first_met", lambda classes, *rest: spark.createDataFrame([], "a long, b long, word int"))
+    assert {i for i, _ in rows} - {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, SF).collect()} == near
+
+
+def test_fingerprint_comparisons_follow_the_sets(spark):
+    """40 fingerprints near one another, and 50 sets of one fingerprint: no comparison of all pairs."""
+    rows = [(100 + i, sum(1 << b for b in bits)) for i, bits in enumerate([(b,) for b in range(20)] + [(b, 30) for b in range(20)])] + [(i, 0) for i in range(50)]
+    got = {(r.a, r.b) for r in simhash._near_sets(spark.createDataFrame(rows, "sid long, fp long"), 3).collect()}
+    assert {(0, i) for i in range(1, 50)} <= got and len(got) <= 49 + 2 * 40
+    assert {b for _, b in got} == {i for i, _ in rows} - {0}
+
+
 def cut_copy_rows(rng):
     """Copies with a passage added or cut off, near Jaccard 0.8 on either side."""
     rows = []
