@@ -17,8 +17,8 @@ end to end. A checksum of whole documents needs no payload to move: each chunk
 is unpacked once where it lies, and CRC-32 of a concatenation follows from the
 parts' by polynomial arithmetic, summed by XOR.
 
-What stands between white space is encoded by the tokenizers library, each once
-a worker (bounded cache), after the vocabulary's own normaliser and pattern; a
+What stands between white space is cut by the vocabulary's own normaliser and
+pattern, and each piece encoded by the tokenizers library once a worker (bounded cache); a
 text with characters that Unicode versions class differently goes to the
 library whole.
 
@@ -34,7 +34,6 @@ import hashlib
 import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,37 +92,53 @@ class WordEncoder:
         strings = list(self.known)
         start, size, pool = self.start[keep], self.size[keep], self.pool
         self._forget()
-        for k in keep.tolist():
-            self.known[strings[k]]
-        self.known.fresh = []
+        self.known.update(zip(map(strings.__getitem__, keep.tolist()), range(len(keep))))
         self.pool = np.resize(pool[np.repeat(start, size) + vec.grouped_arange(size)], max(1 << 16, int(size.sum())))
         self.pool_end = int(size.sum())
         self.start = np.resize(np.cumsum(size) - size, max(1 << 12, len(size)))
         self.size = np.resize(size, max(1 << 12, len(size)))
         self.met = met[keep] // 2
 
-    def _ids_of(self, string: str) -> list[int]:
-        """Ids of a string without white space."""
-        tokenize, letters = self.library.model.tokenize, self.letters
-        words = (string,) if string.isalpha() else PATTERN.findall(string)
-        return [t.id for w in words for t in tokenize(w.encode().decode("latin-1").translate(letters))]
-
     def _learn(self) -> None:
-        fresh, self.known.fresh = self.known.fresh, []
-        tokenize = self.library.model.tokenize
+        """Ids of the strings met first: matches of the pattern from the library, each once; longer strings from those of their matches."""
+        known, at = self.known, len(self.known) - len(self.known.fresh)
+        single, longer, pieces, count = [], [], [], []
+        for number, string in enumerate(list(known.fresh), at):
+            found = None if string.isalpha() else PATTERN.findall(string)
+            if found is None or found == [string]:
+                single.append(number)
+            else:
+                longer.append(number)
+                pieces += map(known.__getitem__, found)
+                count.append(len(found))
+        fresh, known.fresh = known.fresh, []
+        single += range(at + len(single) + len(longer), len(known))  # pieces that were no string themselves
+        while len(known) > len(self.start):
+            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
+            self.size = np.concatenate((self.size, np.zeros_like(self.size)))
+        tokenize, letters = self.library.model.tokenize, self.letters
         # printable ASCII stands for itself among the byte letters
-        lists = [[t.id for t in tokenize(w)] if w.isascii() and w.isalpha() else self._ids_of(w) for w in fresh]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
-        at = len(self.known) - len(fresh)
+        plain = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in (fresh[k - at] for k in single)]
+        ids, size = [], []
+        for w in plain:
+            found = [t.id for t in tokenize(w)]
+            ids += found
+            size.append(len(found))
+        self._keep(np.array(single, np.int64), np.array(ids, np.int32), np.array(size, np.int64))
+        if longer:
+            part = np.array(pieces, np.int64)
+            each = self.size[part]
+            ids = self.pool[np.repeat(self.start[part], each) + vec.grouped_arange(each)]
+            ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(count)]
+            self._keep(np.array(longer, np.int64), ids, np.diff(ends, prepend=0))
+
+    def _keep(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Adds to the pool the ids of the strings of these numbers, so many of each."""
         while self.pool_end + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while at + len(fresh) > len(self.start):
-            self.start = np.concatenate((self.start, np.zeros_like(self.start)))
-            self.size = np.concatenate((self.size, np.zeros_like(self.size)))
         self.pool[self.pool_end : self.pool_end + len(ids)] = ids
-        self.start[at : at + len(fresh)] = self.pool_end + np.cumsum(size) - size
-        self.size[at : at + len(fresh)] = size
+        self.start[numbers] = self.pool_end + np.cumsum(size) - size
+        self.size[numbers] = size
         self.pool_end += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +167,8 @@ class WordEncoder:
         if not whole:
             size = self.size[number]
             ids = self.pool[np.repeat(self.start[number], size) + vec.grouped_arange(size)]
-            return ids, np.array([self.size[p].sum() for p in parts], np.int64)
+            ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+            return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[ends], prepend=0)
         out = []
         for k, number in enumerate(parts):
             if number is None:

@@ -52,6 +52,19 @@ def test_bpe_ids_and_text():
     assert own.decode([128, 50256]) == lib.decode([128, 50256], skip_special_tokens=False)
 
 
+def test_pieces_of_words_are_encoded_once():
+    from types import SimpleNamespace
+
+    words, lib, asked = token_store.WordEncoder(bpe.vocabulary_path(token_store.VOCABULARY)), library(token_store.VOCABULARY), []
+    model = words.library.model
+    words.library = SimpleNamespace(model=SimpleNamespace(tokenize=lambda w: asked.append(w) or model.tokenize(w)))
+    texts = ["alpha alpha. (alpha) Alpha,alpha!? it's 'so' 12 1.2.", "", "beta.alpha éa éa. l'éa É中 beta", "gamma. ALPHA gamma"]
+    for some in (texts[:3], texts[3:], texts):
+        ids, sizes = words.encode(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in some]
+    assert len(asked) == len(set(asked))
+
+
 def test_bpe_documents(spark):
     rows = [(1, "hello there"), (1, "hello there"), (2, None), (None, ""), (3, "é" * 3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
