@@ -95,6 +95,13 @@ def tokens(c: Column, ratio: float = CHUNK_RATIO) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / F.lit(ratio))).cast("long")
 
 
+def fixed(c: Column, places: int = 2) -> Column:
+    """A double with grouped thousands and fixed places: the sign of values below zero only, nan and inf in words."""
+    size = F.abs(c)
+    digits = F.when(F.isnan(size), "nan").when(size == float("inf"), "inf").otherwise(F.format_number(size, places))
+    return F.concat(F.when(c < 0, "-").otherwise(""), digits)
+
+
 def _chain(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)
 

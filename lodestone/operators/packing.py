@@ -85,26 +85,39 @@ def _row_batches(head: str, rows: list[str], most: int) -> list[str]:
     return [*out, "\n".join([head, *cur] if head else cur)] if cur else out
 
 
+def _in_batches(table: Column, head: Column, rows: Column, whole: int, most: int) -> Column:
+    """The table in one chunk up to ``whole`` tokens, else its rows in batches below the head.
+
+    Batches are made in Arrow batches: a fold copies what it holds at every item,
+    which for a long table is the square of its text.
+    """
+    long = tokens(table) > whole
+
+    @F.arrow_udf(_STRINGS)
+    def packed(heads: pa.Array, bodies: pa.Array) -> pa.Array:
+        pairs = zip(heads.to_pylist(), bodies.to_pylist())
+        return pa.array([_row_batches(h or "", r, most) if r else None for h, r in pairs], pa.list_(pa.string()))
+
+    return F.coalesce(packed(F.when(long, head), F.when(long, rows)), F.array(table))
+
+
+def row_batches(head: Column, rows: Column, whole: int = MOST, most: int = TABLE_MOST) -> Column:
+    """A table given as its head and its rows, array<string> without nulls: a row stays whole, line breaks in it included."""
+    return _in_batches(F.concat(head, F.lit("\n"), F.array_join(rows, "\n")), head, rows, whole, most)
+
+
 def table_batches(table: Column, whole: int = MOST, most: int = TABLE_MOST) -> Column:
     """A table in one chunk, or its rows in batches that each repeat the header.
 
     The header ends with the first line of nothing but bars, dashes, colons and
-    spaces; a table without one stays whole. Batches are made in Arrow batches: a fold
-    copies what it holds at every item, which for a long table is the square of its text.
+    spaces; a table without one stays whole.
     """
     lines = F.split(strip(table), "\n")
     rule = F.array_position(F.transform(lines, lambda l: F.translate(l, "|-: ", "") == ""), True).cast("int")
     header = F.slice(lines, 1, rule)
     below = F.when(rule > 0, F.slice(lines, rule + 1, F.greatest(F.size(lines) - rule, F.lit(0)))).otherwise(_empty())
     rows = F.filter(below, lambda l: strip(l) != "")
-    long = tokens(table) > whole
-
-    @F.arrow_udf(_STRINGS)
-    def packed(heads: pa.Array, bodies: pa.Array) -> pa.Array:
-        pairs = zip(heads.to_pylist(), bodies.to_pylist())
-        return pa.array([_row_batches(h or "", r, most) if r else None for h, r in pairs], pa.list_(pa.string()))
-
-    return F.coalesce(packed(F.when(long, F.array_join(header, "\n")), F.when(long, rows)), F.array(table))
+    return _in_batches(table, F.array_join(header, "\n"), rows, whole, most)
 
 
 def merge_short(parts: Column, most: int = MOST, least: int = LEAST) -> Column:

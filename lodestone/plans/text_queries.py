@@ -82,12 +82,13 @@ def paragraph_chunks(spark, d):
 
 
 def table_chunks(spark, d):
-    """Each nation's customers as one table, split into batches that repeat the header."""
+    """Each nation's customers as one table, split into batches that repeat the header; customers without a key come last."""
     c = table(spark, d, "customer")
-    row = F.concat_ws(" | ", "c_name", "c_mktsegment", F.format_number("c_acctbal", 2))
-    grouped = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("r")))).alias("rows"))
-    text = F.concat(F.lit("name | segment | balance\n--- | --- | ---\n"), F.array_join("rows.r", "\n"))
-    return grouped.select("c_nationkey", F.posexplode(packing.table_batches(text)).alias("batch", "content"))
+    row = F.concat_ws(" | ", "c_name", "c_mktsegment", T.fixed(F.col("c_acctbal")))
+    keyed = F.struct(F.col("c_custkey").isNull().alias("last"), "c_custkey", row.alias("r"))
+    grouped = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(keyed)).alias("rows"))
+    head = F.lit("name | segment | balance\n--- | --- | ---")
+    return grouped.select("c_nationkey", F.posexplode(packing.row_batches(head, F.col("rows.r"))).alias("batch", "content"))
 
 
 def adjacent_cosine(spark, d):
